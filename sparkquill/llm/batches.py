@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that are worked on at once (one longer document is worked on alone).
 SLICE_BYTES = 2 << 20
@@ -99,7 +99,8 @@ class Words:
     texts. Words never run over the end of a text.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, between: np.ndarray = SPACE):
+        """between: whether each byte value lies between words."""
         self.buf, self.off = buf, off = buffers(column)
         n = len(buf)
         if not n:
@@ -107,7 +108,7 @@ class Words:
             self.first = np.zeros(len(off), np.int64)
             return
         edge = np.ones(n + 1, bool)  # edge[i]: byte i - 1 is white space, or a text starts at i
-        space = SPACE[buf]
+        space = between[buf]
         edge[1:] = space
         edge[off] = True
         self.start = np.flatnonzero(edge[:-1] & ~space)
@@ -201,3 +202,27 @@ def drop_stored(df: DataFrame) -> None:
 
 def binary_column(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indexes first[i], first[i] + 1, ... (count[i] of them) one after the other."""
+    total = np.cumsum(count)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - count), count)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> list:
+    """At most `most` rows (text, label) of each label that may be learnt from, the same ones on every run: those with the least hashes.
+
+    Rows without a label are left out. held_out is a condition on doc_id; such rows are never taken.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.withColumn("rank", F.xxhash64("doc_id"))
+    picked = known.where("y = 0").orderBy("rank", "doc_id").limit(most).union(known.where("y = 1").orderBy("rank", "doc_id").limit(most))
+    picked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")  # 2 * most rows at most
+    rows = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").collect()
+    return sorted(rows, key=lambda r: r.doc_id)
+
+
+def remainder(doc_id: Column, k: int) -> Column:
+    """crc32 of the id's decimal text, modulo k."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % k

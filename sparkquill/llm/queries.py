@@ -6,22 +6,92 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import jaccard
+from sparkquill.llm import decontaminate, fingerprints, jaccard, licenses, pieces, quality, secrets, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_audit(_table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_audit(_table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.license_scan(docs.select("doc_id", licenses.document_paths(docs.doc_id, docs.source, docs.lang).alias("path"), "text"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
-}
+#: verdict, host, path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
+
+
+def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.replica_audit(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_fingerprints, op2_secret_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_license_scan, op6_toxicity, op7_quality_classifier, op8_ngram_jaccard_join, op9_url_filters, op10_warc_merkle_audit)}
 
 ORACLES: dict[str, str] = {
+    "op9_url_filters": r"""
+with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as spot from pages),
+h as (select page_id, translate(regexp_extract(case when spot > 0 then substr(url, spot + 3) else '' end, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  case when spot > 0 then substr(url, spot + 3) else '' end as rest from u),
+p as (select page_id, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') as path from h),
+r as (select * from (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(verdict, host, path))
+select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdict
+from p left join lateral (
+  select r.host || r.path as rule, r.verdict from r
+  where (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+  order by length(r.host || r.path) desc limit 1) b on true
+""",
+    "op10_warc_merkle_audit": r"""
+with w as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+c as (select page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' as head,
+  chr(13) || chr(10) || chr(13) || chr(10) as gap, html, chr(0) || substr(html, 2) as bad from w),
+d as (select page_id, coalesce(page_id // 1000, -1) as file, head || strlen(html) || gap || html || gap as rec, html,
+  head || strlen(bad) || gap || bad || gap as rec_bad from c),
+e as (select page_id, file, strlen(rec) as length, sha256(rec) as sha256,
+  case when page_id % 50 = 0 and html <> '' then sha256(rec_bad) when page_id % 50 = 7 then null else sha256(rec) end as other from d),
+f as (select *, coalesce(sum(length) over (partition by file order by page_id, sha256 rows between unbounded preceding and 1 preceding), 0)::bigint as start from e),
+g as (select 0 as side, file, start, length, sha256 as sha from f union all select 1, file, start, length, other from f where other is not null),
+l0 as (select side, file, start >> 16 as node, sha256(string_agg(start || ':' || length || ':' || sha, chr(10) order by start, length, sha)) as hash from g group by 1, 2, 3),
+l1 as (select side, file, node >> 8 as node, sha256(string_agg(node || ':' || hash, chr(10) order by node)) as hash from l0 group by 1, 2, 3),
+l2 as (select side, file, node >> 8 as node, sha256(string_agg(node || ':' || hash, chr(10) order by node)) as hash from l1 group by 1, 2, 3),
+l3 as (select side, file, node >> 8 as node, sha256(string_agg(node || ':' || hash, chr(10) order by node)) as hash from l2 group by 1, 2, 3),
+l4 as (select side, file, sha256(string_agg(node || ':' || hash, chr(10) order by node)) as hash from l3 group by side, file, node >> 8)
+select f.page_id, 'crawl-' || f.file as file, f.start as "offset", f.length, f.sha256, a.hash as root, b.hash as other_root,
+  case when f.other is null then 'missing' when f.other <> f.sha256 then 'changed' else 'ok' end as status
+from f left join l4 a on a.file = f.file and a.side = 0 left join l4 b on b.file = f.file and b.side = 1
+""",
     "op8_ngram_jaccard_join": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w

@@ -390,17 +390,24 @@ def _shared(docs: DataFrame, path: str | None) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), parse_model(data)))
 
 
-def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """docs with one more column, the piece ids of each text (null or empty text: an empty list)."""
+def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the piece ids of each text as one more column (null or empty text: an empty list), and with the text that they decode
+    to as another if decoded_col names it (bytes that aren't UTF-8 become the replacement character). A column of docs that has one of
+    these names is replaced."""
     model = _shared(docs, model_path)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    own = docs.drop(*[c for c in (ids_col, decoded_col) if c and c in docs.columns])
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded_col, T.StringType())] * bool(decoded_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(model)
+        encoder = _encoder(model)
         for part, column in slices(batches, text_col):
-            yield pa.record_batch([*part.columns, own.encode(column).cast(pa.list_(pa.int32()))], names=[*part.schema.names, ids_col])
+            ids = encoder.encode(column)
+            columns = [*part.columns, ids.cast(pa.list_(pa.int32()))]
+            if decoded_col:
+                columns.append(pa.array([x.decode("utf-8", "replace") for x in encoder.decode(ids)], pa.string()))
+            yield pa.record_batch(columns, names=[*part.schema.names, *[f.name for f in more]])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *more]))
 
 
 def encode_audit(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkquill.functions.text import document_text, split_words, strip_word
+from sparkquill.functions.text import document_text, let, split_words, strip_word
 
 # Classes in the order in which they are tried, with their patterns and actions.
 CLASSES = [
@@ -136,7 +136,7 @@ def long_date(word: Column, second: Column, third: Column) -> Column:
 def token_groups(text: Column) -> Column:
     """One array of tokens for each word of a text that gives any, in order; a word's tokens share a position."""
     words = F.transform(split_words(document_text(text)), lambda x: F.lower(x))
-    return F.filter(words_to_groups(words), lambda g: F.size(g) > 0)
+    return F.filter(let(words, words_to_groups), lambda g: F.size(g) > 0)
 
 
 def words_to_groups(words: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -10,6 +12,11 @@ STRIPPED = "(),•"
 ENTITIES = [("&amp;", "&"), ("&para;", "¶"), ("&sect;", "§"), ("&hyph;", "-"), ("&times;", "×"), ("&blank;", " "), ("&mu;", "μ"), ("&ntilde", "ñ"), ("&bull;", "•")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once. A column that is named inside a lambda is worked out for each element otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     """Replaces the corpus' entities one after the other, so ``&amp;para;`` becomes the paragraph sign."""
     for name, value in ENTITIES:
@@ -42,15 +49,24 @@ def phrases(text: Column, size: int, stop_words: Column | None = None) -> Column
     words = F.transform(split_words(document_text(text)), lambda x: F.lower(x))
     good = lambda x: x.rlike(r"^[a-z]+\z") & (~F.array_contains(stop_words, x) if stop_words is not None else F.lit(True))
     marked = F.transform(words, lambda x: F.when(good(x), x))
-    starts = F.when(F.size(marked) >= size, F.sequence(F.lit(1), F.size(marked) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.slice(marked, i, size))
+    return let(marked, lambda m: _runs(m, size))
+
+
+def _runs(words: Column, size: int) -> Column:
+    """The runs of `size` words without nulls, each joined by spaces."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.slice(words, i, size))
     return F.transform(F.filter(runs, lambda r: F.forall(r, lambda x: x.isNotNull())), lambda r: F.array_join(r, " "))
 
 
 def adjacent_pairs(words: Column) -> Column:
     """Each word with its next one, joined by a space."""
-    starts = F.when(F.size(words) >= 2, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2), " "))
+    return let(words, lambda w: _runs(w, 2))
+
+
+def word_runs(words: Column, size: int) -> Column:
+    """Every run of `size` words, joined by spaces."""
+    return let(words, lambda w: _runs(w, size))
 
 
 def proximity_words(query: Column) -> Column:

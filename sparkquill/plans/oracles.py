@@ -66,8 +66,8 @@ PARTS = {
     "pst": 'select count(*) as "N", avg(dl) as avgdl from pdl',
     "pq": f"select item_id as qid, term, count(*) as qtf from ({_phrase_rows('benchmark', 'item_id', 'text', (2, 3))}) group by 1, 2",
     "pairs": f"select item_id as qid, w[i] as a, w[i + 1] as b, count(*) as qtf from (select item_id, {_NEAR} as w from benchmark), unnest(range(1, len(w))) t(i) group by 1, 2, 3",
-    "both": "select distinct p.a, p.b, x.doc_id from (select distinct a, b from pairs) p join post x on x.term = p.a join post y on y.term = p.b and y.doc_id = x.doc_id",
-    "near": "select o.a, o.b, o.doc_id, coalesce(n, 0) as near from both o left join (select o.a, o.b, o.doc_id, count(*) as n from both o join tok x on x.doc_id = o.doc_id and x.term = o.a join tok y on y.doc_id = o.doc_id and y.term = o.b where abs(x.pos - y.pos) < 100 group by 1, 2, 3) c on c.a = o.a and c.b = o.b and c.doc_id = o.doc_id",
+    "duo": "select distinct p.a, p.b, x.doc_id from (select distinct a, b from pairs) p join post x on x.term = p.a join post y on y.term = p.b and y.doc_id = x.doc_id",
+    "near": "select o.a, o.b, o.doc_id, coalesce(n, 0) as near from duo o left join (select o.a, o.b, o.doc_id, count(*) as n from duo o join tok x on x.doc_id = o.doc_id and x.term = o.a join tok y on y.doc_id = o.doc_id and y.term = o.b where abs(x.pos - y.pos) < 100 group by 1, 2, 3) c on c.a = o.a and c.b = o.b and c.doc_id = o.doc_id",
     "ndf": "select a, b, count(*) as df from near group by 1, 2",
     "s_tfidf": "select qid, doc_id, coalesce(dot / nullif(sqrt(qn) * sqrt(dn), 0), 0.0) as score from (select qid, doc_id, sum(qw.w * wt.w) as dot from qw join wt using (term) group by 1, 2) join (select qid, sum(w * w) as qn from qw group by 1) using (qid) join nrm using (doc_id)",
     "s_bm25": "select qid, doc_id, sum(log10((N - df + 0.5) / (df + 0.5)) * (2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * (2.0 * qtf / (1.0 + qtf))) as score from q join lex using (term) join post using (term) join dl using (doc_id), st group by 1, 2",

@@ -68,9 +68,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id, rel): documents meet items by the items' first eight words, then the whole text is looked for."""
     pieces = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda x: x != "")
     own = topics(spark, sf_dir).withColumn("opening", F.array_join(F.slice(pieces(F.col("title")), 1, 8), " "))
-    docs = documents(spark, sf_dir).withColumn("w", pieces(F.col("text")))
-    runs = F.when(F.size("w") >= 8, F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).otherwise(F.array().cast("array<string>"))
-    met = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("opening")).join(own, "opening").select("doc_id", "qid", "title")
+    runs = text.word_runs(pieces(F.col("text")), 8)
+    met = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs)).alias("opening")).join(own, "opening").select("doc_id", "qid", "title")
     return met.join(documents(spark, sf_dir), "doc_id").where(F.contains("text", F.col("title"))).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
 
 

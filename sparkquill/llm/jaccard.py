@@ -6,9 +6,10 @@ on those elements, frequent shingles ordered last. Within a join key, nodes are
 threshold's ratio) and by the place of the key in both sets. Candidate pairs then meet hashed parity bitmaps, whose differing bits
 bound the overlap from above, and what is left is settled by intersecting the exact sorted arrays.
 
-Hot keys. A key of more than GROUP nodes links each node with its tile's first node only; after the components of these links are
-known, nodes of the key in different components are compared in square tiles of bounded size. So a group of very many near copies
-costs one comparison a node and key, while no link between different components is lost.
+Hot keys. A key of more than GROUP nodes links each node with one hub of its size band only (the key decides by a hash which node
+is the hub). After the components of these links are known, further rounds take other hubs for the nodes of a key that are still in
+different components, as long as there are many; the rest is compared in square tiles of bounded size, where bitmaps are met before
+a pair is put out. So a group of very many near copies costs some comparisons a node, while no link between components is lost.
 
 The order of shingles only steers cost: counts of frequent shingles cover all documents, and any order gives the same links.
 """
@@ -31,6 +32,8 @@ TILE = 1024
 #: Shingles whose frequency is broadcast at most (16 bytes each); the others count as rare. It bounds memory, not results.
 FREQUENT = 300_000
 BLOOM_BITS = 23
+#: Rounds of other hubs before the keys' remaining nodes are compared in tiles.
+ROUNDS = 1
 
 
 def _signature(s: np.ndarray) -> int:
@@ -40,14 +43,14 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _rows(text: str, id_: str) -> tuple:
-    """(row's id, set size, signature) of each document, and (null, null, shingle, count) of shingles seen often in a stretch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("times", pa.int64())])
+    """(row's id, set size, signature) of each document, a set's bitmap once in a stretch, and (null, null, shingle, count) of shingles seen often in a stretch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("times", pa.int64()), ("bits", pa.binary())])
 
     def flush(sets: list[np.ndarray]) -> pa.RecordBatch:
         x, c = np.unique(np.concatenate(sets), return_counts=True)
         keep = c >= 3
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.record_batch([none, none, pa.array(signed(x[keep])), pa.array(c[keep])], schema=schema)
+        return pa.record_batch([none, none, pa.array(signed(x[keep])), pa.array(c[keep]), pa.nulls(int(keep.sum()), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -56,19 +59,21 @@ def _rows(text: str, id_: str) -> tuple:
         for part, column in slices(batches, text):
             sets = shingle_sets(column, SHINGLE)
             sigs = [_signature(s) if len(s) else None for s in sets]
-            yield pa.record_batch([part.column(id_).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sets), pa.int64())], schema=schema)
-            for sig, s in zip(sigs, sets, strict=True):
+            bits: list[bytes | None] = [None] * len(sets)
+            for k, (sig, s) in enumerate(zip(sigs, sets, strict=True)):
                 if sig is not None and sig not in seen:
                     seen.add(sig)
                     held.append(s)
                     size += len(s)
+                    bits[k] = _bits(s)
+            yield pa.record_batch([part.column(id_).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.array(bits, pa.binary())], schema=schema)
             if size > 4_000_000:
                 yield flush(held)
                 held, size, seen = [], 0, set()
         if held:
             yield flush(held)
 
-    return run, "doc_id long, n_shingles long, sig long, times long"
+    return run, "doc_id long, n_shingles long, sig long, times long, bits binary"
 
 
 def _frequencies(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -147,36 +152,36 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, size and node -> candidate pairs (key null) of each key, and the rows of keys with over GROUP nodes.
+    """Rows (key, node, size, place, band) sorted by key, band and a hash of the node -> candidate pairs (key null) of each key, and the
+    rows of keys with over GROUP nodes.
 
-    A key's rows are held only up to GROUP; beyond, they pass by the first node of their size tile.
+    A key's rows are held only up to GROUP; beyond, they pass by the first node of their band and that of the band before.
     """
     tail = None  # rows of the last key, while they are few
-    hot = None  # (key, node, size, place) of the first node of the current tile, if the last key is hot
+    hot = None  # (key, {band: (node, size, place) of its hub}), if the last key is hot
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if tail is not None:
             rows = [np.concatenate(x) for x in zip(tail, rows, strict=True)]
-        key, sig, size, pos = rows
+        key, sig, size, pos, band = rows
         if not len(key):
             continue
         same = np.ones(len(key), bool)
         same[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])  # a node may come from several partitions
         if not same.all():
-            key, sig, size, pos = (x[same] for x in (key, sig, size, pos))
+            key, sig, size, pos, band = (x[same] for x in (key, sig, size, pos, band))
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         counts = np.diff(bounds)
-        last = len(counts) - 1
         big = counts > GROUP
         if hot is not None and key[0] == hot[0]:
             big[0] = True
         tail = None
         stop = len(key)
-        if not big[last]:
-            stop = bounds[last]
-            tail = [x[stop:] for x in (key, sig, size, pos)]
-        group_big = np.repeat(big, counts)
-        k, s, z, p = (x[:stop][~group_big[:stop]] for x in (key, sig, size, pos))
+        if not big[-1]:
+            stop = bounds[-2]
+            tail = [x[stop:] for x in (key, sig, size, pos, band)]
+        plain = ~np.repeat(big, counts)[:stop]
+        k, s, z, p = (x[:stop][plain] for x in (key, sig, size, pos))
         for d in range(1, GROUP):
             at = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else ()
             if not len(at):
@@ -187,66 +192,93 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in np.flatnonzero(big):
             lo, hi = bounds[g], bounds[g + 1]
             if hot is None or hot[0] != key[lo]:
-                hot = (key[lo], sig[lo], size[lo], pos[lo])
-            at = lo
-            while at < hi:
-                _, node, n, place = hot
-                to = max(at, lo + int(np.searchsorted(size[lo:hi], 5 * int(n) // 4, side="right")))
-                if to > at:
-                    ok = np.flatnonzero(_may_link(size[at:to], pos[at:to], np.int32(n), np.int32(place))) + at
-                    yield _pairs(sig[ok], np.full(len(ok), node, np.int64))
-                at = to
-                if at < hi:
-                    hot = (key[at], sig[at], size[at], pos[at])
+                hot = (key[lo], {})
+            for at in lo + np.flatnonzero(np.concatenate([[True], band[lo + 1 : hi] != band[lo : hi - 1]])):
+                own = int(band[at])
+                to = lo + int(np.searchsorted(band[lo:hi], own, side="right"))
+                hot[1].setdefault(own, (sig[at], size[at], pos[at]))
+                for b in (own - 1, own):
+                    if b in hot[1]:
+                        node, n, place = hot[1][b]
+                        ok = np.flatnonzero(_may_link(size[at:to], pos[at:to], np.int32(n), np.int32(place))) + at
+                        yield _pairs(sig[ok], np.full(len(ok), node, np.int64))
             yield pa.record_batch([pa.array(key[lo:hi]), pa.array(sig[lo:hi]), pa.nulls(int(hi - lo), pa.int64()), pa.array(size[lo:hi]), pa.array(pos[lo:hi])], schema=PAIR)
         if tail is not None:
             hot = None
     if tail is not None and len(tail[0]) > 1:
-        k, s, z, p = tail
+        k, s, z, p, _ = tail
         i, j = np.triu_indices(len(k), 1)
         ok = _may_link(z[i], p[i], z[j], p[j])
         yield _pairs(s[i[ok]], s[j[ok]])
 
 
+class _Bitmaps:
+    """Bitmaps of different widths, compared at the smaller width of a pair."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.width = np.array([len(b) for b in bitmaps])
+        self.at: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.zeros((len(bitmaps), w), np.uint8)
+            for i, b in enumerate(bitmaps):
+                x = np.frombuffer(b, np.uint8)
+                while len(x) > w:
+                    x = _fold(x)
+                if len(x) == w:
+                    rows[i] = x
+            self.at[w] = rows
+
+    def differing(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many bits differ between i and each of the others: at most as many as elements that only one of the sets has."""
+        out = np.zeros(len(others), np.int64)
+        low = np.minimum(self.width[others], self.width[i])
+        for w in np.unique(low).tolist():
+            on = low == w
+            out[on] = np.bitwise_count(self.at[w][others[on]] ^ self.at[w][i]).sum(1)
+        return out
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, sig, size, pos, label), sorted by key and tile, at most some TILE rows each -> pairs of different labels."""
+    """Rows (key, tile, sig, size, pos, label, bits), sorted by key and tile, at most some TILE rows each -> pairs of different labels
+    whose sizes, places and bitmaps leave room for a link."""
     held: list[pa.RecordBatch] = []
 
-    def settle(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, tile, sig, size, pos, label = t
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, tile, sig, size, pos, label = (t.column(i).to_numpy() for i in range(6))
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]]))
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            bits = _Bitmaps(t.column(6).slice(lo, hi - lo).to_pylist())
             for i in range(lo, hi):
                 ok = np.flatnonzero((label[i + 1 : hi] != label[i]) & _may_link(size[i + 1 : hi], pos[i + 1 : hi], size[i], pos[i])) + i + 1
                 if len(ok):
+                    ok = ok[bits.differing(i - lo, ok - lo) <= (size[ok] + size[i]) // 9]
                     yield _pairs(sig[ok], np.full(len(ok), sig[i], np.int64))
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
         t = pa.Table.from_batches(held)
-        cols = [t.column(i).to_numpy() for i in range(6)]
-        n = len(cols[0])
-        if not n:
-            continue
-        open_ = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-        stop = int(open_[-1]) + 1 if len(open_) else 0
-        yield from settle([c[:stop] for c in cols]) if stop else ()
+        key, tile = t.column(0).to_numpy(), t.column(1).to_numpy()
+        done = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
+        stop = int(done[-1]) + 1 if len(done) else 0
+        if stop:
+            yield from settle(t.slice(0, stop))
         held = t.slice(stop).combine_chunks().to_batches()
     if held:
-        t = pa.Table.from_batches(held)
-        yield from settle([t.column(i).to_numpy() for i in range(6)])
+        yield from settle(pa.Table.from_batches(held))
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """Parity bitmap of hashed elements, as many bits as elements, rounded up to a power of two, 256 to 65,536."""
-    width = min(1 << 16, max(256, 1 << int(len(s) - 1).bit_length()))
+    """Parity bitmap of hashed elements, two to four bits an element, a power of two between 256 and 65,536."""
+    width = min(1 << 16, max(256, 2 << int(len(s) - 1).bit_length()))
     odd = np.bincount((mix(s) & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _nodes(text: str, bloom: Broadcast):
-    """(sig, bitmap, sorted elements) of the sets that the Bloom filter lets through."""
-    schema = pa.schema([("sig", pa.int64()), ("bits", pa.binary()), ("members", pa.binary())])
+    """(sig, sorted elements) of the sets that the Bloom filter lets through."""
+    schema = pa.schema([("sig", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bloom.value
@@ -261,16 +293,16 @@ def _nodes(text: str, bloom: Broadcast):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sig)
-                    out.append((sig, _bits(s), s.tobytes()))
+                    out.append((sig, s.tobytes()))
             if out:
-                sig, bits, members = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.array(members, pa.binary())], schema=schema)
+                sig, members = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(members, pa.binary())], schema=schema)
 
-    return run, "sig long, bits binary, members binary"
+    return run, "sig long, members binary"
 
 
 def _node_table(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """Bitmaps and sets of the nodes in the pairs. A Bloom filter of fixed size keeps most others from being shuffled, the join the rest."""
+    """The sets of the nodes in the pairs. A Bloom filter of fixed size keeps most others from being shuffled, the join the rest."""
     spark = docs.sparkSession
     wanted = stored(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct())
     low = F.col("sig").bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
@@ -315,18 +347,28 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    bits = nodes.select("sig", F.expr("length(members) div 8").alias("n"), "bits")
-    a = bits.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    b = bits.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (u, v) among candidate pairs (a, b). bits has sig, n and bits of every node."""
+    a, b = (bits.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab")
     left = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a long, b long"))
-    a = nodes.select(F.col("sig").alias("a"), F.col("members").alias("xa"))
-    b = nodes.select(F.col("sig").alias("b"), F.col("members").alias("xb"))
+    nodes = _node_table(docs, "text", left)
+    a, b = (nodes.select(F.col("sig").alias(x), F.col("members").alias(f"x{x}")) for x in "ab")
     links = stored(left.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "u long, v long"))
     drop_stored(left)
+    drop_stored(nodes)
     return links
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components of the labels that the links join, a component's smallest label for each node."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
+    ends = links.join(a, "u", "left").join(b, "v", "left").select("u", "v", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv"))
+    ends = stored(ends)
+    over = stored(components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v"))))
+    known = labels.union(ends.select("u", "lu")).union(ends.select("v", "lv")).distinct()
+    return stored(known.join(over.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")).distinct())
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose word shingle sets have a Jaccard similarity of at least 0.8, as connected components.
 
@@ -340,29 +382,40 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     run, schema = _rows("text", "doc_id")
     rows = stored(docs.mapInArrow(run, schema))
-    base = rows.where("times is null").drop("times")
+    base = rows.where("times is null").select("doc_id", "n_shingles", "sig")
+    bits = stored(rows.where("bits is not null").select("sig", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["sig"]))
 
     keys, keys_schema = _prefixes("text", spark.sparkContext.broadcast(_frequencies(rows)))
-    met = docs.select("text").mapInArrow(keys, keys_schema).repartition("key").sortWithinPartitions("key", "size", "sig").mapInArrow(_meet, "key long, a long, b long, size int, pos int")
+    band = F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int").alias("band")
+    met = docs.select("text").mapInArrow(keys, keys_schema).select("key", "sig", "size", "pos", band).repartition("key")
+    met = met.sortWithinPartitions("key", "band", F.xxhash64("sig", F.expr("key & 3")), "sig").mapInArrow(_meet, "key long, a long, b long, size int, pos int")
     met = stored(met)
-    pairs = stored(met.where("key is null").select("a", "b").distinct())
-    nodes = _node_table(docs, "text", pairs)
-    links = _verified(pairs, nodes)
-    labels = stored(components(links))
-
-    # Keys of many nodes: what is still in different components there.
-    rows_hot = met.where("key is not null").select("key", F.col("a").alias("sig"), "size", "pos")
-    rows_hot = rows_hot.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    rows_hot = stored(rows_hot)
-    several = rows_hot.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.expr(f"cast(ceil(n / {TILE // 2}) as int)").alias("blocks"))
-    if rows_hot.limit(1).count():
-        tiled = rows_hot.join(stored(several), "key").withColumn("block", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
-        tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("tile", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
-        more = tiled.select("key", "tile", "sig", "size", "pos", "label").repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_cross, "key long, a long, b long, size int, pos int")
-        more = stored(more.select("a", "b").distinct())
-        if more.limit(1).count():
-            links = links.union(_verified(more, _node_table(docs, "text", more)))
-            labels = stored(components(links))
+    labels = stored(components(_verified(stored(met.where("key is null").select("a", "b").distinct()), bits, docs)))
+
+    hot = met.where("key is not null").select("key", F.col("a").alias("sig"), "size", "pos", band)
+    for round_ in range(ROUNDS + 1):
+        # rows of the keys whose nodes are in different components
+        now = stored(hot.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+        each = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+        several = stored(each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels")).where("labels > 1"))
+        work = several.agg(F.sum(F.expr("(cast(n as double) * n - same) / 2")).alias("pairs"), F.sum("n").alias("rows")).first()
+        if not work.rows:
+            break
+        open_ = now.join(several.select("key", "n"), "key")
+        if round_ < ROUNDS and work.pairs > 8 * work.rows:
+            hubs = open_.groupBy("key", "band").agg(F.min_by(F.struct("sig", "size", "pos", "label"), F.xxhash64("sig", F.expr(f"key & 3 | {4 + 4 * round_}"))).alias("hub"))
+            hubs = stored(hubs.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "hub"))
+            pairs = open_.join(hubs, ["key", "band"]).where("label <> hub.label and 5 * least(size, hub.size) >= 4 * greatest(size, hub.size) and 9 * least(size - pos, hub.size - hub.pos) >= 4 * (size + hub.size)")
+            pairs = pairs.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b"))
+        else:
+            tiled = open_.withColumn("blocks", F.expr(f"cast(ceil(n / {TILE // 2}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
+            tiled = tiled.join(bits.select("sig", "bits"), "sig").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("tile", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
+            tiled = tiled.select("key", "tile", "sig", "size", "pos", "label", "bits").repartition("key", "tile").sortWithinPartitions("key", "tile")
+            pairs = tiled.mapInArrow(_cross, "key long, a long, b long, size int, pos int").select("a", "b")
+            round_ = ROUNDS
+        labels = _merged(labels, _verified(stored(pairs.distinct()), bits, docs))
+        if round_ == ROUNDS:
+            break
 
     classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     classes = stored(classes)

@@ -21,6 +21,8 @@ WORDS, GRAMS, SIZE, HIDDEN, POOL = 1 << 15, 1 << 13, 12, 8, 8
 #: Labelled texts of each label that are learnt from at most, those with the least hashes of their ids.
 SAMPLE = 2000
 ROUNDS, BATCH, RATE = 6, 64, 0.01
+#: Steps that a round takes at least; with few labelled texts a round goes over its windows several times.
+STEPS = 60
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -175,7 +177,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> dict[str, np.ndarra
             z = logits(m, x)
             own = np.flatnonzero(np.diff(bounds))
             pick = np.array([bounds[i] + int(z[bounds[i] : bounds[i + 1]].argmax()) for i in own])
-        for at in np.array_split(r.permutation(pick), max(1, len(pick) // BATCH)):
+        size = max(1, len(pick) // BATCH)
+        for at in (b for _ in range(-(-STEPS // size)) for b in np.array_split(r.permutation(pick), size)):
             ids, mask = x.windows(at)
             used, back = np.unique(ids, return_inverse=True)
             part = _Part(x, used)

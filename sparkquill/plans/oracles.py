@@ -134,7 +134,7 @@ def _decoded(col: str) -> str:
 
 def _fused() -> str:
     cut = lambda s, k: f"(select qid, doc_id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rn from {s} qualify rn <= {k})"
-    rows = f"(select qid, doc_id, sum(score) as score from (select qid, doc_id, 0.5 * score as score from {cut('s_phrase', 100)} union all select qid, doc_id, sin(0.05) * score from {cut('s_near', 10)} union all select qid, doc_id, cos(0.05) * score from {cut('s_bm25', 100)}) group by 1, 2)"
+    rows = f"(select qid, doc_id, sum(score) as score from (select qid, doc_id, 0.4 * score as score from {cut('s_phrase', 100)} union all select qid, doc_id, sin(0.05) * score from {cut('s_near', 10)} union all select qid, doc_id, cos(0.05) * score from {cut('s_bm25', 100)}) group by 1, 2)"
     return _top(rows, 100, "Positional")
 
 

@@ -127,7 +127,7 @@ QUERIES: dict[str, Q] = {
     "rank_phrase_bm25": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase")),
     "proximity_pairs": lambda s, d: rank.pair_counts(topics(s, d).select(F.explode(text.adjacent_pairs(_near_words())).alias("p")).select(F.split("p", " ")[0].alias("first"), F.split("p", " ")[1].alias("second")), _words(s, d)),
     "rank_proximity": lambda s, d: rank.proximity(topics(s, d), _near_words(), _words(s, d)),
-    "fuse_sin_cos": lambda s, d: rank.fuse(rank.bm25(_phrases(s, d), _index(s, d, "phrase"), 100), rank.proximity(topics(s, d), _near_words(), _words(s, d), 10), rank.bm25(_query(s, d), _words(s, d), 100), mu=0.5, k=100),
+    "fuse_sin_cos": lambda s, d: rank.fuse(rank.bm25(_phrases(s, d), _index(s, d, "phrase"), 100), rank.proximity(topics(s, d), _near_words(), _words(s, d), 10), rank.bm25(_query(s, d), _words(s, d), 100), mu=0.4, k=100),
     **{f"reduce_{k}": (lambda s, d, k=k: rewrite.reduce_query(_query(s, d), _words(s, d), 0.4, k)) for k in ("qtf", "idf", "qtf_idf")},
     "expand_tfidf": lambda s, d: rewrite.expand(rank.tfidf(_query(s, d), _words(s, d)), _words(s, d)),
     "expand_dfidf": lambda s, d: rewrite.expand(rank.tfidf(_query(s, d), _words(s, d)), _words(s, d), criteria="dfidf"),

@@ -167,7 +167,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     rows = labelled_sample(docs, labels, "quality", held_out(F.col("doc_id")), SAMPLE)
-    return train(features(text_column(pa.array([r.text for r in rows], pa.string()))), np.array([r.y for r in rows], float))
+    parts = [features(text_column(pa.array([r.text for r in rows[i : i + 100]], pa.string()))) for i in range(0, len(rows), 100)]  # some at a time: they need less room
+    return train(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), np.array([r.y for r in rows], float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -122,14 +122,20 @@ class Words:
         return len(self.start)
 
     def hashes(self, lower: bool = True, table: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, read off one running sum over the whole buffer."""
-        if not len(self):
-            return np.zeros(0, U64)
-        p, inverse = powers(len(self.buf))
+        """A 64-bit hash of each word: a polynomial over its bytes, read off one running sum over a few megabytes at a time."""
+        out = np.zeros(len(self), U64)
         table = table if table is not None else BYTE_LOWER if lower else BYTE
-        total = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(table[self.buf] * p[: len(self.buf)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64))
+        i = 0
+        while i < len(self):
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + SLICE_BYTES)))
+            lo, hi = int(self.start[i]), int(self.end[j - 1])
+            p, inverse = powers(hi - lo)
+            total = np.zeros(hi - lo + 1, U64)
+            np.cumsum(table[self.buf[lo:hi]] * p[: hi - lo], out=total[1:])
+            start, end = self.start[i:j] - lo, self.end[i:j] - lo
+            out[i:j] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+            i = j
+        return out
 
     def text_of(self) -> np.ndarray:
         """For each word the index of its text."""

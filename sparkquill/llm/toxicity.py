@@ -19,7 +19,7 @@ from sparkquill.llm.batches import LOWER, U64, Words, labelled_sample, mix, rema
 WINDOW, STRIDE = 64, 48
 WORDS, GRAMS, SIZE, HIDDEN, POOL = 1 << 15, 1 << 13, 12, 8, 8
 #: Labelled texts of each label that are learnt from at most, those with the least hashes of their ids.
-SAMPLE = 2000
+SAMPLE = 1200
 ROUNDS, BATCH, RATE = 6, 64, 0.01
 #: Steps that a round takes at least; with few labelled texts a round goes over its windows several times.
 STEPS = 60
@@ -38,14 +38,19 @@ class Inputs:
         self.bucket = (distinct & U64(WORDS - 1)).astype(np.int64)
         start, end = words.start[at], words.end[at]
         n = np.maximum(1, end - start)  # one five-byte gram around each byte of the word; beyond its edges there are zeros
-        spot = spread(start, n)
-        first, last = np.repeat(start, n), np.repeat(end, n)
         low = np.concatenate([np.zeros(2, np.uint8), LOWER[words.buf], np.zeros(3, np.uint8)]).astype(U64)
-        gram = np.zeros(len(spot), U64)
-        for k in range(-2, 3):
-            inside = (spot + k >= first) & (spot + k < last)
-            gram |= low[spot + (k + 2)] * inside << U64(8 * (k + 2))
-        self.gram = (mix(gram) & U64(GRAMS - 1)).astype(np.int64)
+        self.gram = np.empty(int(n.sum()), np.int16)
+        at = 0
+        for k in range(0, len(n), 20_000):  # some words at a time: their grams take much more room than their numbers
+            a, m = start[k : k + 20_000], n[k : k + 20_000]
+            spot, first = spread(a, m), np.repeat(a, m)
+            last = np.repeat(end[k : k + 20_000], m)
+            gram = np.zeros(len(spot), U64)
+            for j in range(-2, 3):
+                inside = (spot + j >= first) & (spot + j < last)
+                gram |= low[spot + (j + 2)] * inside << U64(8 * (j + 2))
+            self.gram[at : at + len(spot)] = mix(gram) & U64(GRAMS - 1)
+            at += len(spot)
         self.gram_at = np.cumsum(n) - n
         self.gram_n = n
         count = np.diff(words.first)
@@ -200,7 +205,7 @@ class _Part:
         self.gram_at = np.cumsum(self.gram_n) - self.gram_n
 
 
-def logits(m: dict, x: Inputs, at_once: int = 4096) -> np.ndarray:
+def logits(m: dict, x: Inputs, at_once: int = 1024) -> np.ndarray:
     """The logit of every window."""
     vectors = _vectors(m, x)
     out = [forward(m, vectors, *x.windows(np.arange(lo, min(lo + at_once, len(x.text))))) for lo in range(0, len(x.text), at_once)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkquill.llm import decontaminate, jaccard, pieces, secrets, toxicity
-from sparkquill.llm.batches import stored
+from sparkquill.llm.batches import small_batches, stored
 
 #: Removed ids up to which they are broadcast to the texts; beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -17,12 +17,14 @@ BROADCAST_IDS = 1_000_000
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of 0.5 or more) go."""
+    small_batches(spark)
     scored = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True)
     return scored.where("toxic_score < 0.5").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id stays of each group of near copies, once; rows without an id stay."""
+    small_batches(spark)
     groups = stored(jaccard.similarity_components(docs))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.count() <= BROADCAST_IDS
@@ -36,17 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaked go."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def owned_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that only one owner has are cut out of the texts; all documents stay."""
+    small_batches(spark)
     cut = secrets.redact_secrets(docs)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, piece_ids and decoded (the text that the ids decode to)."""
+    small_batches(spark)
     return pieces.encode(docs, decoded_col="decoded").select("doc_id", "lang", "source", "piece_ids", "decoded")
 
 

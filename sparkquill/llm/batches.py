@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that are worked on at once (one longer document is worked on alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -44,7 +46,7 @@ BASE = 0xD6E8FEB86659FD93
 STEP = stream(23, 8) | U64(1)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
@@ -56,7 +58,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _powers(1 << max(21, int(n).bit_length()))
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -177,6 +179,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most BATCH_ROWS texts to Python at once: they are whole texts, and may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 @functools.cache
 def _local_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='quill-')}"

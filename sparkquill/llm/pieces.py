@@ -32,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTES = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Longer units (in bytes) are segmented one by one, and cached units are kept up to this many.
 LONG_UNIT = 128
-CACHE = 800_000
+CACHE = 200_000
 
 
 def default_model() -> str:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkquill.llm import decontaminate, fingerprints, jaccard, licenses, pieces, quality, secrets, toxicity, urls, warc
+from sparkquill.llm.batches import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

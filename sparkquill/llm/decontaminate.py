@@ -4,7 +4,8 @@ Canonical form. A text's words are lower-cased; numbers, units after numbers and
 typed placeholders, so a question with other numbers or names has the same template. Every window of WINDOW words of the benchmark is
 hashed; windows of documents meet them in a hash table (the benchmark is small beside the corpus: it is taken in blocks of at most
 BLOCK windows, each of which goes to all executors). An item counts as leaked where a document has enough of its windows in one
-stretch and in the item's order, and the words behind the placeholders fit: one value of the item stands for one value of the document.
+stretch, and the words behind the placeholders fit: one value of the item stands for one value of the document. For that the windows
+are aligned first, as a template that repeats in an item also meets its other places: a chain of windows in the item's order.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ WINDOW = 5
 LITERAL, COVERAGE, FITTING = 3, 0.5, 0.8
 #: How far apart (in words, plus a tenth of the item) windows of one stretch may be shifted.
 SHIFT = 8
+#: In the alignment of hits: what a change of shift costs, and what equal words behind the placeholders add (a hit counts 1).
+CHANGE, SAME = 0.5, 0.25
 BLOCK = 2_000_000
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l gal ms s sec secs seconds second min mins minutes minute h hr hrs hours hour day days week weeks month months year years percent usd eur dollars dollar euros euro cents cent k c f w kw v a hz khz mhz ghz b kb mb gb tb mph kmh".split()
 NUMBER, NAME, UNIT = (mix(np.array([x], U64))[0] for x in (101, 102, 103))
 
+WORDS = np.arange(WINDOW)
+
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _DIGIT, _UPPER, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -85,6 +90,34 @@ class Templates:
         self.window = window[ok]
 
 
+def chain(a: np.ndarray, b: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The hits (places a of a text, b of an item) of the chain that is worth most, in order: both places rise from hit to hit."""
+    order = np.argsort(a, kind="stable")
+    shift = a - b - int((a - b).min())
+    total, before = np.zeros(len(a)), np.full(len(a), -1)
+    # the best chain that ends at item place j - 1, and the last one on each shift; a first hit costs nothing
+    top, who = np.full(int(b.max()) + 2, -np.inf), np.full(int(b.max()) + 2, -1)
+    top[0] = CHANGE
+    on, on_who = np.full(int(shift.max()) + 1, -np.inf), np.full(int(shift.max()) + 1, -1)
+    places = np.arange(len(top))
+    cuts = [*np.flatnonzero(np.diff(a[order], prepend=-1)).tolist(), len(order)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[lo:hi]
+        j, s = b[k], shift[k]
+        most = np.maximum.accumulate(top)
+        best = who[np.maximum.accumulate(np.where(top == most, places, 0))[j]]
+        stays = on[s] >= most[j] - CHANGE
+        total[k] = worth[k] + np.where(stays, on[s], most[j] - CHANGE)
+        before[k] = np.where(stays, on_who[s], best)
+        on[s], on_who[s] = total[k], k
+        more = total[k] > top[j + 1]
+        top[j[more] + 1], who[j[more] + 1] = total[k[more]], k[more]
+    out = [int(total.argmax())]
+    while before[out[-1]] >= 0:
+        out.append(int(before[out[-1]]))
+    return np.array(out[::-1])
+
+
 class Benchmark:
     """Windows of some items, ready to be looked up."""
 
@@ -122,25 +155,34 @@ class Benchmark:
             if len(k) < COVERAGE * self.windows[i]:
                 continue
             a, b = t.at[ours[k]], self.place[theirs[k]]
-            shift = a - b
-            k = k[np.argsort(shift, kind="stable")]
-            shift = np.sort(shift)
-            size = int(self.first[i + 1] - self.first[i])
-            to = np.searchsorted(shift, shift + SHIFT + size // 10, side="right")
-            start = int((to - np.arange(len(k))).argmax())
-            k = k[start : to[start]]
-            share = len(np.unique(self.window[theirs[k]])) / self.windows[i]
-            if share < COVERAGE:
-                continue
-            fits, slots, differs = self._fits(t, t.at[ours[k]], self.first[i] + self.place[theirs[k]])
-            if fits:
-                out.append((d, i, share, slots, differs))
+            same = (t.plain[a[:, None] + WORDS] == self.plain[self.first[i] + b[:, None] + WORDS]).all(1)
+            for share, _, c in self._stretches(i, a, b, self.window[theirs[k]], same):
+                c = c[chain(a[c], b[c], 1 + SAME * same[c])]
+                fits, slots, differs = self._fits(t, a[c], self.first[i] + b[c])
+                if fits:
+                    out.append((d, i, share, slots, differs))
+                    break
         return out
 
+    def _stretches(self, i: int, a: np.ndarray, b: np.ndarray, window: np.ndarray, same: np.ndarray) -> list[tuple[float, int, np.ndarray]]:
+        """(share of the item's windows, equal windows, hits) of each stretch with enough of them, the fullest first. A hit is in as many
+        stretches as a stretch has shifts at most, so the work follows the hits however often a template repeats."""
+        order = np.argsort(a - b, kind="stable")
+        shift = (a - b)[order]
+        to = np.searchsorted(shift, shift + SHIFT + int(self.first[i + 1] - self.first[i]) // 10, side="right")
+        whole = np.flatnonzero(np.diff(to, prepend=0) > 0)  # not within the stretch before
+        out = []
+        for start in whole[to[whole] - whole >= COVERAGE * self.windows[i]].tolist():
+            c = order[start : to[start]]
+            share = len(np.unique(window[c])) / self.windows[i]
+            if share >= COVERAGE:
+                out.append((share, int(same[c].sum()), c))
+        return sorted(out, key=lambda x: x[:2], reverse=True)
+
     def _fits(self, t: Templates, a: np.ndarray, b: np.ndarray) -> tuple[bool, int, bool]:
-        """Slot consistency over the matched windows, a in the text and b in the item."""
-        place = np.arange(WINDOW)
-        pairs = np.unique(np.stack([(a[:, None] + place).ravel(), (b[:, None] + place).ravel()], 1), axis=0)
+        """Slot consistency over the aligned windows, a in the text and b in the item: each word of the text meets one of the item."""
+        x, at = np.unique((a[:, None] + WORDS).ravel(), return_index=True)
+        pairs = np.stack([x, (b[:, None] + WORDS).ravel()[at]], 1)
         pairs = pairs[t.slot[pairs[:, 0]] & self.slot[pairs[:, 1]]]
         if not len(pairs):
             return True, 0, False

@@ -2,6 +2,7 @@
 column names."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -281,6 +282,33 @@ def test_leaks(spark):
     assert decontaminate.leaked_items(table(spark, []), bench).count() == decontaminate.leaked_items(docs, bench.limit(0)).count() == 0
 
 
+REPEATING = [
+    "A shop sells 3 boxes on Monday and 5 boxes on Tuesday and 8 boxes on Friday and 9 boxes on Sunday.",
+    "Tom paid 12 dollars for the red shirt, Ann paid 15 dollars for the red shirt, and Bob paid 18 dollars for the red shirt in town.",
+]
+
+
+def test_leaks_of_repeating_items(spark):
+    bench = spark.createDataFrame(list(enumerate(REPEATING)), "item_id long, text string")
+    other = "A shop sells 1 boxes on Sunday and 2 boxes on Friday and 7 boxes on Monday and 6 boxes on Tuesday. "
+    rows = [(0, REPEATING[0]), (1, REPEATING[1]), (2, other * 3 + REPEATING[0] + " And 2 boxes on Monday and 4 boxes on Sunday and 1 boxes on Friday."), (3, REPEATING[1].replace("12", "31").replace("15", "44").replace("Ann", "Eve"))]
+    got = decontaminate.leaked_items(table(spark, rows), bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.coverage, x.reworded) for x in got) == [(0, 0, 1.0, False), (1, 1, 1.0, False), (2, 0, 1.0, False), (3, 1, 1.0, True)]
+    assert [x.doc_id for x in decontaminate.without_leaks(table(spark, [*rows, (4, "none")]), bench).collect()] == [4]
+
+
+def test_chain_against_all_chains():
+    r = random.Random(3)
+    for _ in range(200):
+        hits = r.sample([(a, b) for a in range(5) for b in range(5)], 8)
+        a, b = np.array(hits).T
+        got = decontaminate.chain(a, b, np.ones(8))
+        score = lambda c: len(c) - decontaminate.CHANGE * sum(a[x] - b[x] != a[y] - b[y] for x, y in itertools.pairwise(c))
+        rises = lambda c: all(a[x] < a[y] and b[x] < b[y] for x, y in itertools.pairwise(c))
+        every = (c for n in range(1, 6) for c in itertools.permutations(range(8), n) if rises(c))
+        assert rises(got) and score(got) == max(map(score, every))
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = table(spark, [(1, ITEMS[0][1]), (2, ITEMS[1][1])])

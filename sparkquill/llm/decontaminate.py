@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
-Canonical form. A text's words are lower-cased; numbers, units after numbers and names (capitalised words inside a sentence) become
-typed placeholders, so a question with other numbers or names has the same template. Every window of WINDOW words of the benchmark is
+Canonical form. A text's words are lower-cased; numbers, units after numbers and names (capitalised words) become typed
+placeholders, so a question with other numbers or names has the same template. A capitalised word that opens a sentence may be a name
+or not, so windows with such words are hashed in every reading, in items and in documents. Every window of WINDOW words of the benchmark is
 hashed; windows of documents meet them in a hash table (the benchmark is small beside the corpus: it is taken in blocks of at most
 BLOCK windows, each of which goes to all executors). An item counts as leaked where a document has enough of its windows in one
 stretch, and the words behind the placeholders fit: one value of the item stands for one value of the document. For that the windows
@@ -34,8 +35,10 @@ WORDS = np.arange(WINDOW)
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_DIGIT, _UPPER, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_DIGIT[48:58] = _UPPER[65:91] = True
+_DIGIT, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = True
+#: Whether each code point is a capital letter (there are none further up).
+_UPPER = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
 _STOP[[10, 13, 33, 46, 58, 63]] = True
 
 
@@ -46,11 +49,24 @@ def _hash_word(word: str) -> int:
 _UNITS = np.sort(np.array([_hash_word(u) for u in UNITS], U64))
 
 
+def _capitals(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the characters that start at these bytes are capital letters, and how many bytes each has."""
+    lead = buf[at]
+    code, size = lead.astype(np.int64), np.ones(len(at), np.int64)
+    for n, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        k = np.flatnonzero((lead >= low) & (lead < high))
+        code[k], size[k] = lead[k] - low, n
+        for j in range(1, n):
+            code[k] = code[k] << 6 | (buf[np.minimum(at[k] + j, len(buf) - 1)] & 63)
+    return _UPPER[np.minimum(code, len(_UPPER) - 1)], size
+
+
 class Templates:
     """Template hashes of the words of many texts, and of their windows.
 
-    plain: hash of each word; slot: whether it became a placeholder; window, at: hash and first word of each window that has enough
-    plain words; first: each text's first word.
+    plain: hash of each word; slot: whether it became a placeholder; maybe: whether it opens a sentence and may be a name, which is a
+    slot too; first: each text's first word. window, at: hash and first word of each reading of a window that has enough plain words;
+    base: the window's hash with plain openers; named: whether the window has enough plain words even if all its openers are names.
     """
 
     def __init__(self, column: pa.Array):
@@ -59,7 +75,8 @@ class Templates:
         self.plain = w.hashes()
         n = len(w)
         if not n:
-            self.slot, self.window, self.at = np.zeros(0, bool), np.zeros(0, U64), np.zeros(0, np.int64)
+            self.slot, self.maybe, self.named = np.zeros((3, 0), bool)
+            self.window, self.base, self.at = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
             return
         total = np.zeros(len(w.buf) + 1, np.int32)
 
@@ -71,23 +88,41 @@ class Templates:
         opens = np.zeros(n, bool)
         opens[w.first[:-1][np.diff(w.first) > 0]] = True
         opens[1:] |= within(_STOP, w.end[:-1], w.start[1:]) > 0
-        name = _UPPER[w.buf[w.start]] & ~opens & ~number
-        some = np.flatnonzero(name)
-        inner = np.minimum(w.start[some] + 1, w.end[some] - 1)
-        name[some[_UPPER[w.buf[inner]] | (w.end[some] - w.start[some] < 2)]] = False
+        capital, size = _capitals(w.buf, w.start)
+        capital &= ~number
+        some = np.flatnonzero(capital)
+        second = w.start[some] + size[some]
+        capital[some[_capitals(w.buf, np.minimum(second, w.end[some] - 1))[0] | (second >= w.end[some])]] = False
+        name, self.maybe = capital & ~opens, capital & opens
         after = np.flatnonzero(number[:-1] & ~opens[1:]) + 1
         unit = after[np.isin(self.plain[after], _UNITS)]
         template = self.plain.copy()
         template[number], template[name], template[unit] = NUMBER, NAME, UNIT
         self.slot = number | name
         self.slot[unit] = True
-        window = shingle_hashes(template, WINDOW)
-        upto = np.concatenate([[0], np.cumsum(~self.slot, dtype=np.int32)])
+        base = shingle_hashes(template, WINDOW)
+        at = np.arange(len(base))
+        within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[np.stack([at, at + WINDOW])], axis=0)[0]
         ends = np.repeat(w.first[1:], np.diff(w.first))
-        at = np.arange(len(window))
-        ok = (at + WINDOW <= ends[: len(window)]) & (upto[WINDOW:] - upto[: len(window)] >= LITERAL)
-        self.at = at[ok]
-        self.window = window[ok]
+        literal = within(~self.slot)
+        at = at[(at + WINDOW <= ends[: len(base)]) & (literal >= LITERAL)]
+        openers = np.zeros(len(base), np.uint8)
+        for j in range(WINDOW):
+            openers |= self.maybe[j : j + len(base)].astype(np.uint8) << j
+        some = at[openers[at] > 0]
+        window, place = [base[at]], [at]
+        for mask in range(1, 1 << WINDOW):
+            k = some[(openers[some] & mask == mask) & (literal[some] - mask.bit_count() >= LITERAL)]
+            if len(k):
+                words = template[k[:, None] + WORDS]
+                words[:, (mask >> WORDS & 1) > 0] = NAME
+                window.append(shingle_hashes(words.ravel(), WINDOW)[::WINDOW])
+                place.append(k)
+        self.window, self.at = np.concatenate(window), np.concatenate(place)
+        self.base = base[self.at]
+        bits = np.array([x.bit_count() for x in range(1 << WINDOW)])
+        self.named = literal[self.at] - bits[openers[self.at]] >= LITERAL
+        self.slot |= self.maybe
 
 
 def chain(a: np.ndarray, b: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -128,8 +163,13 @@ class Benchmark:
         item = np.searchsorted(t.first, t.at, side="right") - 1
         order = np.argsort(t.window, kind="stable")
         self.window, self.item, self.place = t.window[order], item[order], (t.at - t.first[item])[order]
-        self.ids, self.first, self.plain, self.slot = ids, t.first, t.plain, t.slot
-        self.windows = np.array([len(np.unique(t.window[item == i])) for i in range(len(ids))])
+        self.base, self.named = t.base[order], t.named[order]
+        self.ids, self.first, self.plain, self.slot, self.opener = ids, t.first, t.plain, t.slot, t.maybe
+        count = lambda some: np.array([len(np.unique(t.base[some & (item == i)])) for i in range(len(ids))])
+        self.windows = count(np.ones(len(item), bool))
+        # with names for openers fewer windows have enough plain words; they stand for the item if they are COVERAGE of all
+        self.renamed = count(t.named)
+        self.renamed[self.renamed < COVERAGE * self.windows] = 0
         self.maybe = np.zeros(1 << self.BITS, bool)
         self.maybe[(self.window & U64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
@@ -152,38 +192,56 @@ class Benchmark:
         out = []
         for (d, i), ks in groups.items():
             k = np.array(ks)
-            if len(k) < COVERAGE * self.windows[i]:
+            if len(k) < COVERAGE * (self.renamed[i] or self.windows[i]):
                 continue
             a, b = t.at[ours[k]], self.place[theirs[k]]
-            same = (t.plain[a[:, None] + WORDS] == self.plain[self.first[i] + b[:, None] + WORDS]).all(1)
-            for share, _, c in self._stretches(i, a, b, self.window[theirs[k]], same):
-                c = c[chain(a[c], b[c], 1 + SAME * same[c])]
-                fits, slots, differs = self._fits(t, a[c], self.first[i] + b[c])
-                if fits:
-                    out.append((d, i, share, slots, differs))
-                    break
+            _, one = np.unique(a * (len(self.plain) + 1) + b, return_index=True)  # two readings of the same windows are one hit
+            a, b, theirs_, same = a[one], b[one], theirs[k[one]], t.base[ours[k[one]]] == self.base[theirs[k[one]]]
+            # any reading; if its slots don't fit, plain openers
+            found = self._leak(t, i, a, b, theirs_, True)
+            if not found and not same.all():
+                found = self._leak(t, i, a[same], b[same], theirs_[same], False)
+            if found:
+                out.append((d, i, *found))
         return out
 
-    def _stretches(self, i: int, a: np.ndarray, b: np.ndarray, window: np.ndarray, same: np.ndarray) -> list[tuple[float, int, np.ndarray]]:
+    def _leak(self, t: Templates, i: int, a: np.ndarray, b: np.ndarray, theirs: np.ndarray, named: bool) -> tuple[float, int, bool] | None:
+        """(share, slots compared, whether a value differs) of the fullest stretch whose slots fit; named: openers may be names."""
+        same = (t.plain[a[:, None] + WORDS] == self.plain[self.first[i] + b[:, None] + WORDS]).all(1)
+        for share, _, c in self._stretches(i, a, b, theirs, same, named):
+            c = c[chain(a[c], b[c], 1 + SAME * same[c])]
+            fits, slots, differs = self._fits(t, a[c], self.first[i] + b[c], named)
+            if fits:
+                return share, slots, differs
+        return None
+
+    def _stretches(self, i: int, a: np.ndarray, b: np.ndarray, theirs: np.ndarray, same: np.ndarray, named: bool) -> list[tuple[float, int, np.ndarray]]:
         """(share of the item's windows, equal windows, hits) of each stretch with enough of them, the fullest first. A hit is in as many
         stretches as a stretch has shifts at most, so the work follows the hits however often a template repeats."""
         order = np.argsort(a - b, kind="stable")
         shift = (a - b)[order]
         to = np.searchsorted(shift, shift + SHIFT + int(self.first[i + 1] - self.first[i]) // 10, side="right")
         whole = np.flatnonzero(np.diff(to, prepend=0) > 0)  # not within the stretch before
+        renamed = int(self.renamed[i]) if named else 0
         out = []
-        for start in whole[to[whole] - whole >= COVERAGE * self.windows[i]].tolist():
+        for start in whole[to[whole] - whole >= COVERAGE * (renamed or self.windows[i])].tolist():
             c = order[start : to[start]]
-            share = len(np.unique(window[c])) / self.windows[i]
+            share = len(np.unique(self.base[theirs[c]])) / self.windows[i]
+            if renamed:
+                share = max(share, len(np.unique(self.base[theirs[c[self.named[theirs[c]]]]])) / renamed)
             if share >= COVERAGE:
                 out.append((share, int(same[c].sum()), c))
         return sorted(out, key=lambda x: x[:2], reverse=True)
 
-    def _fits(self, t: Templates, a: np.ndarray, b: np.ndarray) -> tuple[bool, int, bool]:
-        """Slot consistency over the aligned windows, a in the text and b in the item: each word of the text meets one of the item."""
+    def _fits(self, t: Templates, a: np.ndarray, b: np.ndarray, named: bool) -> tuple[bool, int, bool]:
+        """Slot consistency over the aligned windows, a in the text and b in the item: each word of the text meets one of the item.
+        An opener that is the same in both is compared only where it stands for a name elsewhere."""
         x, at = np.unique((a[:, None] + WORDS).ravel(), return_index=True)
         pairs = np.stack([x, (b[:, None] + WORDS).ravel()[at]], 1)
         pairs = pairs[t.slot[pairs[:, 0]] & self.slot[pairs[:, 1]]]
+        opener = t.maybe[pairs[:, 0]] & self.opener[pairs[:, 1]] & (t.plain[pairs[:, 0]] == self.plain[pairs[:, 1]])
+        names = self.plain[pairs[~opener, 1]] if named else np.zeros(0, U64)
+        pairs = pairs[~opener | np.isin(self.plain[pairs[:, 1]], names)]
         if not len(pairs):
             return True, 0, False
         values: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))

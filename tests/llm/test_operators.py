@@ -297,6 +297,21 @@ def test_leaks_of_repeating_items(spark):
     assert [x.doc_id for x in decontaminate.without_leaks(table(spark, [*rows, (4, "none")]), bench).collect()] == [4]
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    items = [
+        "Tom has 5 apples. Tom buys 3 more. Tom eats 2 apples. How many are left?",
+        "James packs 4 large boxes of tea. James sells 3 of them on the way. James loses 1 box in the rain. James counts what is left.",
+        "every evening old Émile walks 3 km along the quiet river and then Émile reads 2 books",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [
+        (0, items[0].replace("Tom", "Ann").replace("5", "7").replace("3", "4")), (1, items[1].replace("James", "Maria").replace("4", "9")), (2, items[2].replace("Émile", "Zoë").replace("3", "8")),
+        (3, items[2].replace("Émile", "Ödön")), (4, "Ann eats 2 apples. The rest of the day went by without more of them. How many days are left?"), (5, items[0]),
+    ]
+    got = decontaminate.leaked_items(table(spark, rows), bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.reworded) for x in got) == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 2, True), (5, 0, False)]
+
+
 def test_chain_against_all_chains():
     r = random.Random(3)
     for _ in range(200):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkquill.llm.batches import mix, stored, stream
+from sparkquill.llm.batches import STEP, drop_stored, mix, stored, stream
 from sparkquill.llm.components import components
 
 WINDOW = 4096
@@ -30,7 +30,12 @@ SAMPLES = 128
 GRAM = 4
 #: Characters that are walked at once.
 CHARS = 1 << 20
-BANDS, ROWS = 16, 4
+#: Keys of a fingerprint; samples of a key, and how many of them aren't end marks at least (following samples are added).
+BANDS, ROWS, LIVE = 16, 4, 2
+#: Nodes of a key that are compared pair by pair at once; rounds of hubs for keys of more, then nodes of a tile.
+GROUP, ROUNDS, TILE = 32, 3, 2048
+#: Classes up to which their names are broadcast to the documents.
+BROADCAST_CLASSES = 100_000
 
 _WALK = None
 
@@ -212,14 +217,153 @@ def fingerprint_audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select("bucket", "guest", "doc_id", "text").mapInArrow(_audit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def band_keys(f: np.ndarray) -> np.ndarray:
+    """BANDS keys of each fingerprint. A band of end marks says nothing of a text, so samples after it are added until LIVE are none."""
+    out = np.zeros((len(f), BANDS), np.uint64)
+    for b in range(BANDS):
+        part = f[:, b * ROWS : (b + 1) * ROWS]
+        key = np.uint64(b + 1) + (part * STEP[:ROWS]).sum(1)
+        live = (part != 0).sum(1)
+        for k in range(ROWS, SAMPLES):
+            some = np.flatnonzero(live < LIVE)
+            if not len(some):
+                break
+            m = (b * ROWS + k) % SAMPLES
+            value = f[some, m]
+            key[some] = np.where(value != 0, mix(key[some] + (np.uint64(256 * m) + value) * STEP[7]), key[some])
+            live[some] += value != 0
+        out[:, b] = mix(key)
+    return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SAMPLES)
+
+
+def _linked(least: float, own: int, other: int):
+    """(u, v, print, print) -> the (u, v) that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(likeness(_matrix(batch.column(own)), _matrix(batch.column(other))) >= least))
+
+    return run
+
+
+def _within(least: float):
+    """Rows (key, tile, node, label, print), sorted by key and tile -> links (u, v) between nodes of different labels of each tile."""
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, tile, node, label = (t.column(i).to_numpy() for i in range(4))
+        f = _matrix(t.column(4).combine_chunks() if t.num_rows else t.column(4))
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]]))
+        u, v = [], []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            for i in range(lo, hi - 1):
+                rest = np.flatnonzero(label[i + 1 : hi] != label[i]) + i + 1
+                if len(rest):
+                    at = rest[likeness(f[rest], f[i : i + 1]) >= least]
+                    u += [node[i]] * len(at)
+                    v += node[at].tolist()
+            if len(u) > 10_000:
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            key, tile = t.column(0).to_numpy(), t.column(1).to_numpy()
+            done = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
+            stop = int(done[-1]) + 1 if len(done) else 0
+            if stop:
+                yield from settle(t.slice(0, stop))
+            held = t.slice(stop).combine_chunks().to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    return run
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links: a component's smallest node for each node that has a link."""
+    return stored(components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(links)))
+
+
+def _node_labels(node: DataFrame, least: float) -> DataFrame:
+    """(node, fingerprint) -> (node, label) of the nodes with links.
+
+    Keys of up to GROUP nodes are compared in full. In larger ones a hub meets all nodes that aren't in its component yet, ROUNDS
+    times; what is still apart is compared in full, in tiles. Nodes of one component aren't compared again.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(1)))
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "node"])
+
+    keys = stored(node.select("node", "fingerprint").mapInArrow(spell, "key long, node long"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(keys.join(shared, "key"))
+    drop_stored(keys)
+    few = met.where(f"n <= {GROUP}").join(node, "node").select("key", F.lit(0).alias("tile"), "node", F.col("node").alias("label"), "fingerprint")
+    few = few.repartition("key").sortWithinPartitions("key", "tile")
+    labels = stored(components(few.mapInArrow(_within(least), "u long, v long")))
+    hot = met.where(f"n > {GROUP}").select("key", "node")
+    for round_ in range(ROUNDS + 1):
+        now = stored(hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        each = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+        open_ = stored(each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1"))
+        if open_.isEmpty():
+            break
+        here = now.join(open_, "key").join(node, "node")
+        if round_ < ROUNDS:
+            hubs = now.join(open_, "key").groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(round_))).alias("hub"))
+            hubs = stored(hubs.join(node.select(F.col("node").alias("h"), F.col("fingerprint").alias("hub_print")), F.col("hub.node") == F.col("h")).select("key", "hub", "hub_print"))
+            pairs = here.join(hubs, "key").where("label <> hub.label").select("node", F.col("hub.node").alias("v"), "fingerprint", "hub_print")
+            links = pairs.mapInArrow(_linked(least, 2, 3), "u long, v long")
+        else:
+            tiled = here.withColumn("blocks", F.expr(f"cast(ceil(n / {TILE // 2}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+            tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("tile", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
+            tiled = tiled.select("key", "tile", "node", "label", "fingerprint").repartition("key", "tile").sortWithinPartitions("key", "tile")
+            links = tiled.mapInArrow(_within(least), "u long, v long")
+        labels = _merged(labels, links)
+        drop_stored(now)
+    drop_stored(met)
+    return labels
+
+
+def _with_classes(rows: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """rows (with doc_id, fingerprint and n_chars) with a class_id; prints (doc_id, binary fingerprint) has their texts but empty ones."""
+    node = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first")))
+    labels = _node_labels(node.select("node", "fingerprint"), least)
+    named = node.join(labels, "node", "left").where("n > 1 or label is not null").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
+    kind = dict(rows.dtypes)["fingerprint"]
+    named = stored(named.select(F.lower(F.hex("fingerprint")).alias("fingerprint") if kind == "string" else "fingerprint", "class_id"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named
+    return rows.join(named, "fingerprint", "left").withColumn("class_id", F.when(F.col("n_chars") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")))
+
+
+def fingerprint_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of fingerprint_audit with one more column, the class_id of near_documents."""
+    rows = stored(fingerprint_audit(docs, id_col, text_col))
+    prints = rows.where("n_chars > 0").select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    return _with_classes(rows, prints, least).select(*rows.columns, "class_id")
+
+
 def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near copies by their fingerprints: (doc_id, class_id) for each row, class_id the smallest id reachable by verified links.
 
-    Banding: BANDS keys of ROWS sampled steps each; documents that share a key are candidates, each linked with the first of its key
-    (so a key of very many documents costs one candidate a document). Verification: likeness of at least `least`. Equal texts have
+    Banding: BANDS keys of ROWS sampled steps each; documents that share a key are candidates. Verification: likeness of at least
+    `least`. No candidate is left out, but pairs that other links already join aren't verified. Equal texts have
     equal fingerprints and are one class. Null ids and empty texts have no links and are classes of their own.
     """
-    schema = "doc_id long, fingerprint binary, empty boolean"
+    schema = "doc_id long, fingerprint binary, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,21 +374,8 @@ def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
                 while to < len(texts) and (to == at or chars < CHARS):
                     chars, to = chars + len(texts[to]), to + 1
                 f = fingerprints(texts[at:to])
-                yield pa.record_batch([pa.array(ids[at:to], pa.int64()), pa.array([x.tobytes() for x in f], pa.binary()), pa.array((~f.any(1)).tolist())], names=["doc_id", "fingerprint", "empty"])
+                yield pa.record_batch([pa.array(ids[at:to], pa.int64()), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([len(t) for t in texts[at:to]], pa.int64())], names=["doc_id", "fingerprint", "n_chars"])
                 at = to
 
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
-    node = stored(rows.where("doc_id is not null and not empty").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    keys = node.select("node", "fingerprint", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring(F.col("fingerprint"), b * ROWS + 1, ROWS).alias("key")) for b in range(BANDS)])).alias("k")).select("node", "fingerprint", "k.band", "k.key")
-    firsts = stored(keys.groupBy("band", "key").agg(F.min_by("fingerprint", "node").alias("first_print"), F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    pairs = keys.join(firsts, ["band", "key"]).where("node <> first").select("node", "first", "fingerprint", "first_print").dropDuplicates(["node", "first"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()]) for i in (2, 3))
-                yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(likeness(a, b) >= least))
-
-    labels = stored(components(pairs.mapInArrow(verify, "u long, v long")))
-    named = stored(node.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id")))
-    return rows.join(named, "fingerprint", "left").select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return _with_classes(rows, rows.where("n_chars > 0"), least).select("doc_id", "class_id")

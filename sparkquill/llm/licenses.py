@@ -1,6 +1,7 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every text is looked at. Lines that have a licence word are blocks (with the licence lines that follow directly); each
+Every line of every text is looked at. Lines that have a licence word are blocks (with the lines that follow directly), and so are the
+stretches of words around each licence word that are as long as a template, whatever the lines; each
 block is a sparse vector over the words and word pairs of the templates and is compared with every template. A file's licence is its
 best block's. A file without one inherits from the licence files of the nearest directory above it: directories are joined with their
 ancestors' paths once, files then with their own directory.
@@ -19,16 +20,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkquill.llm.batches import LOWER, buffers, slices, stored
 
-#: Header lines and opening lines of common licences.
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_2 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+
+
+def _gnu(kind: str, version: str, whats: tuple[str, ...], spdx: str) -> list[str]:
+    """One line, the SPDX identifiers and the notices of a licence of the GNU family."""
+    name = f"GNU {kind} General Public License".replace("  ", " ")
+    lines = [f"This work is licensed under the {name}, version {version}.", f"Licensed under the {name} version {version}", f"{name} Version {version}"]
+    ids = [f"SPDX-License-Identifier: {spdx}-only", f"SPDX-License-Identifier: {spdx}-or-later"]
+    return [*lines, *ids, *(_GNU.format(what=w, kind=kind, v=version).replace("  ", " ") for w in whats)]
+
+
+#: Header lines, notices and openings of common licences.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "GPL-3.0": _gnu("", "3", ("program",), "GPL-3.0"),
+    "GPL-2.0": _gnu("", "2", ("program",), "GPL-2.0"),
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser", "3", ("library", "program"), "LGPL-3.0")],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("Lesser", "2.1", ("library", "program"), "LGPL-2.1")],
+    "AGPL-3.0": _gnu("Affero", "3", ("program",), "AGPL-3.0"),
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", _BSD.strip(": "), _BSD + _BSD_2 + _BSD_3, _BSD + _BSD_2 + _BSD_3 + _BSD_END],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", _BSD + _BSD_2, _BSD + _BSD_2 + _BSD_END],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
@@ -69,6 +88,9 @@ class Matcher:
         return scores[k], self.names[k]
 
 
+_ANCHOR = re.compile("|".join(a.decode() for a in ANCHORS))
+
+
 def blocks(text: str) -> list[str]:
     """Lines with a licence word, each with up to two lines after it as longer blocks."""
     lines = text.split("\n")
@@ -80,8 +102,78 @@ def blocks(text: str) -> list[str]:
     return out
 
 
+class _Windows:
+    """The best window of words around licence words, by running sums: for each template length and each place of a licence word in it
+    the cosine with every template, without a text for each window."""
+
+    def __init__(self, own: Matcher):
+        self.own = own
+        self.known = {t: k for k, t in enumerate(own.idf)}
+        self.names = own.names
+        self.weight = np.zeros((len(self.known), len(own.vectors)))
+        for j, v in enumerate(own.vectors):
+            for t, x in v.items():
+                self.weight[self.known[t], j] = x * own.idf[t]
+        self.lengths = np.unique([len(_TERM.findall(t.lower())) for ts in TEMPLATES.values() for t in ts])
+
+    def best(self, text: str) -> tuple[float, str]:
+        low = text.lower()
+        at = [(m.start(), m.end()) for m in _TERM.finditer(low)]
+        if not at:
+            return 0.0, ""
+        words = [low[a:b] for a, b in at]
+        starts = np.array([a for a, _ in at])
+        anchors = np.unique(np.maximum(np.searchsorted(starts, [m.start() for m in _ANCHOR.finditer(low)], side="right") - 1, 0))
+        most, name = 0.0, ""
+        longest = int(self.lengths.max())
+        # stretches of words that licence words reach, each looked at once
+        cut = np.flatnonzero(np.diff(anchors, prepend=-(10**9)) > 2 * longest)
+        for g, lo in enumerate(cut.tolist()):
+            hi = cut[g + 1] if g + 1 < len(cut) else len(anchors)
+            for c in range(lo, hi, 200):  # so many at once that sums stay small
+                score, k = self._stretch(words, anchors[c : min(hi, c + 200)], longest)
+                if score > most:
+                    most, name = score, self.names[k]
+        return most, name
+
+    def _stretch(self, words: list[str], anchors: np.ndarray, longest: int) -> tuple[float, int]:
+        first, last = max(0, int(anchors[0]) - longest), min(len(words), int(anchors[-1]) + longest)
+        w = words[first:last]
+        one = np.array([self.known.get(x, -1) for x in w])
+        two = np.array([self.known.get(f"{a} {b}", -1) for a, b in zip(w[:-1], w[1:], strict=True)], np.int64)
+        rows = np.zeros((2, len(w) + 1, self.weight.shape[1]))
+        for part, ids in zip(rows, (one, two), strict=True):
+            part[1 : len(ids) + 1][ids >= 0] = self.weight[ids[ids >= 0]]
+            np.cumsum(part, axis=0, out=part)
+        near = np.zeros(len(w) + 1, np.int64)
+        near[anchors - first + 1] = 1
+        near = np.cumsum(near)
+        best = (0.0, 0)
+        for n in self.lengths[self.lengths <= len(w)].tolist():
+            start = np.flatnonzero(near[n:] > near[:-n])
+            if not len(start):
+                continue
+            dot = rows[0][start + n] - rows[0][start] + (rows[1][start + n - 1] - rows[1][start])
+            # a vector of n words and n - 1 pairs has at least this norm, so only windows that may reach LEAST are counted out
+            upper = dot.max(1) / self._least_norm(one, two, start, n)
+            for i in np.argsort(-upper).tolist():
+                if upper[i] < max(LEAST, best[0]):
+                    break
+                score, name = self.own.best(" ".join(w[start[i] : start[i] + n]))
+                if score > best[0]:
+                    best = (score, self.names.index(name))
+        return best
+
+    def _least_norm(self, one: np.ndarray, two: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """At most the norms of the windows: as if no term came twice."""
+        idf = np.array([*self.own.idf.values(), self.own.unknown])
+        total = [np.concatenate([[0.0], np.cumsum(idf[ids] ** 2)]) for ids in (one, two)]
+        return np.sqrt(total[0][start + n] - total[0][start] + total[1][start + n - 1] - total[1][start])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = Matcher()
+    windows = _Windows(own)
     cache: dict[str, tuple[float, str]] = {}
     for part, column in slices(batches, "text"):
         buf, off = buffers(column)
@@ -103,6 +195,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cache[block] = own.best(block)
                 if cache[block][0] > best[0]:
                     best = cache[block]
+            # windows decide if they fit better than whole lines
+            inner = windows.best(column[k].as_py())
+            if inner[0] > best[0]:
+                best = inner
             if best[0] >= LEAST:
                 found[k] = best
         yield pa.record_batch([part.column("doc_id"), part.column("path"), pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[0] for f in found], pa.float64())], names=["doc_id", "path", "license", "score"])

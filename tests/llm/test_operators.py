@@ -394,6 +394,25 @@ def test_license_templates_find_themselves():
             assert own.best(t) == (pytest.approx(1.0), name)
 
 
+GPL_2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+LGPL_21 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+
+
+def test_licenses_inside_lines_and_of_the_gnu_and_bsd_families(spark):
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][-1]
+    texts = {
+        "MIT": ["It was a long day in the hills for us. Released under the MIT License. Nobody read the rest of this line anyway.", "word " * 3000 + "released under the MIT License. " + "word " * 3000],
+        "GPL-2.0": [GPL_2, GPL_2.replace("\n", " "), "x y z " * 40 + GPL_2.replace("\n", " ") + " a b c" * 40], "GPL-3.0": [GPL_2.replace("version 2", "version 3")],
+        "LGPL-2.1": [LGPL_21], "LGPL-3.0": [LGPL_21.replace("2.1", "3")], "AGPL-3.0": [LGPL_21.replace("Lesser", "Affero").replace("2.1", "3").replace("library", "program")],
+        "BSD-2-Clause": [bsd, "Copyright 2001 some people. " + bsd], "BSD-3-Clause": [licenses.TEMPLATES["BSD-3-Clause"][-1]],
+        None: ["a licence to fish in the river is what they asked for, and permission was given"],
+    }
+    want = [(name, t) for name, ts in texts.items() for t in ts]
+    docs = spark.createDataFrame([(i, f"p/{i}.txt", t) for i, (_, t) in enumerate(want)], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in licenses.license_scan(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(want)}
+
+
 # --- 6, 7
 
 

@@ -7,6 +7,8 @@ task needs does not depend on the size of its partition. A null text counts as a
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Bytes of text that are worked on at once (one longer document is worked on alone).
 SLICE_BYTES = 1 << 20
@@ -40,25 +42,28 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + mix(np.array([seed], U64)))
 
 
-BYTE = stream(11, 256)
-BYTE_LOWER = BYTE[LOWER]
-BASE = 0xD6E8FEB86659FD93
 STEP = stream(23, 8) | U64(1)
+#: Longer byte ranges are hashed one by one.
+LONG_RANGE = 128
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(size, base, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    return _powers(1 << max(21, int(n).bit_length()))
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range of buf: eight bytes at a step, each step's bits mixed before the next one, so that no family of
+    texts collides by construction. Ranges of one length of up to eight bytes never collide."""
+    n = end - start
+    out = mix(n.astype(U64) + STEP[7])
+    if not len(n):
+        return out
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
+    at, k = np.flatnonzero((n > 0) & (n <= LONG_RANGE)), 0
+    while len(at):
+        left = n[at] - k
+        out[at] = mix(out[at] ^ ((eight[start[at] + k] & _MASK[np.minimum(left, 8)]) * STEP[(k >> 3) & 7]))
+        at, k = at[left > 8], k + 8
+    for i in np.flatnonzero(n > LONG_RANGE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -123,21 +128,9 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = True, table: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, read off one running sum over a few megabytes at a time."""
-        out = np.zeros(len(self), U64)
-        table = table if table is not None else BYTE_LOWER if lower else BYTE
-        i = 0
-        while i < len(self):
-            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + SLICE_BYTES)))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            p, inverse = powers(hi - lo)
-            total = np.zeros(hi - lo + 1, U64)
-            np.cumsum(table[self.buf[lo:hi]] * p[: hi - lo], out=total[1:])
-            start, end = self.start[i:j] - lo, self.end[i:j] - lo
-            out[i:j] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
-            i = j
-        return out
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word, of A-Z as a-z if lower."""
+        return range_hashes(LOWER[self.buf] if lower else self.buf, self.start, self.end)
 
     def text_of(self) -> np.ndarray:
         """For each word the index of its text."""
@@ -190,9 +183,20 @@ def _local_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir; where that is unset, as in tests, a local folder)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
+    """A new path in the folder that all machines share, spark.checkpoint.dir. Where that is unset a session of one machine gets a local
+    folder; on a cluster it's an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(base or _local_folder()).rstrip('/')}/quill-{uuid.uuid4().hex}"
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -223,16 +227,24 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - count), count)
 
 
+#: Bytes of labelled texts of each label that are learnt from at most, as the driver learns from whole texts.
+SAMPLE_BYTES = 32 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> list:
-    """At most `most` rows (text, label) of each label that may be learnt from, the same ones on every run: those with the least hashes.
+    """Rows (doc_id, text, y) of each label that may be learnt from, the same ones on every run: those with the least hashes of their ids,
+    at most `most` of a label, and as many of them as have SAMPLE_BYTES of text together (a longer text alone is left out).
 
-    Rows without a label are left out. held_out is a condition on doc_id; such rows are never taken.
+    Rows without a label are left out, and of a repeated id the least text counts. held_out is a condition on doc_id; such rows are never taken.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.withColumn("rank", F.xxhash64("doc_id"))
     picked = known.where("y = 0").orderBy("rank", "doc_id").limit(most).union(known.where("y = 1").orderBy("rank", "doc_id").limit(most))
-    picked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")  # 2 * most rows at most
-    rows = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")  # 2 * most rows at most
+    sizes = texts.groupBy("doc_id", "y", "rank").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES)
+    sizes = sizes.withColumn("upto", F.sum("bytes").over(W.partitionBy("y").orderBy("rank", "doc_id"))).where(F.col("upto") <= SAMPLE_BYTES)  # `most` rows a label
+    few = [r.doc_id for r in sizes.collect()]
+    rows = texts.where(F.col("doc_id").isin(few)).groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").collect()
     return sorted(rows, key=lambda r: r.doc_id)
 
 

@@ -10,8 +10,8 @@ from sparkquill.llm.batches import drop_stored, stored
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. Each node links its larger (large) or its smaller neighbours (small, and itself) to its smallest neighbour.
 
-    The smallest neighbour comes from a grouped minimum, which is combined before the shuffle, and is joined back to the links, so
-    that a node with very many links is dealt over several tasks.
+    The smallest neighbour comes from a grouped minimum, which is combined before the shuffle, and is joined back to the links. A node
+    with very many links is one key of that join, which adaptive execution splits where its partition is skewed.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from sparkquill.llm.batches import STEP, U64, drop_stored, mix, shingle_sets, signed, slices, stored
+from sparkquill.llm.batches import STEP, U64, drop_stored, fresh, mix, shingle_sets, signed, slices, stored
 from sparkquill.llm.components import components
 
 SHINGLE = 5
@@ -31,34 +31,48 @@ GROUP = 32
 TILE = 1024
 #: Shingles whose frequency is broadcast at most (16 bytes each); the others count as rare. It bounds memory, not results.
 FREQUENT = 300_000
-BLOOM_BITS = 23
+#: Powers of two: the least and the greatest number of bits of the Bloom filter.
+BLOOM_LEAST, BLOOM_MOST = 23, 27
 #: Rounds of other hubs before the keys' remaining nodes are compared in tiles.
 ROUNDS = 1
 
 
-def _signature(s: np.ndarray) -> int:
-    """A hash of a set that isn't empty."""
-    x = np.array([np.bitwise_xor.reduce(mix(s)), s[0], len(s)], U64) * STEP[:3]
-    return int(mix(x.sum(keepdims=True))[0].view(np.int64))
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set that isn't empty: its name, and another one by which sets of one name are told apart."""
+    x = np.array([[np.bitwise_xor.reduce(mix(s)), s[0], len(s)], [mix(s).sum(), s[-1], len(s)]], U64) * STEP[:3]
+    name, other = mix(x.sum(1)).view(np.int64).tolist()
+    return name, other
 
 
-def _rows(text: str, id_: str) -> tuple:
-    """(row's id, set size, signature) of each document, a set's bitmap once in a stretch, and (null, null, shingle, count) of shingles seen often in a stretch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("times", pa.int64()), ("bits", pa.binary())])
+def _named(s: np.ndarray, shared: dict[int, int]) -> int:
+    """The node of a set: its name, but of different sets with one name only that of `shared` has it; the others get names of their own."""
+    name, other = _signature(s)
+    if shared and shared.get(name, other) != other:
+        return int(mix(np.array([name, other], np.int64).view(U64) * STEP[3:5]).sum(keepdims=True).view(np.int64)[0])
+    return name
+
+
+def _rows(text: str, keep: list[str], shared: Broadcast | None) -> tuple:
+    """(kept columns, set size, node, other hash) of each document, a set's bitmap once in a stretch, and (nulls, shingle, count) of shingles
+    seen often in a stretch."""
+    fields = [("n_shingles", pa.int64()), ("sig", pa.int64()), ("other", pa.int64()), ("times", pa.int64()), ("bits", pa.binary())]
+    schema = pa.schema([*[(k, pa.int64()) for k in keep], *fields])
 
     def flush(sets: list[np.ndarray]) -> pa.RecordBatch:
         x, c = np.unique(np.concatenate(sets), return_counts=True)
-        keep = c >= 3
-        none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.record_batch([none, none, pa.array(signed(x[keep])), pa.array(c[keep]), pa.nulls(int(keep.sum()), pa.binary())], schema=schema)
+        often = c >= 3
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.record_batch([*[none] * (len(keep) + 1), pa.array(signed(x[often])), none, pa.array(c[often]), pa.nulls(int(often.sum()), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value if shared else {}
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
         for part, column in slices(batches, text):
             sets = shingle_sets(column, SHINGLE)
-            sigs = [_signature(s) if len(s) else None for s in sets]
+            sigs = [_named(s, own) if len(s) else None for s in sets]
+            others = [_signature(s)[1] if len(s) else None for s in sets]
             bits: list[bytes | None] = [None] * len(sets)
             for k, (sig, s) in enumerate(zip(sigs, sets, strict=True)):
                 if sig is not None and sig not in seen:
@@ -66,14 +80,14 @@ def _rows(text: str, id_: str) -> tuple:
                     held.append(s)
                     size += len(s)
                     bits[k] = _bits(s)
-            yield pa.record_batch([part.column(id_).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.array(bits, pa.binary())], schema=schema)
+            yield pa.record_batch([*[part.column(k) for k in keep], pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(others, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.array(bits, pa.binary())], schema=schema)
             if size > 4_000_000:
                 yield flush(held)
                 held, size, seen = [], 0, set()
         if held:
             yield flush(held)
 
-    return run, "doc_id long, n_shingles long, sig long, times long, bits binary"
+    return run, ", ".join(f"{k} long" for k in keep) + ", n_shingles long, sig long, other long, times long, bits binary"
 
 
 def _frequencies(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +109,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x[order], got["times"].to_numpy(np.int64)[order]
 
 
-def _prefixes(text: str, frequent: Broadcast):
+def _prefixes(text: str, frequent: Broadcast, shared: Broadcast):
     """The keys of each distinct set: its first elements, the rarest first."""
     schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
@@ -105,7 +119,7 @@ def _prefixes(text: str, frequent: Broadcast):
         for _, column in slices(batches, text):
             keys, sigs, sizes, poss = [], [], [], []
             for s in shingle_sets(column, SHINGLE):
-                if not len(s) or (sig := _signature(s)) in seen:
+                if not len(s) or (sig := _named(s, shared.value)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -276,19 +290,20 @@ def _bits(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _nodes(text: str, bloom: Broadcast):
+def _nodes(text: str, bloom: Broadcast, shared: Broadcast):
     """(sig, sorted elements) of the sets that the Bloom filter lets through."""
     schema = pa.schema([("sig", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bloom.value
+        low = 64 * len(words) - 1
         seen: set[int] = set()
         for _, column in slices(batches, text):
             out = []
             for s in shingle_sets(column, SHINGLE):
-                if not len(s) or (sig := _signature(s)) in seen:
+                if not len(s) or (sig := _named(s, shared.value)) in seen:
                     continue
-                at = sig & ((1 << BLOOM_BITS) - 1)
+                at = sig & low
                 if (int(words[at >> 6]) >> (at & 63)) & 1:
                     if len(seen) > 1_000_000:
                         seen.clear()
@@ -301,17 +316,21 @@ def _nodes(text: str, bloom: Broadcast):
     return run, "sig long, members binary"
 
 
-def _node_table(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """The sets of the nodes in the pairs. A Bloom filter of fixed size keeps most others from being shuffled, the join the rest."""
+def _node_table(docs: DataFrame, text: str, pairs: DataFrame, shared: Broadcast) -> DataFrame:
+    """The sets of the nodes in the pairs. A Bloom filter keeps most others from being shuffled, the join the rest. It has some eight bits
+    for each node, up to BLOOM_MOST bits (it only saves work)."""
     spark = docs.sparkSession
     wanted = stored(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct())
-    low = F.col("sig").bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
-    words = np.zeros(1 << (BLOOM_BITS - 6), U64)
-    set_bits = wanted.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(sig & {63} as int))")).alias("bits")).toPandas()  # 131,072 rows at most
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, (8 * wanted.count()).bit_length()))
+    low = F.col("sig").bitwiseAND(F.lit((1 << bits) - 1))
+    words = np.zeros(1 << (bits - 6), U64)
+    set_bits = wanted.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toPandas()  # 2**(BLOOM_MOST - 6) rows at most
     words[set_bits["word"].to_numpy(np.int64)] = set_bits["bits"].to_numpy(np.int64).view(U64)
-    run, schema = _nodes(text, spark.sparkContext.broadcast(words))
+    run, schema = _nodes(text, spark.sparkContext.broadcast(words), shared)
     nodes = docs.select(text).mapInArrow(run, schema).join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
-    return stored(nodes)
+    nodes = stored(nodes)
+    drop_stored(wanted)
+    return nodes
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +366,11 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, shared: Broadcast) -> DataFrame:
     """The links (u, v) among candidate pairs (a, b). bits has sig, n and bits of every node."""
     a, b = (bits.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab")
     left = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a long, b long"))
-    nodes = _node_table(docs, "text", left)
+    nodes = _node_table(docs, "text", left, shared)
     a, b = (nodes.select(F.col("sig").alias(x), F.col("members").alias(f"x{x}")) for x in "ab")
     links = stored(left.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "u long, v long"))
     drop_stored(left)
@@ -369,28 +388,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(over.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")).distinct())
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents whose word shingle sets have a Jaccard similarity of at least 0.8, as connected components.
-
-    Returns a row per row of docs: doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included).
-    Words are what lies between white space, A-Z lower-cased. A text of fewer words than a shingle has its whole sequence as its one
-    element; null, empty and blank texts have none, link with nothing and are components of their own. Repeated rows are equal sets
-    and so one component. A null id gives a null component_id unless a linked row has an id. Other columns are not read. An empty
-    table gives an empty table. Sets are compared by 64-bit hashes of their elements.
-    """
+def _grouped(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels) of docs (kept integer columns and text): rows has the kept columns, n_shingles and sig, which is null without words;
+    labels has (sig, label) of the sets that link with another one."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    run, schema = _rows("text", "doc_id")
+    share = spark.sparkContext.broadcast
+    run, schema = _rows("text", keep, None)
     rows = stored(docs.mapInArrow(run, schema))
-    base = rows.where("times is null").select("doc_id", "n_shingles", "sig")
+    # different sets of one name: each gets a node of its own
+    several = rows.where("other is not null").groupBy("sig").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least <> most")
+    shared = share({r.sig: r.least for r in several.collect()})  # some n**2 / 2**65 of n sets
+    if shared.value:
+        run, schema = _rows("text", keep, shared)
+        rows = stored(docs.mapInArrow(run, schema))
+    base = rows.where("times is null").select(*keep, "n_shingles", "sig")
     bits = stored(rows.where("bits is not null").select("sig", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["sig"]))
 
-    keys, keys_schema = _prefixes("text", spark.sparkContext.broadcast(_frequencies(rows)))
+    keys, keys_schema = _prefixes("text", share(_frequencies(rows)), shared)
     band = F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int").alias("band")
     met = docs.select("text").mapInArrow(keys, keys_schema).select("key", "sig", "size", "pos", band).repartition("key")
     met = met.sortWithinPartitions("key", "band", F.xxhash64("sig", F.expr("key & 3")), "sig").mapInArrow(_meet, "key long, a long, b long, size int, pos int")
     met = stored(met)
-    labels = stored(components(_verified(stored(met.where("key is null").select("a", "b").distinct()), bits, docs)))
+    labels = stored(components(_verified(stored(met.where("key is null").select("a", "b").distinct()), bits, docs, shared)))
 
     hot = met.where("key is not null").select("key", F.col("a").alias("sig"), "size", "pos", band)
     for round_ in range(ROUNDS + 1):
@@ -413,12 +432,62 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             tiled = tiled.select("key", "tile", "sig", "size", "pos", "label", "bits").repartition("key", "tile").sortWithinPartitions("key", "tile")
             pairs = tiled.mapInArrow(_cross, "key long, a long, b long, size int, pos int").select("a", "b")
             round_ = ROUNDS
-        labels = _merged(labels, _verified(stored(pairs.distinct()), bits, docs))
+        labels = _merged(labels, _verified(stored(pairs.distinct()), bits, docs, shared))
+        drop_stored(now)
         if round_ == ROUNDS:
             break
+    drop_stored(met)
+    drop_stored(bits)
+    return base, labels.select(F.col("node").alias("sig"), "label")
 
-    classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents whose word shingle sets have a Jaccard similarity of at least 0.8, as connected components.
+
+    Returns a row per row of docs: doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included).
+    Words are what lies between white space, A-Z lower-cased. A text of fewer words than a shingle has its whole sequence as its one
+    element; null, empty and blank texts have none, link with nothing and are components of their own. Repeated rows are equal sets
+    and so one component. A null id gives a null component_id unless a linked row has an id. Other columns are not read. An empty
+    table gives an empty table. Elements are compared by 64-bit hashes, equal sets by 128 bits.
+    """
+    base, labels = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
+    classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     classes = stored(classes)
     least = stored(classes.groupBy("label").agg(F.min("least").alias("component_id")))
     named = stored(classes.join(least, "label").select("sig", "component_id"))
     return base.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: Removed rows up to which their keys are broadcast to the texts; beyond it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of similarity_components, with all columns of docs: the one of the least id (a null comes last), of
+    several texts with that id the one of the least hash, and of rows that have both in common the least row.
+
+    Rows are told apart by id and text, so rows that only share an id, or have none, never stand for each other. Null, empty and blank
+    texts have no copies: all their rows stay. Columns may have any names; an empty table gives an empty table.
+    """
+    key = lambda text: F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")))
+    base, labels = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), key(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")), ["doc_id", "digest"])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    rows = base.where("sig is not null").groupBy("sig", "doc_id", "digest").agg(F.count("*").alias("n")).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    rows = stored(rows.select("label", "doc_id", "digest", "n"))
+    first = stored(rows.groupBy("label").agg(F.min(rank).alias("best")))
+    judged = stored(rows.join(first, "label").select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("stays")))
+
+    def meets(keys: DataFrame, how: str) -> DataFrame:
+        few = keys.count() <= BROADCAST_ROWS
+        a, b = fresh("id_", docs), fresh("digest_", docs)
+        keys = keys.select(F.col("doc_id").alias(a), F.col("digest").alias(b))
+        return docs.join(F.broadcast(keys) if few else keys, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (key(F.col(text_col)) == F.col(b)), how)
+
+    again = stored(judged.where("stays and n > 1"))
+    gone = stored(judged.where("not stays").select("doc_id", "digest").union(again.select("doc_id", "digest")))
+    kept = meets(gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    names = [f"`{c}`" for c in docs.columns]
+    once = meets(again, "left_semi").select(F.struct(*names).alias("row")).groupBy(F.col(f"row.`{id_col}`").alias("a"), key(F.col(f"row.`{text_col}`")).alias("b")).agg(F.min("row").alias("row"))
+    return kept.select(*names).union(once.select(*[F.col(f"row.{c}") for c in names]))

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The model file's pieces and scores are taken as they are: the segmentation of a text is the one with the greatest sum of piece
-scores (the scores of a unigram model are log probabilities; a file of another kind gives its own ranks as scores). Characters that
-no piece covers become byte pieces, or the unknown piece where the model has none.
+The segmentation of a text is the one with the greatest sum of its pieces' log scores. A unigram file's scores are log probabilities and
+taken as they are. A BPE file has merge ranks instead, whose sums mean nothing: there a piece of rank r has the log probability of
+Zipf's law, -log(r + ZIPF) less the log of their sum. That is a rule, no training: no vocabulary or score is learnt here. Characters
+that no piece covers become byte pieces, or the unknown piece where the model has none.
 
 No piece of such a vocabulary goes over from a character to a whitespace marker, so the best segmentation of a text is that of its
 units (a run of markers and the word after it) one after the other. Each batch's distinct units are segmented together, one array
@@ -13,7 +14,6 @@ whole texts as units.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkquill.llm.batches import BYTE, buffers, mix, powers, slices
+from sparkquill.llm.batches import buffers, range_hashes, slices, spread
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTES = 1, 2, 3, 4, 5, 6
@@ -33,16 +33,11 @@ UNKNOWN_PENALTY = 10.0
 #: Longer units (in bytes) are segmented one by one, and cached units are kept up to this many.
 LONG_UNIT = 128
 CACHE = 200_000
-
-
-def default_model() -> str:
-    """The public vocabulary file beside this machine's tokenizers."""
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path("piece_bpe_32k.model")
-    except ImportError:
-        return os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
+#: Offset of ranks in Zipf's law, for BPE files.
+ZIPF = 100.0
+UNIGRAM, BPE = 1, 2
+#: The model file unless a path is given.
+DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,24 +99,38 @@ class Model:
 
 def parse_model(data: bytes) -> Model:
     """A model from the bytes of a .model file, with its trie. Files whose normaliser maps characters are refused."""
-    pieces, scores, kinds, prefix, squeeze = [], [], [], True, True
+    pieces, scores, kinds, prefix, squeeze, family = [], [], [], True, True, UNIGRAM
     for number, value in _fields(data):
         if number == 1:
             own = dict(_fields(value))
             pieces.append(own[1].decode())
             scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
             kinds.append(own.get(3, NORMAL))
+        elif number == 2:
+            family = dict(_fields(value)).get(3, UNIGRAM)
         elif number == 3:
             own = dict(_fields(value))
             prefix, squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
             if own.get(2):
                 raise ValueError("the model's normaliser has a character map, which isn't supported")
-    model = Model(pieces, np.array(scores), kinds, prefix, squeeze)
+    if family not in (UNIGRAM, BPE):
+        raise ValueError("the model is neither a unigram nor a BPE vocabulary")
+    model = Model(pieces, log_scores(np.array(scores), kinds) if family == BPE else np.array(scores), kinds, prefix, squeeze)
     words = {p.replace(MARK, " ").encode(): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k in (NORMAL, USER, UNUSED)}
     model.base, model.check, model.value = double_array(words)
     return model
 
 
+def log_scores(scores: np.ndarray, kinds: list[int]) -> np.ndarray:
+    """Log probabilities of the pieces of a BPE file by the order of their scores, the highest first; 0 for pieces of other kinds."""
+    own = np.flatnonzero(np.array(kinds) == NORMAL)
+    rank = np.empty(len(own))
+    rank[np.argsort(-scores[own], kind="stable")] = np.arange(len(own))
+    out = np.zeros(len(scores))
+    out[own] = -np.log(rank + ZIPF) - np.log((1 / (rank + ZIPF)).sum())
+    return out
+
+
 def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A trie of byte strings as two arrays: from state s byte c leads to base[s] + c if check[base[s] + c] is s. value: the string's
     number, or -1. The root is state 1."""
@@ -292,12 +301,6 @@ def _segment_block(m: Model, buf: np.ndarray, start: np.ndarray, n: np.ndarray)
     return np.concatenate(units), np.concatenate(ids), np.concatenate(places)
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The indexes first[i], first[i] + 1, ... (count[i] of them) one after the other."""
-    total = np.cumsum(count)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - count), count)
-
-
 class Encoder:
     """Encodes and decodes columns of texts; keeps the ids of units that it has seen."""
 
@@ -312,7 +315,7 @@ class Encoder:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = [np.zeros(0, np.int32)]
         self.count: list[np.ndarray] = [np.zeros(0, np.int64)]
 
@@ -335,20 +338,28 @@ class Encoder:
         begins[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], n)
-        p, inverse = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[buf] * p[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE:
+        h = range_hashes(buf, start, end)
+        _, at, back = np.unique(h, return_index=True, return_inverse=True)
+        # a unit whose hash another one has first, but not its bytes, stands for itself
+        own, first = end - start, at[back]
+        other = np.flatnonzero(own != own[first])
+        same = np.flatnonzero((own == own[first]) & (first != np.arange(len(own))))
+        differs = buf[spread(start[same], own[same])] != buf[spread(start[first[same]], own[same])]
+        if differs.any():
+            other = np.concatenate([other, same[np.unique(np.repeat(np.arange(len(same)), own[same])[differs])]])
+        back[other] = len(at) + np.arange(len(other))
+        at = np.concatenate([at, other])
+        data = buf.tobytes()
+        names = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        if len(self.known) + len(names) > CACHE:
             self.forget()
         known = self.known
-        spot = np.array([known.get(x, -1) for x in distinct.tolist()], np.int64)
+        spot = np.array([known.get(x, -1) for x in names], np.int64)
         new = np.flatnonzero(spot < 0)
         if len(new):
             ids, count = segment(self.m, buf, start[at[new]], end[at[new]])
-            spot[new] = np.arange(len(known), len(known) + len(new))
-            known.update(zip(distinct[new].tolist(), spot[new].tolist(), strict=True))
+            spot[new] = np.arange(len(self.count[0]), len(self.count[0]) + len(new))
+            known.update((names[i], int(spot[i])) for i in new.tolist() if len(names[i]) <= LONG_UNIT)
             self.ids.append(ids)
             self.count.append(count)
         if len(self.ids) > 1:
@@ -356,7 +367,7 @@ class Encoder:
             self.first = np.cumsum(self.count[0]) - self.count[0]
         unit = spot[back]
         count = self.count[0][unit]
-        flat = self.ids[0][_spread(self.first[unit], count)]
+        flat = self.ids[0][spread(self.first[unit], count)]
         upto = np.concatenate([[0], np.cumsum(count)])
         return pa.LargeListArray.from_arrays(pa.array(upto[np.searchsorted(start, off)]), pa.array(flat))
 
@@ -366,7 +377,7 @@ class Encoder:
         flat = ids.values.to_numpy()[off[0] : off[-1]]
         off = off - off[0]
         count = self.raw_len[flat]
-        data = self.raw[_spread(self.raw_at[flat], count)].tobytes()
+        data = self.raw[spread(self.raw_at[flat], count)].tobytes()
         cuts = np.concatenate([[0], np.cumsum(count)])[off].tolist()
         out = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return [x[1:] if self.m.dummy_prefix and x[:1] == b" " else x for x in out]
@@ -384,16 +395,16 @@ def _encoder(model: Broadcast) -> Encoder:
     return _ENCODERS[key]
 
 
-def _shared(docs: DataFrame, path: str | None) -> Broadcast:
-    with open(path or default_model(), "rb") as f:  # the driver's own file; executors get the model by broadcast
+def _shared(docs: DataFrame, path: str) -> Broadcast:
+    with open(path, "rb") as f:  # the driver's own file; executors get the model by broadcast
         data = f.read()
     return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), parse_model(data)))
 
 
-def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
     """docs with the piece ids of each text as one more column (null or empty text: an empty list), and with the text that they decode
     to as another if decoded_col names it (bytes that aren't UTF-8 become the replacement character). A column of docs that has one of
-    these names is replaced."""
+    these names is replaced; other columns may have any names. Repeated rows get equal ids; an empty table gives an empty table."""
     model = _shared(docs, model_path)
     own = docs.drop(*[c for c in (ids_col, decoded_col) if c and c in docs.columns])
     more = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded_col, T.StringType())] * bool(decoded_col)
@@ -410,7 +421,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     return own.mapInArrow(run, T.StructType([*own.schema.fields, *more]))
 
 
-def encode_audit(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_audit(docs: DataFrame, model_path: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text: a row per row of docs.
 
     Returns doc_id, n_pieces, n_bytes (byte pieces among them), ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256

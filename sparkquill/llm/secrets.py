@@ -1,9 +1,13 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Base patterns give spans of three kinds. Beside them, long tokens of high entropy are candidates. Every candidate's value is hashed;
-the corpus is aggregated to the number of distinct owners and repositories of each hash. A value of one owner is live-looking; a
-value that many owners have is a copied example. High-entropy tokens become spans of their own (kind ``token``) only where their
-value is live-looking; base spans always stay.
+the corpus is aggregated to the number of distinct owners and repositories of each hash. A value is
+
+* live-looking: one owner has it, in at most LIVE_REPOSITORIES repositories;
+* an example: EXAMPLE_OWNERS owners or more have it, or EXAMPLE_REPOSITORIES repositories or more (a hot owner may copy it alone);
+* shared: anything between, which is neither clearly somebody's nor clearly public.
+
+High-entropy tokens become spans of their own (kind ``token``) only where their value is live-looking; base spans always stay.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkquill.llm.batches import LOWER, buffers, slices, stored
+from sparkquill.llm.batches import LOWER, buffers, fresh, slices, stored
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -29,9 +33,10 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 6, 20, 24, 20
 #: Every match of ASSIGN has one of these, lower-cased.
 WORDS = (b"passw", b"secret", b"token", b"apik", b"api_")
-#: Bits a character that a token needs, and owners from which a value counts as a copied example.
+#: Bits a character that a token needs.
 ENTROPY = 3.5
-EXAMPLE_OWNERS = 3
+LIVE_REPOSITORIES, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 3, 4
+LIVE, SHARED, EXAMPLE = "live", "shared", "example"
 
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
@@ -52,7 +57,7 @@ def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
         x = m[0]
         if not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)) or any(a < m.end() and m.start() < b for a, _, b, _ in taken):
             continue
-        if -sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values()) >= ENTROPY:
+        if round(-sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values()), 9) >= ENTROPY:
             out.append((m.start(), 3, m.end(), x))
     return out
 
@@ -103,8 +108,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _row_key(id_: Column, text: Column) -> Column:
-    """Rows with equal ids and texts have equal keys; their spans are equal too."""
-    return F.xxhash64(id_, F.coalesce(text, F.lit("")))
+    """128 bits of id and text. Rows with both in common have equal keys; their spans are equal too."""
+    return F.md5(F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang") -> DataFrame:
@@ -116,7 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit("\0")) if repo_col else F.lit("")
     text = F.col(text_col)
     rows = docs.select(_row_key(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
-    return rows.mapInArrow(_scan, f"row long, doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>")
+    return rows.mapInArrow(_scan, f"row string, doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -127,58 +132,64 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
 
 
+def value_class(owners: Column, repositories: Column) -> Column:
+    """LIVE, SHARED or EXAMPLE."""
+    example = (owners >= EXAMPLE_OWNERS) | (repositories >= EXAMPLE_REPOSITORIES)
+    return F.when(example, EXAMPLE).when((owners == 1) & (repositories <= LIVE_REPOSITORIES), LIVE).otherwise(SHARED)
+
+
 def _judged(found: DataFrame) -> DataFrame:
-    """(row, spans) of the rows with candidates; each span has the number of its value's owners."""
-    stats = stored(ownership(found))
+    """(row, spans) of the rows with candidates; each span has its value's class, owners and repositories. Rows with one id and text are
+    judged once. (A value that a third of the rows has is one key of the join, which adaptive execution splits where it is skewed.)"""
+    stats = stored(ownership(found).withColumn("class", value_class(F.col("owners"), F.col("repositories"))))
     each = found.where("size(found) > 0").dropDuplicates(["row"]).select("row", F.inline("found"))
     each = stored(each).join(stats, "value")
-    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners"))).alias("spans"))
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "class", "owners", "repositories"))).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang") -> DataFrame:
     """Spans of secrets in every text: a row per row of docs.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (digest of kind:start:end of the base spans by start, then kind), spans
-    (base spans and live-looking tokens, likewise), n_live (spans whose value has one owner) and n_example (values of EXAMPLE_OWNERS
-    owners or more). Offsets count code points, ends are exclusive; a span of kind assign covers its whole match. Null and empty texts have no
+    (base spans and live-looking tokens, likewise), and n_live, n_shared and n_example (candidates by the class of their values). Offsets
+    count code points, ends are exclusive; a span of kind assign covers its whole match. Null and empty texts have no
     spans. Repeated rows get equal results; other columns are not read; an empty table gives an empty table.
     """
     found = stored(scan(docs, id_col, text_col, owner_col, repo_col))
     spans = stored(_judged(found))
     names = F.array(*map(F.lit, KINDS))
-    kept = F.filter("spans", lambda s: (s.kind < 3) | (s.owners == 1))
+    kept = F.filter("spans", lambda s: (s.kind < 3) | (s["class"] == LIVE))
     joined = F.array_join(F.transform(kept, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
     out = found.drop("found").join(spans, "row", "left")
-    count = lambda f: F.coalesce(F.size(F.filter("spans", f)).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(joined, F.lit("")).alias("spans"), F.when(F.col("spans").isNull(), 0).otherwise(count(lambda s: s.owners == 1)).cast("long").alias("n_live"), F.when(F.col("spans").isNull(), 0).otherwise(count(lambda s: s.owners >= EXAMPLE_OWNERS)).cast("long").alias("n_example"))
-
-
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text_").to_pylist()
-        for i in np.flatnonzero(batch.column("cuts").is_valid().to_numpy(zero_copy_only=False)).tolist():
-            text, end, parts = texts[i], 0, []
-            for s in batch.column("cuts")[i].as_py():  # by start
-                if s["end"] <= end:
-                    continue
-                parts += [text[end : max(end, s["start"])], "" if s["start"] < end else f"[{KINDS[s['kind']].upper()}]"]
-                end = s["end"]
-            texts[i] = "".join([*parts, text[end:]])
-        at = batch.schema.get_field_index("text_")
-        yield batch.set_column(at, "text_", pa.array(texts, pa.string())).drop_columns(["cuts"])
+    count = lambda name: F.when(F.col("spans").isNull(), 0).otherwise(F.size(F.filter("spans", lambda s: s["class"] == name))).cast("long")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(joined, F.lit("")).alias("spans"), *[count(c).alias(f"n_{c}") for c in (LIVE, SHARED, EXAMPLE)])
 
 
 #: Documents with live-looking spans up to which their spans are broadcast to the texts; beyond it the same join shuffles.
 BROADCAST_ROWS = 100_000
 
 
+def _without(text: Column, cuts: Column) -> Column:
+    """The text with each of the cuts (start, kind, end; by start) replaced by its kind in brackets; one that lies in an earlier one is
+    no cut, and one that begins in an earlier one only removes its rest."""
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def step(done: Column, s: Column) -> Column:
+        tag = F.when(s.start < done.end, F.lit("")).otherwise(F.element_at(tags, s.kind + 1))
+        own = F.struct(F.concat(done.out, F.substring(text, done.end + 1, F.greatest(s.start - done.end, F.lit(0))), tag).alias("out"), s.end.alias("end"))
+        return F.when(s.end <= done.end, done).otherwise(own)
+
+    return F.aggregate(cuts, F.struct(F.lit("").alias("out"), F.lit(0).alias("end")), step, lambda done: F.concat(done.out, F.substring(text, done.end + 1, F.length(text))))
+
+
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang") -> DataFrame:
-    """docs with each live-looking span (its value has one owner) replaced by its kind in brackets; values that several owners have
-    stay. All rows and columns stay, in docs' order of columns; null texts stay null."""
+    """docs with each live-looking span replaced by its kind in brackets; shared values and examples stay. All rows and columns stay, in
+    docs' order of columns and whatever their names; null and empty texts stay as they are; repeated rows are cut alike."""
     found = stored(scan(docs, id_col, text_col, owner_col, repo_col))
-    live = F.filter("spans", lambda s: s.owners == 1)
-    spans = stored(_judged(found).select(F.col("row").alias("row_"), live.alias("cuts")).where("size(cuts) > 0"))
+    row, cuts = fresh("row_", docs), fresh("cuts_", docs)
+    live = F.transform(F.filter("spans", lambda s: s["class"] == LIVE), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    spans = stored(_judged(found).select(F.col("row").alias(row), live.alias(cuts)).where(F.size(cuts) > 0))
     few = spans.count() <= BROADCAST_ROWS
-    own = docs.withColumnRenamed(text_col, "text_")
-    joined = own.join(F.broadcast(spans) if few else spans, _row_key(F.col(id_col), F.col("text_")) == F.col("row_"), "left").drop("row_")
-    return joined.mapInArrow(_redact, own.schema).withColumnRenamed("text_", text_col)
+    joined = docs.join(F.broadcast(spans) if few else spans, _row_key(F.col(id_col), F.col(text_col)) == F.col(row), "left")
+    own = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(cuts)))
+    return joined.select(*[own.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

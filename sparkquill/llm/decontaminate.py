@@ -7,6 +7,9 @@ hashed; windows of documents meet them in a hash table (the benchmark is small b
 BLOCK windows, each of which goes to all executors). An item counts as leaked where a document has enough of its windows in one
 stretch, and the words behind the placeholders fit: one value of the item stands for one value of the document. For that the windows
 are aligned first, as a template that repeats in an item also meets its other places: a chain of windows in the item's order.
+
+Items without windows (fewer than WINDOW words, or too few plain ones in every window) leak where a document has all their words, one
+after the other, as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SHIFT = 8
 #: In the alignment of hits: what a change of shift costs, and what equal words behind the placeholders add (a hit counts 1).
 CHANGE, SAME = 0.5, 0.25
 BLOCK = 2_000_000
+#: Words of an item without windows that are hashed; the others are compared.
+OPENING = 8
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l gal ms s sec secs seconds second min mins minutes minute h hr hrs hours hour day days week weeks month months year years percent usd eur dollars dollar euros euro cents cent k c f w kw v a hz khz mhz ghz b kb mb gb tb mph kmh".split()
 NUMBER, NAME, UNIT = (mix(np.array([x], U64))[0] for x in (101, 102, 103))
 
@@ -165,42 +170,74 @@ class Benchmark:
         self.window, self.item, self.place = t.window[order], item[order], (t.at - t.first[item])[order]
         self.base, self.named = t.base[order], t.named[order]
         self.ids, self.first, self.plain, self.slot, self.opener = ids, t.first, t.plain, t.slot, t.maybe
-        count = lambda some: np.array([len(np.unique(t.base[some & (item == i)])) for i in range(len(ids))])
+        # each item's windows, by item and hash
+        self.by_item = np.lexsort((self.window, self.item))
+        self.item_at = np.searchsorted(self.item[self.by_item], np.arange(len(ids) + 1))
+
+        def count(some: np.ndarray) -> np.ndarray:
+            pairs = np.unique(np.stack([self.item[some].astype(U64), self.base[some]], 1), axis=0)
+            return np.bincount(pairs[:, 0].astype(np.int64), minlength=len(ids))
+
         self.windows = count(np.ones(len(item), bool))
         # with names for openers fewer windows have enough plain words; they stand for the item if they are COVERAGE of all
-        self.renamed = count(t.named)
+        self.renamed = count(self.named)
         self.renamed[self.renamed < COVERAGE * self.windows] = 0
         self.maybe = np.zeros(1 << self.BITS, bool)
         self.maybe[(self.window & U64((1 << self.BITS) - 1)).astype(np.int64)] = True
-
-    def hits(self, t: Templates) -> tuple[np.ndarray, np.ndarray]:
-        """(window of the texts, window of the benchmark) wherever the hashes are equal."""
+        # items without windows, by the number of words that are hashed
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i in np.flatnonzero((self.windows == 0) & (np.diff(self.first) > 0)).tolist():
+            n = min(OPENING, int(self.first[i + 1] - self.first[i]))
+            self.short[n][int(shingle_hashes(self.plain[self.first[i] : self.first[i] + n], n)[0])].append(i)
+        self.short = {n: dict(v) for n, v in self.short.items()}
+
+    def candidates(self, t: Templates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, item, windows of the text, windows of the benchmark) of each pair with enough different windows in common: all hits of
+        the two, one pair at a time, so that a passage which many items share takes no room for all of them at once."""
         near = np.flatnonzero(self.maybe[(t.window & U64((1 << self.BITS) - 1)).astype(np.int64)])
-        lo, hi = (np.searchsorted(self.window, t.window[near], side=s) for s in ("left", "right"))
-        return np.repeat(near, hi - lo), spread(lo, hi - lo)
+        near = near[np.isin(t.window[near], self.window)]
+        text = np.searchsorted(t.first, t.at[near], side="right") - 1
+        order = np.lexsort((t.window[near], text))
+        near, text = near[order], text[order]
+        cut = [*np.searchsorted(text, np.unique(text)).tolist(), len(text)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = t.window[near[lo:hi]]
+            distinct = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            a, b = (np.searchsorted(self.window, distinct, side=side) for side in ("left", "right"))
+            some = np.bincount(self.item[spread(a, b - a)], minlength=len(self.ids))
+            for i in np.flatnonzero((some > 0) & (some >= COVERAGE * np.where(self.renamed > 0, self.renamed, self.windows))).tolist():
+                theirs = self.by_item[self.item_at[i] : self.item_at[i + 1]]
+                a, b = (np.searchsorted(own, self.window[theirs], side=side) for side in ("left", "right"))
+                yield int(text[lo]), i, near[lo:hi][spread(a, b - a)], np.repeat(theirs, b - a)
+
+    def verbatim(self, t: Templates) -> list[tuple[int, int, float, int, bool]]:
+        """The leaks of items without windows."""
+        out = []
+        ends = np.repeat(t.first[1:], np.diff(t.first))
+        for n, items in self.short.items():
+            h = shingle_hashes(t.plain, n)
+            found = set()
+            for k in np.flatnonzero(np.isin(h, np.array(list(items), U64))).tolist():
+                for i in items[int(h[k])]:
+                    own = self.plain[self.first[i] : self.first[i + 1]]
+                    if k + len(own) <= ends[k] and (t.plain[k : k + len(own)] == own).all():
+                        found.add((int(np.searchsorted(t.first, k, side="right")) - 1, i))
+            out += [(d, i, 1.0, 0, False) for d, i in sorted(found)]
+        return out
 
     def leaks(self, column: pa.Array) -> list[tuple[int, int, float, int, bool]]:
         """(text, item, share of the item's windows, slots compared, whether a placeholder's value differs) of each leaked item."""
         t = Templates(column)
-        ours, theirs = self.hits(t)
-        if not len(ours):
-            return []
-        text = np.searchsorted(t.first, t.at[ours], side="right") - 1
-        groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for k, pair in enumerate(zip(text.tolist(), self.item[theirs].tolist(), strict=True)):
-            groups[pair].append(k)
-        out = []
-        for (d, i), ks in groups.items():
-            k = np.array(ks)
-            if len(k) < COVERAGE * (self.renamed[i] or self.windows[i]):
-                continue
-            a, b = t.at[ours[k]], self.place[theirs[k]]
+        out = self.verbatim(t) if self.short else []
+        for d, i, ours, theirs in self.candidates(t):
+            a, b = t.at[ours], self.place[theirs]
             _, one = np.unique(a * (len(self.plain) + 1) + b, return_index=True)  # two readings of the same windows are one hit
-            a, b, theirs_, same = a[one], b[one], theirs[k[one]], t.base[ours[k[one]]] == self.base[theirs[k[one]]]
+            same = t.base[ours[one]] == self.base[theirs[one]]
+            a, b, theirs = a[one], b[one], theirs[one]
             # any reading; if its slots don't fit, plain openers
-            found = self._leak(t, i, a, b, theirs_, True)
+            found = self._leak(t, i, a, b, theirs, True)
             if not found and not same.all():
-                found = self._leak(t, i, a[same], b[same], theirs_[same], False)
+                found = self._leak(t, i, a[same], b[same], theirs[same], False)
             if found:
                 out.append((d, i, *found))
         return out
@@ -267,8 +304,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns doc_id, item_id, coverage (share of the item's windows found in one stretch of the document), n_slots (placeholders
     compared) and reworded (a placeholder stands for another value than in the item). Items of fewer than WINDOW words, or without
-    enough plain words, have no windows and leak nowhere; null and empty texts hold nothing. Repeated rows of either table give
-    repeated rows. Null ids stay. Other columns are not read; an empty table gives an empty table.
+    enough plain words, leak where all their words are found in a row (coverage 1, no slots); items without words leak nowhere; null and
+    empty texts hold nothing. Repeated rows of either table give repeated rows. Null ids stay. Other columns are not read; an empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, coverage double, n_slots long, reworded boolean"
@@ -289,7 +327,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs into which no benchmark item leaked, with all their columns. Null texts stay."""
+    """The rows of docs into which no benchmark item leaked, with all their columns, whatever their names. Null, empty and repeated texts
+    are judged as in leaked_items; an empty benchmark takes nothing away."""
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -2,7 +2,9 @@
 
 Every line of every text is looked at. Lines that have a licence word are blocks (with the lines that follow directly), and so are the
 stretches of words around each licence word that are as long as a template, whatever the lines; each
-block is a sparse vector over the words and word pairs of the templates and is compared with every template. A file's licence is its
+block is a sparse vector over the words and word pairs of the templates and is compared with every template. The templates are header
+lines, notices, the titles and openings of the long licences' files (the rest of such a file follows from its opening) and the whole
+short licences. Sentences that deny a licence ("not licensed under ...") are left out. A file's licence is its
 best block's. A file without one inherits from the licence files of the nearest directory above it: directories are joined with their
 ancestors' paths once, files then with their own directory.
 """
@@ -27,30 +29,47 @@ _BSD_3 = "Neither the name of the copyright holder nor the names of its contribu
 _BSD_END = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
 
 
+# Dates and years in the titles of the GNU licences, and the sentence after them.
+_DATES = {("", "2"): "June 1991", ("", "3"): "29 June 2007", ("Lesser", "2.1"): "February 1999", ("Lesser", "3"): "29 June 2007", ("Affero", "3"): "19 November 2007"}
+_YEARS = {("", "2"): "1989, 1991", ("", "3"): "2007", ("Lesser", "2.1"): "1991, 1999", ("Lesser", "3"): "2007", ("Affero", "3"): "2007"}
+_COPIES = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+_MIT_ALL = _MIT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
+_APACHE = "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ Terms and conditions for use, reproduction, and distribution"
+_APACHE_1 = ' 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.'
+_APACHE_NOTICE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+_APACHE_END = " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = ", provided that the above copyright notice and this permission notice appear in all copies. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+_UNLICENSE_END = " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+
 def _gnu(kind: str, version: str, whats: tuple[str, ...], spdx: str) -> list[str]:
     """One line, the SPDX identifiers and the notices of a licence of the GNU family."""
     name = f"GNU {kind} General Public License".replace("  ", " ")
     lines = [f"This work is licensed under the {name}, version {version}.", f"Licensed under the {name} version {version}", f"{name} Version {version}"]
     ids = [f"SPDX-License-Identifier: {spdx}-only", f"SPDX-License-Identifier: {spdx}-or-later"]
-    return [*lines, *ids, *(_GNU.format(what=w, kind=kind, v=version).replace("  ", " ") for w in whats)]
+    title = f"{name} Version {version}, {_DATES[kind, version]} Copyright (C) {_YEARS[kind, version]} Free Software Foundation, Inc. "
+    return [*lines, *ids, f"{name} Version {version}, {_DATES[kind, version]}", title + _COPIES, *(_GNU.format(what=w, kind=kind, v=version).replace("  ", " ") for w in whats)]
 
 
 #: Header lines, notices and openings of common licences.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", _MIT, _MIT_ALL],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004", _APACHE, _APACHE + _APACHE_1, _APACHE_NOTICE, _APACHE_NOTICE + _APACHE_END],
     "GPL-3.0": _gnu("", "3", ("program",), "GPL-3.0"),
     "GPL-2.0": _gnu("", "2", ("program",), "GPL-2.0"),
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser", "3", ("library", "program"), "LGPL-3.0")],
     "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("Lesser", "2.1", ("library", "program"), "LGPL-2.1")],
     "AGPL-3.0": _gnu("Affero", "3", ("program",), "AGPL-3.0"),
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", _BSD.strip(": "), _BSD + _BSD_2 + _BSD_3, _BSD + _BSD_2 + _BSD_3 + _BSD_END],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", _BSD + _BSD_2, _BSD + _BSD_2 + _BSD_END],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International Public License", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", _BSD.strip(": "), _BSD + _BSD_2 + _BSD_3, _BSD + _BSD_2 + _BSD_3 + _BSD_END],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", _BSD + _BSD_2, _BSD + _BSD_2 + _BSD_END],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", _ISC, _ISC + _ISC_END],
+    "Unlicense": [_UNLICENSE, _UNLICENSE + _UNLICENSE_END, "SPDX-License-Identifier: Unlicense"],
 }
 #: One of these, lower-cased, is in every line that can belong to a licence block.
 ANCHORS = (b"licen", b"permission", b"redistribut", b"gnu ", b"free software", b"public domain", b"unencumbered", b"creative commons")
@@ -58,6 +77,15 @@ LEAST = 0.6
 _TERM = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 
 
+#: A sentence or line that says of something that it is not under a licence.
+_DENIED = re.compile(r"[^.!?\n]*\b(?:not|never|isn['’]t|aren['’]t|wasn['’]t|without being|no longer)\s+(?:\w+\s+)?(?:licen[sc]ed|released|distributed|available|published|covered)\b[^\n]*?(?:[.!?](?=\s|$)|\n|$)", re.IGNORECASE)
+
+
+def granting(text: str) -> str:
+    """The text with spaces for the sentences that deny a licence."""
+    return _DENIED.sub(lambda m: " " * len(m[0].rstrip("\n")) + "\n" * m[0].endswith("\n"), text)
+
+
 def terms(text: str) -> Counter:
     """Words and word pairs."""
     w = _TERM.findall(text.lower())
@@ -188,7 +216,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = low.find(anchor, int(off[k + 1]))
         for k in sorted(some):
             best = (0.0, "")
-            for block in blocks(column[k].as_py()):
+            text = granting(column[k].as_py())
+            for block in blocks(text):
                 if block not in cache:
                     if len(cache) > 10_000:
                         cache.clear()
@@ -196,7 +225,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if cache[block][0] > best[0]:
                     best = cache[block]
             # windows decide if they fit better than whole lines
-            inner = windows.best(column[k].as_py())
+            inner = windows.best(text)
             if inner[0] > best[0]:
                 best = inner
             if best[0] >= LEAST:

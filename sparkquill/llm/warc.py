@@ -8,7 +8,12 @@ and searched by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sparkquill.llm.batches import stored
 
@@ -69,10 +74,52 @@ def audit(mine: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select(*keys, status.alias("status")), roots
 
 
-def warc_record(url: Column, html: Column) -> Column:
-    """A response record; null url and html count as empty."""
+#: WARC-Date of records whose time of crawl isn't known.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def warc_record(url: Column, html: Column, date: str = NO_DATE) -> Column:
+    """A resource record (no HTTP headers are kept) named by a digest of url and html; null url and html count as empty."""
     url, html = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit(""))
-    return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
+    digest = F.md5(F.concat(url, F.lit("\n"), html))
+    uuid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    head = [("WARC-Type", F.lit("resource")), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", url), ("Content-Type", F.lit("text/html")), ("Content-Length", F.octet_length(html).cast("string"))]
+    lines = [x for name, value in head for x in (F.lit(f"{name}: "), value, F.lit("\r\n"))]
+    return F.concat(F.lit("WARC/1.0\r\n"), *lines, F.lit("\r\n"), html, F.lit("\r\n\r\n"))
+
+
+_HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers with lower-cased names, content) of each record of an uncompressed WARC file. What isn't a record is an error."""
+    at = 0
+    while at < len(data):
+        m = _HEADER.match(data, at)
+        if not m:
+            raise ValueError(f"no WARC record at byte {at}")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in m[1].decode("utf-8", "replace").split("\r\n")) if k}
+        end = m.end() + int(head["content-length"])
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} doesn't end where its length says")
+        yield at, end + 4 - at, head, data[m.end() : end]
+        at = end + 4
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, sha256 of the record, type, record_id, target_uri, content) of uncompressed WARC files, a file at a time: what
+    audit() takes. A file must fit into an executor's memory."""
+    schema = "file string, offset long, length long, sha256 string, type string, record_id string, target_uri string, content binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = data.as_py()
+                for at, n, head, content in parse_warc(whole):
+                    row = (file, at, n, hashlib.sha256(whole[at : at + n]).hexdigest(), head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), content)
+                    yield pa.record_batch([[x] for x in row], schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("content", pa.binary())]))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 #: Records of one WARC file.

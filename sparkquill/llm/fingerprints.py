@@ -3,7 +3,9 @@
 Embedding. A text is walked character by character: at step t the walk stands on a character, and a shared random bit R[t, character]
 says whether it goes on to the next one. Two texts at a small edit distance fall into step again soon after each edit, so their walks
 agree at most steps: edit distance becomes Hamming distance. A walk covers a stretch of WINDOW characters in at most 3 * WINDOW steps,
-and a text's embedding is that of its stretches one after the other; all stretches of many texts are walked at once.
+and a text's embedding is that of its stretches one after the other; all stretches of many texts are walked at once. A step's value is a
+hash of the GRAM characters from the walk's place on, so that unlike texts seldom agree at a step by chance (a single character of
+prose often does); an edit then touches the steps of GRAM places.
 
 Sampling. A fingerprint has SAMPLES steps of the embedding, eight bits each, chosen by shared random priorities: sample m is the step
 with the least priority h_m among all steps that the text has. So texts of different lengths still sample the same steps with the
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkquill.llm.batches import STEP, drop_stored, mix, stored, stream
+from sparkquill.llm.batches import STEP, drop_stored, mix, slices, stored, stream
 from sparkquill.llm.components import components
 
 WINDOW = 4096
@@ -160,9 +162,8 @@ def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple] = []
     chars = 0
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            row = (*row[:3], row[3] or "")
+    for part, column in slices(batches, "text"):
+        for row in zip(*(x.to_pylist() for x in (part.column(0), part.column(1), part.column(2), column)), strict=True):
             held.append(row)
             chars += len(row[3])
             if chars > CHARS and len(held) > 1:
@@ -361,21 +362,15 @@ def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
 
     Banding: BANDS keys of ROWS sampled steps each; documents that share a key are candidates. Verification: likeness of at least
     `least`. No candidate is left out, but pairs that other links already join aren't verified. Equal texts have
-    equal fingerprints and are one class. Null ids and empty texts have no links and are classes of their own.
+    equal fingerprints and are one class. Rows of one id count as one document: their class is that of any of their texts. Null ids and
+    empty texts have no links and are classes of their own. Other columns are not read; an empty table gives an empty table.
     """
     schema = "doc_id long, fingerprint binary, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < CHARS):
-                    chars, to = chars + len(texts[to]), to + 1
-                f = fingerprints(texts[at:to])
-                yield pa.record_batch([pa.array(ids[at:to], pa.int64()), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([len(t) for t in texts[at:to]], pa.int64())], names=["doc_id", "fingerprint", "n_chars"])
-                at = to
+        for part, column in slices(batches, "text"):
+            texts = column.to_pylist()
+            yield pa.record_batch([part.column("doc_id"), pa.array([x.tobytes() for x in fingerprints(texts)], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "fingerprint", "n_chars"])
 
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
     return _with_classes(rows, rows.where("n_chars > 0"), least).select("doc_id", "class_id")

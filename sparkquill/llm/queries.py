@@ -62,7 +62,29 @@ def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_fingerprints, op2_secret_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_license_scan, op6_toxicity, op7_quality_classifier, op8_ngram_jaccard_join, op9_url_filters, op10_warc_merkle_audit)}
 
+_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("token", "[A-Za-z0-9+/_-]{20,}")]
+_MATCHES = " union all ".join(f"select r, {k} as kind, '{name}' as name, unnest(list_concat(regexp_extract_all(t, '{p}'), [''])) as x, unnest(string_split_regex(t, '{p}')) as gap, unnest(range(len(string_split_regex(t, '{p}')))) as i from d" for k, (name, p) in enumerate(_KINDS))
+
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(source, chr(0)) as owner, coalesce(lang, chr(0)) as repo from documents),
+m as ({_MATCHES}),
+p as (select r, kind, name, x, cast(sum(length(gap)) over w + sum(length(x)) over w - length(x) as bigint) as a from m window w as (partition by r, kind order by i)),
+s as (select r, kind, name, a, a + length(x) as b, case when kind = 0 then regexp_extract(x, '{_ASSIGN}', 2) else x end as value from p where x <> ''),
+base as (select * from s where length(value) >= case kind when 0 then 6 when 1 then 20 when 2 then 24 end),
+high as (select * from s where kind = 3 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+  and not exists (select 1 from base where base.r = s.r and base.a < s.b and s.a < base.b)
+  and round(-list_sum(list_transform(list_transform(list_distinct(string_split(value, '')), lambda c: len(list_filter(string_split(value, ''), lambda y: y = c)) / length(value)), lambda q: q * log2(q))), 9) >= 3.5),
+found as (select * from base union all select * from high),
+stats as (select value, count(distinct owner) as owners, count(distinct owner || chr(1) || repo) as repos from found join d using (r) group by 1),
+judged as (select found.*, case when owners >= 3 or repos >= 4 then 'example' when owners = 1 and repos <= 2 then 'live' else 'shared' end as class from found join stats using (value)),
+g as (select r, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2,
+  string_agg(name || ':' || a || ':' || b, ',' order by a, kind, b) filter (kind < 3) as own, string_agg(name || ':' || a || ':' || b, ',' order by a, kind, b) filter (kind < 3 or class = 'live') as spans,
+  count(*) filter (class = 'live') as n_live, count(*) filter (class = 'shared') as n_shared, count(*) filter (class = 'example') as n_example from judged group by 1)
+select doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_shared, 0) as n_shared, coalesce(n_example, 0) as n_example from d left join g using (r)
+""",
     "op9_url_filters": r"""
 with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as spot from pages),
 h as (select page_id, translate(regexp_extract(case when spot > 0 then substr(url, spot + 3) else '' end, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -77,10 +99,12 @@ from p left join lateral (
 """,
     "op10_warc_merkle_audit": r"""
 with w as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-c as (select page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' as head,
-  chr(13) || chr(10) || chr(13) || chr(10) as gap, html, chr(0) || substr(html, 2) as bad from w),
-d as (select page_id, coalesce(page_id // 1000, -1) as file, head || strlen(html) || gap || html || gap as rec, html,
-  head || strlen(bad) || gap || bad || gap as rec_bad from c),
+b as (select page_id, url, html, chr(0) || substr(html, 2) as bad, chr(13) || chr(10) as nl from w),
+c as (select *, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' as head, regexp_replace(md5(url || chr(10) || html), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') as id,
+  regexp_replace(md5(url || chr(10) || bad), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') as bad_id,
+  '>' || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' as rest, nl || nl as gap from b),
+d as (select page_id, coalesce(page_id // 1000, -1) as file, head || id || rest || strlen(html) || gap || html || gap as rec, html,
+  head || bad_id || rest || strlen(bad) || gap || bad || gap as rec_bad from c),
 e as (select page_id, file, strlen(rec) as length, sha256(rec) as sha256,
   case when page_id % 50 = 0 and html <> '' then sha256(rec_bad) when page_id % 50 = 7 then null else sha256(rec) end as other from d),
 f as (select *, coalesce(sum(length) over (partition by file order by page_id, sha256 rows between unbounded preceding and 1 preceding), 0)::bigint as start from e),

@@ -1,9 +1,10 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 Inputs. Each word (a run of letters, lower-cased) is the sum of a hashed word vector and the mean of its hashed character grams'
-vectors (five bytes around each byte). Windows. A text is scored in all its windows of WINDOW words, one every STRIDE words; the text's score is the greatest of
-its windows. Training. Windows carry their text's label at first; later rounds learn from each text's highest window (multiple
-instances), so clean texts' worst windows are learnt as clean. At most SAMPLE labelled texts of each label are learnt from.
+vectors (five bytes around each byte). Windows. A text is scored in all its windows of WINDOW words, one every STRIDE words; the text's
+score is the greatest of its windows. Training. In the first FIRST rounds up to PICK windows of each text, other ones in each round, carry
+their text's label; later rounds learn from each text's highest window of all (multiple instances), so clean texts' worst windows are
+learnt as clean. At most SAMPLE labelled texts of each label are learnt from.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkquill.llm.batches import LOWER, U64, Words, labelled_sample, mix, remainder, slices, spread, text_column
 
@@ -21,6 +22,8 @@ WORDS, GRAMS, SIZE, HIDDEN, POOL = 1 << 15, 1 << 13, 12, 8, 8
 #: Labelled texts of each label that are learnt from at most, those with the least hashes of their ids.
 SAMPLE = 1200
 ROUNDS, BATCH, RATE = 6, 64, 0.01
+#: Rounds that learn from random windows, and how many of a text in each.
+FIRST, PICK = 3, 3
 #: Steps that a round takes at least; with few labelled texts a round goes over its windows several times.
 STEPS = 60
 
@@ -176,8 +179,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> dict[str, np.ndarra
     step = 0
     bounds = np.searchsorted(x.text, np.arange(len(texts) + 1))
     for round_ in range(ROUNDS):
-        if round_ < 3:
-            pick = np.concatenate([r.permutation(np.arange(a, b))[:3] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        if round_ < FIRST:
+            pick = np.concatenate([r.permutation(np.arange(a, b))[:PICK] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
         else:
             z = logits(m, x)
             own = np.flatnonzero(np.diff(bounds))
@@ -222,10 +225,6 @@ def score_texts(m: dict, column: pa.Array) -> np.ndarray:
     return _sigmoid(z.astype(np.float64))
 
 
-def _with(df: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-
 def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 5) == 0
 
@@ -235,22 +234,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return train([r.text for r in rows], np.array([r.y for r in rows], np.float32))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, held_out (its labels are never learnt from), score (0 to 1), predicted (1 if score >= 0.5).
 
     docs has doc_id and text, labels doc_id and toxic. Only the text is an input of a score. Null and empty texts and those without
     letters get the same low score. Null ids are scored and count as not held out. Repeated rows get equal scores. With no labelled
-    rows of both kinds every score is a constant. With `keep`, docs' own columns stay instead, and score is added as toxic_score.
+    rows of both kinds every score is a constant. Other columns are not read; an empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    name = "toxic_score" if keep else "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, column in slices(batches, "text", 1 << 20):
-            yield pa.record_batch([*part.columns, pa.array(score_texts(model.value, column))], names=[*part.schema.names, name])
+        for part, column in slices(batches, "text"):
+            yield pa.record_batch([part.column("doc_id"), pa.array(score_texts(model.value, column))], names=["doc_id", "score"])
 
-    if keep:
-        return docs.mapInArrow(run, _with(docs, name))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = own.mapInArrow(run, _with(own, name))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below `least`, with all their columns, whatever their names. Edge cases as in toxicity_scores."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, column in slices(batches, "text"):
+            yield part.filter(pa.array(score_texts(model.value, column) < least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +13,26 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.llm import decontaminate, fingerprints, jaccard, licenses, pieces, quality, secrets, toxicity, urls, warc
-from sparkquill.llm.batches import text_column
+from sparkquill.llm import batches
+from sparkquill.llm.batches import Words, labelled_sample, scratch, text_column
 from sparkquill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "row string, key string, sig string, label string, score string, bucket string, value string, path string, file string"
+CLASH = "row string, key string, sig string, label string, score string, bucket string, value string, path string, file string, row_ string, cuts string, cuts_ string, text_ string, id_ string, digest string, digest_ string, toxic_score string"
 
 
 def table(spark, rows):
     """documents with more columns, whose names operators use inside."""
-    full = [(i, t, "en", "s", len(t or ""), *["x"] * 9) for i, t in rows]
+    full = [(i, t, "en", "s", len(t or ""), *["x"] * 17) for i, t in rows]
     return spark.createDataFrame(full, f"{SCHEMA}, {CLASH}")
 
 
+def thue_morse(n):
+    """Two words of n letters a and b that any polynomial hash modulo a power of two confuses if n is 1024 or more."""
+    w = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
 def words(r, n):
     return [r.choice(["wa", "wb", "wc", "wd", "we"]) + str(r.randrange(60)) for _ in range(n)]
 
@@ -84,6 +92,44 @@ def test_jaccard_of_nothing(spark):
     assert [tuple(r) for r in jaccard.similarity_components(table(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def test_hashes_of_words_built_to_collide(spark):
+    pairs = [w for k in range(1, 15) for w in thue_morse(1 << k)]
+    assert len(set(Words(text_column(pa.array(pairs))).hashes().tolist())) == len(pairs)
+    rows = list(enumerate(pairs))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.similarity_components(table(spark, rows)).collect()) == [(i, 1, i) for i, _ in rows]
+
+
+def test_different_sets_of_one_name(monkeypatch):
+    """Names that every set of a size shares: sets get nodes of their own, equal sets the same one."""
+    monkeypatch.setattr(jaccard, "_signature", lambda s: (len(s), int(s.sum() & np.uint64(0xFFFF))))
+    texts = ["a b c d e f", "a b c d e f", "b c d e f g", "x y", "z"]
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in jaccard._rows("text", ["doc_id"], None)[0](iter([batch])) for r in b.to_pylist() if r["times"] is None]
+    least = {}
+    for r in rows:
+        least[r["sig"]] = min(least.get(r["sig"], 1 << 62), r["other"])
+    assert len(least) == 2
+
+    class Shared:
+        value = least
+
+    again = [r["sig"] for b in jaccard._rows("text", ["doc_id"], Shared)[0](iter([batch])) for r in b.to_pylist() if r["times"] is None]
+    assert again[0] == again[1] and len(set(again)) == 4
+    assert set(again) == {k for b in jaccard._prefixes("text", type("B", (), {"value": (np.zeros(0, np.uint64), np.zeros(0, np.int64))}), Shared)[0](iter([batch])) for k in b.column("sig").to_pylist()}
+
+
+def test_without_near_copies(spark):
+    r = random.Random(12)
+    a, b, c = (" ".join(words(r, 40)) for _ in range(3))
+    stay = lambda rows: sorted(((x.doc_id, x.text) for x in jaccard.without_near_copies(table(spark, rows)).collect()), key=str)
+    assert stay([(5, a), (5, b)]) == sorted([(5, a), (5, b)], key=str)
+    assert stay([(1, a), (5, a), (5, b)]) == sorted([(1, a), (5, b)], key=str)
+    assert stay([(None, a)] * 3) == [(None, a)]
+    assert stay([(None, a), (7, a + " tail"), (None, b), (3, c), (3, c), (3, c)]) == sorted([(7, a + " tail"), (None, b), (3, c)], key=str)
+    assert len(stay([(1, None), (1, None), (2, ""), (None, " ")])) == 4
+    assert stay([]) == [] and jaccard.without_near_copies(table(spark, [(1, a)])).columns == table(spark, []).columns
+
+
 def test_bitmaps_bound_differences():
     r = np.random.default_rng(1)
     a, b = (np.unique(r.integers(0, 900, n).astype(np.uint64)) for n in (700, 500))
@@ -225,6 +271,12 @@ def test_ownership(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {x.doc_id: x for x in secrets.find_secrets(docs).collect()}
     assert (got[0].n_live, got[0].n_example, got[5].n_live, got[5].n_example) == (0, 1, 1, 0)
+    # one owner, in ever more repositories; two owners
+    kinds = {}
+    for name, where in {"one": [("s", "a")], "two": [("s", "a"), ("s", "b")], "three": [("s", "a"), ("s", "b"), ("s", "c")], "many": [("s", k) for k in "abcd"], "both": [("s", "a"), ("t", "a")], "all": [("s", "a"), ("t", "a"), ("u", "a")]}.items():
+        x = secrets.find_secrets(spark.createDataFrame([(i, "secret: abcdefg1", lang, source, 9) for i, (source, lang) in enumerate(where)], SCHEMA)).first()
+        kinds[name] = (x.n_live, x.n_shared, x.n_example)
+    assert kinds == {"one": (1, 0, 0), "two": (1, 0, 0), "three": (0, 1, 0), "many": (0, 0, 1), "both": (0, 1, 0), "all": (0, 0, 1)}
     assert got[7].spans == "token:4:25" and got[7].n_live == 1
     cut = secrets.redact_secrets(docs)
     assert cut.columns == docs.columns
@@ -232,12 +284,27 @@ def test_ownership(spark):
     assert texts == {**{i: rows[i][1] for i in range(4)}, 4: "[ASSIGN]' x", 5: "[ASSIGN]' x", 7: "key [TOKEN] end", 8: None}
 
 
+def test_redaction_against_plain_cuts(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice([f"password=hunter{r.randrange(10**6)}", "é", "ab", f"AKIA{r.randrange(10**17):017d}", f"token:{r.randrange(16**30):030x}", "x\n"]) for _ in range(r.randrange(12)))) for i in range(60)] + [(90, None), (91, ""), (92, None)]
+    cut = secrets.redact_secrets(table(spark, rows))
+    assert cut.columns == table(spark, []).columns
+    for x in cut.collect():
+        text = dict(rows)[x.doc_id]
+        spans = sorted(s[:3] for s in (lambda b: b + secrets.token_spans(text or "", b))(secrets.base_spans(text or "")))
+        out, at = "", 0
+        for a, k, b in spans:
+            if b > at:
+                out, at = out + (text[at:a] + f"[{secrets.KINDS[k].upper()}]" if a >= at else ""), b
+        assert x.text == (None if text is None else out + text[at:])
+
+
 # --- 3
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    with open(pieces.default_model(), "rb") as f:
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
         return pieces.Encoder(pieces.parse_model(f.read()))
 
 
@@ -253,7 +320,7 @@ def best_score(m, text):
     return best[-1]
 
 
-TEXTS = ["Hello world", "  two  spaces\nline", "über den Fluß", "日本語 𓀀 🎉", "a", "the quick brown fox", "x" * 500, "ab " * 200, "\x00\x7f"]
+TEXTS = [*(w for k in (3, 9, 10, 14) for w in thue_morse(1 << k)), "Hello world", "  two  spaces\nline", "über den Fluß", "日本語 𓀀 🎉", "a", "the quick brown fox", "x" * 500, "ab " * 200, "\x00\x7f"]
 
 
 def test_viterbi_is_best(encoder):
@@ -266,6 +333,13 @@ def test_viterbi_is_best(encoder):
         assert pieces._segment_one(m, (" " + text).encode()) == ids
 
 
+def test_log_scores(encoder):
+    m = encoder.m
+    own = np.array([s for s, k in zip(m.scores, m.kinds, strict=True) if k == pieces.NORMAL])
+    assert np.exp(own).sum() == pytest.approx(1.0) and own.max() == m.scores[m.pieces.index("▁t")]
+    assert pieces.log_scores(np.array([-1.0, 5.0, 0.0]), [1, 3, 1]).tolist() == pytest.approx([np.log(1 / 101 / (1 / 100 + 1 / 101)), 0.0, np.log(1 / 100 / (1 / 100 + 1 / 101))])
+
+
 def test_encoding(spark, encoder):
     rows = [*enumerate(TEXTS), (90, None), (91, ""), (0, TEXTS[0])]
     out = pieces.encode_audit(table(spark, rows)).collect()
@@ -301,6 +375,66 @@ def test_double_array():
 
 # --- 4
 
+def plain_templates(text):
+    """(words, slots, all readings of each window by place) word by word."""
+    found = [(m[0], m.start()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w, _ in found]
+    kinds, opener = [], []
+    for k, (w, at) in enumerate(found):
+        gap = text[found[k - 1][1] + len(found[k - 1][0]) : at] if k else "."
+        opens = not k or any(c in "\n\r!.:?" for c in gap)
+        number = any(c.isdigit() and c.isascii() for c in w)
+        capital = not number and w[0].isupper() and len(w) > 1 and not w[1].isupper()
+        unit = k > 0 and kinds[k - 1] == ("#",) and not opens and low[k] in decontaminate.UNITS
+        kinds.append(("#",) if number else ("U",) if unit else ("N",) if capital and not opens else (low[k], "N") if capital else (low[k],))
+        opener.append(capital and opens)
+    windows = {}
+    for k in range(len(found) - 4):
+        every = itertools.product(*kinds[k : k + 5])
+        windows[k] = {w for w in every if sum(x not in "#UN" for x in w) >= 3}
+    return low, windows
+
+
+def test_candidates_against_all_pairs_of_windows():
+    r = random.Random(14)
+    vocabulary = "Tom Ann Eve tom pays 3 12 7 km dollars for the red blue shirt in town and . ? box".split()
+    make = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [make(r.randrange(6, 14)) for _ in range(12)]
+    texts = [" ".join([make(r.randrange(9)), r.choice(items), make(r.randrange(9)), r.choice(items)]) for _ in range(25)] + ["", items[0] * 3]
+    b = decontaminate.Benchmark(list(range(len(items))), items)
+    t = decontaminate.Templates(text_column(pa.array(texts)))
+    got = {(d, i, int(t.at[x]) - int(t.first[d]), int(b.place[y])) for d, i, xs, ys in b.candidates(t) for x, y in zip(xs, ys, strict=True)}
+    want = set()
+    for i, item in enumerate(items):
+        own = plain_templates(item)[1]
+        for d, text in enumerate(texts):
+            hits = {(d, i, x, y) for x, one in plain_templates(text)[1].items() for y, two in own.items() if one & two}
+            if {h[:2] for h in got} & {(d, i)}:
+                assert hits == {h for h in got if h[:2] == (d, i)}
+            else:
+                assert len({h[3] for h in hits}) < decontaminate.COVERAGE * max(1, len([w for w in own.values() if w])) or not hits
+            want |= hits
+    assert got <= want and got
+
+
+def test_a_passage_that_many_items_share():
+    prompt = "read the text below with care and then answer the question that follows it in one word "
+    r = random.Random(15)
+    items = [prompt + " ".join(words(r, 12)) for _ in range(300)]
+    b = decontaminate.Benchmark(list(range(300)), items)
+    tracemalloc.start()
+    assert {x[1] for x in b.leaks(text_column(pa.array([prompt * 60 + items[7]])))} >= {7}
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
+def test_items_without_windows(spark):
+    items = [(1, "seven"), (2, "Two words"), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "..."), (5, "a b c d")]
+    rows = [(1, "it is seven o'clock"), (2, "these two words. Two, words"), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12"), (4, "1 2 3 4 5 6 7 8 9 10 11 13"), (5, "A-B-C-D"), (6, "a b c"), (7, "sevens")]
+    got = decontaminate.leaked_items(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.coverage) for x in got) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (5, 5, 1.0)]
+
+
 ITEMS = [(1, "Anna buys 12 apples and 7 pears in the old market, then Anna walks 3 km to the river"), (2, "a plain question without any slots that asks about the colour of the evening sky"), (3, "too short"), (4, None)]
 
 
@@ -413,6 +547,39 @@ def test_licenses_inside_lines_and_of_the_gnu_and_bsd_families(spark):
     assert got == {i: name for i, (name, _) in enumerate(want)}
 
 
+OPENINGS = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA\n",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n", "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+}
+
+
+def test_licence_files_and_denials(spark):
+    rows = [(i, f"p/{i}.txt", t + "\n" + "and so on " * 50) for i, t in enumerate(OPENINGS.values())]
+    rows += [(90, "q/1", "Not licensed under the MIT License."), (91, "q/2", "This code isn't released under the Apache License, Version 2.0. It was a long day."), (92, "q/3", "Not licensed under the MIT License.\nReleased under the ISC License."), (93, "q/4", licenses._APACHE_NOTICE + licenses._APACHE_END)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in licenses.license_scan(docs).collect()}
+    assert got == dict(enumerate(OPENINGS)) | {90: None, 91: None, 92: "ISC", 93: "Apache-2.0"}
+
+
+def test_license_windows_against_all_windows():
+    r = random.Random(16)
+    own = licenses.Matcher()
+    windows = licenses._Windows(own)
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 400]
+    for _ in range(12):
+        w = r.choice(lines).split()
+        text = " ".join(words(r, r.randrange(30)) + [x for x in w if r.random() > 0.05] + words(r, r.randrange(30)))
+        terms = licenses._TERM.findall(text.lower())
+        anchors = [k for k, x in enumerate(terms) if any(a.decode().strip() in x for a in licenses.ANCHORS)]
+        every = [own.best(" ".join(terms[k : k + n]))[0] for n in windows.lengths.tolist() for k in range(len(terms) - n + 1) if any(k <= a < k + n for a in anchors)]
+        best = max(every, default=0.0)
+        got = windows.best(text)[0]
+        assert got == pytest.approx(best) if best >= licenses.LEAST else got < licenses.LEAST
+
+
 # --- 6, 7
 
 
@@ -473,6 +640,71 @@ def test_toxicity_gradients():
         assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-4)
 
 
+def test_toxicity_against_plain_loops():
+    """Scores by loops over words, grams and steps."""
+    m = toxicity.new_model(5)
+    m = {k: v + 0.3 * np.sin(np.arange(v.size).reshape(v.shape)).astype(np.float32) if k not in "EC" else v for k, v in m.items()}
+    text = "Some nästy words, here! " * 30
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode()
+    spans = [(x.start(), x.end()) for x in re.finditer(rb"[a-z\x80-\xff]+", low)]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = Words(text_column(pa.array([text])), toxicity._BETWEEN).hashes()
+    vectors = []
+    for k, (a, b) in enumerate(spans):
+        grams = []
+        for at in range(a, b):
+            g = bytes(low[j] if a <= j < b else 0 for j in range(at - 2, at + 3))
+            grams.append(int(batches.mix(np.array([int.from_bytes(g, "little")], np.uint64))[0]) & (toxicity.GRAMS - 1))
+        vectors.append(m["E"][int(h[k]) & (toxicity.WORDS - 1)] + np.mean([m["C"][g] for g in grams], 0))
+    scores = []
+    H = toxicity.HIDDEN
+    for at in range(0, max(1, len(vectors) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+        v = vectors[at : at + toxicity.WINDOW]
+        both = []
+        for d, order in (("f", range(len(v))), ("b", reversed(range(len(v))))):
+            state, out = np.zeros(H), {}
+            for t in order:
+                x, g = v[t] @ m[f"W{d}"] + m[f"c{d}"], state @ m[f"U{d}"]
+                reset, update = sig(x[:H] + g[:H]), sig(x[H : 2 * H] + g[H : 2 * H])
+                new = np.tanh(x[2 * H :] + reset * g[2 * H :])
+                state = out[t] = new + update * (state - new)
+            both.append([out[t] for t in range(len(v))])
+        states = [np.concatenate(s) for s in zip(*both, strict=True)]
+        weight = np.exp([np.tanh(s @ m["A"]) @ m["v"] for s in states])
+        scores.append(sum(w * s for w, s in zip(weight, states, strict=True)) / weight.sum() @ m["w"] + m["b"][0])
+    assert len(scores) > 1
+    assert toxicity.score_texts(m, text_column(pa.array([text])))[0] == pytest.approx(sig(max(scores)), abs=1e-4)
+
+
+def test_clashing_columns_of_a_filter(spark):
+    docs = table(spark, [(i, f"word{'abc'[i % 3]} plain text") for i in range(30)])
+    kept = toxicity.without_toxic(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int"), 2.0)
+    assert kept.columns == docs.columns and kept.count() == 30
+
+
+def test_sample_bounds(spark, monkeypatch):
+    docs = table(spark, [(i, "x" * 100) for i in range(40)] + [(50, "y" * 5000), (51, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(52)], "doc_id long, y int")
+    take = lambda most: labelled_sample(docs, labels, "y", F.col("doc_id") < 4, most)
+    assert len(take(100)) == 37 and {x.y for x in take(100)} == {0, 1} and 7 < len(take(7)) <= 14
+    monkeypatch.setattr(batches, "SAMPLE_BYTES", 1000)
+    assert len(take(100)) == 20 and all(x.doc_id >= 4 and len(x.text) == 100 for x in take(100))
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, other=None: other)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Session)
+    Session.sparkContext.master = "local[8]"
+    assert scratch(Session).startswith("file:///")
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 63, 64, 65, 112, 113, 500):
         x = toxicity.Inputs(text_column(pa.array([" ".join(["word"] * n)])))
@@ -489,6 +721,21 @@ def test_quality(spark):
     assert quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).select("score").distinct().count() == 1
 
 
+def test_quality_against_plain_loops():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 20))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0)).astype(float)
+    m = quality.train(x, y)
+    for row, got in zip(x[:40], quality.score(m, x[:40]), strict=True):
+        z = m["bias"]
+        for f in range(20):
+            z += m["tables"][f][sum(c <= row[f] for c in m["cuts"][f])]
+        for (f, g), t in zip(m["pairs"], m["pair_tables"], strict=True):
+            z += t[sum(c <= row[f] for c in m["pair_cuts"][f]), sum(c <= row[g] for c in m["pair_cuts"][g])]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+    assert np.mean((quality.score(m, x) >= 0.5) == y) > 0.9
+
+
 def test_quality_features():
     t = "Ab cd ab.\nAb cd ab.\n| x1"
     f = dict(zip(quality.FEATURES, quality.features(text_column(pa.array(["", t])))[1], strict=True))
@@ -539,6 +786,21 @@ def test_warc_audit(spark):
     assert warc.audit(make([]), make([]))[0].count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    pages = [("http://h/1", "<p>é</p>"), ("http://h/2", ""), (None, None), ("http://h/1", "x" * 100_000)]
+    records = [x.r for x in spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i int, url string, html string").orderBy("i").select(warc.warc_record(F.col("url"), F.col("html")).alias("r")).collect()]
+    for name in ("one.warc", "two.warc"):
+        (tmp_path / name).write_bytes("".join(records if name == "one.warc" else records[:2] + [records[3].replace("x", "y", 1)]).encode())
+    got = warc.read_warc(spark, str(tmp_path))
+    one = sorted((x for x in got.collect() if x.file.endswith("one.warc")), key=lambda x: x.offset)
+    assert [(x.target_uri, x.content.decode(), x.type, x.length) for x in one] == [(u or "", h or "", "resource", len(r.encode())) for (u, h), r in zip(pages, records, strict=True)]
+    assert len({x.record_id for x in one}) == 4 and one[0].sha256 == hashlib.sha256(records[0].encode()).hexdigest()
+    by = lambda name: got.where(F.col("file").endswith(name)).withColumn("file", F.lit("f"))
+    assert {x.status for x in warc.audit(by("one.warc"), by("two.warc"))[0].collect()} <= {"missing", "changed", "extra"}
+    with pytest.raises(ValueError, match="byte 0"):
+        list(warc.parse_warc(b"nothing"))
+
+
 def test_replica_audit(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}é" * (i % 7), "z") for i in range(2100)] + [(None, None, None, "z"), (50, "http://again", "x", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, status string")

@@ -45,3 +45,24 @@ def test_pipeline(spark, tmp_path):
     last = {x.doc_id: x for x in stages["sentencepiece"](spark, now, folder).collect()}
     assert {i: x.decoded for i, x in last.items()} == {i: x.text or "" for i, x in cut.items()}
     assert {x.doc_id for x in corpus_pipeline.run(spark, folder).collect()} == cut.keys()
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark, tmp_path):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    a, b, c = (" ".join(word() for _ in range(50)) for _ in range(3))
+    more = "row_ string, cuts string, text_ string, toxic_score double, id_ string, digest string, component_id string, sig string"
+    docs = [(5, a, "en", "s", 1, *["x"] * 3, 0.9, *["x"] * 4), (5, b, "en", "s", 1, *["y"] * 3, 0.9, *["x"] * 4), (None, c, None, None, None, *[None] * 8), (None, c + " password = 'q8w7e6r5t4'", None, None, None, *[None] * 8), (7, None, "en", "s", 1, *["x"] * 3, 0.1, *["x"] * 4)]
+    folder = str(tmp_path)
+    frame = spark.createDataFrame(docs, f"{SCHEMA}, {more}")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    now = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == frame.columns, name
+    kept = sorted(((x.doc_id, (x.text or "")[:20]) for x in now.collect()), key=str)
+    assert [x[0] for x in kept].count(5) == 2 and len(kept) == 4 and sum(x[0] is None for x in kept) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() == 4
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), folder).count() == 0

@@ -11,29 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkquill.llm import decontaminate, jaccard, pieces, secrets, toxicity
 from sparkquill.llm.batches import small_batches, stored
 
-#: Removed ids up to which they are broadcast to the texts; beyond it the same join shuffles.
-BROADCAST_IDS = 1_000_000
-
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of 0.5 or more) go."""
     small_batches(spark)
-    scored = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True)
-    return scored.where("toxic_score < 0.5").select(docs.columns)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each group of near copies, once; rows without an id stay."""
+    """One row of each group of near copies stays, that of the least id; rows are told apart by id and text."""
     small_batches(spark)
-    groups = stored(jaccard.similarity_components(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    again = stored(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(F.struct(docs.columns).alias("row"), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return jaccard.without_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +34,7 @@ def owned_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Credentials that only one owner has are cut out of the texts; all documents stay."""
     small_batches(spark)
     cut = secrets.redact_secrets(docs)
-    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkquill.functions.text import document_text, let, split_words, strip_word
+from sparkquill.functions.text import let, split_words, strip_word
 
 # Classes in the order in which they are tried, with their patterns and actions.
 CLASSES = [
@@ -39,6 +39,8 @@ MONTHS = "january february march april may june july august september october no
 SPECIAL = "μ×ñ"
 
 _EMPTY = "array<string>"
+#: Every word of a class but ``word`` has one of these characters.
+_CLASSED = r"[-0-9./@$§¶%]"
 
 
 def _whole(word: Column, pattern: str) -> Column:
@@ -101,19 +103,24 @@ def other_tokens(word: Column) -> Column:
 
 
 def class_tokens(word: Column) -> Column:
-    """The tokens of a stripped, lower-cased word. Empty tokens are dropped."""
+    """The tokens of a stripped, lower-cased word. Empty tokens are dropped. Words of letters only, which no class but ``word`` fits, are
+    told first; the class of another word is worked out once."""
     date = short_date(word)
     actions = {
         "keep": F.array(word), "strip": F.array(F.translate(word, ",.", "")), "split": split_tokens(word), "none": F.array().cast(_EMPTY),
         "date": F.when(date.isNotNull(), F.array(date)).otherwise(F.array().cast(_EMPTY)), "ip": ip_tokens(word), "email": email_tokens(word),
         "paragraph": F.array(F.substring(word, 1, 1), F.substring(word, 2, 2**31 - 1)),
     }
-    kind = token_class(word)
-    out = F.when(kind.isin(*[n for n, _, a in CLASSES if a == "keep"]), actions["keep"])
-    for action in actions:
-        if action != "keep":
-            out = out.when(kind.isin(*[n for n, _, a in CLASSES if a == action]), actions[action])
-    return F.filter(out.otherwise(other_tokens(word)), lambda x: x != "")
+
+    def act(kind: Column) -> Column:
+        out = F.when(kind == "other", other_tokens(word))
+        for action in actions:
+            if action != "keep":
+                out = out.when(kind.isin(*[n for n, _, a in CLASSES if a == action]), actions[action])
+        return out.otherwise(actions["keep"])
+
+    kind = F.when(word.rlike(_CLASSED), token_class(word)).otherwise("other")
+    return F.when(word.rlike(r"^[a-zA-Z]+\z"), F.array(word)).otherwise(F.filter(let(kind, act), lambda x: x != ""))
 
 
 def phone_tokens(word: Column, following: Column) -> Column:
@@ -133,9 +140,10 @@ def long_date(word: Column, second: Column, third: Column) -> Column:
     return F.when(ok, calendar_date(F.when(ok, year.cast("int")), month, F.when(ok, day.cast("int"))))
 
 
-def token_groups(text: Column) -> Column:
-    """One array of tokens for each word of a text that gives any, in order; a word's tokens share a position."""
-    words = F.transform(split_words(document_text(text)), lambda x: F.lower(x))
+def token_groups(text: Column, lines: bool = True) -> Column:
+    """One array of tokens for each word of a text that gives any, in order; a word's tokens share a position. lines: whether line breaks
+    separate words."""
+    words = F.transform(split_words(text, lines), lambda x: F.lower(x))
     return F.filter(let(words, words_to_groups), lambda g: F.size(g) > 0)
 
 
@@ -144,8 +152,9 @@ def words_to_groups(words: Column) -> Column:
 
     def group(x: Column, i: Column) -> Column:
         following, third = F.get(words, i + 1), F.get(words, i + 2)
-        phone = F.when(i < n - 1, phone_tokens(x, following))
-        date = F.when(i < n - 3, long_date(x, following, third))
-        return F.when(date.isNotNull(), F.array(date)).when(phone.isNotNull(), phone).otherwise(class_tokens(strip_word(x)))
+        phone = F.when(x.startswith("(") & (i < n - 1), phone_tokens(x, following))
+        date = F.when(x.isin(MONTHS) & (i < n - 3), long_date(x, following, third))
+        other = let(date, lambda d: F.when(d.isNotNull(), F.array(d)).otherwise(let(phone, lambda p: F.coalesce(p, class_tokens(strip_word(x))))))
+        return F.when(x.rlike(r"^[a-z]+\z") & ~x.isin(MONTHS), F.array(x)).otherwise(other)
 
     return F.transform(words, group)

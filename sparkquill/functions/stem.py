@@ -7,11 +7,11 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log")]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 #: Words whose stems the rules would get wrong.
-_IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
+IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 
 
 def _shape(w: str) -> str:
@@ -33,8 +33,8 @@ def _short(w: str) -> bool:
 
 def stem(word: str) -> str:
     """The stem of one lower-cased word."""
-    if word in _IRREGULAR:
-        return _IRREGULAR[word]
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
     w = word
@@ -62,14 +62,17 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and len(w) > 2 and _shape(w)[-2] == "c":
         w = w[:-1] + "i"
-    for table, least in ((_STEP2, 0), (_STEP3, 0)):
+    # -alli goes before the other endings of its step, and its result takes that step again
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    for table in (STEP2, STEP3):
         for end, new in sorted(table, key=lambda x: -len(x[0])):
             if w.endswith(end):
                 root = w[: -len(end)]
-                if _measure(root + ("l" if end in ("fulli",) else "") if end != "logi" else root + "l") > least:
+                if _measure(root + "l" if end == "logi" else root) > 0:  # the l of -logi counts with the root
                     w = root + new
                 break
-    for end in sorted(_STEP4, key=lambda x: -len(x)):
+    for end in sorted(STEP4, key=lambda x: -len(x)):
         if w.endswith(end):
             root = w[: -len(end)]
             if _measure(root) > 1 and (end != "ion" or root.endswith(("s", "t"))):

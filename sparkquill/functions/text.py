@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -24,14 +25,20 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def document_text(text: Column) -> Column:
-    """Lines of a document joined by one space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "\n", " ")
+def _spaced(text: Column, lines: bool = True) -> Column:
+    """A document's text without the punctuation that is deleted inside words: its words are the runs of other characters than spaces.
+    Works on whole texts, so that words needn't be handled one by one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(F.translate(text, "\n", " ") if lines else text, _DELETED_CLASS, "")
 
 
-def split_words(text: Column) -> Column:
-    """Splits at single spaces, deletes punctuation inside words and drops what is left empty. Tabs and newlines don't separate."""
-    return F.filter(F.transform(F.split(text, " "), lambda x: F.translate(x, DELETED, "")), lambda x: F.length(x) > 0)
+_DELETED_CLASS = "[" + re.sub(r"([\\^\]\[&-])", r"\\\1", DELETED.replace(" ", "")) + "]"
+
+
+def split_words(text: Column, lines: bool = True) -> Column:
+    """Splits at single spaces, deletes punctuation inside words and drops what is left empty. Tabs don't separate; line breaks do, unless
+    lines is false."""
+    return F.regexp_extract_all(_spaced(text, lines), F.lit("[^ ]+"), F.lit(0))
 
 
 def strip_word(word: Column) -> Column:
@@ -40,33 +47,38 @@ def strip_word(word: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """The words of letters only, lower-cased, in order: the word class of the full tokenizer."""
-    return F.filter(F.transform(split_words(document_text(text)), lambda x: strip_word(F.lower(x))), lambda x: x.rlike(r"^[a-z]+\z"))
+    """The words of letters only, lower-cased, in order: the word class of the full tokenizer. One pass over the text finds them."""
+    low = F.regexp_replace(F.lower(_spaced(text)), f"[{STRIPPED}]", "")
+    return F.regexp_extract_all(low, F.lit(r"(?<![^ ])\.*+([a-z]++)\.*+(?![^ ])"), F.lit(1))
 
 
-def phrases(text: Column, size: int, stop_words: Column | None = None) -> Column:
+def phrases(text: Column, size: int, stop_words: list[str] | None = None) -> Column:
     """Runs of `size` adjacent words. A word that has other characters than letters, or is a stop word, is a barrier."""
-    words = F.transform(split_words(document_text(text)), lambda x: F.lower(x))
-    good = lambda x: x.rlike(r"^[a-z]+\z") & (~F.array_contains(stop_words, x) if stop_words is not None else F.lit(True))
-    marked = F.transform(words, lambda x: F.when(good(x), x))
-    return let(marked, lambda m: _runs(m, size))
+    low = F.regexp_replace(F.lower(_spaced(text)), " {2,}", " ")
+    stop = rf"(?!(?:{'|'.join(map(re.escape, sorted(stop_words)))})(?![^ ]))" if stop_words else ""
+    run = " ".join([rf"{stop}[a-z]++"] * size)
+    return F.regexp_extract_all(low, F.lit(rf"(?<![^ ])(?=({run})(?![^ ]))[a-z]++"), F.lit(1))
+
 
+def adjacent_pairs(words: Column) -> Column:
+    """Each word of an array with its next one, as structs of first and second."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, 1, n).alias("first"), F.slice(words, 2, n).alias("second"))
 
-def _runs(words: Column, size: int) -> Column:
-    """The runs of `size` words without nulls, each joined by spaces."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.slice(words, i, size))
-    return F.transform(F.filter(runs, lambda r: F.forall(r, lambda x: x.isNotNull())), lambda r: F.array_join(r, " "))
 
+#: What lies between the pieces of a text that are compared as they are.
+BREAKS = " \n"
 
-def adjacent_pairs(words: Column) -> Column:
-    """Each word with its next one, joined by a space."""
-    return let(words, lambda w: _runs(w, 2))
+
+def pieces(text: Column) -> Column:
+    """The runs of other characters than spaces and line breaks."""
+    return F.regexp_extract_all(text, F.lit(f"[^{BREAKS}]+"), F.lit(0))
 
 
-def word_runs(words: Column, size: int) -> Column:
-    """Every run of `size` words, joined by spaces."""
-    return let(words, lambda w: _runs(w, size))
+def piece_runs(text: Column, size: int) -> Column:
+    """Every stretch of `size` whole pieces, with what lies between them, as it is in the text."""
+    run = rf"(?:[^{BREAKS}]++[{BREAKS}]++){{{size - 1}}}[^{BREAKS}]++"
+    return F.regexp_extract_all(text, F.lit(rf"(?<![^{BREAKS}])(?=({run}))[^{BREAKS}]++"), F.lit(1))
 
 
 def proximity_words(query: Column) -> Column:

@@ -6,14 +6,15 @@ Every table is keyed by the term itself and the input's own doc_id; dense ids ar
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from sparkquill.functions.classes import token_groups
 from sparkquill.functions.stem import stemmed
 from sparkquill.functions.text import phrases, plain_words
+from sparkquill.operators.tables import settled
 
 
 def word_tokens(docs: DataFrame, words: Callable[[Column], Column] = plain_words) -> DataFrame:
@@ -33,9 +34,8 @@ def group_tokens(docs: DataFrame, stop_words: list[str] | None = None, stemmer:
 
 
 def phrase_tokens(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """(doc_id, pos, term): adjacent pairs and triples of words."""
-    stop = F.array(*map(F.lit, stop_words)) if stop_words else None
-    both = F.concat(phrases(F.col("text"), 2, stop), phrases(F.col("text"), 3, stop))
+    """(doc_id, pos, term): adjacent pairs, then triples, of words."""
+    both = F.concat(phrases(F.col("text"), 2, stop_words), phrases(F.col("text"), 3, stop_words))
     return docs.select("doc_id", F.posexplode(both).alias("pos", "term"))
 
 
@@ -46,49 +46,69 @@ def postings(tokens: DataFrame, positions: bool = False) -> DataFrame:
 
 
 def frequent_terms(post: DataFrame, least: int) -> DataFrame:
-    """The postings of terms that at least `least` documents have."""
-    keep = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("term")
+    """The postings of terms that at least `least` documents have. post is read twice, so it had better be a written table. The terms are
+    written too: they are few beside the postings, which a join with a small table leaves where they are."""
+    keep = settled(post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("term"))
     return post.join(keep, "term", "left_semi")
 
 
+#: Entries of a term's postings in one row of the grouped form.
+CHUNK = 100_000
+
+
 @dataclass
 class Index:
-    """postings and what is derived from them. N counts documents with postings; C is the number of all tokens."""
+    """postings and what is derived from them. N counts documents with postings; C is the number of all tokens. tables has what save()
+    has written beside the postings; without it everything is derived at each use."""
 
     postings: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def lexicon(self) -> DataFrame:
         """(term, df, ctf)."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+        return self.tables["lexicon"] if self.tables else self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
 
     @cached_property
     def doc_stats(self) -> DataFrame:
         """(doc_id, dl, n_terms)."""
-        return self.postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"))
+        return self.tables["doc_stats"].select("doc_id", "dl", "n_terms") if self.tables else self.postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"))
 
     @cached_property
     def coll_stats(self) -> DataFrame:
         """One row: N, C, avgdl, avg_distinct."""
-        return self.doc_stats.agg(F.count("*").alias("N"), F.coalesce(F.sum("dl"), F.lit(0)).alias("C"), F.avg("dl").alias("avgdl"), F.avg("n_terms").alias("avg_distinct"))
+        if self.tables:
+            return self.tables["coll_stats"]
+        return self._totals()
+
+    @cached_property
+    def totals(self) -> Row:
+        """The one row of coll_stats, which goes into expressions."""
+        return self.coll_stats.first()
 
     @cached_property
     def idf(self) -> DataFrame:
         """(term, df, ctf, idf): log10(N / df)."""
-        return self.lexicon.crossJoin(F.broadcast(self.coll_stats.select("N"))).withColumn("idf", F.log10(F.col("N") / F.col("df"))).drop("N")  # the one row of statistics
+        return self.lexicon.withColumn("idf", F.log10(F.lit(self.totals.N) / F.col("df")))
 
     def lexicon_ids(self) -> DataFrame:
         """(term_id, term, df): ids from 0 in term order. Counts of ranges of the sorted terms give each range its first id, so no task
         sorts the whole vocabulary."""
         ranged = self.lexicon.select("term", "df").repartitionByRange(F.col("term")).sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
-        ranged = ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("term")))
+        ranged = settled(ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("term"))))
         sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
         before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row for each range
         return ranged.join(before, "part").select((F.col("before") + F.col("k") - 1).alias("term_id"), "term", "df")
 
     def grouped(self) -> DataFrame:
-        """(term, entries): each term's (doc_id, tf) as one sorted array."""
-        return self.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("entries"))
+        """(term, chunk, entries): each term's (doc_id, tf) as sorted arrays of about CHUNK entries, chunks by ranges of doc_id, so that no
+        row has all documents of a frequent term. Most terms have chunk 0 only."""
+        often = self.lexicon.where(F.col("df") > CHUNK).select("term", F.ceil(F.col("df") / CHUNK).cast("int").alias("chunks"))
+        ends = self.doc_stats.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        low, high = ends.low or 0, ends.high or 0
+        chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.floor((F.col("doc_id") - low) * F.col("chunks") / float(high - low + 1))).cast("int")
+        rows = self.postings.select("term", "doc_id", "tf").join(settled(often), "term", "left")
+        return rows.groupBy("term", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("entries"))
 
     def weights(self) -> DataFrame:
         """(doc_id, term, w): (log10(tf) + 1) * idf."""
@@ -96,7 +116,7 @@ class Index:
 
     def norms(self) -> DataFrame:
         """(doc_id, dn): the sum of squared weights."""
-        return self.weights().groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("dn"))
+        return self.tables["doc_stats"].select("doc_id", "dn") if self.tables else self.weights().groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("dn"))
 
     def df_summary(self) -> DataFrame:
         return self.lexicon.agg(F.count("*").alias("n"), F.max("df").alias("most"), F.min("df").alias("least"), F.avg("df").alias("mean"), F.percentile("df", 0.5).alias("median"))
@@ -106,19 +126,33 @@ class Index:
         return self.lexicon.groupBy(F.floor(F.log2("df")).alias("bucket")).agg(F.count("*").alias("n"))
 
     def save(self, path: str) -> Index:
-        """Writes the postings in ranges of terms, so that a reader of few terms skips most row groups, and reads them again."""
-        self.postings.repartitionByRange(F.col("term")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
-        return Index.load(self.postings.sparkSession, path)
+        """Writes postings, lexicon, doc_stats (with norms) and coll_stats under path and reads them again. Postings are sorted by term
+        within each file, so that readers of few terms skip most row groups of every file."""
+        spark = self.postings.sparkSession
+        self.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        own = Index(spark.read.parquet(f"{path}/postings"))
+        own.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+        lexicon = spark.read.parquet(f"{path}/lexicon")
+        n = own.postings.select("doc_id").distinct().count()
+        weight = (F.log10("tf") + 1) * F.log10(F.lit(n) / F.col("df"))
+        rows = own.postings.select("term", "doc_id", "tf").join(lexicon.select("term", "df"), "term")
+        rows.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"), F.sum(weight * weight).alias("dn")).write.mode("overwrite").parquet(f"{path}/doc_stats")
+        Index(own.postings, {"doc_stats": spark.read.parquet(f"{path}/doc_stats")})._totals().write.mode("overwrite").parquet(f"{path}/coll_stats")
+        return Index.load(spark, path)
+
+    def _totals(self) -> DataFrame:
+        return self.doc_stats.agg(F.count("*").alias("N"), F.coalesce(F.sum("dl"), F.lit(0)).alias("C"), F.avg("dl").alias("avgdl"), F.avg("n_terms").alias("avg_distinct"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(path))
+        """An index that save() has written, with all its tables."""
+        return Index(spark.read.parquet(f"{path}/postings"), {t: spark.read.parquet(f"{path}/{t}") for t in ("lexicon", "doc_stats", "coll_stats")})
 
 
 def build_index(docs: DataFrame, kind: str = "single", stop_words: list[str] | None = None, phrase_df: int = 5) -> Index:
     """An index of kind single, stem, positional (no stop words go) or phrase (terms of at least phrase_df documents)."""
     if kind == "phrase":
-        return Index(frequent_terms(postings(phrase_tokens(docs, stop_words)), phrase_df))
+        return Index(frequent_terms(settled(postings(phrase_tokens(docs, stop_words))), phrase_df))
     if kind == "positional":
         return Index(postings(group_tokens(docs), positions=True))
     if kind not in ("single", "stem"):

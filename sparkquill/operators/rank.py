@@ -1,14 +1,17 @@
 """Ranking models. Query terms are (qid, term, qtf); a run is (qid, doc_id, rank, score, tag) with ranks from 0.
 
-Each model is one equi-join of query terms with postings and one sum for (query, document). No side is broadcast by hand: Spark
-does so where a side's own statistics say that it is small.
+Each model is one equi-join of query terms with postings and one sum for (query, document). The query terms with their statistics are
+written first, so their size is known: while they are small Spark broadcasts them and the postings stay where they are; beyond that the
+same join shuffles. The collection's totals are numbers in the expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
+from sparkquill.functions.text import adjacent_pairs
 from sparkquill.operators.index import Index
+from sparkquill.operators.tables import settled
 
 
 def query_bag(topics: DataFrame, words: Column) -> DataFrame:
@@ -31,27 +34,36 @@ def top_k(scores: DataFrame, k: int | None, tag: str) -> DataFrame:
     return ranked.select("qid", "doc_id", (F.col("rn") - 1).cast("long").alias("rank"), "score", F.lit(tag).alias("tag"))
 
 
-def _one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(stats))  # statistics of the collection: one row
-
-
 def bm25_weight(tf: Column, qtf: Column, df: Column, n: Column, dl: Column, avgdl: Column, k1: float, b: float, k2: float) -> Column:
     idf = F.log10((n - df + 0.5) / (df + 0.5))
     return idf * ((k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / avgdl))) * ((k2 + 1) * qtf / (k2 + qtf))
 
 
 def bm25(query: DataFrame, index: Index, k: int | None = 10, k1: float = 1.2, b: float = 0.75, k2: float = 1.0, compat_avgdl: bool = False, tag: str = "BM25", doc_stats: DataFrame | None = None) -> DataFrame:
-    """BM25 with an idf that is not clipped. compat_avgdl: lengths are compared with the mean number of distinct terms."""
-    rows = known_terms(query, index).join(index.postings.select("term", "doc_id", "tf"), "term").join((doc_stats if doc_stats is not None else index.doc_stats).select("doc_id", "dl"), "doc_id")
-    rows = _one_row(rows, index.coll_stats)
-    weight = bm25_weight(F.col("tf"), F.col("qtf"), F.col("df"), F.col("N"), F.col("dl"), F.col("avg_distinct" if compat_avgdl else "avgdl"), k1, b, k2)
+    """BM25 with an idf that is not clipped. compat_avgdl: lengths are compared with the mean number of distinct terms. doc_stats: the
+    lengths of another index of the documents; the mean is then theirs too."""
+    lengths, totals = _lengths(index, doc_stats)
+    terms = settled(known_terms(query, index))
+    rows = index.postings.select("term", "doc_id", "tf").join(terms, "term").join(lengths, "doc_id")
+    mean = totals.avg_distinct if compat_avgdl else totals.avgdl
+    weight = bm25_weight(F.col("tf"), F.col("qtf"), F.col("df"), F.lit(index.totals.N), F.col("dl"), F.lit(float(mean or 0)), k1, b, k2)
     return top_k(rows.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")), k, tag)
 
 
+def _lengths(index: Index, doc_stats: DataFrame | None) -> tuple[DataFrame, Row]:
+    """(doc_id, dl) and the totals that go with them."""
+    if doc_stats is None:
+        return index.doc_stats.select("doc_id", "dl"), index.totals
+    return doc_stats.select("doc_id", "dl"), doc_stats.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), F.avg("n_terms").alias("avg_distinct")).first()
+
+
 def vector_cosine(vectors: DataFrame, index: Index, k: int | None = 10, tag: str = "COSINE") -> DataFrame:
-    """Cosine of query vectors (qid, term, w) with the documents' TF-IDF weights. A query or document of norm 0 scores 0."""
+    """Cosine of query vectors (qid, term, w) with the documents' TF-IDF weights. A query or document of norm 0 scores 0. Only the
+    vectors' terms meet the lexicon, and only their postings are weighed."""
+    vectors = settled(vectors.select("qid", "term", "w").join(index.idf.select("term", "idf"), "term"))
     qn = vectors.groupBy("qid").agg(F.sum(F.col("w") * F.col("w")).alias("qn"))
-    dot = vectors.withColumnRenamed("w", "wq").join(index.weights(), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    rows = index.postings.select("term", "doc_id", "tf").join(vectors, "term")
+    dot = rows.groupBy("qid", "doc_id").agg(F.sum((F.log10("tf") + 1) * F.col("idf") * F.col("w")).alias("dot"))
     rows = dot.join(qn, "qid").join(index.norms(), "doc_id")
     return top_k(rows.withColumn("score", F.coalesce(F.try_divide(F.col("dot"), F.sqrt("qn") * F.sqrt("dn")), F.lit(0.0))), k, tag)
 
@@ -77,18 +89,18 @@ def dirichlet(query: DataFrame, index: Index, k: int | None = 100, mu: float = 4
     The sum over all query terms splits into a part of the query, one of the document's length, and one of the matched terms, so no
     (document, term) pair without a match is made.
     """
-    terms = _one_row(known_terms(query, index), index.coll_stats.select("C")).withColumn("m", mu * F.col("ctf") / F.col("C"))
+    terms = settled(known_terms(query, index).withColumn("m", mu * F.col("ctf") / F.lit(index.totals.C)))
     whole = terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log("m")).alias("background"), F.sum("qtf").alias("ql"))
-    matched = terms.join(index.postings.select("term", "doc_id", "tf"), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (F.log(F.col("tf") + F.col("m")) - F.log("m"))).alias("found"))
+    matched = index.postings.select("term", "doc_id", "tf").join(terms, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (F.log(F.col("tf") + F.col("m")) - F.log("m"))).alias("found"))
     rows = matched.join(whole, "qid").join(index.doc_stats, "doc_id")
     return top_k(rows.withColumn("score", F.col("background") - F.col("ql") * F.log(F.col("dl") + mu) + F.col("found")), k, "Dirichlet")
 
 
 def jelinek_mercer(query: DataFrame, index: Index, k: int | None = 10, lam: float = 0.1, compat_repeat: bool = False) -> DataFrame:
     """Jelinek-Mercer language model, split like dirichlet. compat_repeat: a score counts once for each matched term."""
-    terms = _one_row(known_terms(query, index), index.coll_stats.select("C")).withColumn("m", lam * F.col("ctf") / F.col("C"))
+    terms = settled(known_terms(query, index).withColumn("m", lam * F.col("ctf") / F.lit(index.totals.C)))
     whole = terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log10("m")).alias("background"))
-    rows = terms.join(index.postings.select("term", "doc_id", "tf"), "term").join(index.doc_stats.select("doc_id", "dl"), "doc_id")
+    rows = index.postings.select("term", "doc_id", "tf").join(terms, "term").join(index.doc_stats.select("doc_id", "dl"), "doc_id")
     matched = rows.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (F.log10((1 - lam) * F.col("tf") / F.col("dl") + F.col("m")) - F.log10("m"))).alias("found"), F.count("*").alias("n"))
     score = (F.col("background") + F.col("found")) * (F.col("n") if compat_repeat else F.lit(1))
     return top_k(matched.join(whole, "qid").withColumn("score", score), k, "JM")
@@ -97,30 +109,45 @@ def jelinek_mercer(query: DataFrame, index: Index, k: int | None = 10, lam: floa
 NEAR = 100
 
 
+def _close_places(p1: Column, p2: Column, near: int) -> Column:
+    """How many pairs of one place of each array are closer than `near`. The places of p2, and for each place p of p1 the ends p + near and
+    p - near, are put in one sorted array; a running count of the places of p2 is added at the former and taken off at the latter."""
+    events = F.concat(F.transform(p1, lambda p: (p + near) * 4), F.transform(p2, lambda q: q * 4 + 1), F.transform(p1, lambda p: (p - near) * 4 + 2))
+
+    def step(s: Column, e: Column) -> Column:
+        kind = F.pmod(e, F.lit(4))
+        total = F.when(kind == 0, s.total + s.seen).when(kind == 2, s.total - s.seen).otherwise(s.total)
+        return F.struct((s.seen + (kind == 1).cast("long")).alias("seen"), total.alias("total"))
+
+    zero = F.lit(0).cast("long")
+    counted = F.aggregate(F.sort_array(events), F.struct(zero.alias("seen"), zero.alias("total")), step, lambda s: s.total)
+    # two single places need no sorting
+    return F.when((F.size(p1) == 1) & (F.size(p2) == 1), (F.abs(F.get(p1, F.lit(0)) - F.get(p2, F.lit(0))) < near).cast("long")).otherwise(counted)
+
+
 def pair_counts(pairs: DataFrame, index: Index, near: int = NEAR, compat_window: bool = False) -> DataFrame:
     """(first, second, doc_id, near): for word pairs, in each document with both words how many places of theirs are closer than `near`.
 
-    Places of one document are counted by windows of the sorted arrays, not by a product: for each place of the first word the places
-    of the second below p + near less those up to p - near. compat_window: places of the second word at exactly `near` after one of
-    the first don't count.
+    The work in a document grows with the number of its places, not with their product. compat_window: places of the second word at
+    exactly `near` after one of the first don't count.
     """
-    a = index.postings.select(F.col("term").alias("first"), "doc_id", F.col("positions").alias("p1"))
-    b = index.postings.select(F.col("term").alias("second"), "doc_id", F.col("positions").alias("p2"))
-    rows = pairs.select("first", "second").distinct().join(a, "first").join(b, ["second", "doc_id"])
+    pairs = settled(pairs.select("first", "second").distinct())
+    a = index.postings.select(F.col("term").alias("first"), "doc_id", F.col("positions").alias("p1")).join(pairs, "first")
+    b = index.postings.select(F.col("term").alias("second"), "doc_id", F.col("positions").alias("p2")).join(pairs.select("second").distinct(), "second", "left_semi")
     p2 = F.array_except(F.col("p2"), F.transform("p1", lambda p: p + near)) if compat_window else F.col("p2")
-    count = F.aggregate("p1", F.lit(0).cast("long"), lambda s, p: s + F.size(F.filter(p2, lambda q: F.abs(p - q) < near)))
-    return rows.select("first", "second", "doc_id", count.alias("near"))
+    return a.join(b, ["second", "doc_id"]).select("first", "second", "doc_id", _close_places(F.col("p1"), p2, near).alias("near"))
 
 
 def proximity(topics: DataFrame, words: Column, index: Index, k: int | None = 30, near: int = NEAR, k1: float = 1.2, b: float = 0.75, k2: float = 1.0, compat_window: bool = False, doc_stats: DataFrame | None = None) -> DataFrame:
-    """BM25 over adjacent word pairs of the query: tf is the number of close places, df the number of documents with both words."""
-    own = topics.select("qid", words.alias("w")).select("qid", F.posexplode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("first"), F.slice("w", 2, F.size("w")).alias("second"))).alias("i", "pair"))
-    bag = own.groupBy("qid", F.col("pair.first").alias("first"), F.col("pair.second").alias("second")).agg(F.count("*").alias("qtf"))
-    counts = pair_counts(bag, index, near, compat_window)
+    """BM25 over adjacent word pairs of the query: tf is the number of close places, df the number of documents with both words. doc_stats as
+    in bm25; the number of documents is theirs too."""
+    lengths, totals = _lengths(index, doc_stats)
+    own = topics.select("qid", words.alias("w")).select("qid", F.inline(adjacent_pairs(F.col("w"))).alias("first", "second"))
+    bag = settled(own.groupBy("qid", "first", "second").agg(F.count("*").alias("qtf")))
+    counts = settled(pair_counts(bag, index, near, compat_window))
     df = counts.groupBy("first", "second").agg(F.count("*").alias("df"))
-    rows = bag.join(df, ["first", "second"]).join(counts, ["first", "second"]).join((doc_stats if doc_stats is not None else index.doc_stats).select("doc_id", "dl"), "doc_id")
-    rows = _one_row(rows, index.coll_stats)
-    weight = bm25_weight(F.col("near"), F.col("qtf"), F.col("df"), F.col("N"), F.col("dl"), F.col("avgdl"), k1, b, k2)
+    rows = counts.join(settled(bag.join(df, ["first", "second"])), ["first", "second"]).join(lengths, "doc_id")
+    weight = bm25_weight(F.col("near"), F.col("qtf"), F.col("df"), F.lit(totals.N), F.col("dl"), F.lit(float(totals.avgdl or 0)), k1, b, k2)
     return top_k(rows.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")), k, "positional_index")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparkquill.operators.index import Index
 from sparkquill.operators.rank import query_weights
+from sparkquill.operators.tables import settled
 
 
 def reduce_query(query: DataFrame, index: Index, threshold: float, key: str = "qtf") -> DataFrame:
@@ -29,24 +30,26 @@ def feedback_documents(run: DataFrame, n: int, top: bool = True) -> DataFrame:
 
 def expand(run: DataFrame, index: Index, documents: int = 10, terms: int = 10, criteria: str = "tfidf") -> DataFrame:
     """A new query of the best terms of the first documents, each once: by sum of tf * idf, or number of documents * idf (dfidf)."""
-    rows = feedback_documents(run, documents).join(index.postings.select("doc_id", "term", "tf"), "doc_id").join(index.idf.select("term", "idf"), "term")
-    weight = F.sum("tf") if criteria == "tfidf" else F.count("*")
-    scored = rows.groupBy("qid", "term").agg(F.round(weight * F.first("idf"), 6).alias("score"))
+    chosen = settled(feedback_documents(run, documents))
+    rows = index.postings.select("doc_id", "term", "tf").join(chosen, "doc_id").groupBy("qid", "term").agg((F.sum("tf") if criteria == "tfidf" else F.count("*")).alias("n"))
+    scored = rows.join(index.idf.select("term", "idf"), "term").select("qid", "term", F.round(F.col("n") * F.col("idf"), 6).alias("score"))
     rn = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rn", rn).where(F.col("rn") <= terms).select("qid", "term", "score", F.lit(1).cast("long").alias("qtf"))
 
 
 def _centroid(docs: DataFrame, index: Index) -> DataFrame:
-    """(qid, term, w): the mean of the documents' vectors, each divided by its sum of squares."""
+    """(qid, term, w): the mean of the documents' vectors, each divided by its sum of squares. Only these documents' postings are weighed."""
     n = docs.groupBy("qid").agg(F.count("*").alias("n"))
-    rows = docs.join(index.weights(), "doc_id").join(index.norms(), "doc_id").withColumn("w", F.coalesce(F.try_divide(F.col("w"), F.col("dn")), F.lit(0.0)))
-    return rows.groupBy("qid", "term").agg(F.sum("w").alias("w")).join(n, "qid").select("qid", "term", (F.col("w") / F.col("n")).alias("w"))
+    docs = settled(docs.join(index.norms(), "doc_id").join(n, "qid"))
+    rows = index.postings.select("doc_id", "term", "tf").join(docs, "doc_id").join(index.idf.select("term", "idf"), "term")
+    w = F.coalesce(F.try_divide((F.log10("tf") + 1) * F.col("idf"), F.col("dn")), F.lit(0.0))
+    return rows.groupBy("qid", "term", "n").agg(F.sum(w).alias("w")).select("qid", "term", (F.col("w") / F.col("n")).alias("w"))
 
 
 def rocchio(query: DataFrame, run: DataFrame, index: Index, alpha: float = 1.0, beta: float = 10.0, gamma: float = 0.0, n: int = 10, keep: int = 10) -> DataFrame:
     """(qid, term, w): alpha times the query's own weights, and beta times the centroid of the first n documents for terms that the
     query does not have (less gamma times that of the last n). Weights of at least the keep-th largest stay, ties included."""
-    own = query_weights(query, index)
+    own = settled(query_weights(query, index))
     norm = own.groupBy("qid").agg(F.sum(F.col("w") * F.col("w")).alias("qn"))
     first = own.join(norm, "qid").select("qid", "term", (F.coalesce(F.try_divide(F.col("w"), F.col("qn")), F.lit(0.0)) * alpha).alias("w"))
     new = _centroid(feedback_documents(run, n), index).withColumn("w", F.col("w") * beta)

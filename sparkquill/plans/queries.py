@@ -1,11 +1,12 @@
 """Registered queries over the driver's tables: documents are the corpus, benchmark texts the topics.
 
-Judgements: a document that contains a benchmark text is relevant to it. Indexes are kept in memory per session and folder, since
-many queries read the same one; at scale they are written once with Index.save.
+Judgements: a document that contains a benchmark text is relevant to it. Each index is written once per session and folder with
+Index.save, since many queries read the same one.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from sparkquill.functions import classes, text
 from sparkquill.functions.stem import stemmed
 from sparkquill.operators import evaluate, rank, rewrite
 from sparkquill.operators.index import Index, frequent_terms, group_tokens, postings, word_tokens
+from sparkquill.operators.tables import evenly, scratch, settled
 from sparkquill.plans import retrieval
 from sparkquill.sources.corpus import bulk_lines, tag_name, tag_value
 
@@ -27,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return evenly(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +41,12 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> Index:
     if key not in _KEPT:
         docs = documents(spark, sf_dir)
         if kind == "words":
-            post = postings(word_tokens(docs), positions=True)
+            own = Index(postings(word_tokens(docs), positions=True))
         elif kind == "phrase":
-            post = frequent_terms(postings(word_tokens(docs, lambda c: F.concat(text.phrases(c, 2), text.phrases(c, 3)))), 5)
+            own = Index(frequent_terms(settled(postings(word_tokens(docs, lambda c: F.concat(text.phrases(c, 2), text.phrases(c, 3))))), 5))
         else:
-            post = postings(group_tokens(docs, STOP_WORDS, stemmer=True))
-        _KEPT[key] = Index(post.persist())
+            own = Index(postings(group_tokens(docs, STOP_WORDS, stemmer=True)))
+        _KEPT[key] = own.save(scratch(spark))
     return _KEPT[key]
 
 
@@ -64,22 +66,67 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.query_bag(topics(spark, sf_dir), F.concat(text.phrases(F.col("title"), 2), text.phrases(F.col("title"), 3)))
 
 
+#: Pieces of a text that a document must share, as they are, to be looked at.
+INNER = 8
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id, rel): documents meet items by the items' first eight words, then the whole text is looked for."""
-    pieces = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda x: x != "")
-    own = topics(spark, sf_dir).withColumn("opening", F.array_join(F.slice(pieces(F.col("title")), 1, 8), " "))
-    runs = text.word_runs(pieces(F.col("text")), 8)
-    met = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs)).alias("opening")).join(own, "opening").select("doc_id", "qid", "title")
-    return met.join(documents(spark, sf_dir), "doc_id").where(F.contains("text", F.col("title"))).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
+    """(qid, doc_id, rel): the documents that contain an item's text.
+
+    An item's first and last pieces may be parts of longer ones in a document; what lies between is there as it is. So documents and
+    items meet by the item's second to (INNER + 1)th piece, or as many as it has between its ends, one equi-join for each number of
+    them. Items of one or two pieces meet by all stretches of a document's distinct pieces that are as long as the longer piece. Then
+    the whole text is looked for. Items without any piece judge nothing.
+    """
+    docs = documents(spark, sf_dir)
+    own = topics(spark, sf_dir).withColumn("n", F.size(text.pieces(F.col("title")))).where("n > 0")
+    inner = F.least(F.col("n") - 2, F.lit(INNER))
+    longest = F.expr("aggregate(w, '', (a, x) -> if(length(x) > length(a), x, a))")
+    own = own.withColumn("size", F.greatest(inner, F.lit(0))).withColumn("w", text.pieces(F.col("title")))
+    keyed = settled(own.select("qid", "title", "size", F.when(F.col("size") == 0, longest).alias("short")))
+    kinds = keyed.groupBy("size", F.length("short").alias("chars")).count().collect()  # sizes up to INNER, and lengths of short items
+    parts = []
+    for size in sorted({r["size"] for r in kinds if r["size"]}):
+        lead = rf"^[ \n]*[^ \n]+[ \n]+((?:[^ \n]+[ \n]+){{{size - 1}}}[^ \n]+)"
+        items = keyed.where(F.col("size") == size).select("qid", "title", F.regexp_extract("title", lead, 1).alias("key"))
+        parts.append(docs.select("doc_id", F.explode(F.array_distinct(text.piece_runs(F.col("text"), size))).alias("key")).join(items, "key").select("doc_id", "qid", "title"))
+    chars = sorted({r.chars for r in kinds if not r["size"]})
+    if chars:
+        each = docs.select("doc_id", F.explode(F.array_distinct(text.pieces(F.col("text")))).alias("piece"))
+        lengths = F.filter(F.array(*map(F.lit, chars)), lambda n: n <= F.length("piece"))
+        spots = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("piece") - n + 1), lambda i: F.substring(F.col("piece"), i, n))))
+        items = keyed.where("size = 0").select("qid", "title", F.col("short").alias("key"))
+        parts.append(each.select("doc_id", F.explode(F.array_distinct(spots)).alias("key")).join(items, "key").select("doc_id", "qid", "title"))
+    if not parts:
+        return spark.createDataFrame([], "qid long, doc_id long, rel int")
+    met = functools.reduce(DataFrame.union, parts).distinct()
+    return docs.join(met, "doc_id").where(F.contains("text", F.col("title"))).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
 
 
 def _run(spark: SparkSession, sf_dir: str, k: int = 1000) -> DataFrame:
-    return rank.bm25(_query(spark, sf_dir), _words(spark, sf_dir), k)
+    return settled(rank.bm25(_query(spark, sf_dir), _words(spark, sf_dir), k))
+
+
+def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(qrels(spark, sf_dir))
+
+
+def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word) of the forms that documents seldom have: amounts, shares, dates, addresses and initials from the other tables' columns."""
+    orders, lines, people, nations = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "nation"))
+    initials = lambda x: F.concat(F.substring(x, 1, 1), F.lit("."), F.substring(x, 2, 1), F.lit("."))
+    return (
+        orders.select(F.explode(F.array(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "MM/dd/yy"), F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("word"))
+        .union(lines.select(F.explode(F.array(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")), F.concat(F.lit("$"), F.round("l_extendedprice").cast("int").cast("string"), F.lit(",000")))).alias("word")))
+        .union(people.select(F.explode(F.array(F.concat(F.translate("c_mktsegment", " ", ""), F.lit("@seg"), F.lit("@desk.org")), F.concat(F.translate("c_mktsegment", " ", ""), F.lit(".desk@shop.com")))).alias("word")))
+        .union(nations.select(F.explode(F.array(initials(F.col("n_name")), F.concat(F.substring("n_name", 1, 2), F.lit(".gov")))).alias("word")))
+    )
 
 
 def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.transform(text.split_words(text.document_text(F.col("text"))), lambda x: text.strip_word(F.lower(x)))
-    return documents(spark, sf_dir).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): the stripped, lower-cased words of documents, and those of the other tables."""
+    words = documents(spark, sf_dir).select(F.explode(text.split_words(F.col("text"))).alias("word")).union(_written_words(spark, sf_dir))
+    return words.groupBy("word").agg(F.count("*").alias("n")).select(text.strip_word(F.lower("word")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _of_class(*names: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -94,7 +141,7 @@ def _of_class(*names: str) -> Callable[[SparkSession, str], DataFrame]:
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {
     "tokens_words": lambda s, d: word_tokens(documents(s, d)).groupBy("term").agg(F.count("*").alias("n")),
-    "tokens_split_punct": lambda s, d: documents(s, d).select(F.explode(text.split_words(text.document_text(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
+    "tokens_split_punct": lambda s, d: documents(s, d).select(F.explode(text.split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
     "tokens_money": _of_class("monetory"), "tokens_percent": _of_class("percent"), "tokens_integer": _of_class("integer"), "tokens_hyphen": _of_class("hyphen"),
     "tokens_email": _of_class("email"), "tokens_ip": _of_class("ip"), "tokens_dates": _of_class("date1", "date4"), "tokens_dots": _of_class("dots"), "tokens_dot_notes": _of_class("dot_notes"),
     "tokens_mixes": _of_class("alpha_digit", "digit_alpha", "digit_alpha_mixes", "no_hyphen_mixes", "alpha_digit_dot"), "tokens_other": _of_class("other"),
@@ -104,7 +151,7 @@ QUERIES: dict[str, Q] = {
     "entity_decode": lambda s, d: table(s, d, "pages").select("page_id", text.decode_entities(F.col("html")).alias("decoded")),
     "tag_extract": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line_no", "line")).select("page_id", F.col("line_no").cast("long").alias("line_no"), tag_name(F.col("line")).alias("tag"), tag_value(F.col("line")).alias("value")).where("tag <> ''"),
     "postings": lambda s, d: _words(s, d).postings.select("term", "doc_id", "tf"),
-    "postings_grouped": lambda s, d: _words(s, d).grouped().select("term", F.array_join(F.transform("entries", lambda e: F.concat_ws(",", e.doc_id.cast("string"), e.tf.cast("string"))), ",").alias("entries")),
+    "postings_grouped": lambda s, d: _words(s, d).grouped().select("term", "chunk", F.array_join(F.transform("entries", lambda e: F.concat_ws(",", e.doc_id.cast("string"), e.tf.cast("string"))), ",").alias("entries")),
     "positions": lambda s, d: _words(s, d).postings.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")),
     "lexicon": lambda s, d: _words(s, d).lexicon,
     "lexicon_ids": lambda s, d: _words(s, d).lexicon_ids(),
@@ -125,7 +172,7 @@ QUERIES: dict[str, Q] = {
     "phrases_trigram": lambda s, d: word_tokens(documents(s, d), lambda c: text.phrases(c, 3)).groupBy("term").agg(F.count("*").alias("n")),
     "phrase_lexicon_df5": lambda s, d: _index(s, d, "phrase").lexicon,
     "rank_phrase_bm25": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase")),
-    "proximity_pairs": lambda s, d: rank.pair_counts(topics(s, d).select(F.explode(text.adjacent_pairs(_near_words())).alias("p")).select(F.split("p", " ")[0].alias("first"), F.split("p", " ")[1].alias("second")), _words(s, d)),
+    "proximity_pairs": lambda s, d: rank.pair_counts(topics(s, d).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second")), _words(s, d)),
     "rank_proximity": lambda s, d: rank.proximity(topics(s, d), _near_words(), _words(s, d)),
     "fuse_sin_cos": lambda s, d: rank.fuse(rank.bm25(_phrases(s, d), _index(s, d, "phrase"), 100), rank.proximity(topics(s, d), _near_words(), _words(s, d), 10), rank.bm25(_query(s, d), _words(s, d), 100), mu=0.4, k=100),
     **{f"reduce_{k}": (lambda s, d, k=k: rewrite.reduce_query(_query(s, d), _words(s, d), 0.4, k)) for k in ("qtf", "idf", "qtf_idf")},
@@ -133,11 +180,15 @@ QUERIES: dict[str, Q] = {
     "expand_dfidf": lambda s, d: rewrite.expand(rank.tfidf(_query(s, d), _words(s, d)), _words(s, d), criteria="dfidf"),
     "rank_expanded": lambda s, d: retrieval.run_expanded(_query(s, d), _words(s, d), size=10),
     "rocchio_vector": lambda s, d: rewrite.rocchio(_query(s, d), rank.tfidf(_query(s, d), _words(s, d)), _words(s, d)),
+    "rocchio_negative": lambda s, d: rewrite.rocchio(_query(s, d), settled(rank.tfidf(_query(s, d), _words(s, d), None)), _words(s, d), gamma=1.0),
+    "rank_tfidf_compat_norm": lambda s, d: rank.tfidf(_query(s, d), _words(s, d), compat_norm=True),
+    "proximity_pairs_compat_window": lambda s, d: rank.pair_counts(topics(s, d).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second")), _words(s, d), compat_window=True),
+    "rank_phrase_bm25_word_lengths": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase"), doc_stats=_words(s, d).doc_stats),
     "rank_rocchio": lambda s, d: retrieval.run_rocchio(_query(s, d), _words(s, d), size=10),
     "qrels": lambda s, d: qrels(s, d),
-    "eval_counts": lambda s, d: evaluate.counts(_run(s, d), qrels(s, d)),
-    "eval_by_query": lambda s, d: evaluate.by_query(_run(s, d), qrels(s, d)).withColumn("value", F.round("value", 6)),
-    "eval_means": lambda s, d: evaluate.means(_run(s, d), qrels(s, d)).withColumn("value", F.round("value", 6)),
+    "eval_counts": lambda s, d: evaluate.counts(_run(s, d), _qrels(s, d)),
+    "eval_by_query": lambda s, d: evaluate.by_query(_run(s, d), _qrels(s, d)).withColumn("value", F.round("value", 6)),
+    "eval_means": lambda s, d: evaluate.means(_run(s, d), _qrels(s, d)).withColumn("value", F.round("value", 6)),
     "bulk_json": lambda s, d: bulk_lines(documents(s, d).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_name"), "text")).withColumn("line_no", F.col("line_no").cast("long")),
     "stem_postings": lambda s, d: _index(s, d, "stem").postings,
     "rank_stem_bm25": lambda s, d: rank.bm25(stemmed(topics(s, d).select("qid", F.explode(F.flatten(classes.token_groups(F.col("title")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))).groupBy("qid", "term").agg(F.count("*").alias("qtf")), _index(s, d, "stem")),

@@ -38,7 +38,7 @@ def test_groups(spark, line, groups):
 def test_phrases_do_not_cross_punctuation(spark):
     df = spark.createDataFrame([("The big red, house is old",), ("one",), (None,)], "t string")
     assert [r.p for r in df.select(text.phrases(F.col("t"), 2).alias("p")).collect()] == [["the big", "house is", "is old"], [], []]
-    assert df.select(text.phrases(F.col("t"), 2, F.array(F.lit("is"))).alias("p")).first().p == ["the big"]
+    assert df.select(text.phrases(F.col("t"), 2, ["is"]).alias("p")).first().p == ["the big"]
 
 
 def test_entities(spark):

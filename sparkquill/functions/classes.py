@@ -49,8 +49,9 @@ def _whole(word: Column, pattern: str) -> Column:
 
 def token_class(word: Column) -> Column:
     """The name of the first class that fits the whole word, else ``other``."""
-    out = F.when(_whole(word, CLASSES[0][1]), CLASSES[0][0])
-    for name, pattern, _ in CLASSES[1:]:
+    # letters only fit no other class, and without one of these characters no class but that fits
+    out = F.when(_whole(word, "[a-zA-Z]+"), "word").when(~word.rlike(_CLASSED), "other")
+    for name, pattern, _ in CLASSES:
         out = out.when(_whole(word, pattern), name)
     return out.otherwise("other")
 
@@ -119,8 +120,7 @@ def class_tokens(word: Column) -> Column:
                 out = out.when(kind.isin(*[n for n, _, a in CLASSES if a == action]), actions[action])
         return out.otherwise(actions["keep"])
 
-    kind = F.when(word.rlike(_CLASSED), token_class(word)).otherwise("other")
-    return F.when(word.rlike(r"^[a-zA-Z]+\z"), F.array(word)).otherwise(F.filter(let(kind, act), lambda x: x != ""))
+    return F.when(word.rlike(r"^[a-zA-Z]+\z"), F.array(word)).otherwise(F.filter(let(token_class(word), act), lambda x: x != ""))
 
 
 def phone_tokens(word: Column, following: Column) -> Column:

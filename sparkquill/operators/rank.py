@@ -109,20 +109,28 @@ def jelinek_mercer(query: DataFrame, index: Index, k: int | None = 10, lam: floa
 NEAR = 100
 
 
+#: Places of the rarer word up to which each of them is compared with all places of the other one.
+FEW_PLACES = 64
+#: Bits of the running count in _close_places: a document has fewer places of a word.
+_SEEN = 24
+
+
 def _close_places(p1: Column, p2: Column, near: int) -> Column:
-    """How many pairs of one place of each array are closer than `near`. The places of p2, and for each place p of p1 the ends p + near and
-    p - near, are put in one sorted array; a running count of the places of p2 is added at the former and taken off at the latter."""
-    events = F.concat(F.transform(p1, lambda p: (p + near) * 4), F.transform(p2, lambda q: q * 4 + 1), F.transform(p1, lambda p: (p - near) * 4 + 2))
+    """How many pairs of one place of each array are closer than `near`. The work grows with the number of places.
+
+    A word of few places is compared place by place. Otherwise the places of p2, and for each place p of p1 the ends p + near and
+    p - near, are put in one sorted array; a running count of the places of p2 is added at the former and taken off at the latter.
+    """
+    each = F.aggregate(p1, F.lit(0).cast("long"), lambda n, p: n + F.size(F.filter(p2, lambda q: F.abs(p - q) < near)))
+    long_ = lambda p: p.cast("long")
+    events = F.concat(F.transform(p1, lambda p: (long_(p) + near) * 4), F.transform(p2, lambda q: long_(q) * 4 + 1), F.transform(p1, lambda p: (long_(p) - near) * 4 + 2))
 
     def step(s: Column, e: Column) -> Column:
-        kind = F.pmod(e, F.lit(4))
-        total = F.when(kind == 0, s.total + s.seen).when(kind == 2, s.total - s.seen).otherwise(s.total)
-        return F.struct((s.seen + (kind == 1).cast("long")).alias("seen"), total.alias("total"))
-
-    zero = F.lit(0).cast("long")
-    counted = F.aggregate(F.sort_array(events), F.struct(zero.alias("seen"), zero.alias("total")), step, lambda s: s.total)
-    # two single places need no sorting
-    return F.when((F.size(p1) == 1) & (F.size(p2) == 1), (F.abs(F.get(p1, F.lit(0)) - F.get(p2, F.lit(0))) < near).cast("long")).otherwise(counted)
+        kind, seen = e.bitwiseAND(F.lit(3)), F.shiftleft(s.bitwiseAND(F.lit((1 << _SEEN) - 1)), _SEEN)
+        return F.when(kind == 1, s + 1).when(kind == 0, s + seen).otherwise(s - seen)
+
+    counted = F.shiftright(F.aggregate(F.sort_array(events), F.lit(0).cast("long"), step), _SEEN)
+    return F.when(F.least(F.size(p1), F.size(p2)) <= FEW_PLACES, each).otherwise(counted)
 
 
 def pair_counts(pairs: DataFrame, index: Index, near: int = NEAR, compat_window: bool = False) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import urllib.request
+from collections.abc import Iterator
 
-from sparkquill.operators.index import Index
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from sparkquill.operators.index import Index, frequent_terms
+from sparkquill.operators.tables import scratch
 
 HITS = "struct<hits:struct<hits:array<struct<_id:string,_score:double,_source:struct<doc_name:string,text:string>>>>>"
 
@@ -44,6 +50,37 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("metric", F.col("n").cast("double").alias("value"))
 
 
+def read_query_report(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, metric, value) of a report with a part for each query: ap and r_precision of each. A part begins with a line that names its
+    query (``Queryid (Num): N``); the lines of a file are numbered by one task, as a report is small."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?=Queryid \(Num\):)")).alias("part"))
+    number = lambda p: F.regexp_extract("part", p, 1)
+    qid = number(r"Queryid \(Num\):\s+([0-9]+)")
+    rows = lines.where(qid != "").select(qid.cast("int").alias("qid"), F.explode(F.array(F.struct(F.lit("ap").alias("metric"), number(r"(?m)^\s+([0-9]*\.[0-9]+)\s*$").alias("v")), F.struct(F.lit("r_precision").alias("metric"), number(r"Exact:\s+([0-9]*\.[0-9]+)").alias("v")))).alias("m"))
+    return rows.select("qid", "m.metric", "m.v").where("v <> ''").select("qid", "metric", F.col("v").cast("double").alias("value"))
+
+
+def search_request(text: str, size: int = 100) -> dict:
+    """The body of a full-text search for the text over the field ``text``. Its answers are read by parse_hits."""
+    return {"query": {"bool": {"must": [{"match": {"text": text}}], "must_not": [], "should": []}}, "from": 0, "size": size, "sort": [], "aggs": {}}
+
+
+def fetch_hits(topics: DataFrame, url: str, size: int = 100, timeout: float = 30.0) -> DataFrame:
+    """(qid, body): each topic's search answer from a live search endpoint (its _search address). Topics are asked one after the other by
+    the tasks that hold them; a failed request fails the task, which Spark runs again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for title in batch.column("title").to_pylist():
+                request = urllib.request.Request(url, json.dumps(search_request(title or "", size)).encode(), {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    bodies.append(answer.read().decode())
+            yield pa.record_batch([batch.column("qid"), pa.array(bodies, pa.string())], names=["qid", "body"])
+
+    return topics.select(F.col("qid").cast("int").alias("qid"), "title").mapInArrow(run, "qid int, body string")
+
+
 def parse_hits(payloads: DataFrame, tag: str = "ElasticSearch") -> DataFrame:
     """(qid, doc_name, rank, score, tag) from saved search answers (qid, body)."""
     hits = payloads.select("qid", F.posexplode(F.from_json("body", HITS)["hits"]["hits"]).alias("rank", "h"))
@@ -86,8 +123,51 @@ def write_lexicon(index: Index, path: str) -> None:
     index.lexicon_ids().sortWithinPartitions("term_id").write.mode("overwrite").csv(path)
 
 
+def _with_ids(index: Index) -> DataFrame:
+    """The postings with term ids in place of terms."""
+    return index.postings.join(index.lexicon_ids().select("term_id", "term"), "term")
+
+
+def _lines(rows: DataFrame, path: str, *fields: Column) -> None:
+    rows.repartitionByRange("term_id", "doc_id").sortWithinPartitions("term_id", "doc_id").select(F.concat_ws(",", *fields).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_ragged_index(index: Index, path: str) -> None:
-    """The form that read_ragged_index reads."""
+    """The form that read_ragged_index reads. A term's line is put together from chunks; a term of more than CHUNK documents has a line
+    for each chunk, which the reader takes as well."""
     ids = index.lexicon_ids().select("term_id", "term")
     entry = F.flatten(F.transform("entries", lambda e: F.array(e.doc_id.cast("string"), e.tf.cast("string"))))
-    index.grouped().join(ids, "term").repartitionByRange("term_id").sortWithinPartitions("term_id").select(F.concat_ws(",", F.col("term_id").cast("string"), entry).alias("value")).write.mode("overwrite").text(path)
+    index.grouped().join(ids, "term").repartitionByRange("term_id", "chunk").sortWithinPartitions("term_id", "chunk").select(F.concat_ws(",", F.col("term_id").cast("string"), entry).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_positional_index(index: Index, path: str) -> None:
+    """The form that read_positional_index reads: a line for each term and document."""
+    _lines(_with_ids(index), path, F.col("term_id").cast("string"), F.col("doc_id").cast("string"), F.col("positions").cast("array<string>"))
+
+
+def write_posting_rows(index: Index, path: str, least: int = 1) -> None:
+    """The form that read_posting_rows reads, of the terms that at least `least` documents have. Term ids are those of these terms alone."""
+    if least > 1:
+        index = Index(frequent_terms(index.postings, least))
+    _lines(_with_ids(index), path, F.col("term_id").cast("string"), F.col("doc_id").cast("string"), F.col("tf").cast("string"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """The document list (doc_id, doc_name) in the form that read_documents reads."""
+    documents.select("doc_id", "doc_name").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").csv(path)
+
+
+def write_index(index: Index, documents: DataFrame, folder: str, kind: str) -> None:
+    """Index, lexicon and document list of a kind as comma-separated files of one folder."""
+    write = {"positional": write_positional_index, "phrase": write_posting_rows}.get(kind, write_ragged_index)
+    write(index, f"{folder}/{kind}.index")
+    write_lexicon(index, f"{folder}/{kind}.lexicon")
+    write_documents(documents, f"{folder}/document_list.csv")
+
+
+def load_index(spark: SparkSession, folder: str, kind: str) -> tuple[Index, DataFrame]:
+    """An index of a kind with lexicon and lengths, and the document list, from comma-separated files of one folder. What the models read
+    is worked out once and kept as tables."""
+    lexicon = read_lexicon(spark, f"{folder}/{kind}.lexicon")
+    read = {"positional": read_positional_index, "phrase": read_posting_rows}.get(kind, read_ragged_index)
+    return read(spark, f"{folder}/{kind}.index", lexicon).save(scratch(spark)), read_documents(spark, f"{folder}/document_list.csv")

@@ -176,6 +176,90 @@ def test_files(spark, tmp_path):
     assert {r.metric: r.value for r in files.read_report(spark, str(tmp_path / "report")).collect()} == {"queries": 20, "retrieved": 4431, "iprec_0.0": 0.4638, "map": 0.3639, "p_5": 0.27, "r_precision": 0.3297}
 
 
+def test_drivers_from_files_to_files(spark, tmp_path):
+    from sparkquill.plans.drivers import main
+
+    (tmp_path / "c").mkdir()
+    texts = ["crime wave in the city", "polio crime", "a wave of polio", "the old river in the city", "crime wave again, crime wave", "wave city river old"]
+    (tmp_path / "c" / "f").write_text("".join(f"<DOC>\n<DOCNO> D-{i} </DOCNO>\n{t}\n</DOC>\n" for i, t in enumerate(texts)))
+    (tmp_path / "t").write_text("<top>\n<num> Number: 301\n<title> Topic: Crime wave\n<narr> Narrative:\nOnly in the old city\n</top>\n<top>\n<num> Number: 302\n<title> Topic: polio\n</top>\n")
+    (tmp_path / "s").write_text("the\nin\na\nof\n")
+    (tmp_path / "q").write_text("301 0 D-4 1\n301 0 D-0 1\n302 0 D-1 1\n")
+    at = lambda x: str(tmp_path / x)
+    for kind in ("single", "stem", "positional", "phrase"):
+        main(["build", at("c"), kind, at("i"), "--csv", *([] if kind == "positional" else ["--stop-words", at("s")])], spark)
+    runs = {}
+    for name, args in {
+        "bm25": ["query", at("i"), at("t"), "bm25", "single"], "bm25_csv": ["query", at("i"), at("t"), "bm25", "single", "--csv"], "lm": ["query", at("i"), at("t"), "lm", "stem", "--stop-words", at("s")],
+        "reduced": ["query", at("i"), at("t"), "cosine", "single", "--reduce", "qtf_idf", "--threshold", "0.5"], "near": ["query", at("i"), at("t"), "proximity", "positional"],
+        "expand": ["expand", at("i"), at("t"), "single"], "rocchio": ["rocchio", at("i"), at("t"), "single"], "fuse": ["fuse", at("i"), at("t")],
+    }.items():
+        places = {"query": 5, "expand": 4, "rocchio": 4, "fuse": 3}[args[0]]
+        main([*args[:places], at(name), *args[places:]], spark)
+        runs[name] = sorted(tuple(r) for r in files.read_run(spark, at(name)).collect())
+    assert all(runs.values()) and runs["bm25"] == runs["bm25_csv"]
+    assert {r[2] for r in runs["bm25"] if r[0] == 301} == {"D-0", "D-1", "D-2", "D-4", "D-5"} and {r[2] for r in runs["near"]} == {"D-0", "D-4"}
+    main(["evaluate", at("bm25"), at("q"), at("e")], spark)
+    got = {r[0]: float(r[1]) for r in spark.read.csv(at("e"), header=True).collect()}
+    assert (got["queries"], got["relevant"]) == (2, 3) and 0 < got["map"] <= 1
+    # all kinds read back from comma-separated files as they were
+    for kind in ("single", "positional", "phrase"):
+        index, documents = files.load_index(spark, at("i"), kind)
+        first, names = retrieval.load_all(spark, at("i"), kind)
+        assert sorted(map(str, index.postings.collect())) == sorted(map(str, first.postings.select(index.postings.columns).collect()))
+        assert sorted(map(str, documents.collect())) == sorted(map(str, names.collect())) and index.totals == first.totals
+
+
+def test_topic_text(spark, tmp_path):
+    topics = spark.createDataFrame([(1, "big river", "low tide\nof it"), (2, "x", None)], "qid int, title string, narrative string")
+    terms = lambda **k: sorted(r.term for r in retrieval.topic_terms(topics, retrieval.topic_text(True, k.pop("compat_join", False)), **k).where("qid = 1").collect())
+    assert terms() == ["big", "it", "low", "of", "river", "tide"]
+    assert terms(compat_join=True) == ["big", "it", "of", "riverlow", "tide"]
+    assert terms(compat_lines=True) == ["big", "it", "low", "river", "tide"]  # one word of class other, whose runs of three letters stay
+    assert terms(stemmer=lambda t: t.withColumn("term", F.upper("term")))[0] == "BIG"
+    retrieval.register_model("constant", lambda query, index, k: query)
+    assert retrieval.run_static("same", None, "constant") == "same"
+    with pytest.raises(ValueError, match="no such model"):
+        retrieval.run_static(topics, None, "nothing")
+
+
+def test_query_report_and_search_request(spark, tmp_path):
+    part = "\nQueryid (Num):      {}\nTotal number of documents over all queries\n    Retrieved:     10\n    at 0.00       0.5000\nAverage precision (non-interpolated) for all rel docs(averaged over queries)\n                  {}\nPrecision:\n  At    5 docs:   0.2000\nR-Precision (precision after R (= num_rel for a query) docs retrieved):\n    Exact:        {}\n"
+    (tmp_path / "r").write_text(part.format(301, "0.2500", "0.5000") + part.format(302, "0.7500", "1.0000"))
+    got = {(r.qid, r.metric): r.value for r in files.read_query_report(spark, str(tmp_path / "r")).collect()}
+    assert got == {(301, "ap"): 0.25, (301, "r_precision"): 0.5, (302, "ap"): 0.75, (302, "r_precision"): 1.0}
+    assert files.search_request("polio", 7)["query"]["bool"]["must"] == [{"match": {"text": "polio"}}] and files.search_request("x")["size"] == 100
+
+
+def test_close_places_of_many_places(spark):
+    r = random.Random(9)
+    rows = [(sorted(r.sample(range(3000), n)), sorted(r.sample(range(3000), m))) for n, m in ((70, 90), (500, 65), (1, 300), (66, 66), (80, 2))]
+    got = [x.n for x in spark.createDataFrame(rows, "a array<int>, b array<int>").coalesce(1).select(rank._close_places(F.col("a"), F.col("b"), 40).alias("n")).collect()]
+    assert got == [sum(abs(x - y) < 40 for x in a for y in b) for a, b in rows]
+
+
+def test_chunks_of_frequent_terms(spark, index, monkeypatch):
+    from sparkquill.operators import index as module
+
+    monkeypatch.setattr(module, "CHUNK", 5)
+    rows = index.grouped().collect()
+    assert max(len(r.entries) for r in rows) < 25 and len({r.chunk for r in rows}) > 1
+    assert sorted((r.term, e.doc_id, e.tf) for r in rows for e in r.entries) == sorted((r.term, r.doc_id, r.tf) for r in index.postings.collect())
+
+
+def test_qrels_of_short_items(spark, tmp_path):
+    from sparkquill.plans import queries
+
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    r = random.Random(4)
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 30))).replace("eta ", "eta\n") for _ in range(60)] + [None, "", " "]
+    items = [t[a : a + n] for t in texts[:40] for a, n in [(r.randrange(len(t)), r.randrange(1, 60))]] + ["a", "pha", "zzz", "", " \n", "eta\n", "a b", None, "alpha  beta"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(x.qid, x.doc_id) for x in queries.qrels(spark, str(tmp_path)).collect()}
+    assert got == {(q, d) for q, i in enumerate(items) if i and i.strip(" \n") for d, t in enumerate(texts) if t and i in t}
+
+
 def test_positional_and_phrase_files(spark, tmp_path):
     (tmp_path / "lex").write_text("0,a,2\n1,b,1\n")
     (tmp_path / "pos").write_text("0,1,2,5\n0,2,1\n1,1,3\n")

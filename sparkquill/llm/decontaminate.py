@@ -3,8 +3,8 @@
 Canonical form. A text's words are lower-cased; numbers, units after numbers and names (capitalised words) become typed
 placeholders, so a question with other numbers or names has the same template. A capitalised word that opens a sentence may be a name
 or not, so windows with such words are hashed in every reading, in items and in documents. Every window of WINDOW words of the benchmark is
-hashed; windows of documents meet them in a hash table (the benchmark is small beside the corpus: it is taken in blocks of at most
-BLOCK windows, each of which goes to all executors). An item counts as leaked where a document has enough of its windows in one
+hashed; windows of documents meet them by a hash join whose small side, the benchmark, goes to all executors in blocks of about BLOCK
+windows (of more than one block, a first pass with a filter of all windows finds the rows that the blocks have to go over). An item counts as leaked where a document has enough of its windows in one
 stretch, and the words behind the placeholders fit: one value of the item stands for one value of the document. For that the windows
 are aligned first, as a template that repeats in an item also meets its other places: a chain of windows in the item's order.
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkquill.llm.batches import U64, Words, mix, shingle_hashes, slices, spread, text_column
+from sparkquill.llm.batches import U64, Words, drop_stored, mix, shingle_hashes, slices, spread, stored, text_column
 
 WINDOW = 5
 #: Words of a window that aren't placeholders, at least; share of an item's windows; share of slots that fit.
@@ -31,6 +31,8 @@ SHIFT = 8
 #: In the alignment of hits: what a change of shift costs, and what equal words behind the placeholders add (a hit counts 1).
 CHANGE, SAME = 0.5, 0.25
 BLOCK = 2_000_000
+#: The filter of all blocks' windows has two to the power of this many bits at most (it only saves work).
+FILTER_BITS = 27
 #: Words of an item without windows that are hashed; the others are compared.
 OPENING = 8
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l gal ms s sec secs seconds second min mins minutes minute h hr hrs hours hour day days week weeks month months year years percent usd eur dollars dollar euros euro cents cent k c f w kw v a hz khz mhz ghz b kb mb gb tb mph kmh".split()
@@ -288,17 +290,79 @@ class Benchmark:
         return agree >= FITTING * len(pairs), len(pairs), any(x != y for y, v in values.items() for x in v)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and text <> ''")
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
     """The benchmark in blocks of about BLOCK windows: items are dealt by their ids' hash, and one block at a time is at the driver."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and text <> ''")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    many = max(1, -(-chars // (4 * BLOCK)))
+    rows = _items(benchmark)
+    many = _many(rows)
     for k in range(many):
         got = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k).orderBy("item_id", "text").collect()
         if got:
             yield Benchmark([r.item_id for r in got], [r.text for r in got])
 
 
+def _many(rows: DataFrame) -> int:
+    return max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // (4 * BLOCK)))
+
+
+def _filter_bits(rows: DataFrame, many: int) -> tuple[np.ndarray, list[int]]:
+    """A bit for the low bits of each hash of a window, or of the opening of an item without windows, in the whole benchmark: eight bits
+    a window or more, up to FILTER_BITS. Made by tasks, put together at the driver."""
+    bits = min(FILTER_BITS, max(20, (8 * BLOCK * many).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, column in slices(batches, "text"):
+            b = Benchmark(list(range(len(column))), column.to_pylist())
+            h = np.concatenate([b.window, *[np.array(list(v), U64) for v in b.short.values()]])
+            low = np.unique(h & U64((1 << bits) - 1)).astype(np.int64)
+            sizes = sorted(b.short)
+            yield pa.record_batch([pa.array(low >> 6), pa.array(low & 63), pa.nulls(len(low), pa.int64())], names=["word", "bit", "size"])
+            yield pa.record_batch([pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64()), pa.array(sizes, pa.int64())], names=["word", "bit", "size"])
+
+    found = stored(rows.select("text").mapInArrow(run, "word long, bit long, size long"))
+    words = np.zeros(1 << (bits - 6), U64)
+    got = found.where("word is not null").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()  # 2**(FILTER_BITS - 6) rows at most
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(U64)
+    sizes = [r["size"] for r in found.where("size is not null").select("size").distinct().collect()]  # up to OPENING
+    drop_stored(found)
+    return words, sizes
+
+
+def _met(column: pa.Array, words: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Whether each text may have a hash of the benchmark."""
+    t = Templates(column)
+    low = U64(64 * len(words) - 1)
+    inside = lambda h: (words[((h & low) >> U64(6)).astype(np.int64)] >> (h & U64(63)) & U64(1)) > 0
+    out = np.zeros(len(column), bool)
+    out[np.searchsorted(t.first, t.at[inside(t.window)], side="right") - 1] = True
+    for n in sizes:
+        k = np.flatnonzero(inside(shingle_hashes(t.plain, n)))
+        out[np.searchsorted(t.first, k, side="right") - 1] = True
+    return out
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that may hold items, the others). A benchmark of one block takes all rows at once; beyond that one pass over the texts with a
+    filter of all blocks' hashes leaves out the rows that meet none, so the blocks go over the few others only."""
+    rows = _items(benchmark)
+    many = _many(rows)
+    if many == 1:
+        return docs, None
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(rows, many))
+
+    def keep(met: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, column in slices(batches, text_col):
+                yield part.filter(pa.array(_met(column, *shared.value) == met))
+
+        return run
+
+    return stored(docs.mapInArrow(keep(True), docs.schema)), docs.mapInArrow(keep(False), docs.schema)
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item that leaked into it.
 
@@ -310,7 +374,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, coverage double, n_slots long, reworded boolean"
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, _ = _candidates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text")
     out = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -329,6 +393,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs into which no benchmark item leaked, with all their columns, whatever their names. Null, empty and repeated texts
     are judged as in leaked_items; an empty benchmark takes nothing away."""
+    schema = docs.schema
+    docs, others = _candidates(docs, benchmark, text_col)
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -338,5 +404,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
                 keep[[x[0] for x in shared.value.leaks(column)]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        docs = docs.mapInArrow(run, schema)
+    return docs if others is None else docs.union(others)

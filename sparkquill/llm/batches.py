@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import tempfile
 import uuid
@@ -231,9 +232,11 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 SAMPLE_BYTES = 32 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> list:
-    """Rows (doc_id, text, y) of each label that may be learnt from, the same ones on every run: those with the least hashes of their ids,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> tuple[list, float]:
+    """(rows, shift): rows (doc_id, text, y) of each label that may be learnt from, the same ones on every run: those with the least hashes of their ids,
     at most `most` of a label, and as many of them as have SAMPLE_BYTES of text together (a longer text alone is left out).
+    shift: the log odds of label 1 among all labels that may be learnt from less those among the rows. A model learnt from the rows adds it
+    to its own log odds, so that the bounds don't change how often it says 1.
 
     Rows without a label are left out, and of a repeated id the least text counts. held_out is a condition on doc_id; such rows are never taken.
     """
@@ -245,7 +248,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     sizes = sizes.withColumn("upto", F.sum("bytes").over(W.partitionBy("y").orderBy("rank", "doc_id"))).where(F.col("upto") <= SAMPLE_BYTES)  # `most` rows a label
     few = [r.doc_id for r in sizes.collect()]
     rows = texts.where(F.col("doc_id").isin(few)).groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").collect()
-    return sorted(rows, key=lambda r: r.doc_id)
+    all_ = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    own = {y: sum(r.y == y for r in rows) for y in (0, 1)}
+    shift = math.log(all_[1] / all_[0]) - math.log(own[1] / own[0]) if own[0] and own[1] else 0.0
+    return sorted(rows, key=lambda r: r.doc_id), shift
 
 
 def remainder(doc_id: Column, k: int) -> Column:

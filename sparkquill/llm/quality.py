@@ -2,7 +2,8 @@
 
 Boosting goes round the features in turn; each turn fits a shallow tree of one feature to the residuals, at a small rate, and adds it
 to that feature's lookup table. The pairs that explain most of what is left then get tables of their own in the same way. A score is
-the sum of the table entries of a text's bins, so the model can be read feature by feature and scoring is a few array additions.
+the sum of the table entries of a text's bins, so the model can be read feature by feature and scoring is a few array additions. At
+most SAMPLE labelled texts of each label are learnt from; the bias is shifted to the labels' true odds.
 """
 
 from __future__ import annotations
@@ -166,9 +167,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    rows = labelled_sample(docs, labels, "quality", held_out(F.col("doc_id")), SAMPLE)
+    rows, shift = labelled_sample(docs, labels, "quality", held_out(F.col("doc_id")), SAMPLE)
     parts = [features(text_column(pa.array([r.text for r in rows[i : i + 100]], pa.string()))) for i in range(0, len(rows), 100)]  # some at a time: they need less room
-    return train(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), np.array([r.y for r in rows], float))
+    model = train(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), np.array([r.y for r in rows], float))
+    return model | {"bias": model["bias"] + shift}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Inputs. Each word (a run of letters, lower-cased) is the sum of a hashed word ve
 vectors (five bytes around each byte). Windows. A text is scored in all its windows of WINDOW words, one every STRIDE words; the text's
 score is the greatest of its windows. Training. In the first FIRST rounds up to PICK windows of each text, other ones in each round, carry
 their text's label; later rounds learn from each text's highest window of all (multiple instances), so clean texts' worst windows are
-learnt as clean. At most SAMPLE labelled texts of each label are learnt from.
+learnt as clean. At most SAMPLE labelled texts of each label are learnt from; the logits are shifted to the labels' true odds.
 """
 
 from __future__ import annotations
@@ -230,8 +230,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    rows = labelled_sample(docs, labels, "toxic", held_out(F.col("doc_id")), SAMPLE)
-    return train([r.text for r in rows], np.array([r.y for r in rows], np.float32))
+    rows, shift = labelled_sample(docs, labels, "toxic", held_out(F.col("doc_id")), SAMPLE)
+    model = train([r.text for r in rows], np.array([r.y for r in rows], np.float32))
+    model["b"] += np.float32(shift)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

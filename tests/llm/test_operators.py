@@ -501,8 +501,13 @@ def test_chain_against_all_chains():
 def test_leaks_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = table(spark, [(1, ITEMS[0][1]), (2, ITEMS[1][1])])
+    docs = table(spark, [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "nothing of it"), (4, "too short"), (5, None), (None, ITEMS[0][1])])
     monkeypatch.setattr(decontaminate, "BLOCK", 8)
-    assert sorted((x.doc_id, x.item_id) for x in decontaminate.leaked_items(docs, bench).collect()) == [(1, 1), (2, 2)]
+    assert len(list(decontaminate._blocks(bench))) > 1
+    want = [(None, 1), (1, 1), (2, 2), (4, 3)]
+    assert sorted(((x.doc_id, x.item_id) for x in decontaminate.leaked_items(docs, bench).collect()), key=str) == sorted(want, key=str)
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [3, 5]
 
 
 # --- 5
@@ -685,8 +690,11 @@ def test_clashing_columns_of_a_filter(spark):
 def test_sample_bounds(spark, monkeypatch):
     docs = table(spark, [(i, "x" * 100) for i in range(40)] + [(50, "y" * 5000), (51, None)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(52)], "doc_id long, y int")
-    take = lambda most: labelled_sample(docs, labels, "y", F.col("doc_id") < 4, most)
+    take = lambda most: labelled_sample(docs, labels, "y", F.col("doc_id") < 4, most)[0]
     assert len(take(100)) == 37 and {x.y for x in take(100)} == {0, 1} and 7 < len(take(7)) <= 14
+    few = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, y int")
+    rows, shift = labelled_sample(docs, few, "y", F.col("doc_id") < 0, 5)
+    assert len(rows) == 10 and shift == pytest.approx(np.log(8 / 32)) and labelled_sample(docs, few, "y", F.col("doc_id") < 0, 99)[1] == pytest.approx(0)
     monkeypatch.setattr(batches, "SAMPLE_BYTES", 1000)
     assert len(take(100)) == 20 and all(x.doc_id >= 4 and len(x.text) == 100 for x in take(100))
 

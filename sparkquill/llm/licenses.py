@@ -77,13 +77,22 @@ LEAST = 0.6
 _TERM = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 
 
-#: A sentence or line that says of something that it is not under a licence.
-_DENIED = re.compile(r"[^.!?\n]*\b(?:not|never|isn['’]t|aren['’]t|wasn['’]t|without being|no longer)\s+(?:\w+\s+)?(?:licen[sc]ed|released|distributed|available|published|covered)\b[^\n]*?(?:[.!?](?=\s|$)|\n|$)", re.IGNORECASE)
+#: Words that say of something that it is not under a licence, and what ends their sentence.
+_DENIED = re.compile(r"\b(?:not|never|isn['’]t|aren['’]t|wasn['’]t|no longer)\s+(?:\w+\s+)?(?:licen[sc]ed|released|distributed|available|published|covered)\b", re.IGNORECASE)
+_SENTENCE_END = re.compile(r"[.!?](?=\s|$)|\n|$")
 
 
 def granting(text: str) -> str:
-    """The text with spaces for the sentences that deny a licence."""
-    return _DENIED.sub(lambda m: " " * len(m[0].rstrip("\n")) + "\n" * m[0].endswith("\n"), text)
+    """The text with spaces for the sentences that deny a licence, from the last end of a sentence or line before the denial on."""
+    out, at = [], 0
+    for m in _DENIED.finditer(text):
+        if m.start() < at:
+            continue
+        begin = max(at, *(text.rfind(c, at, m.start()) + 1 for c in ".!?\n"))
+        end = _SENTENCE_END.search(text, m.end()).start()
+        out += [text[at:begin], " " * (end - begin)]
+        at = end
+    return "".join([*out, text[at:]]) if out else text
 
 
 def terms(text: str) -> Counter:
@@ -102,6 +111,10 @@ class Matcher:
         self.unknown = math.log(1 + len(rows))
         self.names = [name for name, _ in rows]
         self.vectors = [self._unit(c) for _, c in rows]
+        self.having: dict[str, list[tuple[int, float]]] = {}
+        for k, u in enumerate(self.vectors):
+            for t, x in u.items():
+                self.having.setdefault(t, []).append((k, x))
 
     def _unit(self, c: Counter) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.unknown) for t, n in c.items()}
@@ -110,8 +123,10 @@ class Matcher:
 
     def best(self, text: str) -> tuple[float, str]:
         """(cosine, licence) of the nearest template; the first of equally near ones."""
-        v = self._unit(terms(text))
-        scores = [sum(x * v.get(t, 0.0) for t, x in u.items()) for u in self.vectors]
+        scores = [0.0] * len(self.vectors)
+        for t, y in self._unit(terms(text)).items():
+            for k, x in self.having.get(t, ()):
+                scores[k] += x * y
         k = int(np.argmax(scores))
         return scores[k], self.names[k]
 

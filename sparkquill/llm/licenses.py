@@ -74,6 +74,8 @@ TEMPLATES = {
 #: One of these, lower-cased, is in every line that can belong to a licence block.
 ANCHORS = (b"licen", b"permission", b"redistribut", b"gnu ", b"free software", b"public domain", b"unencumbered", b"creative commons")
 LEAST = 0.6
+#: Cosines that differ by less are equal.
+NOISE = 1e-9
 _TERM = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 
 
@@ -192,7 +194,7 @@ class _Windows:
         near[anchors - first + 1] = 1
         near = np.cumsum(near)
         best = (0.0, 0)
-        for n in self.lengths[self.lengths <= len(w)].tolist():
+        for n in self.lengths[self.lengths <= len(w)].tolist()[::-1]:  # of windows that fit equally well the longest counts
             start = np.flatnonzero(near[n:] > near[:-n])
             if not len(start):
                 continue
@@ -203,7 +205,7 @@ class _Windows:
                 if upper[i] < max(LEAST, best[0]):
                     break
                 score, name = self.own.best(" ".join(w[start[i] : start[i] + n]))
-                if score > best[0]:
+                if score > best[0] + NOISE:
                     best = (score, self.names.index(name))
         return best
 
@@ -241,7 +243,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     best = cache[block]
             # windows decide if they fit better than whole lines
             inner = windows.best(text)
-            if inner[0] > best[0]:
+            if inner[0] > best[0] + NOISE:
                 best = inner
             if best[0] >= LEAST:
                 found[k] = best

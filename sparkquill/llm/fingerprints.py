@@ -141,14 +141,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+def _sha(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, guest, doc_id, text) in order -> a row for each text but guests; the next row is the one after it in the bucket."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
         pairs = [i for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0] and not rows[i][1]]
@@ -157,7 +157,7 @@ def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changed = [edited(rows[i][3], rows[i + 1][3]) for i in pairs]
         f = fingerprints([r[3] for r in rows] + changed)
         own, following, new = f[pairs], f[[i + 1 for i in pairs]], f[len(rows) :]
-        columns = [[rows[i][2] for i in pairs], [len(rows[i][3]) for i in pairs], [_sha(c) for c in changed], [x.tobytes().hex() for x in own], [x.tobytes().hex() for x in new], likeness(own, new), likeness(own, following)]
+        columns = [[rows[i][2] for i in pairs], [len(rows[i][3]) for i in pairs], [_sha(c) for c in changed], [x.tobytes() for x in own], [x.tobytes() for x in new], likeness(own, new), likeness(own, following)]
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     held: list[tuple] = []
@@ -184,6 +184,11 @@ def _place(x: Column, cuts: list[int]) -> Column:
     return whole * size + count(inside)
 
 
+def _spelt(rows: DataFrame) -> DataFrame:
+    """Binary columns as lowercase hex."""
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else c for c, kind in rows.dtypes])
+
+
 def fingerprint_audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half comes from the start of the next document.
 
@@ -195,6 +200,11 @@ def fingerprint_audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are dealt by ranges of doc_id, whose bounds come from a quantile sketch of the ids, and each range also gets the first row
     of the next one, so neighbours meet in one shuffle of the texts and no task sees all rows.
     """
+    return _spelt(_audit_rows(docs, id_col, text_col))
+
+
+def _audit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """fingerprint_audit with digests and fingerprints as bytes."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     many = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -215,7 +225,7 @@ def fingerprint_audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("at.bucket", "at.guest", "doc_id", "text", "tie").repartition(many, "bucket")
     # rows that share a range's first id are all guests; the first in order is the neighbour
     rows = rows.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "tie")
-    return rows.select("bucket", "guest", "doc_id", "text").mapInArrow(_audit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("bucket", "guest", "doc_id", "text").mapInArrow(_audit, "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 
 def band_keys(f: np.ndarray) -> np.ndarray:
@@ -343,18 +353,16 @@ def _with_classes(rows: DataFrame, prints: DataFrame, least: float) -> DataFrame
     """rows (with doc_id, fingerprint and n_chars) with a class_id; prints (doc_id, binary fingerprint) has their texts but empty ones."""
     node = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first")))
     labels = _node_labels(node.select("node", "fingerprint"), least)
-    named = node.join(labels, "node", "left").where("n > 1 or label is not null").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
-    kind = dict(rows.dtypes)["fingerprint"]
-    named = stored(named.select(F.lower(F.hex("fingerprint")).alias("fingerprint") if kind == "string" else "fingerprint", "class_id"))
+    named = stored(node.join(labels, "node", "left").where("n > 1 or label is not null").select("fingerprint", F.coalesce("label", "node").alias("class_id")))
+    drop_stored(node)
     named = F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named
     return rows.join(named, "fingerprint", "left").withColumn("class_id", F.when(F.col("n_chars") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")))
 
 
 def fingerprint_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of fingerprint_audit with one more column, the class_id of near_documents."""
-    rows = stored(fingerprint_audit(docs, id_col, text_col))
-    prints = rows.where("n_chars > 0").select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
-    return _with_classes(rows, prints, least).select(*rows.columns, "class_id")
+    rows = stored(_audit_rows(docs, id_col, text_col))
+    return _spelt(_with_classes(rows, rows.where("n_chars > 0").select("doc_id", "fingerprint"), least).select(*rows.columns, "class_id"))
 
 
 def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,11 +11,16 @@ is the hub). After the components of these links are known, further rounds take
 different components, as long as there are many; the rest is compared in square tiles of bounded size, where bitmaps are met before
 a pair is put out. So a group of very many near copies costs some comparisons a node, while no link between components is lost.
 
+Numbers of links. All links of a set lie within its component, so once components are known their sets are dealt into blocks of bounded
+size, and each pair of blocks is a tile that counts exact intersections as bits and puts out one number a set, never a pair. That costs
+the square of a component's different sets in time, and each set is copied once for every block of its component.
+
 The order of shingles only steers cost: counts of frequent shingles cover all documents, and any order gives the same links.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,10 @@ TILE = 1024
 FREQUENT = 300_000
 #: Powers of two: the least and the greatest number of bits of the Bloom filter.
 BLOOM_LEAST, BLOOM_MOST = 23, 27
+#: Sets and elements of a block of a component, of which two make a tile when links are counted.
+BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1 << 20
+#: Elements that a tile's intersections are counted over at once.
+BIT_COLUMNS = 1 << 13
 #: Rounds of other hubs before the keys' remaining nodes are compared in tiles.
 ROUNDS = 1
 
@@ -366,16 +375,87 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """The links (u, v) among candidate pairs (a, b). bits has sig, n and bits of every node."""
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets (sorted, distinct) have in common, as a symmetric matrix."""
+    m = len(sets)
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    fresh_ = np.concatenate([[True], every[1:] != every[:-1]])
+    run = np.cumsum(fresh_) - 1
+    twice = np.bincount(run)[run] > 1  # an element of one set alone is in no intersection
+    owner, column = owner[twice], (np.cumsum(fresh_ & twice) - 1)[twice]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, BIT_COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + BIT_COLUMNS])
+        width = -(-(int(column[b - 1]) + 1 - lo) // 64) * 64
+        has = np.zeros((m, width), bool)
+        has[owner[a:b], column[a:b] - lo] = True
+        words = np.packbits(has, axis=1).view(U64)
+        for i in range(m - 1):
+            out[i, i + 1 :] += np.bitwise_count(words[i + 1 :] & words[i]).sum(1, dtype=np.int64)
+    return out + out.T
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, tile, block, sig, weight, members), sorted by label and tile -> (sig, links): the weights of the sets of the tile that
+    link with this one, of the other block where the tile has two."""
+    held: list[pa.RecordBatch] = []
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        label, tile, block, sig, weight = (t.column(i).to_numpy() for i in range(5))
+        cut = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (tile[1:] != tile[:-1]), [True]]))
+        links = np.zeros(len(label), np.int64)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            sets = [np.frombuffer(x.as_py(), U64) for x in t.column(5).slice(lo, hi - lo)]
+            n = np.array([len(s) for s in sets])
+            linked = 9 * _intersections(sets) >= 4 * (n[:, None] + n[None, :])
+            np.fill_diagonal(linked, False)
+            if tile[lo] // 1_000_000 != tile[lo] % 1_000_000:
+                linked &= block[lo:hi, None] != block[None, lo:hi]
+            links[lo:hi] = linked @ weight[lo:hi]
+        some = links > 0
+        yield pa.record_batch([pa.array(sig[some]), pa.array(links[some])], names=["sig", "links"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.slice(batch.num_rows - 1)
+        first = held[0]
+        if first.column(0)[0] == last.column(0)[0] and first.column(1)[0] == last.column(1)[0]:
+            continue  # one tile still
+        t = pa.Table.from_batches(held)
+        label, tile = t.column(0).to_numpy(), t.column(1).to_numpy()
+        stop = int(np.flatnonzero((label != label[-1]) | (tile != tile[-1]))[-1]) + 1
+        yield from settle(t.slice(0, stop))
+        held = t.slice(stop).combine_chunks().to_batches()
+    if held:
+        yield from settle(pa.Table.from_batches(held))
+
+
+def _link_counts(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, links) of sets (sig, members) that link with other sets: the weights of those. classes has sig, label, weight and size of them."""
+    of = classes.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    dealt = classes.join(of, "label").withColumn("block", F.expr("cast(pmod(xxhash64(sig, 5), blocks) as int)")).select("sig", "label", "weight", "blocks", "block")
+    rows = sets.join(dealt, "sig").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("tile", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
+    rows = rows.select("label", "tile", "block", "sig", "weight", "members").repartition("label", "tile").sortWithinPartitions("label", "tile")
+    return rows.mapInArrow(_count_links, "sig long, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, shared: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """The links (u, v) among candidate pairs (a, b), and the sets (sig, members) of the nodes that were compared. bits has sig, n and bits of
+    every node."""
     a, b = (bits.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab")
     left = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a long, b long"))
     nodes = _node_table(docs, "text", left, shared)
     a, b = (nodes.select(F.col("sig").alias(x), F.col("members").alias(f"x{x}")) for x in "ab")
     links = stored(left.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "u long, v long"))
     drop_stored(left)
-    drop_stored(nodes)
-    return links
+    return links, nodes
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -388,9 +468,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(over.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")).distinct())
 
 
-def _grouped(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels) of docs (kept integer columns and text): rows has the kept columns, n_shingles and sig, which is null without words;
-    labels has (sig, label) of the sets that link with another one."""
+def _grouped(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, labels, sets) of docs (kept integer columns and text): rows has the kept columns, n_shingles and sig, which is null without
+    words; labels has (sig, label) of the sets that link with another one; sets are tables (sig, members) that have all of those."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     run, schema = _rows("text", keep, None)
@@ -409,7 +489,8 @@ def _grouped(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     met = docs.select("text").mapInArrow(keys, keys_schema).select("key", "sig", "size", "pos", band).repartition("key")
     met = met.sortWithinPartitions("key", "band", F.xxhash64("sig", F.expr("key & 3")), "sig").mapInArrow(_meet, "key long, a long, b long, size int, pos int")
     met = stored(met)
-    labels = stored(components(_verified(stored(met.where("key is null").select("a", "b").distinct()), bits, docs, shared)))
+    links, nodes = _verified(stored(met.where("key is null").select("a", "b").distinct()), bits, docs, shared)
+    labels, sets = stored(components(links)), [nodes]
 
     hot = met.where("key is not null").select("key", F.col("a").alias("sig"), "size", "pos", band)
     for round_ in range(ROUNDS + 1):
@@ -432,30 +513,38 @@ def _grouped(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
             tiled = tiled.select("key", "tile", "sig", "size", "pos", "label", "bits").repartition("key", "tile").sortWithinPartitions("key", "tile")
             pairs = tiled.mapInArrow(_cross, "key long, a long, b long, size int, pos int").select("a", "b")
             round_ = ROUNDS
-        labels = _merged(labels, _verified(stored(pairs.distinct()), bits, docs, shared))
+        links, nodes = _verified(stored(pairs.distinct()), bits, docs, shared)
+        labels = _merged(labels, links)
+        sets.append(nodes)
         drop_stored(now)
         if round_ == ROUNDS:
             break
     drop_stored(met)
     drop_stored(bits)
-    return base, labels.select(F.col("node").alias("sig"), "label")
+    return base, labels.select(F.col("node").alias("sig"), "label"), sets
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose word shingle sets have a Jaccard similarity of at least 0.8, as connected components.
 
-    Returns a row per row of docs: doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included).
-    Words are what lies between white space, A-Z lower-cased. A text of fewer words than a shingle has its whole sequence as its one
-    element; null, empty and blank texts have none, link with nothing and are components of their own. Repeated rows are equal sets
-    and so one component. A null id gives a null component_id unless a linked row has an id. Other columns are not read. An empty
-    table gives an empty table. Elements are compared by 64-bit hashes, equal sets by 128 bits.
+    Returns a row per row of docs: doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links, itself included) and
+    n_links (other rows that it links with, those of an equal set included). Words are what lies between white space, A-Z lower-cased. A
+    text of fewer words than a shingle has its whole sequence as its one element; null, empty and blank texts have none, link with
+    nothing and are components of their own. Repeated rows are equal sets, so they link and are one component. A null id gives a null
+    component_id unless a linked row has an id. Other columns are not read. An empty table gives an empty table. Elements are compared
+    by 64-bit hashes, equal sets by 128 bits.
     """
-    base, labels = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
-    classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    classes = stored(classes)
+    base, labels, sets = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
+    each = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("n_shingles").alias("size"))
+    classes = stored(each.join(labels.withColumn("met", F.lit(True)), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    nodes = functools.reduce(DataFrame.union, sets)
+    links = stored(_link_counts(nodes.dropDuplicates(["sig"]) if len(sets) > 1 else nodes, classes.where("met").select("sig", "label", "weight", "size")))
+    for x in sets:
+        drop_stored(x)
     least = stored(classes.groupBy("label").agg(F.min("least").alias("component_id")))
-    named = stored(classes.join(least, "label").select("sig", "component_id"))
-    return base.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(least, "label").join(links, "sig", "left")
+    named = stored(named.select("sig", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return base.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 #: Removed rows up to which their keys are broadcast to the texts; beyond it the same join shuffles.
@@ -470,7 +559,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts have no copies: all their rows stay. Columns may have any names; an empty table gives an empty table.
     """
     key = lambda text: F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")))
-    base, labels = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), key(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")), ["doc_id", "digest"])
+    base, labels, sets = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), key(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")), ["doc_id", "digest"])
+    for x in sets:
+        drop_stored(x)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     rows = base.where("sig is not null").groupBy("sig", "doc_id", "digest").agg(F.count("*").alias("n")).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     rows = stored(rows.select("label", "doc_id", "digest", "n"))

@@ -129,7 +129,8 @@ n as (select doc_id, count(*) as n from s group by 1),
 common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
 link as (select c.a, c.b from common c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * c.k >= 80 * (x.n + y.n - c.k)),
 reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b)
-select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) as component_id
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) as component_id, coalesce(l.n_links, 0) as n_links
 from documents d left join n on n.doc_id = d.doc_id left join (select a, min(b) as m from reach group by 1) r on r.a = d.doc_id
+left join (select a, count(*) as n_links from link group by 1) l on l.a = d.doc_id
 """,
 }

@@ -68,28 +68,52 @@ def brute_components(rows):
             a = up[a]
         return a
 
+    links = [0] * len(rows)
     for a in range(len(rows)):
         for b in range(a):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 up[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
     least = {}
     for a, (i, _) in enumerate(rows):
         if i is not None:
             least[find(a)] = min(least.get(find(a), i), i)
-    return sorted((str(i), len(sets[a]), str(least.get(find(a)))) for a, (i, _) in enumerate(rows))
+    return sorted((str(i), len(sets[a]), str(least.get(find(a))), links[a]) for a, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("group", [32, 4])
-def test_jaccard(spark, corpus, group, monkeypatch):
+@pytest.mark.parametrize(("group", "block"), [(32, 1024), (4, 8)])
+def test_jaccard(spark, corpus, group, block, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     out = jaccard.similarity_components(table(spark, corpus))
-    assert out.columns == ["doc_id", "n_shingles", "component_id"]
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == brute_components(corpus)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in out.collect()) == brute_components(corpus)
+
+
+def test_intersections(monkeypatch):
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 400, n).astype(np.uint64) << np.uint64(55)) for n in (1, 90, 200, 200, 300)] + [np.array([7], np.uint64)]
+    brute = [[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for columns in (1 << 13, 64):
+        monkeypatch.setattr(jaccard, "BIT_COLUMNS", columns)
+        assert jaccard._intersections(sets).tolist() == brute
+    assert jaccard._intersections([np.array([k], np.uint64) for k in range(3)]).tolist() == [[0] * 3] * 3
+
+
+def test_links_of_tiles():
+    """Two blocks of a component, one of them in a tile of both without the other's sets, and a second component."""
+    a, b, c = (np.array(x, np.uint64).tobytes() for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [1, 9]))
+    one = 1_000_000
+    rows = [(1, 0, 0, 11, 2, a), (1, 0, 0, 12, 3, b), (1, one + 1, 1, 13, 1, b), (1, 1, 0, 11, 2, a), (1, 1, 0, 12, 3, b), (1, 1, 1, 13, 1, b), (1, 2, 0, 11, 2, a), (1, 2, 0, 12, 3, b), (2, 0, 0, 21, 1, c), (2, 0, 0, 22, 5, a)]
+    batch = [pa.record_batch([pa.array(x) for x in zip(*rows[k : k + 4], strict=True)], names=["label", "tile", "block", "sig", "weight", "members"]) for k in (0, 4, 8)]
+    got = sorted((r["sig"], r["links"]) for x in jaccard._count_links(iter(batch)) for r in x.to_pylist())
+    assert got == [(11, 1), (11, 3), (12, 1), (12, 2), (13, 5)]
 
 
 def test_jaccard_of_nothing(spark):
     assert jaccard.similarity_components(table(spark, [])).count() == 0
-    assert [tuple(r) for r in jaccard.similarity_components(table(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+    assert [tuple(r) for r in jaccard.similarity_components(table(spark, [(1, None)])).collect()] == [(1, 0, 1, 0)]
 
 
 def test_hashes_of_words_built_to_collide(spark):

@@ -1,7 +1,7 @@
 """URL filter lists: host-suffix and path-prefix expressions, met by short hash prefixes and confirmed by full digests.
 
-Only DataFrame and SQL functions are used. Each distinct URL is judged once and the verdicts are joined back, so a URL that fills a
-third of the table costs one judgement.
+Only DataFrame and SQL functions are used. Each distinct URL is judged once for each salt among its rows' ids, and the verdicts are joined
+back by URL and salt: a URL that fills a third of the table costs SALTS judgements at most and its rows are spread over as many keys.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Rules up to which their table is broadcast; beyond it the same equi-join shuffles both sides.
 BROADCAST_RULES = 100_000
 PREFIX_HEX = 8
+#: Keys over which the rows of one URL are spread by their ids.
+SALTS = 256
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -49,7 +51,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     cuts = sorted(bounds.cuts)  # at most as many as the longest rule path has characters
 
     host, path = split_url(F.col("url"))
-    urls = pages.select(F.col(url_col).alias("url")).distinct().select("url", host.alias("host"), path.alias("path"))
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).alias("salt")
+    urls = pages.select(F.col(url_col).alias("url"), salt).distinct().select("url", "salt", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     suffixes = F.filter(suffixes, lambda x: F.length(x) <= (bounds.max_host or 0))
@@ -60,12 +63,12 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
         others = F.transform(F.filter(F.array(*map(F.lit, cuts)), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
         slashes = F.array_union(slashes, others)
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(F.array_distinct(slashes), lambda p: F.concat_ws("\n", h, p))))
-    found = urls.where("url is not null").select("url", F.explode(F.transform(expressions, lambda e: F.sha2(e, 256))).alias("digest"))
+    found = urls.where("url is not null").select("url", "salt", F.explode(F.transform(expressions, lambda e: F.sha2(e, 256))).alias("digest"))
     found = found.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     found = found.join(F.broadcast(rules) if bounds.n <= BROADCAST_RULES else rules, "short").where("digest = rule_digest")
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "verdict")
-    best = found.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("best"))
+    best = found.groupBy("url", "salt").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("best"))
     host, path = split_url(F.col("p.url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("p")
-    rows = rows.join(best.alias("b"), F.col("p.url") == F.col("b.url"), "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), salt).alias("p")
+    rows = rows.join(best.alias("b"), (F.col("p.url") == F.col("b.url")) & (F.col("p.salt") == F.col("b.salt")), "left")
     return rows.select("page_id", host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -6,6 +6,7 @@ task needs does not depend on the size of its partition. A null text counts as a
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import math
@@ -200,11 +201,25 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+@contextlib.contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it ends, not when the driver happens to collect garbage. The session's own setting
+    is back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
 def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there and lost executors lose none of it."""
     spark = spark or df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    with _shuffles_cleared(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

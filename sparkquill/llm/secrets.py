@@ -37,6 +37,8 @@ WORDS = (b"passw", b"secret", b"token", b"apik", b"api_")
 ENTROPY = 3.5
 LIVE_REPOSITORIES, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 3, 4
 LIVE, SHARED, EXAMPLE = "live", "shared", "example"
+#: Groups of rows among which the spans of one value are dealt.
+SALTS = 256
 
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
@@ -140,10 +142,13 @@ def value_class(owners: Column, repositories: Column) -> Column:
 
 def _judged(found: DataFrame) -> DataFrame:
     """(row, spans) of the rows with candidates; each span has its value's class, owners and repositories. Rows with one id and text are
-    judged once. (A value that a third of the rows has is one key of the join, which adaptive execution splits where it is skewed.)"""
+    judged once. A value meets its statistics once for each of SALTS groups of rows, and the spans meet them by value and group, so a value
+    that a third of the rows has is SALTS keys."""
     stats = stored(ownership(found).withColumn("class", value_class(F.col("owners"), F.col("repositories"))))
-    each = found.where("size(found) > 0").dropDuplicates(["row"]).select("row", F.inline("found"))
-    each = stored(each).join(stats, "value")
+    each = found.where("size(found) > 0").dropDuplicates(["row"]).select("row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), F.inline("found"))
+    each = stored(each)
+    salted = each.select("value", "salt").distinct().join(stats, "value")
+    each = each.join(salted, ["value", "salt"])
     return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "class", "owners", "repositories"))).alias("spans"))
 
 

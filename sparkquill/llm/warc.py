@@ -122,6 +122,30 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
+#: Hex digits of a record's digest by which the records of one id are dealt; rows that one array makes at once.
+BLOCK_HEX, COPIES = 3, 4096
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (page_id, file, length, sha256, other) with each record's offset: records of a file by page_id, then sha256.
+
+    Equal rows are counted first and become rows again at the end. Offsets are sums over a file's blocks (id and first digits of the
+    digest), then within a block, so no window sees more than a file's blocks or a block's different records, however many rows
+    share an id or have none.
+    """
+    key = ["file", "page_id", "block"]
+    each = rows.groupBy("page_id", "file", "length", "sha256", "other").agg(F.count("*").alias("n")).withColumn("block", F.substring("sha256", 1, BLOCK_HEX))
+    each = stored(each)
+    so_far = lambda size, w: F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    blocks = each.groupBy(*key).agg(F.sum(F.col("length") * F.col("n")).alias("size"))
+    blocks = blocks.select(*key, so_far("size", W.partitionBy("file").orderBy("page_id", "block")).alias("start")).alias("b")
+    each = each.withColumn("inside", so_far(F.col("length") * F.col("n"), W.partitionBy(*key).orderBy("sha256"))).alias("a")
+    each = each.join(blocks, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key])
+    each = each.select("a.page_id", "a.file", "length", "sha256", "other", "n", (F.col("start") + F.col("inside")).alias("first"))
+    some = each.withColumn("lot", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).withColumn("copy", F.explode(F.expr(f"sequence(lot * {COPIES}, least(n, (lot + 1) * {COPIES}) - 1)")))
+    return some.select("page_id", "file", "length", "sha256", "other", (F.col("first") + F.col("copy") * F.col("length")).alias("offset"))
+
+
 #: Records of one WARC file.
 FILE_RECORDS = 1000
 
@@ -139,8 +163,7 @@ def replica_audit(pages: DataFrame) -> DataFrame:
     damaged = F.when((F.col("page_id") % 50 == 0) & (F.col("html") != ""), F.sha2(damaged, 256)).when(F.col("page_id") % 50 == 7, None).otherwise(F.col("sha256"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("sha256", F.sha2(record, 256))
     rows = rows.select("page_id", F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), F.lit(-1)).cast("long").alias("file"), F.octet_length(record).cast("long").alias("length"), "sha256", damaged.alias("other"))
-    before = W.partitionBy("file").orderBy("page_id", "sha256").rowsBetween(W.unboundedPreceding, -1)  # a file's records: bounded
-    rows = stored(rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")))
+    rows = stored(_placed(rows))
     found, roots = audit(rows, rows.where("other is not null").withColumn("sha256", F.col("other")))
     out = rows.drop("other").join(stored(roots), "file", "left").join(stored(found), ["file", "offset"], "left")
     return out.select("page_id", F.concat(F.lit("crawl-"), F.col("file").cast("string")).alias("file"), "offset", "length", "sha256", "root", "other_root", F.coalesce("status", F.lit("ok")).alias("status"))

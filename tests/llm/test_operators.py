@@ -846,3 +846,31 @@ def test_replica_audit(spark):
     first = sorted((x for x in out if x.file == "crawl-2"), key=lambda x: x.offset)
     assert [x.offset for x in first] == [sum(y.length for y in first[:k]) for k in range(len(first))]
     assert warc.replica_audit(pages.limit(0)).count() == 0
+
+
+def test_records_of_one_id_are_placed_one_after_the_other(spark):
+    rows = [(None, f"u{i % 7}", "h" * (i % 11)) for i in range(300)] + [(5, "same", "copy")] * 40 + [(5, "same", "other"), (1, None, None), (2, "", "")]
+    out = warc.replica_audit(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    assert {r.file for r in out if r.page_id is None} == {"crawl--1"}
+    for file in {r.file for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.file == file), key=lambda r: (r.page_id or 0, r.sha256, r.offset)):
+            assert r.offset == at
+            at += r.length
+
+
+def test_many_copies_of_one_record(spark):
+    rows = spark.range(10_000).selectExpr("3L as page_id", "'u' as url", "'h' as html")
+    out = warc.replica_audit(rows)
+    length = out.first().length
+    r = out.selectExpr("count(*) as n", "count(distinct offset) as k", "max(offset) as m", f"sum(offset % {length}) as rest").first()
+    assert (r.n, r.k, r.m, r.rest) == (10_000, 10_000, 9_999 * length, 0)
+
+
+def test_value_of_many_rows(spark):
+    rows = [(i, f"password = hunter2hunter{'' if i % 3 else i}", f"s{i % 2}", "en") for i in range(900)]
+    out = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert len(out) == 900
+    for i, r in out.items():
+        assert (r.n_assign, r.n_live, r.n_shared, r.n_example) == ((1, 0, 1, 0) if i % 3 else (1, 1, 0, 0))

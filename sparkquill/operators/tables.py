@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +33,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{(base or _local_folder()).rstrip('/')}/quill-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it ends, not when the driver happens to collect garbage. The session's own setting
+    is back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again. It's worked out once however often it's used, lost executors lose
     none of it, and its size is known: Spark broadcasts it in joins only if it is small."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffles_cleared(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquill.llm import decontaminate, fingerprints, jaccard, licenses, pieces, quality, secrets, toxicity, urls, warc
+from sparkquill.llm import align, decontaminate, fingerprints, jaccard, licenses, lines, pieces, quality, repeats, secrets, toxicity, urls, warc
 from sparkquill.llm.batches import small_batches
 
 
@@ -60,7 +60,19 @@ def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.replica_audit(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_fingerprints, op2_secret_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_license_scan, op6_toxicity, op7_quality_classifier, op8_ngram_jaccard_join, op9_url_filters, op10_warc_merkle_audit)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup_audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_fingerprints, op2_secret_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_license_scan, op6_toxicity, op7_quality_classifier, op8_ngram_jaccard_join, op9_url_filters, op10_warc_merkle_audit, op11_line_dedup, op12_tokenizer_alignment, op13_periodic_runs)}
 
 _ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = [("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("token", "[A-Za-z0-9+/_-]{20,}")]
@@ -117,6 +129,15 @@ l4 as (select side, file, sha256(string_agg(node || ':' || hash, chr(10) order b
 select f.page_id, 'crawl-' || f.file as file, f.start as "offset", f.length, f.sha256, a.hash as root, b.hash as other_root,
   case when f.other is null then 'missing' when f.other <> f.sha256 then 'changed' else 'ok' end as status
 from f left join l4 a on a.file = f.file and a.side = 0 left join l4 b on b.file = f.file and b.side = 1
+""",
+    "op11_line_dedup": r"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select r, doc_id, unnest(l) as line, unnest(range(len(l))) as i from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from x),
+s as (select key, max(doc_id) as last from k where length(key) >= 20 group by 1 having count(distinct doc_id) >= 3),
+j as (select k.r, k.line, k.i, s.key is not null and k.doc_id < s.last as gone from k left join s on s.key = k.key)
+select d.doc_id, len(d.l) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from d join j using (r) group by d.r, d.doc_id, d.l
 """,
     "op8_ngram_jaccard_join": r"""
 with recursive w as (

@@ -1,20 +1,28 @@
 """Inverted, positional and phrase indexes as long tables, with lexicon and statistics.
 
 Every table is keyed by the term itself and the input's own doc_id; dense ids are an output column only. One row per (term, doc).
+
+A saved index is laid out by term: postings and lexicon are partitioned by a hash of the term, and sorted by term within each file. A query's
+terms are known before its postings are read, so their buckets prune the folders, and the terms themselves the row groups and pages of the
+files that are left. Postings carry their document's length, so that ranking needs no join for it. For terms of many documents there are
+also blocks: for each range of BLOCK_DOCS ids the greatest count and the least length, which bound what any document there can score.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from sparkquill.functions.classes import token_groups
 from sparkquill.functions.stem import stemmed
-from sparkquill.functions.text import phrases, plain_words
-from sparkquill.operators.tables import settled
+from sparkquill.functions.text import plain_words
+from sparkquill.operators.analysis import STEMMERS, Analyser
+from sparkquill.operators.tables import in_order, read_text, settled, write_text
 
 
 def word_tokens(docs: DataFrame, words: Callable[[Column], Column] = plain_words) -> DataFrame:
@@ -25,24 +33,35 @@ def word_tokens(docs: DataFrame, words: Callable[[Column], Column] = plain_words
 def group_tokens(docs: DataFrame, stop_words: list[str] | None = None, stemmer: bool = False) -> DataFrame:
     """(doc_id, pos, term) of the full tokenizer. Tokens of one word share a position. Stop words go before stemming, and words that
     are left without tokens do not count as positions."""
-    groups = token_groups(F.col("text"))
-    if stop_words:
-        stop = F.array(*map(F.lit, stop_words))
-        groups = F.filter(F.transform(groups, lambda g: F.filter(g, lambda t: ~F.array_contains(stop, t))), lambda g: F.size(g) > 0)
-    tokens = docs.select("doc_id", F.posexplode(groups).alias("pos", "group")).select("doc_id", "pos", F.explode("group").alias("term"))
+    tokens = Analyser(stop_words=tuple(stop_words or ())).tokens(docs).drop("dl")
     return stemmed(tokens) if stemmer else tokens
 
 
 def phrase_tokens(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
     """(doc_id, pos, term): adjacent pairs, then triples, of words."""
-    both = F.concat(phrases(F.col("text"), 2, stop_words), phrases(F.col("text"), 3, stop_words))
-    return docs.select("doc_id", F.posexplode(both).alias("pos", "term"))
+    return Analyser("phrase", stop_words=tuple(stop_words or ())).tokens(docs).drop("dl")
 
 
 def postings(tokens: DataFrame, positions: bool = False) -> DataFrame:
-    """(term, doc_id, tf) and, if asked for, the ascending positions."""
+    """(term, doc_id, tf) and, if asked for, the ascending positions; dl too if the tokens have it."""
     more = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), *more)
+    length = [c for c in ("dl",) if c in tokens.columns]
+    return tokens.groupBy("term", "doc_id", *length).agg(F.count("*").alias("tf"), *more).select("term", "doc_id", "tf", *length, *(["positions"] if positions else []))
+
+
+def stemmed_postings(counted: DataFrame, stemmer: Callable[[Column], Column]) -> DataFrame:
+    """Postings of stems from postings of words (term, doc_id, tf, dl), which are read twice: the vocabulary is stemmed, each word once, and
+    joined with the counts, not with every occurrence. The stems are written first, so that Spark broadcasts them only if they are few."""
+    words = counted.select(F.col("term").alias("word")).distinct()
+    words = words.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but much work for each word
+    stems = settled(words.withColumn("stem", stemmer(F.col("word"))))
+    rows = counted.join(stems, F.col("term") == F.col("word"))
+    length = [c for c in ("dl",) if c in counted.columns]
+    return rows.groupBy(F.col("stem").alias("term"), "doc_id", *length).agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", *length)
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def frequent_terms(post: DataFrame, least: int) -> DataFrame:
@@ -54,30 +73,49 @@ def frequent_terms(post: DataFrame, least: int) -> DataFrame:
 
 #: Entries of a term's postings in one row of the grouped form.
 CHUNK = 100_000
+#: Document ids in a block.
+BLOCK_DOCS = 64
+#: Terms of fewer documents have no blocks: their postings are as good.
+BLOCK_DF = 256
+#: Buckets of terms: at least, at most, and the bytes of postings (as Spark estimates them) for each.
+BUCKETS = (16, 4096, 64 << 20)
+#: Distinct terms up to which a query's terms themselves are a filter of the scans; beyond it, up to the second number, only their buckets are.
+TERMS, FEW_TERMS = 200, 20_000
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """The terms of some queries, and their buckets."""
+
+    terms: list[str]
+    buckets: set[int]
 
 
 @dataclass
 class Index:
     """postings and what is derived from them. N counts documents with postings; C is the number of all tokens. tables has what save()
-    has written beside the postings; without it everything is derived at each use."""
+    has written beside the postings; without it everything is derived at each use. analyser: how texts become the index's terms, if it is
+    known. buckets: of the terms' hashes, if the tables are laid out by them."""
 
     postings: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    analyser: Analyser | None = None
+    buckets: int | None = None
 
     @cached_property
     def lexicon(self) -> DataFrame:
         """(term, df, ctf)."""
-        return self.tables["lexicon"] if self.tables else self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+        return self.tables["lexicon"].select("term", "df", "ctf") if "lexicon" in self.tables else self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
 
     @cached_property
     def doc_stats(self) -> DataFrame:
         """(doc_id, dl, n_terms)."""
-        return self.tables["doc_stats"].select("doc_id", "dl", "n_terms") if self.tables else self.postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"))
+        return self.tables["doc_stats"].select("doc_id", "dl", "n_terms") if "doc_stats" in self.tables else self.postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"))
 
     @cached_property
     def coll_stats(self) -> DataFrame:
         """One row: N, C, avgdl, avg_distinct."""
-        if self.tables:
+        if "coll_stats" in self.tables:
             return self.tables["coll_stats"]
         return self._totals()
 
@@ -91,14 +129,13 @@ class Index:
         """(term, df, ctf, idf): log10(N / df)."""
         return self.lexicon.withColumn("idf", F.log10(F.lit(self.totals.N) / F.col("df")))
 
+    def idf_of(self, wanted: Wanted | None) -> DataFrame:
+        """idf of the terms, and more rows perhaps."""
+        return self.lexicon_of(wanted).withColumn("idf", F.log10(F.lit(self.totals.N) / F.col("df")))
+
     def lexicon_ids(self) -> DataFrame:
-        """(term_id, term, df): ids from 0 in term order. Counts of ranges of the sorted terms give each range its first id, so no task
-        sorts the whole vocabulary."""
-        ranged = self.lexicon.select("term", "df").repartitionByRange(F.col("term")).sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
-        ranged = settled(ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("term"))))
-        sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row for each range
-        return ranged.join(before, "part").select((F.col("before") + F.col("k") - 1).alias("term_id"), "term", "df")
+        """(term_id, term, df): ids from 0 in term order."""
+        return in_order(self.lexicon.select("term", "df"), "term", "term_id")
 
     def grouped(self) -> DataFrame:
         """(term, chunk, entries): each term's (doc_id, tf) as sorted arrays of about CHUNK entries, chunks by ranges of doc_id, so that no
@@ -116,7 +153,8 @@ class Index:
 
     def norms(self) -> DataFrame:
         """(doc_id, dn): the sum of squared weights."""
-        return self.tables["doc_stats"].select("doc_id", "dn") if self.tables else self.weights().groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("dn"))
+        known = self.tables.get("doc_stats")
+        return known.select("doc_id", "dn") if known is not None and "dn" in known.columns else self.weights().groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("dn"))
 
     def df_summary(self) -> DataFrame:
         return self.lexicon.agg(F.count("*").alias("n"), F.max("df").alias("most"), F.min("df").alias("least"), F.avg("df").alias("mean"), F.percentile("df", 0.5).alias("median"))
@@ -125,36 +163,128 @@ class Index:
         """(bucket, n): how many terms have a df of 2**bucket up to the next power."""
         return self.lexicon.groupBy(F.floor(F.log2("df")).alias("bucket")).agg(F.count("*").alias("n"))
 
-    def save(self, path: str) -> Index:
-        """Writes postings, lexicon, doc_stats (with norms) and coll_stats under path and reads them again. Postings are sorted by term
-        within each file, so that readers of few terms skip most row groups of every file."""
+    def wanted(self, terms: DataFrame) -> Wanted | None:
+        """The distinct terms of a table with a column term, as a filter of this index's tables; None (all rows) if they are more than FEW_TERMS
+        or the tables aren't laid out by terms."""
+        if self.buckets is None:
+            return None
+        few = terms.select("term", bucket_of(F.col("term"), self.buckets).alias("b")).distinct().limit(FEW_TERMS + 1).collect()
+        return Wanted([r.term for r in few], {r.b for r in few}) if len(few) <= FEW_TERMS else None
+
+    def postings_of(self, wanted: Wanted | None) -> DataFrame:
+        """(term, doc_id, tf, dl) of the terms, and more rows perhaps."""
+        rows = _pruned(self.postings, wanted)
+        if "dl" in rows.columns:
+            return rows.select("term", "doc_id", "tf", "dl")
+        return rows.select("term", "doc_id", "tf").join(self.doc_stats.select("doc_id", "dl"), "doc_id")
+
+    def places_of(self, wanted: Wanted | None) -> DataFrame:
+        """(term, doc_id, positions), likewise."""
+        return _pruned(self.postings, wanted).select("term", "doc_id", "positions")
+
+    def lexicon_of(self, wanted: Wanted | None) -> DataFrame:
+        """(term, df, ctf), likewise."""
+        return _pruned(self.tables["lexicon"], wanted).select("term", "df", "ctf") if "lexicon" in self.tables else self.lexicon
+
+    def blocks_of(self, terms: DataFrame, wanted: Wanted | None) -> DataFrame:
+        """(term, block, tf, dl) of the terms (written, with df), likewise: in each range of ids that has the term the greatest count and the least
+        length of the documents with it."""
+        few = self.postings_of(wanted)
+        if "blocks" not in self.tables:
+            return _blocks(few)
+        rare = terms.where(F.col("df") < BLOCK_DF).select("term").distinct()
+        return _pruned(self.tables["blocks"], wanted).select("term", "block", "tf", "dl").unionByName(_blocks(few.join(rare, "term", "left_semi")))
+
+    def save(self, path: str, buckets: int | None = None) -> Index:
+        """Writes postings, lexicon, blocks, doc_stats (with norms), coll_stats and what the index is (buckets, analyser) under path, and reads
+        them again. Postings are dealt by bucket; a bucket larger than Spark's advisory size is dealt over several tasks."""
         spark = self.postings.sparkSession
-        self.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        own = Index(spark.read.parquet(f"{path}/postings"))
-        own.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
-        lexicon = spark.read.parquet(f"{path}/lexicon")
-        n = own.postings.select("doc_id").distinct().count()
+        if buckets is None:
+            size = int(self.postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            buckets = max(BUCKETS[0], min(BUCKETS[1], size // BUCKETS[2]))
+        rows = self.postings if "dl" in self.postings.columns else settled(self.postings)
+        if "dl" not in rows.columns:
+            rows = rows.join(rows.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id").select("term", "doc_id", "tf", "dl", *[c for c in rows.columns if c == "positions"])
+
+        schemas: dict[str, T.StructType] = {}
+
+        def write(df: DataFrame, name: str, *order: str) -> DataFrame:
+            laid = df.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *order)
+            laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+            schemas[name] = laid.schema
+            return spark.read.schema(laid.schema).parquet(f"{path}/{name}")
+
+        own = write(rows, "postings", "term", "doc_id")
+        lexicon = write(own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), "lexicon", "term")
+        often = lexicon.where(F.col("df") >= BLOCK_DF)
+        write(_blocks(own).join(settled(often.select("term")), "term", "left_semi"), "blocks", "term", "block")
+        lengths = settled(own.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.count("*").alias("n_terms")))
+        n = lengths.count()
         weight = (F.log10("tf") + 1) * F.log10(F.lit(n) / F.col("df"))
-        rows = own.postings.select("term", "doc_id", "tf").join(lexicon.select("term", "df"), "term")
-        rows.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("n_terms"), F.sum(weight * weight).alias("dn")).write.mode("overwrite").parquet(f"{path}/doc_stats")
-        Index(own.postings, {"doc_stats": spark.read.parquet(f"{path}/doc_stats")})._totals().write.mode("overwrite").parquet(f"{path}/coll_stats")
+        norms = own.select("term", "doc_id", "tf").join(lexicon.select("term", "df"), "term").groupBy("doc_id").agg(F.sum(weight * weight).alias("dn"))
+        for name, df in (("doc_stats", lengths.join(norms, "doc_id")), ("coll_stats", Index(own, {"doc_stats": lengths})._totals())):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            schemas[name] = df.schema
+        made = {"buckets": buckets, "analyser": self.analyser and json.loads(self.analyser.to_json()), "tables": {k: v.jsonValue() for k, v in schemas.items()}}
+        write_text(spark, f"{path}/index.json", json.dumps(made))
         return Index.load(spark, path)
 
     def _totals(self) -> DataFrame:
         return self.doc_stats.agg(F.count("*").alias("N"), F.coalesce(F.sum("dl"), F.lit(0)).alias("C"), F.avg("dl").alias("avgdl"), F.avg("n_terms").alias("avg_distinct"))
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        """An index that save() has written, with all its tables."""
-        return Index(spark.read.parquet(f"{path}/postings"), {t: spark.read.parquet(f"{path}/{t}") for t in ("lexicon", "doc_stats", "coll_stats")})
-
-
-def build_index(docs: DataFrame, kind: str = "single", stop_words: list[str] | None = None, phrase_df: int = 5) -> Index:
-    """An index of kind single, stem, positional (no stop words go) or phrase (terms of at least phrase_df documents)."""
-    if kind == "phrase":
-        return Index(frequent_terms(settled(postings(phrase_tokens(docs, stop_words))), phrase_df))
-    if kind == "positional":
-        return Index(postings(group_tokens(docs), positions=True))
-    if kind not in ("single", "stem"):
-        raise ValueError(f"no such index: {kind}")
-    return Index(postings(group_tokens(docs, stop_words, stemmer=kind == "stem")))
+    def load(spark: SparkSession, path: str, analyser: Analyser | None = None) -> Index:
+        """An index that save() has written, with all its tables. analyser: what the caller takes the index to be made by; an error if it was
+        made otherwise."""
+        own = json.loads(read_text(spark, f"{path}/index.json"))
+        made = own["analyser"] and Analyser.from_json(json.dumps(own["analyser"]))
+        if analyser is not None and made != analyser:
+            raise ValueError(f"the index was made by {made}, not by {analyser}")
+        tables = {t: spark.read.schema(T.StructType.fromJson(x)).parquet(f"{path}/{t}") for t, x in own["tables"].items()}
+        return Index(tables.pop("postings"), tables, made, own["buckets"])
+
+
+def block_of(doc_id: Column) -> Column:
+    return F.floor(doc_id / BLOCK_DOCS)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term", block_of(F.col("doc_id")).alias("block")).agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
+def _pruned(table: DataFrame, wanted: Wanted | None) -> DataFrame:
+    """The rows of a table that may have one of the terms, by its layout."""
+    if wanted is None:
+        return table
+    table = table.where(F.col("bucket").isin(*sorted(wanted.buckets)) if wanted.buckets else F.lit(False))
+    if not 0 < len(wanted.terms) <= TERMS:
+        return table
+    # an IN list beyond a few values reaches the files only as the range from its least to its greatest; single comparisons reach them all
+    return table.where(F.col("term").isin(*wanted.terms)).where(_any_of([F.col("term") == t for t in sorted(wanted.terms)]))
+
+
+def _any_of(conditions: list[Column]) -> Column:
+    """Their disjunction, as a balanced tree."""
+    if len(conditions) <= 2:
+        return functools.reduce(operator.or_, conditions)
+    half = len(conditions) // 2
+    return _any_of(conditions[:half]) | _any_of(conditions[half:])
+
+
+def index_of(docs: DataFrame, analyser: Analyser) -> Index:
+    """An index of documents (doc_id, text), each in one row."""
+    tokens = analyser.tokens(docs)
+    if analyser.kind == "phrase":
+        return Index(frequent_terms(settled(postings(tokens.drop("dl"))), analyser.phrase_df), analyser=analyser)
+    rows = postings(tokens, analyser.positions)
+    if analyser.stemmer:
+        if analyser.positions:
+            return Index(postings(stemmed(tokens, stemmer=STEMMERS[analyser.stemmer]), True), analyser=analyser)
+        rows = stemmed_postings(settled(rows), STEMMERS[analyser.stemmer])
+    return Index(rows, analyser=analyser)
+
+
+def build_index(docs: DataFrame, kind: str = "single", stop_words: list[str] | None = None, phrase_df: int = 5, **options: object) -> Index:
+    """An index of kind single, stem, positional (no stop words go) or phrase (terms of at least phrase_df documents). options: tokenizer and
+    stemmer, as in Analyser."""
+    return index_of(docs, Analyser.of(kind, stop_words, phrase_df=phrase_df, **options))

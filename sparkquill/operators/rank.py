@@ -2,15 +2,18 @@
 
 Each model is one equi-join of query terms with postings and one sum for (query, document). The query terms with their statistics are
 written first, so their size is known: while they are small Spark broadcasts them and the postings stay where they are; beyond that the
-same join shuffles. The collection's totals are numbers in the expressions.
+same join shuffles. They also prune the scan of the postings. The collection's totals are numbers in the expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from sparkquill.functions.text import adjacent_pairs
-from sparkquill.operators.index import Index
+from sparkquill.operators.index import BLOCK_DOCS, Index, Wanted, block_of
 from sparkquill.operators.tables import settled
 
 
@@ -21,17 +24,95 @@ def query_bag(topics: DataFrame, words: Column) -> DataFrame:
 
 def known_terms(query: DataFrame, index: Index) -> DataFrame:
     """Query terms that the lexicon has, with its columns."""
-    return query.join(index.lexicon, "term")
+    return query.join(index.lexicon_of(index.wanted(query)), "term")
 
 
-def top_k(scores: DataFrame, k: int | None, tag: str) -> DataFrame:
+def top_k(scores: DataFrame, k: int | None, tag: str, both_ends: int | None = None) -> DataFrame:
     """The best k documents of each query by score, then doc_id; all if k is None. Scores are rounded first, so that sums taken in
-    another order give the same ranks."""
+    another order give the same ranks. both_ends: only the first and the last so many of each query, with their ranks."""
     scores = scores.select("qid", "doc_id", F.round("score", 6).alias("score"))
-    ranked = scores.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+    first = [F.desc("score"), F.col("doc_id")]
+    named = [(F.col("rn") - 1).cast("long").alias("rank"), "score", F.lit(tag).alias("tag")]
+    if both_ends is not None:
+        scores = settled(scores)
+        pick = lambda order: scores.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rn") <= both_ends)
+        total = scores.groupBy("qid").agg(F.count("*").alias("total"))
+        last = pick([F.col("score"), F.desc("doc_id")]).join(total, "qid").withColumn("rn", F.col("total") + 1 - F.col("rn")).drop("total")
+        return pick(first).unionByName(last).dropDuplicates(["qid", "rn"]).select("qid", "doc_id", *named)
+    ranked = scores.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(*first)))
     if k is not None:
         ranked = ranked.where(F.col("rn") <= k)
-    return ranked.select("qid", "doc_id", (F.col("rn") - 1).cast("long").alias("rank"), "score", F.lit(tag).alias("tag"))
+    return ranked.select("qid", "doc_id", *named)
+
+
+@dataclass
+class Scoring:
+    """A model's score of a document: finish(sum of weights of the terms that it has, its length, its norm). terms: written rows (qid, term,
+    qtf, df, ...); weight is over their columns and grows with the count and falls with the length; whole: a row for each query with what
+    finish needs besides. finish grows with the sum and falls with length and norm."""
+
+    tag: str
+    index: Index
+    terms: DataFrame
+    wanted: Wanted | None
+    weight: Callable[[Column, Column], Column]
+    finish: Callable[[Column, Column, Column], Column] = lambda s, dl, dn: s
+    whole: DataFrame | None = None
+    norms: bool = False
+    lengths: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        """(term, doc_id, tf, dl) of the queries' terms."""
+        if self.lengths is None:
+            return self.index.postings_of(self.wanted)
+        return self.index.postings_of(self.wanted).drop("dl").join(self.lengths.select("doc_id", "dl"), "doc_id")
+
+    def _finished(self, sums: DataFrame) -> DataFrame:
+        """(qid, ..., s, dl[, dn]) with the score."""
+        if self.whole is not None:
+            sums = sums.join(self.whole, "qid")
+        return sums.withColumn("score", self.finish(F.col("s"), F.col("dl"), F.col("dn") if "dn" in sums.columns else F.lit(None)))
+
+    def scores(self, rows: DataFrame | None = None, where: DataFrame | None = None) -> DataFrame:
+        """(qid, doc_id, score, n) of all documents with one of the query's terms (n of them), or of those in the blocks (qid, block) alone."""
+        rows = (self.rows() if rows is None else rows).join(self.terms, "term")
+        if where is not None:
+            rows = rows.withColumn("block", block_of(F.col("doc_id"))).join(where, ["qid", "block"], "left_semi")
+        sums = rows.groupBy("qid", "doc_id").agg(F.sum(self.weight(F.col("tf"), F.col("dl"))).alias("s"), F.max("dl").alias("dl"), F.count("*").alias("n"))
+        if self.norms:
+            sums = sums.join(self.index.norms(), "doc_id")
+        return self._finished(sums)
+
+    def bounds(self) -> DataFrame:
+        """(qid, block, most): what no document of the block scores more than. A term adds its weight at the block's greatest count and least
+        length, or nothing if that is less."""
+        rows = self.index.blocks_of(self.terms, self.wanted).join(self.terms, "term")
+        sums = rows.groupBy("qid", "block").agg(F.sum(F.greatest(self.weight(F.col("tf"), F.col("dl")), F.lit(0.0))).alias("s"), F.min("dl").alias("dl"))
+        if self.norms:
+            least = self.index.norms().groupBy(block_of(F.col("doc_id")).alias("block")).agg(F.min("dn").alias("dn"))
+            sums = sums.join(least, "block")
+        return self._finished(sums).select("qid", "block", F.col("score").alias("most"))
+
+    def best(self, k: int | None, bounded: bool = False) -> DataFrame:
+        """The run of the best k. bounded: documents of blocks that can't reach the k-th score aren't summed. A few blocks of each query, those
+        with the greatest bounds, are scored first; their k-th score is the least that counts; blocks whose bound is below it are left out.
+        The result is the same."""
+        if not bounded or k is None:
+            return top_k(self.scores(), k, self.tag)
+        bounds = settled(self.bounds())
+        seeds = bounds.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("most"), "block"))).where(F.col("rn") <= SEED_BLOCKS + k // BLOCK_DOCS)
+        seeds = settled(seeds.select("qid", "block"))
+        first = settled(top_k(self.scores(where=seeds), k, self.tag))
+        least = first.where(F.col("rank") == k - 1).select("qid", F.col("score").alias("least"))
+        rest = bounds.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK))
+        rest = settled(rest.select("qid", "block").join(seeds, ["qid", "block"], "left_anti"))
+        return top_k(self.scores(where=rest).select("qid", "doc_id", "score").unionByName(first.select("qid", "doc_id", "score")), k, self.tag)
+
+
+#: Blocks of a query that are scored before a threshold is known, besides those that k documents fill.
+SEED_BLOCKS = 4
+#: Scores count with six digits, and sums of weights taken in another order may differ by less than this.
+SLACK = 2e-6
 
 
 def bm25_weight(tf: Column, qtf: Column, df: Column, n: Column, dl: Column, avgdl: Column, k1: float, b: float, k2: float) -> Column:
@@ -39,15 +120,15 @@ def bm25_weight(tf: Column, qtf: Column, df: Column, n: Column, dl: Column, avgd
     return idf * ((k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / avgdl))) * ((k2 + 1) * qtf / (k2 + qtf))
 
 
-def bm25(query: DataFrame, index: Index, k: int | None = 10, k1: float = 1.2, b: float = 0.75, k2: float = 1.0, compat_avgdl: bool = False, tag: str = "BM25", doc_stats: DataFrame | None = None) -> DataFrame:
+def bm25(query: DataFrame, index: Index, k: int | None = 10, k1: float = 1.2, b: float = 0.75, k2: float = 1.0, compat_avgdl: bool = False, tag: str = "BM25", doc_stats: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """BM25 with an idf that is not clipped. compat_avgdl: lengths are compared with the mean number of distinct terms. doc_stats: the
     lengths of another index of the documents; the mean is then theirs too."""
-    lengths, totals = _lengths(index, doc_stats)
-    terms = settled(known_terms(query, index))
-    rows = index.postings.select("term", "doc_id", "tf").join(terms, "term").join(lengths, "doc_id")
-    mean = totals.avg_distinct if compat_avgdl else totals.avgdl
-    weight = bm25_weight(F.col("tf"), F.col("qtf"), F.col("df"), F.lit(index.totals.N), F.col("dl"), F.lit(float(mean or 0)), k1, b, k2)
-    return top_k(rows.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")), k, tag)
+    lengths, totals = (None, index.totals) if doc_stats is None else _lengths(index, doc_stats)
+    wanted = index.wanted(query)
+    terms = settled(query.join(index.lexicon_of(wanted), "term"))
+    mean = F.lit(float((totals.avg_distinct if compat_avgdl else totals.avgdl) or 0))
+    weight = lambda tf, dl: bm25_weight(tf, F.col("qtf"), F.col("df"), F.lit(index.totals.N), dl, mean, k1, b, k2)
+    return Scoring(tag, index, terms, wanted, weight, lengths=lengths).best(k, bounded and lengths is None)
 
 
 def _lengths(index: Index, doc_stats: DataFrame | None) -> tuple[DataFrame, Row]:
@@ -57,53 +138,62 @@ def _lengths(index: Index, doc_stats: DataFrame | None) -> tuple[DataFrame, Row]
     return doc_stats.select("doc_id", "dl"), doc_stats.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), F.avg("n_terms").alias("avg_distinct")).first()
 
 
-def vector_cosine(vectors: DataFrame, index: Index, k: int | None = 10, tag: str = "COSINE") -> DataFrame:
+def vector_cosine(vectors: DataFrame, index: Index, k: int | None = 10, tag: str = "COSINE", bounded: bool = False, both_ends: int | None = None) -> DataFrame:
     """Cosine of query vectors (qid, term, w) with the documents' TF-IDF weights. A query or document of norm 0 scores 0. Only the
-    vectors' terms meet the lexicon, and only their postings are weighed."""
-    vectors = settled(vectors.select("qid", "term", "w").join(index.idf.select("term", "idf"), "term"))
-    qn = vectors.groupBy("qid").agg(F.sum(F.col("w") * F.col("w")).alias("qn"))
-    rows = index.postings.select("term", "doc_id", "tf").join(vectors, "term")
-    dot = rows.groupBy("qid", "doc_id").agg(F.sum((F.log10("tf") + 1) * F.col("idf") * F.col("w")).alias("dot"))
-    rows = dot.join(qn, "qid").join(index.norms(), "doc_id")
-    return top_k(rows.withColumn("score", F.coalesce(F.try_divide(F.col("dot"), F.sqrt("qn") * F.sqrt("dn")), F.lit(0.0))), k, tag)
+    vectors' terms meet the lexicon, and only their postings are weighed. both_ends as in top_k. Blocks bound nothing for a vector with
+    negative weights."""
+    vectors = settled(vectors.select("qid", "term", "w"))
+    wanted = index.wanted(vectors)
+    terms = settled(vectors.join(index.idf_of(wanted).select("term", "df", "idf"), "term"))
+    whole = settled(terms.groupBy("qid").agg(F.sum(F.col("w") * F.col("w")).alias("qn")))
+    cosine = lambda s, dl, dn: F.coalesce(F.try_divide(s, F.sqrt("qn") * F.sqrt(dn)), F.lit(0.0))
+    own = Scoring(tag, index, terms, wanted, lambda tf, dl: (F.log10(tf) + 1) * F.col("idf") * F.col("w"), cosine, whole, norms=True)
+    return top_k(own.scores(), None, tag, both_ends) if both_ends is not None else own.best(k, bounded and terms.where("w < 0").isEmpty())
 
 
 def query_weights(query: DataFrame, index: Index) -> DataFrame:
     """(qid, term, w): (log10(qtf) + 1) * idf."""
-    return query.join(index.idf, "term").select("qid", "term", ((F.log10("qtf") + 1) * F.col("idf")).alias("w"))
+    return query.join(index.idf_of(index.wanted(query)), "term").select("qid", "term", ((F.log10("qtf") + 1) * F.col("idf")).alias("w"))
 
 
-def tfidf(query: DataFrame, index: Index, k: int | None = 10, compat_norm: bool = False) -> DataFrame:
+def tfidf(query: DataFrame, index: Index, k: int | None = 10, compat_norm: bool = False, bounded: bool = False, both_ends: int | None = None) -> DataFrame:
     """Cosine of TF-IDF vectors. compat_norm: query weights are also divided by their sum of squares, which scales a query's scores."""
     weights = query_weights(query, index)
     if not compat_norm:
-        return vector_cosine(weights, index, k)
+        return vector_cosine(weights, index, k, bounded=bounded, both_ends=both_ends)
     qn = weights.groupBy("qid").agg(F.sum(F.col("w") * F.col("w")).alias("qn"))
     run = vector_cosine(weights, index, None).join(qn, "qid").withColumn("score", F.coalesce(F.try_divide(F.col("score"), F.col("qn")), F.lit(0.0)))
     return top_k(run, k, "COSINE")
 
 
-def dirichlet(query: DataFrame, index: Index, k: int | None = 100, mu: float = 400.0) -> DataFrame:
+def dirichlet(query: DataFrame, index: Index, k: int | None = 100, mu: float = 400.0, bounded: bool = False) -> DataFrame:
     """Dirichlet-smoothed language model over documents with at least one query term.
 
     The sum over all query terms splits into a part of the query, one of the document's length, and one of the matched terms, so no
     (document, term) pair without a match is made.
     """
-    terms = settled(known_terms(query, index).withColumn("m", mu * F.col("ctf") / F.lit(index.totals.C)))
-    whole = terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log("m")).alias("background"), F.sum("qtf").alias("ql"))
-    matched = index.postings.select("term", "doc_id", "tf").join(terms, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (F.log(F.col("tf") + F.col("m")) - F.log("m"))).alias("found"))
-    rows = matched.join(whole, "qid").join(index.doc_stats, "doc_id")
-    return top_k(rows.withColumn("score", F.col("background") - F.col("ql") * F.log(F.col("dl") + mu) + F.col("found")), k, "Dirichlet")
+    terms, wanted = _smoothed(query, index, mu)
+    whole = settled(terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log("m")).alias("background"), F.sum("qtf").alias("ql")))
+    weight = lambda tf, dl: F.col("qtf") * (F.log(tf + F.col("m")) - F.log("m"))
+    finish = lambda s, dl, dn: F.col("background") - F.col("ql") * F.log(dl + mu) + s
+    return Scoring("Dirichlet", index, terms, wanted, weight, finish, whole).best(k, bounded)
 
 
-def jelinek_mercer(query: DataFrame, index: Index, k: int | None = 10, lam: float = 0.1, compat_repeat: bool = False) -> DataFrame:
+def jelinek_mercer(query: DataFrame, index: Index, k: int | None = 10, lam: float = 0.1, compat_repeat: bool = False, bounded: bool = False) -> DataFrame:
     """Jelinek-Mercer language model, split like dirichlet. compat_repeat: a score counts once for each matched term."""
-    terms = settled(known_terms(query, index).withColumn("m", lam * F.col("ctf") / F.lit(index.totals.C)))
-    whole = terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log10("m")).alias("background"))
-    rows = index.postings.select("term", "doc_id", "tf").join(terms, "term").join(index.doc_stats.select("doc_id", "dl"), "doc_id")
-    matched = rows.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (F.log10((1 - lam) * F.col("tf") / F.col("dl") + F.col("m")) - F.log10("m"))).alias("found"), F.count("*").alias("n"))
-    score = (F.col("background") + F.col("found")) * (F.col("n") if compat_repeat else F.lit(1))
-    return top_k(matched.join(whole, "qid").withColumn("score", score), k, "JM")
+    terms, wanted = _smoothed(query, index, lam)
+    whole = settled(terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.log10("m")).alias("background")))
+    weight = lambda tf, dl: F.col("qtf") * (F.log10((1 - lam) * tf / dl + F.col("m")) - F.log10("m"))
+    own = Scoring("JM", index, terms, wanted, weight, lambda s, dl, dn: F.col("background") + s, whole)
+    if compat_repeat:
+        return top_k(own.scores().withColumn("score", F.col("score") * F.col("n")), k, "JM")
+    return own.best(k, bounded)
+
+
+def _smoothed(query: DataFrame, index: Index, share: float) -> tuple[DataFrame, Wanted | None]:
+    """Known terms with m, their share of the collection times `share`; written."""
+    wanted = index.wanted(query)
+    return settled(query.join(index.lexicon_of(wanted), "term").withColumn("m", share * F.col("ctf") / F.lit(index.totals.C))), wanted
 
 
 NEAR = 100
@@ -111,8 +201,6 @@ NEAR = 100
 
 #: Places of the rarer word up to which each of them is compared with all places of the other one.
 FEW_PLACES = 64
-#: Bits of the running count in _close_places: a document has fewer places of a word.
-_SEEN = 24
 
 
 def _close_places(p1: Column, p2: Column, near: int) -> Column:
@@ -126,10 +214,12 @@ def _close_places(p1: Column, p2: Column, near: int) -> Column:
     events = F.concat(F.transform(p1, lambda p: (long_(p) + near) * 4), F.transform(p2, lambda q: long_(q) * 4 + 1), F.transform(p1, lambda p: (long_(p) - near) * 4 + 2))
 
     def step(s: Column, e: Column) -> Column:
-        kind, seen = e.bitwiseAND(F.lit(3)), F.shiftleft(s.bitwiseAND(F.lit((1 << _SEEN) - 1)), _SEEN)
-        return F.when(kind == 1, s + 1).when(kind == 0, s + seen).otherwise(s - seen)
+        kind = e.bitwiseAND(F.lit(3))
+        n = F.when(kind == 0, s.n + s.seen).when(kind == 2, s.n - s.seen).otherwise(s.n)
+        return F.struct(n.alias("n"), F.when(kind == 1, s.seen + 1).otherwise(s.seen).alias("seen"))
 
-    counted = F.shiftright(F.aggregate(F.sort_array(events), F.lit(0).cast("long"), step), _SEEN)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seen"))
+    counted = F.aggregate(F.sort_array(events), none, step, lambda s: s.n)
     return F.when(F.least(F.size(p1), F.size(p2)) <= FEW_PLACES, each).otherwise(counted)
 
 
@@ -140,8 +230,9 @@ def pair_counts(pairs: DataFrame, index: Index, near: int = NEAR, compat_window:
     exactly `near` after one of the first don't count.
     """
     pairs = settled(pairs.select("first", "second").distinct())
-    a = index.postings.select(F.col("term").alias("first"), "doc_id", F.col("positions").alias("p1")).join(pairs, "first")
-    b = index.postings.select(F.col("term").alias("second"), "doc_id", F.col("positions").alias("p2")).join(pairs.select("second").distinct(), "second", "left_semi")
+    places = index.places_of(index.wanted(pairs.select(F.explode(F.array("first", "second")).alias("term"))))
+    a = places.select(F.col("term").alias("first"), "doc_id", F.col("positions").alias("p1")).join(pairs, "first")
+    b = places.select(F.col("term").alias("second"), "doc_id", F.col("positions").alias("p2")).join(pairs.select("second").distinct(), "second", "left_semi")
     p2 = F.array_except(F.col("p2"), F.transform("p1", lambda p: p + near)) if compat_window else F.col("p2")
     return a.join(b, ["second", "doc_id"]).select("first", "second", "doc_id", _close_places(F.col("p1"), p2, near).alias("near"))
 

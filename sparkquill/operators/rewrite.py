@@ -13,7 +13,7 @@ def reduce_query(query: DataFrame, index: Index, threshold: float, key: str = "q
     """The best floor(n * threshold) of a query's n known terms by qtf, idf or qtf_idf, as a bag (each term once for idf)."""
     if key not in ("qtf", "idf", "qtf_idf"):
         raise ValueError(f"no such key: {key}")
-    rows = query.join(index.idf.select("term", "idf"), "term")
+    rows = query.join(index.idf_of(index.wanted(query)).select("term", "idf"), "term")
     value = {"qtf": F.col("qtf").cast("double"), "idf": F.round("idf", 6), "qtf_idf": F.round(F.col("qtf") * F.col("idf"), 6)}[key]
     n = F.count("*").over(W.partitionBy("qid"))
     rn = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("value"), "term"))
@@ -22,10 +22,11 @@ def reduce_query(query: DataFrame, index: Index, threshold: float, key: str = "q
 
 
 def feedback_documents(run: DataFrame, n: int, top: bool = True) -> DataFrame:
-    """(qid, doc_id) of the first n, or the last n, of each ranked list."""
+    """(qid, doc_id) of the first n, or the last n, of each ranked list, or of one that has at least these two ends."""
     if top:
         return run.where(F.col("rank") < n).select("qid", "doc_id")
-    return run.withColumn("n", F.count("*").over(W.partitionBy("qid"))).where(F.col("rank") >= F.col("n") - n).select("qid", "doc_id")
+    total = run.groupBy("qid").agg(F.max("rank").alias("last"))
+    return run.join(total, "qid").where(F.col("rank") > F.col("last") - n).select("qid", "doc_id")
 
 
 def expand(run: DataFrame, index: Index, documents: int = 10, terms: int = 10, criteria: str = "tfidf") -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Inputs of fewer bytes a core are dealt anew, as their files may have too few parts for all cores.
 SMALL_PART = 32 << 20
@@ -60,3 +60,63 @@ def evenly(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(2 * cores, key) if size < SMALL_PART * cores else df
+
+
+def in_order(df: DataFrame, key: str, number: str) -> DataFrame:
+    """df with the rows' numbers from 0 in the order of the key, which no two rows share.
+
+    Ranges of the key are sorted and written first: their bounds come from a sample, so a second evaluation could draw other ones. Counts of
+    the written ranges then give each range its first number, and no task sorts all rows.
+    """
+    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    ranged = settled(ranged.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(key))))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row for each range
+    return ranged.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_k") - 1).alias(number), *df.columns)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str, once: bool = False) -> None:
+    """A small file by way of Spark's file systems. once: an error if there is one of this name already."""
+    where, fs = _file(spark, path)
+    out = fs.create(where, not once)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds, sorted; none if there is no such folder."""
+    where, fs = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, if it is there."""
+    where, fs = _file(spark, path)
+    fs.delete(where, True)
+
+
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """What tasks have written to a folder as one file, in the order of the files' names; the folder goes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where, fs = _file(spark, path)
+    fs.delete(where, True)
+    out = fs.create(where, True)
+    for name in file_names(spark, folder):
+        if name.startswith("part-"):
+            part, own = _file(spark, f"{folder}/{name}")
+            source = own.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    out.close()
+    remove_path(spark, folder)

@@ -231,3 +231,5 @@ ORACLES: dict[str, str] = {
     "eval_by_query": _with("select qid, metric, round(value, 6) as value from em"), "eval_means": _with("select case when metric = 'ap' then 'map' else metric end as metric, round(avg(value), 6) as value from em group by 1"),
     "bulk_json": """select doc_id, 0::bigint as line_no, '{"index":{"_id":"' || doc_id || '"}}' as value from documents union all select doc_id, 1, to_json({'doc_name': 'doc-' || doc_id, 'text': text})::varchar from documents""",
 }
+#: Bounds leave out blocks of documents, never a row of the result.
+ORACLES |= {f"rank_{k}_bounded": ORACLES[f"rank_{k}"] for k in ("tfidf", "bm25", "dirichlet", "jm")}

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkquill.functions import classes, text
-from sparkquill.functions.stem import stemmed
 from sparkquill.operators import evaluate, rank, rewrite
-from sparkquill.operators.index import Index, frequent_terms, group_tokens, postings, word_tokens
+from sparkquill.operators.analysis import Analyser
+from sparkquill.operators.index import Index, group_tokens, index_of, word_tokens
 from sparkquill.operators.tables import evenly, scratch, settled
 from sparkquill.plans import retrieval
 from sparkquill.sources.corpus import bulk_lines, tag_name, tag_value
@@ -22,6 +22,7 @@ from sparkquill.sources.corpus import bulk_lines, tag_name, tag_value
 STOP_WORDS = "the of and in to is that it with as der die das und la le les de el los".split()
 
 _KEPT: dict[tuple[str, str, str], Index] = {}
+_KEPT_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,8 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _KEPT:
         docs = documents(spark, sf_dir)
-        if kind == "words":
-            own = Index(postings(word_tokens(docs), positions=True))
-        elif kind == "phrase":
-            own = Index(frequent_terms(settled(postings(word_tokens(docs, lambda c: F.concat(text.phrases(c, 2), text.phrases(c, 3))))), 5))
-        else:
-            own = Index(postings(group_tokens(docs, STOP_WORDS, stemmer=True)))
-        _KEPT[key] = own.save(scratch(spark))
+        analyser = {"words": Analyser("positional", "words"), "phrase": Analyser("phrase"), "stem": Analyser.of("stem", STOP_WORDS)}[kind]
+        _KEPT[key] = index_of(docs, analyser).save(scratch(spark))
     return _KEPT[key]
 
 
@@ -103,12 +99,20 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(met, "doc_id").where(F.contains("text", F.col("title"))).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
 
 
-def _run(spark: SparkSession, sf_dir: str, k: int = 1000) -> DataFrame:
-    return settled(rank.bm25(_query(spark, sf_dir), _words(spark, sf_dir), k))
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT_TABLES:
+        _KEPT_TABLES[key] = settled(make())
+    return _KEPT_TABLES[key]
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "run", lambda: rank.bm25(_query(spark, sf_dir), _words(spark, sf_dir), 1000))
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(qrels(spark, sf_dir))
+    return _once(spark, sf_dir, "qrels", lambda: qrels(spark, sf_dir))
 
 
 def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +169,7 @@ QUERIES: dict[str, Q] = {
     "rank_tfidf": lambda s, d: rank.tfidf(_query(s, d), _words(s, d)),
     "rank_bm25": lambda s, d: rank.bm25(_query(s, d), _words(s, d)),
     "rank_bm25_compat_avgdl": lambda s, d: rank.bm25(_query(s, d), _words(s, d), compat_avgdl=True),
+    **{f"rank_{k}_bounded": (lambda s, d, m=m: m(_query(s, d), _words(s, d), bounded=True)) for k, m in (("tfidf", rank.tfidf), ("bm25", rank.bm25), ("dirichlet", rank.dirichlet), ("jm", rank.jelinek_mercer))},
     "rank_dirichlet": lambda s, d: rank.dirichlet(_query(s, d), _words(s, d)),
     "rank_jm": lambda s, d: rank.jelinek_mercer(_query(s, d), _words(s, d)),
     "rank_jm_compat": lambda s, d: rank.jelinek_mercer(_query(s, d), _words(s, d), compat_repeat=True),
@@ -180,7 +185,7 @@ QUERIES: dict[str, Q] = {
     "expand_dfidf": lambda s, d: rewrite.expand(rank.tfidf(_query(s, d), _words(s, d)), _words(s, d), criteria="dfidf"),
     "rank_expanded": lambda s, d: retrieval.run_expanded(_query(s, d), _words(s, d), size=10),
     "rocchio_vector": lambda s, d: rewrite.rocchio(_query(s, d), rank.tfidf(_query(s, d), _words(s, d)), _words(s, d)),
-    "rocchio_negative": lambda s, d: rewrite.rocchio(_query(s, d), settled(rank.tfidf(_query(s, d), _words(s, d), None)), _words(s, d), gamma=1.0),
+    "rocchio_negative": lambda s, d: rewrite.rocchio(_query(s, d), settled(rank.tfidf(_query(s, d), _words(s, d), both_ends=10)), _words(s, d), gamma=1.0),
     "rank_tfidf_compat_norm": lambda s, d: rank.tfidf(_query(s, d), _words(s, d), compat_norm=True),
     "proximity_pairs_compat_window": lambda s, d: rank.pair_counts(topics(s, d).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second")), _words(s, d), compat_window=True),
     "rank_phrase_bm25_word_lengths": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase"), doc_stats=_words(s, d).doc_stats),
@@ -190,7 +195,7 @@ QUERIES: dict[str, Q] = {
     "eval_by_query": lambda s, d: evaluate.by_query(_run(s, d), _qrels(s, d)).withColumn("value", F.round("value", 6)),
     "eval_means": lambda s, d: evaluate.means(_run(s, d), _qrels(s, d)).withColumn("value", F.round("value", 6)),
     "bulk_json": lambda s, d: bulk_lines(documents(s, d).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_name"), "text")).withColumn("line_no", F.col("line_no").cast("long")),
-    "stem_postings": lambda s, d: _index(s, d, "stem").postings,
-    "rank_stem_bm25": lambda s, d: rank.bm25(stemmed(topics(s, d).select("qid", F.explode(F.flatten(classes.token_groups(F.col("title")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))).groupBy("qid", "term").agg(F.count("*").alias("qtf")), _index(s, d, "stem")),
-    "fuse_three_way": lambda s, d: retrieval.run_fused(topics(s, d), _index(s, d, "stem"), _index(s, d, "phrase"), _words(s, d), stop_words=STOP_WORDS),
+    "stem_postings": lambda s, d: _index(s, d, "stem").postings.select("term", "doc_id", "tf"),
+    "rank_stem_bm25": lambda s, d: rank.bm25(_index(s, d, "stem").analyser.query_terms(topics(s, d)), _index(s, d, "stem")),
+    "fuse_three_way": lambda s, d: retrieval.run_fused(topics(s, d), _index(s, d, "stem"), _index(s, d, "phrase"), _words(s, d)),
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkquill.functions.text import decode_entities
+from sparkquill.operators.tables import in_order, settled
 
 _TAG = r"<([a-zA-Z]*)>(.*)</[a-zA-Z]*>"
 
@@ -18,32 +19,44 @@ def tag_value(line: Column) -> Column:
     return F.regexp_extract(line, _TAG, 2)
 
 
+#: What starts a document where a line starts.
+_START = "<DOCNO>"
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_name, parent, text) of tagged files: a DOCNO line starts a document, PARENT is its metadata, other one-line tags and plain
-    lines are its text; lines that only open or close a tag and blank lines are dropped. Lines are joined by a space. The last
-    document of a file is kept. A name that comes again is that of the last file (by path) and line that has it."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"\r\z", "")).where(~F.col("line").isin("", " "))
-    tag, opened = tag_name(F.col("line")), F.col("line").startswith("<")
-    starts = F.coalesce((opened & (tag == "DOCNO")).cast("int"), F.lit(0))
-    lines = lines.withColumn("doc", F.sum(starts).over(W.partitionBy("file").orderBy("line_no"))).where("doc > 0")
-    content = F.when(~opened, F.col("line")).when(tag.isin("DOCNO", "PARENT", ""), None).otherwise(tag_value(F.col("line")))
-    rows = lines.groupBy("file", "doc").agg(
-        F.max(F.when(opened & (tag == "DOCNO"), F.trim(tag_value(F.col("line"))))).alias("doc_name"),
-        F.max(F.when(opened & (tag == "PARENT"), F.trim(tag_value(F.col("line"))))).alias("parent"),
-        F.array_sort(F.collect_list(F.when(content.isNotNull(), F.struct("line_no", decode_entities(content).alias("t"))))).alias("parts"),
-    )
-    rows = rows.withColumn("text", F.array_join(F.transform("parts", lambda p: p.t), " "))
-    rn = F.row_number().over(W.partitionBy("doc_name").orderBy(F.desc("file"), F.desc("doc")))
-    return rows.withColumn("rn", rn).where("rn = 1").select("doc_name", "parent", "text")
+    """(doc_name, parent, text) of tagged files: a line that starts with <DOCNO> starts a document, PARENT is its metadata, other one-line
+    tags and plain lines are its text; lines that only open or close a tag and blank lines are dropped. Lines are joined by a space. The
+    last document of a file is kept. Lines before a file's first document belong to none, nor does a document whose DOCNO line doesn't
+    close the tag. A name that comes again is that of the last file (by path) and place in it.
+
+    Records end where the next document starts, so a large file is read by many tasks, each of which takes the records that start in its
+    block, and a document is put together where it is read. Only the names that repeat, with their last places, are looked up afterwards.
+    """
+    rows = spark.read.option("lineSep", f"\n{_START}").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")]
+    started = F.col("value").startswith(_START)  # only a file's first record still has its start
+    lines = F.split(F.regexp_replace(F.when(started, F.col("value")).otherwise(F.concat(F.lit(_START), F.col("value"))), r"\r\z", ""), "\r?\n")
+    rows = rows.select(*place, started.alias("started"), lines.alias("lines"))
+
+    def content(line: Column) -> Column:
+        tag = tag_name(line)
+        return F.when(~line.startswith("<"), line).when(tag.isin("DOCNO", "PARENT", ""), None).otherwise(tag_value(line))
+
+    head = F.get("lines", F.lit(0))
+    parent = F.array_max(F.transform(F.filter("lines", lambda x: x.startswith("<") & (tag_name(x) == "PARENT")), lambda x: F.trim(tag_value(x))))
+    text = F.array_join(F.filter(F.transform(F.filter("lines", lambda x: ~x.isin("", " ")), content), lambda x: x.isNotNull()), " ")
+    parsed = settled(rows.select("file", "block", "n", "started", F.when(tag_name(head) == "DOCNO", F.trim(tag_value(head))).alias("doc_name"), parent.alias("parent"), decode_entities(text).alias("text")))
+    # what stands before a file's first start is a record as well, the first one of its first block
+    before = parsed.where("block = 0").groupBy("file").agg(F.min_by(F.struct("n", "started"), "n").alias("r")).where("not r.started").select("file", F.col("r.n").alias("n"))
+    named = parsed.where("doc_name is not null").join(settled(before), ["file", "n"], "left_anti")
+    again = named.groupBy("doc_name").agg(F.count("*").alias("times"), F.max(F.struct("file", "block", "n")).alias("last")).where("times > 1")
+    newest = named.join(settled(again.select("doc_name", "last")), "doc_name", "left").where(F.col("last").isNull() | (F.struct("file", "block", "n") == F.col("last")))
+    return newest.select("doc_name", "parent", "text")
 
 
 def document_list(corpus: DataFrame) -> DataFrame:
-    """(doc_id, doc_name): ids from 0 in the order of names; ranges are counted first, so no task sorts all names."""
-    ranged = corpus.select("doc_name").distinct().repartitionByRange(F.col("doc_name")).sortWithinPartitions("doc_name").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("doc_name")))
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return ranged.join(before, "part").select((F.col("before") + F.col("k") - 1).alias("doc_id"), "doc_name")
+    """(doc_id, doc_name): ids from 0 in the order of names."""
+    return in_order(corpus.select("doc_name").distinct(), "doc_name", "doc_id")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

@@ -1,18 +1,21 @@
-"""Incremental index: new documents are tokenized as they arrive and their postings appended."""
+"""Documents that arrive become segments of an index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkquill.operators.index import group_tokens, postings
+from sparkquill.operators.segments import Segments
 
 
-def append_postings(docs: DataFrame, path: str, checkpoint: str, stop_words: list[str] | None = None) -> StreamingQuery:
-    """Starts a query over a stream of (doc_id, text) that appends each batch's postings as Parquet. A document must come in one row, so
-    its counts are complete within its batch; the batch number names its folder, so a repeated batch overwrites itself."""
+def index_stream(docs: DataFrame, index: Segments, checkpoint: str, compact_at: int = 16) -> StreamingQuery:
+    """Starts a query over a stream of (doc_id, text) that adds each batch to the index as a segment; a batch that Spark repeats after a
+    failure is added once, and a document that comes again in a later batch replaces the older one. Segments are merged when there are
+    compact_at of them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        postings(group_tokens(batch, stop_words), positions=True).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        index.add(batch, f"{checkpoint}#{number}")
+        if len(index.manifest()["segments"]) >= compact_at:
+            index.compact()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,11 +30,12 @@ from sparkquill.llm.batches import buffers, range_hashes, slices, spread, stored
 DEFAULT_A = "/opt/tokenizers/byte_bpe_50k.json"
 DEFAULT_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose units and pairs are counted together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Salts of a pair in the first of the two shuffles.
 SALTS = 16
 #: Units that are tokenized at once, and their bytes.
-AT_ONCE = 20_000
+AT_ONCE = 5_000
+ENCODE_BYTES = 256 << 10
 MARK = "▁"
 
 
@@ -106,7 +107,7 @@ def unit_starts(buf: np.ndarray, off: np.ndarray, by_units: bool) -> np.ndarray:
 
 
 class Units:
-    """Distinct units, tokenized and aligned. All token arrays go over the units one after the other; first_x has one entry more than units."""
+    """Distinct units, tokenized and aligned. All token arrays go over the units one after the other."""
 
     def __init__(self, pair: Pair, buf: np.ndarray, start: np.ndarray, end: np.ndarray):
         data, total = buf.tobytes(), len(start)
@@ -114,7 +115,7 @@ class Units:
         size = np.cumsum(end - start)
         lo = 0
         while lo < total:
-            hi = max(lo + 1, min(lo + AT_ONCE, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 20), side="right"))))
+            hi = max(lo + 1, min(lo + AT_ONCE, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + ENCODE_BYTES, side="right"))))
             names = [data[s:e].decode() for s, e in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
             own = [x.ids for x in pair.a.encode_batch_fast(names, add_special_tokens=False)]
             n_a[lo:hi] = [len(x) for x in own]
@@ -196,9 +197,10 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterat
         yield pa.Table.from_batches(parts), pa.concat_arrays(texts)
 
 
-#: kind 0: a batch's pairs (ids of A times the size of B, plus ids of B; ascending) with their numbers, and what its units have of them.
-#: kind 1: a text, with its distinct units and how often it has each.
-_ROWS = "batch string, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<long>, first binary, items binary"
+#: kind 0: a batch's pairs (ids of A times the size of B, plus ids of B; ascending) with their counts; times and items: how many links each
+#: of its units has, and their places among the pairs. kind 1: a text; items and times: its distinct units, as steps from one to the next, and
+#: how often it has each.
+_ROWS = "batch string, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<long>, times binary, items binary"
 _PAIRS: dict[str, Pair] = {}
 
 
@@ -235,25 +237,34 @@ def _batch(pair: Pair, doc_ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
     listed = unit.tolist()
     shas = [hashlib.sha256(b";".join([units.groups[u] for u in listed[a:b]])).hexdigest() if b > a else "" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     keys, times = np.unique(text * max(1, len(pick)) + unit, return_counts=True)
-    whose, which = keys // max(1, len(pick)), (keys % max(1, len(pick))).astype("<i4")
+    whose, which = keys // max(1, len(pick)), keys % max(1, len(pick))
     ends = np.searchsorted(whose, np.arange(total + 1)).tolist()
     often = np.bincount(unit, minlength=len(pick))
     n_links = np.where(often > 0, units.n_links, 0)  # units of texts without tokens link nothing
     pairs, link = np.unique(units.links[np.repeat(often > 0, units.n_links)], return_inverse=True)
     counts = np.bincount(link, np.repeat(often, n_links), minlength=len(pairs)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(n_links)])
-    raw, numbers = which.tobytes(), times.astype("<i4").tobytes()
+    steps = [np.diff(which[a:b], prepend=0) for a, b in zip(ends[:-1], ends[1:], strict=True)]  # units ascend within a text
     empty = [None] * total
     columns = [
         [str(uuid.uuid4())] * (total + 1), [0] + [1] * total, pa.concat_arrays([pa.array([None], pa.int64()), doc_ids]), *[np.append(0, x) for x in sums], [None, *shas],
         pa.array([pairs.tolist(), *empty], pa.list_(pa.int64())), pa.array([counts.tolist(), *empty], pa.list_(pa.int64())),
-        pa.array([first.astype("<i8").tobytes(), *[numbers[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]], pa.binary()),
-        pa.array([link.astype("<i4").tobytes(), *[raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]], pa.binary()),
+        pa.array([packed(n_links), *[packed(times[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]], pa.binary()),
+        pa.array([packed(link), *map(packed, steps)], pa.binary()),
     ]
     types = [pa.string(), pa.int32(), pa.int64(), *[pa.int64()] * 4, pa.string()]
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, types[i]) for i, c in enumerate(columns)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers (of at least 0) in as few bytes each as the greatest needs, after one byte that says how many."""
+    width = next(k for k in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * k)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _files(docs: DataFrame, a_path: str, b_path: str) -> Broadcast:
     data = []
     for path in (a_path, b_path):  # the driver's own files, a few megabytes; executors get them by broadcast
@@ -269,11 +280,11 @@ def _scored(texts: pa.Table, known: pa.Table) -> pa.Table:
     rows = texts.filter(pa.array(kind == 1))
     order = np.argsort(known.column("pair").to_numpy())
     count, best = (known.column(c).to_numpy().astype(np.int64)[order] for c in ("count", "best"))
-    first = np.frombuffer(head.column("first")[0].as_py(), "<i8")
-    link = np.frombuffer(head.column("items")[0].as_py(), "<i4")
+    first = np.concatenate([[0], np.cumsum(unpacked(head.column("times")[0].as_py()))])
+    link = unpacked(head.column("items")[0].as_py())
     of_unit = [np.diff(np.concatenate([[0], np.cumsum(x[link])])[first]) for x in (best, count)] if len(link) else [np.zeros(max(0, len(first) - 1), np.int64)] * 2
-    unit = [np.frombuffer(x, "<i4") for x in rows.column("items").to_pylist()]
-    times = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows.column("first").to_pylist()]
+    unit = [np.cumsum(unpacked(x)) for x in rows.column("items").to_pylist()]
+    times = [unpacked(x) for x in rows.column("times").to_pylist()]
     sums = [[int((v[u] * k).sum()) for u, k in zip(unit, times, strict=True)] for v in of_unit]
     keep = rows.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
     return keep.append_column("n_best", pa.array(sums[0], pa.int64())).append_column("count_sum", pa.array(sums[1], pa.int64())).append_column("groups_sha256", rows.column("groups_sha256"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,6 +185,39 @@ def _place(x: Column, cuts: list[int]) -> Column:
     return whole * size + count(inside)
 
 
+def _bucket(docs: DataFrame, pieces: int) -> Column:
+    """The number of the range that a row (doc_id, text, tie) falls into; ranges follow each other from the greatest id to the least, then null,
+    and within an id by tie, the text's hash.
+
+    Bounds are quantiles of the ids. An id that is more than one quantile, and null, is cut at quantiles of its texts' hashes as well, in
+    as many ranges as it has quantiles, so that only copies of one row stay together whatever their number.
+    """
+    shares = [k / pieces for k in range(1, pieces)]
+    row = docs.agg(F.percentile_approx("doc_id", shares, 25 * pieces).alias("cuts"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    times = Counter(row.cuts or [])
+    cuts = sorted(times, reverse=True)
+    wide = {c: k for c, k in times.items() if k > 1}
+    wide[None] = math.ceil((row.n - row.known) * pieces / max(row.n, 1))
+    inside: dict[int | None, list[int]] = {}
+    if len(wide) > 1 or wide[None] > 1:
+        some = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin(*[c for c in wide if c is not None]))
+        for r in some.groupBy("doc_id").agg(F.percentile_approx("tie", shares, 25 * pieces).alias("ties")).collect():  # a row for each such id
+            inside[r.doc_id] = sorted({r.ties[(k * pieces) // wide[r.doc_id] - 1] for k in range(1, wide[r.doc_id])})
+    # range 0 of each id's piece of the order holds the ids before it, the others its own rows
+    order = [*cuts, 0, None]  # after the last bound come the ids below it, then null
+    ties = [inside.get(c) if k != len(cuts) else None for k, c in enumerate(order)]
+    upto = [0]
+    for t in ties:
+        upto.append(upto[-1] + 1 + (len(t) + 1 if t is not None else 0))
+    piece = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_place(F.col("doc_id"), cuts)).cast("int")
+    at = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), piece + 1)
+    if not inside:
+        return at(upto[:-1], "int")
+    own = F.size(F.filter(at([t or [] for t in ties], "array<bigint>"), lambda c: c <= F.col("tie"))) + 1
+    split = F.col("doc_id").eqNullSafe(at(order, "bigint")) & at([t is not None for t in ties], "boolean")
+    return at(upto[:-1], "int") + F.when(split, own).otherwise(0)
+
+
 def _spelt(rows: DataFrame) -> DataFrame:
     """Binary columns as lowercase hex."""
     return rows.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else c for c, kind in rows.dtypes])
@@ -197,8 +231,8 @@ def fingerprint_audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited_fingerprint (hex), near_edited and near_next (likeness, 0 to 1). A single row follows itself; an empty table gives an empty
     table; other columns are not read.
 
-    Rows are dealt by ranges of doc_id, whose bounds come from a quantile sketch of the ids, and each range also gets the first row
-    of the next one, so neighbours meet in one shuffle of the texts and no task sees all rows.
+    Rows are dealt by ranges of doc_id, and by ranges of their texts' hashes for null and for an id of very many rows; bounds come from
+    quantile sketches. Each range also gets the first row of the next one, so neighbours meet in one shuffle of the texts.
     """
     return _spelt(_audit_rows(docs, id_col, text_col))
 
@@ -208,22 +242,22 @@ def _audit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     many = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / (4 * many) for i in range(1, 4 * many)], 100 * many)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_place(F.col("doc_id"), cuts)).cast("int")
-    found = sorted((r.bucket, r.first) for r in docs.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("first")).collect())  # a row for each range
+    docs = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    bucket = _bucket(docs, 4 * many)
+    first = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("later"))).alias("first")  # the greatest id, null the least, then the least hash
+    found = sorted((r.bucket, r.first.doc_id, ~r.first.later) for r in docs.groupBy(bucket.alias("bucket")).agg(first).collect())  # a row for each range
     # the first row of each range also goes to the range before it; the very first to the last
-    firsts, goes = [None] * (len(cuts) + 2), [0] * (len(cuts) + 2)
-    for i, (b, first) in enumerate(found):
-        firsts[b], goes[b] = first, found[i - 1][0]
-    docs = docs.withColumn("bucket", bucket)
+    size = found[-1][0] + 1 if found else 0
+    ids, ties, goes = [None] * size, [None] * size, [None] * size
+    for k, (b, id_, tie) in enumerate(found):
+        ids[b], ties[b], goes[b] = id_, tie, found[k - 1][0]
     at = F.col("bucket") + 1
-    guest = F.when(F.col("doc_id").eqNullSafe(F.element_at(F.lit(firsts).cast("array<bigint>"), at)), F.element_at(F.lit(goes).cast("array<int>"), at))
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("bucket", guest.alias("goes"), "doc_id", "text", tie.alias("tie"))
+    known = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), at)
+    guest = F.when(F.col("doc_id").eqNullSafe(known(ids, "bigint")) & (F.col("tie") == known(ties, "bigint")), known(goes, "int"))
+    rows = docs.withColumn("bucket", bucket).select("bucket", guest.alias("goes"), "doc_id", "text", "tie")
     rows = rows.select(F.explode(F.filter(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("goes").alias("bucket"), F.lit(True).alias("guest"))), lambda x: x.bucket.isNotNull())).alias("at"), "doc_id", "text", "tie")
     rows = rows.select("at.bucket", "at.guest", "doc_id", "text", "tie").repartition(many, "bucket")
-    # rows that share a range's first id are all guests; the first in order is the neighbour
+    # copies of a range's first row are all guests; the first in order is the neighbour
     rows = rows.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "tie")
     return rows.select("bucket", "guest", "doc_id", "text").mapInArrow(_audit, "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
@@ -349,20 +383,34 @@ def _node_labels(node: DataFrame, least: float) -> DataFrame:
     return labels
 
 
-def _with_classes(rows: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """rows (with doc_id, fingerprint and n_chars) with a class_id; prints (doc_id, binary fingerprint) has their texts but empty ones."""
-    node = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first")))
+def _with_classes(rows: DataFrame, least: float) -> DataFrame:
+    """rows (written, with doc_id, binary fingerprint and n_chars) with a class_id. Ids with several texts link the texts."""
+    prints = rows.where("n_chars > 0 and doc_id is not null").select("doc_id", "fingerprint")
+    node = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.col("first")))
     labels = _node_labels(node.select("node", "fingerprint"), least)
+    text = F.xxhash64("fingerprint")
+    several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id"))
+    of_id = None
+    if not several.isEmpty():
+        own = prints.join(several, "doc_id", "left_semi").distinct().join(node, "fingerprint")
+        before, labels = labels, _merged(labels, own.select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
+        of_id = stored(several.join(labels, several.doc_id == labels.node, "left").select("doc_id", F.coalesce("label", "doc_id").alias("id_class")))
+        drop_stored(before)
     named = stored(node.join(labels, "node", "left").where("n > 1 or label is not null").select("fingerprint", F.coalesce("label", "node").alias("class_id")))
     drop_stored(node)
     named = F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named
-    return rows.join(named, "fingerprint", "left").withColumn("class_id", F.when(F.col("n_chars") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")))
+    out = rows.join(named, "fingerprint", "left")
+    class_id = F.when(F.col("n_chars") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id"))
+    if of_id is not None:
+        out = out.join(of_id, "doc_id", "left")
+        class_id = F.coalesce("id_class", class_id)
+    return out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), class_id))
 
 
 def fingerprint_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of fingerprint_audit with one more column, the class_id of near_documents."""
     rows = stored(_audit_rows(docs, id_col, text_col))
-    return _spelt(_with_classes(rows, rows.where("n_chars > 0").select("doc_id", "fingerprint"), least).select(*rows.columns, "class_id"))
+    return _spelt(_with_classes(rows, least).select(*rows.columns, "class_id"))
 
 
 def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,8 +418,9 @@ def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
 
     Banding: BANDS keys of ROWS sampled steps each; documents that share a key are candidates. Verification: likeness of at least
     `least`. No candidate is left out, but pairs that other links already join aren't verified. Equal texts have
-    equal fingerprints and are one class. Rows of one id count as one document: their class is that of any of their texts. Null ids and
-    empty texts have no links and are classes of their own. Other columns are not read; an empty table gives an empty table.
+    equal fingerprints and are one class. Rows of one id count as one document, whose texts are linked: its rows are all in one class. Null
+    ids and empty texts have no links and are classes of their own: the class of a null id is null, whatever its text, that of an id which has
+    empty texts only is the id. Other columns are not read; an empty table gives an empty table.
     """
     schema = "doc_id long, fingerprint binary, n_chars long"
 
@@ -381,4 +430,4 @@ def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
             yield pa.record_batch([part.column("doc_id"), pa.array([x.tobytes() for x in fingerprints(texts)], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "fingerprint", "n_chars"])
 
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
-    return _with_classes(rows, rows.where("n_chars > 0"), least).select("doc_id", "class_id")
+    return _with_classes(rows, least).select("doc_id", "class_id")

@@ -46,13 +46,17 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     rows = docs.select(docs[id_col].alias("id"), own.alias("text")).withColumn("sig", F.xxhash64("text"))
     every = stored(_places(rows, min_chars))
     often = every.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    often = stored(often)  # written, so that its join with the lines is one of two shuffled sides (or a broadcast of known size)
     some = stored(every.join(often, ["h1", "h2"]))
     drop_stored(every)
+    drop_stored(often)
     documents = F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))
     shared = some.groupBy("h1", "h2").agg(documents.alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    shared = stored(shared)
     gone = some.join(shared, ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") < F.col("last")))
     gone = stored(gone.groupBy("id", "sig").agg(F.collect_set("place").alias("places")))
     drop_stored(some)
+    drop_stored(shared)
     gone = gone.select(F.col("id").alias(id_), F.col("sig").alias(sig), F.col("places").alias(places))
     wide = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])
     met = wide.join(gone, wide[id_col].eqNullSafe(gone[id_]) & (F.xxhash64(own) == gone[sig]), "left")

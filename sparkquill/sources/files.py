@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import urllib.request
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkquill.operators.index import Index, frequent_terms
@@ -63,27 +58,6 @@ def read_query_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("qid", "m.metric", "m.v").where("v <> ''").select("qid", "metric", F.col("v").cast("double").alias("value"))
 
 
-def search_request(text: str, size: int = 100) -> dict:
-    """The body of a full-text search for the text over the field ``text``. Its answers are read by parse_hits."""
-    return {"query": {"match": {"text": text}}, "size": size}
-
-
-def fetch_hits(topics: DataFrame, url: str, size: int = 100, timeout: float = 30.0) -> DataFrame:
-    """(qid, body): each topic's search answer from a live search endpoint (its _search address). Topics are asked one after the other by
-    the tasks that hold them; a failed request fails the task, which Spark runs again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = []
-            for title in batch.column("title").to_pylist():
-                request = urllib.request.Request(url, json.dumps(search_request(title or "", size)).encode(), {"Content-Type": "application/json"})
-                with urllib.request.urlopen(request, timeout=timeout) as answer:
-                    bodies.append(answer.read().decode())
-            yield pa.record_batch([batch.column("qid"), pa.array(bodies, pa.string())], names=["qid", "body"])
-
-    return topics.select(F.col("qid").cast("int").alias("qid"), "title").mapInArrow(run, "qid int, body string")
-
-
 def parse_hits(payloads: DataFrame, tag: str = "ElasticSearch") -> DataFrame:
     """(qid, doc_name, rank, score, tag) from saved search answers (qid, body)."""
     hits = payloads.select("qid", F.posexplode(F.from_json("body", HITS)["hits"]["hits"]).alias("rank", "h"))

@@ -222,12 +222,11 @@ def test_topic_text(spark, tmp_path):
         retrieval.run_static(topics, None, "nothing")
 
 
-def test_query_report_and_search_request(spark, tmp_path):
+def test_query_report(spark, tmp_path):
     part = "\nQueryid (Num):      {}\nTotal number of documents over all queries\n    Retrieved:     10\n    at 0.00       0.5000\nAverage precision (non-interpolated) for all rel docs(averaged over queries)\n                  {}\nPrecision:\n  At    5 docs:   0.2000\nR-Precision (precision after R (= num_rel for a query) docs retrieved):\n    Exact:        {}\n"
     (tmp_path / "r").write_text(part.format(301, "0.2500", "0.5000") + part.format(302, "0.7500", "1.0000"))
     got = {(r.qid, r.metric): r.value for r in files.read_query_report(spark, str(tmp_path / "r")).collect()}
     assert got == {(301, "ap"): 0.25, (301, "r_precision"): 0.5, (302, "ap"): 0.75, (302, "r_precision"): 1.0}
-    assert files.search_request("polio", 7) == {"query": {"match": {"text": "polio"}}, "size": 7} and files.search_request("x")["size"] == 100
 
 
 def test_close_places_of_many_places(spark):

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkquill.llm.batches import LOWER, buffers, slices, stored
 
+_TERM = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 _GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
 _BSD_2 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
@@ -71,12 +72,78 @@ TEMPLATES = {
     "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", _ISC, _ISC + _ISC_END],
     "Unlicense": [_UNLICENSE, _UNLICENSE + _UNLICENSE_END, "SPDX-License-Identifier: Unlicense"],
 }
+
+# Identifier, full name and short names of licences whose header lines follow from them.
+NAMES = [
+    ("MIT", "MIT License", ["MIT"]), ("MIT-0", "MIT No Attribution License", ["MIT-0"]), ("X11", "X11 License", ["X11"]), ("0BSD", "BSD Zero Clause License", ["0BSD"]),
+    ("BSD-2-Clause", "BSD 2-Clause License", ["BSD-2-Clause", "Simplified BSD"]), ("BSD-3-Clause", "BSD 3-Clause License", ["BSD-3-Clause", "New BSD"]), ("BSD-4-Clause", "BSD 4-Clause License", ["BSD-4-Clause", "Original BSD"]),
+    ("Apache-1.0", "Apache License, Version 1.0", ["Apache 1.0"]), ("Apache-1.1", "Apache License, Version 1.1", ["Apache 1.1"]), ("Apache-2.0", "Apache License, Version 2.0", ["Apache 2.0", "Apache-2.0"]),
+    ("GPL-1.0", "GNU General Public License, version 1", ["GPLv1", "GPL 1.0"]), ("GPL-2.0", "GNU General Public License, version 2", ["GPLv2", "GPL 2.0"]), ("GPL-3.0", "GNU General Public License, version 3", ["GPLv3", "GPL 3.0"]),
+    ("LGPL-2.0", "GNU Library General Public License, version 2", ["LGPLv2", "LGPL 2.0"]), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", ["LGPLv2.1", "LGPL 2.1"]), ("LGPL-3.0", "GNU Lesser General Public License, version 3", ["LGPLv3", "LGPL 3.0"]),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3", ["AGPLv3", "AGPL 3.0"]), ("GFDL-1.2", "GNU Free Documentation License, Version 1.2", ["GFDL 1.2"]), ("GFDL-1.3", "GNU Free Documentation License, Version 1.3", ["GFDL 1.3"]),
+    ("MPL-1.0", "Mozilla Public License, Version 1.0", ["MPL 1.0"]), ("MPL-1.1", "Mozilla Public License, Version 1.1", ["MPL 1.1"]), ("MPL-2.0", "Mozilla Public License, Version 2.0", ["MPL 2.0"]),
+    ("EPL-1.0", "Eclipse Public License, Version 1.0", ["EPL 1.0"]), ("EPL-2.0", "Eclipse Public License, Version 2.0", ["EPL 2.0", "EPL-2.0"]), ("CPL-1.0", "Common Public License, Version 1.0", ["CPL 1.0"]),
+    ("CDDL-1.0", "Common Development and Distribution License, Version 1.0", ["CDDL 1.0"]), ("CDDL-1.1", "Common Development and Distribution License, Version 1.1", ["CDDL 1.1"]), ("EUPL-1.1", "European Union Public Licence, Version 1.1", ["EUPL 1.1"]),
+    ("EUPL-1.2", "European Union Public Licence, Version 1.2", ["EUPL 1.2"]), ("BSL-1.0", "Boost Software License, Version 1.0", ["BSL-1.0"]), ("Zlib", "zlib License", ["Zlib"]), ("ISC", "ISC License", ["ISC"]), ("Unlicense", "Unlicense", ["The Unlicense"]),
+    ("WTFPL", "Do What The Fuck You Want To Public License", ["WTFPL"]), ("Artistic-1.0", "Artistic License 1.0", ["Artistic 1.0"]), ("Artistic-2.0", "Artistic License 2.0", ["Artistic 2.0"]), ("Python-2.0", "Python License, Version 2", ["Python-2.0"]),
+    ("PSF-2.0", "Python Software Foundation License, Version 2", ["PSF-2.0", "PSFL"]), ("OFL-1.1", "SIL Open Font License, Version 1.1", ["OFL 1.1"]), ("NCSA", "University of Illinois NCSA Open Source License", ["NCSA"]), ("PostgreSQL", "PostgreSQL License", ["PostgreSQL"]),
+    ("Ruby", "Ruby License", ["Ruby"]), ("PHP-3.01", "PHP License, version 3.01", ["PHP 3.01"]), ("OpenSSL", "OpenSSL License", ["OpenSSL"]), ("Vim", "Vim License", ["Vim"]), ("MS-PL", "Microsoft Public License", ["MS-PL"]), ("MS-RL", "Microsoft Reciprocal License", ["MS-RL"]),
+    ("LPPL-1.3c", "LaTeX Project Public License, Version 1.3c", ["LPPL 1.3c"]), ("AFL-3.0", "Academic Free License, Version 3.0", ["AFL 3.0"]), ("OSL-3.0", "Open Software License, Version 3.0", ["OSL 3.0"]), ("CECILL-2.1", "CeCILL Free Software License Agreement v2.1", ["CeCILL 2.1"]),
+    ("UPL-1.0", "Universal Permissive License, Version 1.0", ["UPL 1.0"]), ("ECL-2.0", "Educational Community License, Version 2.0", ["ECL 2.0"]), ("BlueOak-1.0.0", "Blue Oak Model License 1.0.0", ["BlueOak-1.0.0"]), ("ODbL-1.0", "Open Data Commons Open Database License v1.0", ["ODbL 1.0"]),
+    ("SSPL-1.0", "Server Side Public License, Version 1", ["SSPL 1.0"]), ("BUSL-1.1", "Business Source License 1.1", ["BUSL 1.1"]), ("Elastic-2.0", "Elastic License 2.0", ["Elastic 2.0"]), ("CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication", ["CC0 1.0", "CC0"]),
+]
+# The parts of the Creative Commons licences and the versions that they come in.
+CC_PARTS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+CC_VERSIONS = [("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")]
+# Paragraphs of the Apache License 2.0 after its definitions' opening, and whole short licences.
+_APACHE_BODY = [
+    'Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.',
+    'Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted.',
+    'Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions: (a) You must give any other recipients of the Work or Derivative Works a copy of this License; and (b) You must cause any modified files to carry prominent notices stating that You changed the files;',
+    'Submission of Contributions. Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be under the terms and conditions of this License, without any additional terms or conditions.',
+    'Trademarks. This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file.',
+    'Disclaimer of Warranty. Unless required by applicable law or agreed to in writing, Licensor provides the Work (and each Contributor provides its Contributions) on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied, including, without limitation, any warranties or conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR PURPOSE.',
+    'Limitation of Liability. In no event and under no legal theory, whether in tort (including negligence), contract, or otherwise, unless required by applicable law (such as deliberate and grossly negligent acts) or agreed to in writing, shall any Contributor be liable to You for damages, including any direct, indirect, special, incidental, or consequential damages of any character arising as a result of this License or out of the use or inability to use the Work.',
+    'Accepting Warranty or Additional Liability. While redistributing the Work or Derivative Works thereof, You may choose to offer, and charge a fee for, acceptance of support, warranty, indemnity, or other liability obligations and/or rights consistent with this License.',
+    '"Contribution" shall mean any work of authorship, including the original version of the Work and any modifications or additions to that Work or Derivative Works thereof, that is intentionally submitted to Licensor for inclusion in the Work by the copyright owner or by an individual or Legal Entity authorized to submit on behalf of the copyright owner.',
+]
+_WHOLE = {
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Creative Commons CC0", "CC0 1.0 Universal Creative Commons"],
+    "BSD-4-Clause": ["All advertising materials mentioning features or use of this software must display the following acknowledgement: Redistribution and use in source and binary forms"],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."],
+}
+
+
+def _cc() -> list[tuple[str, str, list[str]]]:
+    """The Creative Commons licences in the form of NAMES."""
+    return [(f"CC-{p}-{v}", f"Creative Commons {n} {v} {k} License", [f"CC {p} {v}", f"CC-{p}-{v}"]) for p, n in CC_PARTS for v, k in CC_VERSIONS]
+
+
+def _all_templates() -> dict[str, list[str]]:
+    """TEMPLATES, the paragraphs, and the header lines that follow from names, each once."""
+    out = {k: list(v) for k, v in TEMPLATES.items()}
+    seen = {tuple(_TERM.findall(t.lower())) for ts in out.values() for t in ts}
+    lines = [(i, [f"SPDX-License-Identifier: {i}", f"Licensed under the {name}", f"Released under the {name}", f"License: {name}", *(x for s in short for x in (f"Licensed under {s}", f"License: {s}"))]) for i, name, short in [*NAMES, *_cc()]]
+    for i, texts in [("Apache-2.0", _APACHE_BODY), *_WHOLE.items(), *lines]:
+        for t in texts:
+            key = tuple(_TERM.findall(t.lower()))
+            if key not in seen:
+                seen.add(key)
+                out.setdefault(i, []).append(t)
+    return out
+
+
 #: One of these, lower-cased, is in every line that can belong to a licence block.
 ANCHORS = (b"licen", b"permission", b"redistribut", b"gnu ", b"free software", b"public domain", b"unencumbered", b"creative commons")
+ALL_TEMPLATES = _all_templates()
 LEAST = 0.6
 #: Cosines that differ by less are equal.
 NOISE = 1e-9
-_TERM = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 
 
 #: Words that say of something that it is not under a licence, and what ends their sentence.
@@ -97,6 +164,44 @@ def granting(text: str) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
+#: Licences by their identifiers, lower-cased; in names of the GNU family also by a letter v and without hyphens.
+IDENTIFIERS = {i.lower(): i for i in [*ALL_TEMPLATES]}
+_TAG = re.compile(r"(?:spdx-license-identifier|\blicen[sc]e)[ \t]*[:=][ \t]*([^\n]{1,300})", re.IGNORECASE)
+_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+_GNU_NAME = re.compile(r"([al]?gpl|gfdl)-?v?([0-9](?:\.[0-9])?)")
+
+
+def identified(name: str) -> str | None:
+    """The licence of an identifier as it stands after a licence tag: of any case, with or without -only, -or-later or +."""
+    low = re.sub(r"(?:-only|-or-later|\+)$", "", name.lower().rstrip(".,;"))
+    low = re.sub(r"(?:-only|-or-later|\+)$", "", low)
+    if low in IDENTIFIERS:
+        return IDENTIFIERS[low]
+    gnu = _GNU_NAME.fullmatch(low)
+    return IDENTIFIERS.get(f"{gnu[1]}-{gnu[2] if '.' in gnu[2] else gnu[2] + '.0'}") if gnu else None
+
+
+def tagged(text: str) -> str | None:
+    """The licences that the text's first tag with a known identifier names, as an expression: `MIT OR Apache-2.0`. Names are taken up to the
+    first word that is neither an identifier nor OR, AND or WITH and what follows it."""
+    for m in _TAG.finditer(text):
+        out: list[str] = []
+        joint = None
+        for word in _NAME.findall(m[1].replace("/", " OR ")):
+            if word.upper() in ("OR", "AND", "WITH"):
+                joint = word.upper()
+            elif joint == "WITH":
+                joint = None  # an exception to the licence before it
+            elif (known := identified(word)) and (joint or not out):
+                out += [joint, known] if out else [known]
+                joint = None
+            else:
+                break
+        if out:
+            return " ".join(out)
+    return None
+
+
 def terms(text: str) -> Counter:
     """Words and word pairs."""
     w = _TERM.findall(text.lower())
@@ -107,7 +212,7 @@ class Matcher:
     """TF-IDF vectors of the templates; document frequencies are those of the templates."""
 
     def __init__(self, templates: dict[str, list[str]] | None = None):
-        rows = [(name, terms(t)) for name, ts in (templates or TEMPLATES).items() for t in ts]
+        rows = [(name, terms(t)) for name, ts in (templates or ALL_TEMPLATES).items() for t in ts]
         df = Counter(t for _, c in rows for t in c)
         self.idf = {t: math.log(1 + len(rows) / n) for t, n in df.items()}
         self.unknown = math.log(1 + len(rows))
@@ -159,7 +264,7 @@ class _Windows:
         for j, v in enumerate(own.vectors):
             for t, x in v.items():
                 self.weight[self.known[t], j] = x * own.idf[t]
-        self.lengths = np.unique([len(_TERM.findall(t.lower())) for ts in TEMPLATES.values() for t in ts])
+        self.lengths = np.unique([len(_TERM.findall(t.lower())) for ts in ALL_TEMPLATES.values() for t in ts])
 
     def best(self, text: str) -> tuple[float, str]:
         low = text.lower()
@@ -234,6 +339,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in sorted(some):
             best = (0.0, "")
             text = granting(column[k].as_py())
+            if exact := tagged(text):  # an identifier's own name decides
+                found[k] = (1.0, exact)
+                continue
             for block in blocks(text):
                 if block not in cache:
                     if len(cache) > 10_000:
@@ -242,8 +350,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if cache[block][0] > best[0]:
                     best = cache[block]
             # windows decide if they fit better than whole lines
-            inner = windows.best(text)
-            if inner[0] > best[0] + NOISE:
+            if best[0] < 1 - NOISE and (inner := windows.best(text))[0] > best[0] + NOISE:
                 best = inner
             if best[0] >= LEAST:
                 found[k] = best
@@ -258,6 +365,9 @@ def license_scan(files: DataFrame, license_names: tuple[str, ...] = ("LICENSE",
     """A row per row of files (doc_id, path, text): doc_id, path, license (its own, null if none), score (cosine of its best block),
     inherited_from (directory of the licence file that decides, null if its own or none does) and effective (its own or inherited).
 
+    license is an expression where a tag names several: `MIT OR Apache-2.0`. A known identifier after a tag (SPDX-License-Identifier or
+    License) decides; it scores 1.
+
     A licence file is one whose name (before a dot, in any case) is in license_names; of several in a directory the highest score
     decides, then the least path. Null texts and texts without licence words have no licence of their own; a null path has no
     directory and inherits nothing; the root directory is the empty path. Repeated rows get equal results; an empty table gives an

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,18 +107,67 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end + 4
 
 
+#: Compressed bytes that are looked at at once.
+PIECE = 1 << 16
+
+
+def gzip_members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each member of a gzip file, one after the other."""
+    at = 0
+    while at < len(data):
+        member, parts, to = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if to >= len(data):
+                raise ValueError(f"the gzip member at byte {at} is cut off")
+            try:
+                parts.append(member.decompress(data[to : to + PIECE]))
+            except zlib.error as e:
+                raise ValueError(f"no gzip member at byte {at}") from e
+            to = min(to + PIECE, len(data))
+        end = to - len(member.unused_data)
+        yield at, end - at, b"".join(parts)
+        at = end
+
+
+def warc_records(data: bytes) -> Iterator[tuple[int, int, bytes, dict[str, str], bytes]]:
+    """(offset, length, record, headers, content) of a WARC file, plain or with a gzip member for each record, whose place is the member's."""
+    if not data.startswith(b"\x1f\x8b"):
+        for at, n, head, content in parse_warc(data):
+            yield at, n, data[at : at + n], head, content
+        return
+    for at, n, raw in gzip_members(data):
+        records = list(parse_warc(raw))
+        if len(records) != 1:
+            raise ValueError(f"the gzip member at byte {at} has {len(records)} records")
+        yield at, n, raw, records[0][2], records[0][3]
+
+
+#: Bytes of records that are handed on at once.
+HANDED = 1 << 20
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, sha256 of the record, type, record_id, target_uri, content) of uncompressed WARC files, a file at a time: what
-    audit() takes. A file must fit into an executor's memory."""
+    """(file, offset, length, sha256 of the record, type, record_id, target_uri, content) of WARC files, plain or compressed by record
+    (.warc.gz), a file at a time: what audit() takes. Digests are those of the records as they are without compression, so a plain replica
+    and a compressed one compare by content. A file must fit into an executor's memory; records are handed on in small batches."""
     schema = "file string, offset long, length long, sha256 string, type string, record_id string, target_uri string, content binary"
+    kinds = [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("content", pa.binary())]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = data.as_py()
-                for at, n, head, content in parse_warc(whole):
-                    row = (file, at, n, hashlib.sha256(whole[at : at + n]).hexdigest(), head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), content)
-                    yield pa.record_batch([[x] for x in row], schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("content", pa.binary())]))
+                rows, size = [], 0
+                for at, n, record, head, content in warc_records(data.as_py()):
+                    rows.append((file, at, n, hashlib.sha256(record).hexdigest(), head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), content))
+                    size += len(content)
+                    if size > HANDED:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing
 column names."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -571,11 +572,56 @@ def test_licenses(spark):
 
 def test_license_templates_find_themselves():
     own = licenses.Matcher()
-    for name, texts in licenses.TEMPLATES.items():
+    assert len(licenses.ALL_TEMPLATES) >= 80
+    for name, texts in licenses.ALL_TEMPLATES.items():
         for t in texts:
             assert own.best(t) == (pytest.approx(1.0), name)
 
 
+NAMED = {
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0", "Apache License, Version 1.1": "Apache-1.1",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0", "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND bsd-3-clause": "GPL-2.0 AND BSD-3-Clause", "License: MIT/Apache-2.0": "MIT OR Apache-2.0",
+    "License: GPLv3+": "GPL-3.0", "license = LGPL-2.1+ and later": "LGPL-2.1", "licensed under MIT.": "MIT", "Licensed under EPL-2.0": "EPL-2.0", "Released under the Eclipse Public License, Version 2.0.": "EPL-2.0", "Creative Commons CC0 1.0 Universal": "CC0-1.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "zlib License": "Zlib", "License: see the file": None, "Licensed under the terms of the sea": None, "license: none of us knew": None,
+    "Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be under the terms and conditions of this License, without any additional terms": "Apache-2.0",
+}
+
+
+def test_named_licenses(spark):
+    rows = [(k, f"p/{k}", f"some words before\n{t}\nand after") for k, t in enumerate(NAMED)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {t: x.license for x in licenses.license_scan(docs).collect() for t in [list(NAMED)[x.doc_id]]} == NAMED
+
+
+def test_inheritance_against_a_walk_up(spark):
+    r = random.Random(12)
+    names = ["MIT", "ISC", "Zlib", "BSL-1.0"]
+    rows = []
+    for i in range(400):
+        folder = "/".join(r.choice("abc") for _ in range(r.randrange(5)))
+        name = r.choice(["LICENSE", "copying.txt", "Licence.md", "x.c", "y.txt", "LICENSES"])
+        path = None if r.random() < 0.03 else f"{folder}/{name}" if folder else name
+        rows.append((i, path, r.choice([None, "", "words"] + [f"SPDX-License-Identifier: {n}" for n in names]) if r.random() < 0.3 else "words"))
+    given = {}
+    for _, path, text in rows:
+        if path and text and "SPDX" in text and path.split("/")[-1].split(".")[0].upper() in ("LICENSE", "LICENCE", "COPYING"):
+            folder = path.rpartition("/")[0]
+            given[folder] = min(given.get(folder, ("~",)), (path, text.split()[-1]))
+    want = []
+    for i, path, text in rows:
+        own = text.split()[-1] if text and "SPDX" in text else None
+        at, near = path.rpartition("/")[0] if path else None, None
+        while path and near is None:
+            near = at if at in given else None
+            if at == "":
+                break
+            at = at.rpartition("/")[0]
+        ties = {x for x in {t.split()[-1] for j, p, t in rows if p and t and "SPDX" in t and near is not None and p == given[near][0]}} if near is not None else set()
+        want.append((i, own, None if own else near, own or (min(ties) if ties else None)))
+    got = sorted((x.doc_id, x.license, x.inherited_from, x.effective) for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == want
+
+
 GPL_2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
 LGPL_21 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
 
@@ -850,6 +896,16 @@ def test_warc_files(spark, tmp_path):
     assert {x.status for x in warc.audit(by("one.warc"), by("two.warc"))[0].collect()} <= {"missing", "changed", "extra"}
     with pytest.raises(ValueError, match="byte 0"):
         list(warc.parse_warc(b"nothing"))
+    # compressed by record: the same records, in other places
+    members = [gzip.compress(r.encode()) for r in records]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "one.warc.gz").write_bytes(b"".join(members))
+    packed = sorted(warc.read_warc(spark, str(tmp_path / "z")).collect(), key=lambda x: x.offset)
+    assert [(x.sha256, x.content, x.record_id) for x in packed] == [(x.sha256, x.content, x.record_id) for x in one]
+    assert [(x.offset, x.length) for x in packed] == [(sum(map(len, members[:k])), len(m)) for k, m in enumerate(members)]
+    for data, error in ((members[0][:-3], "cut off"), (members[0] + b"rest", "no gzip member"), (gzip.compress((records[0] + records[1]).encode()), "2 records")):
+        with pytest.raises(ValueError, match=error):
+            list(warc.warc_records(data))
 
 
 def test_replica_audit(spark):

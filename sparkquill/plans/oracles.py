@@ -58,7 +58,7 @@ PARTS = {
     "nrm": "select doc_id, sum(w * w) as dn from wt group by 1",
     "q": f"select item_id as qid, term, count(*) as qtf from (select item_id, unnest({_plain('text')}) as term from benchmark) group by 1, 2",
     "qw": "select qid, term, (log10(qtf) + 1) * idf as w from q join idf using (term)",
-    "more": "select unnest(['$' || o_totalprice::decimal(18,2), strftime(o_orderdate, '%m/%d/%Y'), strftime(o_orderdate, '%m/%d/%y'), strftime(o_orderdate, '%d/%m/%Y')]) as w from orders union all select unnest([round(l_discount * 100)::integer || '%', '$' || round(l_extendedprice)::integer || ',000']) from lineitem union all select unnest([replace(c_mktsegment, ' ', '') || '@seg@desk.org', replace(c_mktsegment, ' ', '') || '.desk@shop.com']) from customer union all select unnest([n_name[1:1] || '.' || n_name[2:2] || '.', n_name[1:2] || '.gov']) from nation",
+    "more": "select unnest(['$' || o_totalprice::decimal(18,2), strftime(o_orderdate, '%m/%d/%Y'), strftime(o_orderdate, '%m/%d/%y'), strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%b-%d-%Y')]) as w from orders union all select unnest([round(l_discount * 100)::integer || '%', '$' || round(l_extendedprice)::integer || ',000']) from lineitem union all select unnest([replace(c_mktsegment, ' ', '') || '@seg@desk.org', replace(c_mktsegment, ' ', '') || '.desk@shop.com']) from customer union all select unnest([n_name[1:1] || '.' || n_name[2:2] || '.', n_name[1:2] || '.gov', z || '-' || n_nationkey, n_nationkey || '-' || z, n_nationkey || '-' || n_regionkey || '-' || n_regionkey || '-', z || '1.pdf', '§' || n_nationkey || '.' || n_regionkey, 'www.' || z || '1.net', z || '1.x' || n_regionkey]) from (select *, replace(n_name, ' ', '') as z from nation) union all select url from pages",
     "words": rf"select word, count(*) as n from (select unnest({_stripped('text')}) as word from documents union all select regexp_replace(translate(lower(w), {_lit(STRIPPED)}, ''), '^\.+|\.+$', '', 'g') from more) group by 1",
     "ptok": _phrase_rows("documents", "doc_id", "text", (2, 3)),
     "ppost0": "select term, doc_id, count(*) as tf from ptok group by 1, 2",
@@ -231,5 +231,6 @@ ORACLES: dict[str, str] = {
     "eval_by_query": _with("select qid, metric, round(value, 6) as value from em"), "eval_means": _with("select case when metric = 'ap' then 'map' else metric end as metric, round(avg(value), 6) as value from em group by 1"),
     "bulk_json": """select doc_id, 0::bigint as line_no, '{"index":{"_id":"' || doc_id || '"}}' as value from documents union all select doc_id, 1, to_json({'doc_name': 'doc-' || doc_id, 'text': text})::varchar from documents""",
 }
+ORACLES["tokens_seldom"] = _tokens(["date2", "date3", "file", "paragraph", "url", "url2", "url3"], _ALL_TOKENS)
 #: Bounds leave out blocks of documents, never a row of the result.
 ORACLES |= {f"rank_{k}_bounded": ORACLES[f"rank_{k}"] for k in ("tfidf", "bm25", "dirichlet", "jm")}

@@ -116,14 +116,19 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word) of the forms that documents seldom have: amounts, shares, dates, addresses and initials from the other tables' columns."""
+    """(word) of the forms that documents seldom or never have: amounts, shares, dates, addresses, initials, names with numbers, files, paragraphs
+    and hosts from the other tables' columns."""
     orders, lines, people, nations = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "nation"))
+    # a name with a number, a number with a name, a date that isn't one, a file, a paragraph, a host, and letters, digits and dots
+    name, key, region, x = F.translate("n_name", " ", ""), F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"), F.lit
+    forms = [F.concat(name, x("-"), key), F.concat(key, x("-"), name), F.concat(key, x("-"), region, x("-"), region, x("-")), F.concat(name, x("1.pdf")), F.concat(x("§"), key, x("."), region), F.concat(x("www."), name, x("1.net")), F.concat(name, x("1.x"), region)]
     initials = lambda x: F.concat(F.substring(x, 1, 1), F.lit("."), F.substring(x, 2, 1), F.lit("."))
     return (
-        orders.select(F.explode(F.array(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "MM/dd/yy"), F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("word"))
+        orders.select(F.explode(F.array(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "MM/dd/yy"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "MMM-dd-yyyy"))).alias("word"))
         .union(lines.select(F.explode(F.array(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")), F.concat(F.lit("$"), F.round("l_extendedprice").cast("int").cast("string"), F.lit(",000")))).alias("word")))
         .union(people.select(F.explode(F.array(F.concat(F.translate("c_mktsegment", " ", ""), F.lit("@seg"), F.lit("@desk.org")), F.concat(F.translate("c_mktsegment", " ", ""), F.lit(".desk@shop.com")))).alias("word")))
-        .union(nations.select(F.explode(F.array(initials(F.col("n_name")), F.concat(F.substring("n_name", 1, 2), F.lit(".gov")))).alias("word")))
+        .union(nations.select(F.explode(F.array(initials(F.col("n_name")), F.concat(F.substring("n_name", 1, 2), F.lit(".gov")), *forms)).alias("word")))
+        .union(table(spark, sf_dir, "pages").select(F.col("url").alias("word")))
     )
 
 
@@ -148,7 +153,7 @@ QUERIES: dict[str, Q] = {
     "tokens_split_punct": lambda s, d: documents(s, d).select(F.explode(text.split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
     "tokens_money": _of_class("monetory"), "tokens_percent": _of_class("percent"), "tokens_integer": _of_class("integer"), "tokens_hyphen": _of_class("hyphen"),
     "tokens_email": _of_class("email"), "tokens_ip": _of_class("ip"), "tokens_dates": _of_class("date1", "date4"), "tokens_dots": _of_class("dots"), "tokens_dot_notes": _of_class("dot_notes"),
-    "tokens_mixes": _of_class("alpha_digit", "digit_alpha", "digit_alpha_mixes", "no_hyphen_mixes", "alpha_digit_dot"), "tokens_other": _of_class("other"),
+    "tokens_mixes": _of_class("alpha_digit", "digit_alpha", "digit_alpha_mixes", "no_hyphen_mixes", "alpha_digit_dot"), "tokens_other": _of_class("other"), "tokens_seldom": _of_class("date2", "date3", "file", "paragraph", "url", "url2", "url3"),
     "token_class_histogram": lambda s, d: _stripped(s, d).where("word <> ''").groupBy(classes.token_class(F.col("word")).alias("class")).agg(F.sum("n").alias("n")),
     "token_full_pipeline": lambda s, d: group_tokens(documents(s, d)).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df")),
     "stopword_filter": lambda s, d: word_tokens(documents(s, d)).where(~F.col("term").isin(STOP_WORDS)).groupBy("term").agg(F.count("*").alias("n")),

@@ -91,9 +91,11 @@ class Analyser:
         """(doc_id, dl, pos, term) of documents (doc_id, text), before stemming; dl is the number of the document's tokens."""
         flat = self._flat(F.col("text"))
         if flat is not None:
-            return docs.select("doc_id", flat.alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.posexplode("w").alias("pos", "term"))
-        rows = docs.select("doc_id", self._groups(F.col("text")).alias("g"))
-        rows = rows.select("doc_id", F.size(F.flatten("g")).cast("long").alias("dl"), F.posexplode("g").alias("pos", "group"))
+            rows = docs.select("doc_id", flat.alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), "w")
+            return rows.select("doc_id", "dl", F.posexplode("w").alias("pos", "term"))
+        # lengths are taken before the words are exploded: an expression beside explode() is worked out for each of its rows, arrays and all
+        rows = docs.select("doc_id", self._groups(F.col("text")).alias("g")).select("doc_id", F.size(F.flatten("g")).cast("long").alias("dl"), "g")
+        rows = rows.select("doc_id", "dl", F.posexplode("g").alias("pos", "group"))
         return rows.select("doc_id", "dl", "pos", F.explode("group").alias("term"))
 
     def query_terms(self, topics: DataFrame, text: Column | str = "title") -> DataFrame:

@@ -77,7 +77,7 @@ CHUNK = 100_000
 BLOCK_DOCS = 64
 #: Terms of fewer documents have no blocks: their postings are as good.
 BLOCK_DF = 256
-#: Buckets of terms: at least, at most, and the bytes of postings (as Spark estimates them) for each.
+#: Buckets of terms: at least, at most, and the bytes of input (as Spark knows them) for each.
 BUCKETS = (16, 4096, 64 << 20)
 #: Distinct terms up to which a query's terms themselves are a filter of the scans; beyond it, up to the second number, only their buckets are.
 TERMS, FEW_TERMS = 200, 20_000
@@ -200,7 +200,8 @@ class Index:
         them again. Postings are dealt by bucket; a bucket larger than Spark's advisory size is dealt over several tasks."""
         spark = self.postings.sparkSession
         if buckets is None:
-            size = int(self.postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            leaves = self.postings._jdf.queryExecution().optimizedPlan().collectLeaves()  # the inputs, as a join is taken to have their product
+            size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
             buckets = max(BUCKETS[0], min(BUCKETS[1], size // BUCKETS[2]))
         rows = self.postings if "dl" in self.postings.columns else settled(self.postings)
         if "dl" not in rows.columns:

@@ -95,12 +95,15 @@ class Wanted:
 class Index:
     """postings and what is derived from them. N counts documents with postings; C is the number of all tokens. tables has what save()
     has written beside the postings; without it everything is derived at each use. analyser: how texts become the index's terms, if it is
-    known. buckets: of the terms' hashes, if the tables are laid out by them."""
+    known. buckets: of the terms' hashes, if the tables are laid out by them. path: where it is saved. pairs: word pairs that it keeps counted
+    (operators/near.py), their rows, lexicon and how they were counted."""
 
     postings: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
     analyser: Analyser | None = None
     buckets: int | None = None
+    path: str | None = None
+    pairs: dict = field(default_factory=dict)
 
     @cached_property
     def lexicon(self) -> DataFrame:
@@ -173,18 +176,21 @@ class Index:
 
     def postings_of(self, wanted: Wanted | None) -> DataFrame:
         """(term, doc_id, tf, dl) of the terms, and more rows perhaps."""
-        rows = _pruned(self.postings, wanted)
+        rows = pruned(self.postings, wanted)
         if "dl" in rows.columns:
             return rows.select("term", "doc_id", "tf", "dl")
         return rows.select("term", "doc_id", "tf").join(self.doc_stats.select("doc_id", "dl"), "doc_id")
 
     def places_of(self, wanted: Wanted | None) -> DataFrame:
-        """(term, doc_id, positions), likewise."""
-        return _pruned(self.postings, wanted).select("term", "doc_id", "positions")
+        """(term, doc_id, dl, positions), likewise."""
+        rows = pruned(self.postings, wanted)
+        if "dl" not in rows.columns:
+            rows = rows.join(self.doc_stats.select("doc_id", "dl"), "doc_id")
+        return rows.select("term", "doc_id", "dl", "positions")
 
     def lexicon_of(self, wanted: Wanted | None) -> DataFrame:
         """(term, df, ctf), likewise."""
-        return _pruned(self.tables["lexicon"], wanted).select("term", "df", "ctf") if "lexicon" in self.tables else self.lexicon
+        return pruned(self.tables["lexicon"], wanted).select("term", "df", "ctf") if "lexicon" in self.tables else self.lexicon
 
     def blocks_of(self, terms: DataFrame, wanted: Wanted | None) -> DataFrame:
         """(term, block, tf, dl) of the terms (written, with df), likewise: in each range of ids that has the term the greatest count and the least
@@ -193,7 +199,7 @@ class Index:
         if "blocks" not in self.tables:
             return _blocks(few)
         rare = terms.where(F.col("df") < BLOCK_DF).select("term").distinct()
-        return _pruned(self.tables["blocks"], wanted).select("term", "block", "tf", "dl").unionByName(_blocks(few.join(rare, "term", "left_semi")))
+        return pruned(self.tables["blocks"], wanted).select("term", "block", "tf", "dl").unionByName(_blocks(few.join(rare, "term", "left_semi")))
 
     def save(self, path: str, buckets: int | None = None) -> Index:
         """Writes postings, lexicon, blocks, doc_stats (with norms), coll_stats and what the index is (buckets, analyser) under path, and reads
@@ -241,8 +247,11 @@ class Index:
         made = own["analyser"] and Analyser.from_json(json.dumps(own["analyser"]))
         if analyser is not None and made != analyser:
             raise ValueError(f"the index was made by {made}, not by {analyser}")
-        tables = {t: spark.read.schema(T.StructType.fromJson(x)).parquet(f"{path}/{t}") for t, x in own["tables"].items()}
-        return Index(tables.pop("postings"), tables, made, own["buckets"])
+        read = lambda name, schema: spark.read.schema(T.StructType.fromJson(schema)).parquet(f"{path}/{name}")
+        tables = {t: read(t, x) for t, x in own["tables"].items()}
+        kept = own.get("pairs")
+        pairs = {"how": kept["how"]} | {t: read(f"{kept['folder']}/{t}", x) for t, x in kept["schemas"].items()} if kept else {}
+        return Index(tables.pop("postings"), tables, made, own["buckets"], path, pairs)
 
 
 def block_of(doc_id: Column) -> Column:
@@ -253,15 +262,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", block_of(F.col("doc_id")).alias("block")).agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
 
 
-def _pruned(table: DataFrame, wanted: Wanted | None) -> DataFrame:
-    """The rows of a table that may have one of the terms, by its layout."""
+def pruned(table: DataFrame, wanted: Wanted | None, column: str = "term") -> DataFrame:
+    """The rows of a table that may have one of the terms in the column that it's laid out by."""
     if wanted is None:
         return table
     table = table.where(F.col("bucket").isin(*sorted(wanted.buckets)) if wanted.buckets else F.lit(False))
     if not 0 < len(wanted.terms) <= TERMS:
         return table
     # an IN list beyond a few values reaches the files only as the range from its least to its greatest; single comparisons reach them all
-    return table.where(F.col("term").isin(*wanted.terms)).where(_any_of([F.col("term") == t for t in sorted(wanted.terms)]))
+    return table.where(F.col(column).isin(*wanted.terms)).where(_any_of([F.col(column) == t for t in sorted(wanted.terms)]))
 
 
 def _any_of(conditions: list[Column]) -> Column:

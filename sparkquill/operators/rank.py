@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from sparkquill.functions.text import adjacent_pairs
 from sparkquill.operators.index import BLOCK_DOCS, Index, Wanted, block_of
+from sparkquill.operators.near import NEAR, pair_rows
 from sparkquill.operators.tables import settled
 
 
@@ -196,56 +197,17 @@ def _smoothed(query: DataFrame, index: Index, share: float) -> tuple[DataFrame,
     return settled(query.join(index.lexicon_of(wanted), "term").withColumn("m", share * F.col("ctf") / F.lit(index.totals.C))), wanted
 
 
-NEAR = 100
-
-
-#: Places of the rarer word up to which each of them is compared with all places of the other one.
-FEW_PLACES = 64
-
-
-def _close_places(p1: Column, p2: Column, near: int) -> Column:
-    """How many pairs of one place of each array are closer than `near`. The work grows with the number of places.
-
-    A word of few places is compared place by place. Otherwise the places of p2, and for each place p of p1 the ends p + near and
-    p - near, are put in one sorted array; a running count of the places of p2 is added at the former and taken off at the latter.
-    """
-    each = F.aggregate(p1, F.lit(0).cast("long"), lambda n, p: n + F.size(F.filter(p2, lambda q: F.abs(p - q) < near)))
-    long_ = lambda p: p.cast("long")
-    events = F.concat(F.transform(p1, lambda p: (long_(p) + near) * 4), F.transform(p2, lambda q: long_(q) * 4 + 1), F.transform(p1, lambda p: (long_(p) - near) * 4 + 2))
-
-    def step(s: Column, e: Column) -> Column:
-        kind = e.bitwiseAND(F.lit(3))
-        n = F.when(kind == 0, s.n + s.seen).when(kind == 2, s.n - s.seen).otherwise(s.n)
-        return F.struct(n.alias("n"), F.when(kind == 1, s.seen + 1).otherwise(s.seen).alias("seen"))
-
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seen"))
-    counted = F.aggregate(F.sort_array(events), none, step, lambda s: s.n)
-    return F.when(F.least(F.size(p1), F.size(p2)) <= FEW_PLACES, each).otherwise(counted)
-
-
-def pair_counts(pairs: DataFrame, index: Index, near: int = NEAR, compat_window: bool = False) -> DataFrame:
-    """(first, second, doc_id, near): for word pairs, in each document with both words how many places of theirs are closer than `near`.
-
-    The work in a document grows with the number of its places, not with their product. compat_window: places of the second word at
-    exactly `near` after one of the first don't count.
-    """
-    pairs = settled(pairs.select("first", "second").distinct())
-    places = index.places_of(index.wanted(pairs.select(F.explode(F.array("first", "second")).alias("term"))))
-    a = places.select(F.col("term").alias("first"), "doc_id", F.col("positions").alias("p1")).join(pairs, "first")
-    b = places.select(F.col("term").alias("second"), "doc_id", F.col("positions").alias("p2")).join(pairs.select("second").distinct(), "second", "left_semi")
-    p2 = F.array_except(F.col("p2"), F.transform("p1", lambda p: p + near)) if compat_window else F.col("p2")
-    return a.join(b, ["second", "doc_id"]).select("first", "second", "doc_id", _close_places(F.col("p1"), p2, near).alias("near"))
-
-
 def proximity(topics: DataFrame, words: Column, index: Index, k: int | None = 30, near: int = NEAR, k1: float = 1.2, b: float = 0.75, k2: float = 1.0, compat_window: bool = False, doc_stats: DataFrame | None = None) -> DataFrame:
     """BM25 over adjacent word pairs of the query: tf is the number of close places, df the number of documents with both words. doc_stats as
     in bm25; the number of documents is theirs too."""
     lengths, totals = _lengths(index, doc_stats)
     own = topics.select("qid", words.alias("w")).select("qid", F.inline(adjacent_pairs(F.col("w"))).alias("first", "second"))
     bag = settled(own.groupBy("qid", "first", "second").agg(F.count("*").alias("qtf")))
-    counts = settled(pair_counts(bag, index, near, compat_window))
+    counts = settled(pair_rows(bag, index, near, compat_window))
     df = counts.groupBy("first", "second").agg(F.count("*").alias("df"))
-    rows = counts.join(settled(bag.join(df, ["first", "second"])), ["first", "second"]).join(lengths, "doc_id")
+    rows = counts.join(settled(bag.join(df, ["first", "second"])), ["first", "second"])
+    if doc_stats is not None:
+        rows = rows.drop("dl").join(lengths, "doc_id")
     weight = bm25_weight(F.col("near"), F.col("qtf"), F.col("df"), F.lit(totals.N), F.col("dl"), F.lit(float(totals.avgdl or 0)), k1, b, k2)
     return top_k(rows.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")), k, "positional_index")
 

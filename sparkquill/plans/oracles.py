@@ -7,7 +7,7 @@ import re
 from sparkquill.functions.classes import CLASSES, MONTHS, PREFIXES
 from sparkquill.functions.text import DELETED, ENTITIES, STRIPPED
 from sparkquill.operators.evaluate import CUTOFFS, RECALLS
-from sparkquill.plans.queries import STOP_WORDS
+from sparkquill.plans.queries import KEPT_PAIRS, STOP_WORDS
 from sparkquill.plans.stemming import stem_table
 
 
@@ -234,3 +234,6 @@ ORACLES: dict[str, str] = {
 ORACLES["tokens_seldom"] = _tokens(["date2", "date3", "file", "paragraph", "url", "url2", "url3"], _ALL_TOKENS)
 #: Bounds leave out blocks of documents, never a row of the result.
 ORACLES |= {f"rank_{k}_bounded": ORACLES[f"rank_{k}"] for k in ("tfidf", "bm25", "dirichlet", "jm")}
+#: Nor do pairs that an index keeps.
+ORACLES |= {f"{k}_kept": ORACLES[k] for k in ("proximity_pairs", "rank_proximity")}
+ORACLES["commonest_pairs"] = _with(f"select a as first, b as second from (select a, b, row_number() over (order by times * least(x.df, y.df) desc, a, b) as rn from (select a, b, sum(qtf) as times from pairs group by 1, 2) join lex x on x.term = a join lex y on y.term = b) where rn <= {KEPT_PAIRS}")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkquill.functions import classes, text
-from sparkquill.operators import evaluate, rank, rewrite
+from sparkquill.operators import evaluate, near, rank, rewrite
 from sparkquill.operators.analysis import Analyser
 from sparkquill.operators.index import Index, group_tokens, index_of, word_tokens
 from sparkquill.operators.tables import evenly, scratch, settled
@@ -58,6 +58,23 @@ def _near_words() -> Column:
     return text.proximity_words(F.col("title"))
 
 
+def _asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics(spark, sf_dir).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second"))
+
+
+#: Pairs that the index with pairs keeps.
+KEPT_PAIRS = 500
+
+
+def _words_and_pairs(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of words with the pairs kept that cost topics most."""
+    key = (spark.sparkContext.applicationId, sf_dir, "words and pairs")
+    if key not in _KEPT:
+        own = _words(spark, sf_dir)
+        _KEPT[key] = near.keep_pairs(own, near.commonest_pairs(_asked_pairs(spark, sf_dir), own, KEPT_PAIRS))
+    return _KEPT[key]
+
+
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.query_bag(topics(spark, sf_dir), F.concat(text.phrases(F.col("title"), 2), text.phrases(F.col("title"), 3)))
 
@@ -182,8 +199,11 @@ QUERIES: dict[str, Q] = {
     "phrases_trigram": lambda s, d: word_tokens(documents(s, d), lambda c: text.phrases(c, 3)).groupBy("term").agg(F.count("*").alias("n")),
     "phrase_lexicon_df5": lambda s, d: _index(s, d, "phrase").lexicon,
     "rank_phrase_bm25": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase")),
-    "proximity_pairs": lambda s, d: rank.pair_counts(topics(s, d).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second")), _words(s, d)),
+    "proximity_pairs": lambda s, d: near.pair_counts(_asked_pairs(s, d), _words(s, d)),
     "rank_proximity": lambda s, d: rank.proximity(topics(s, d), _near_words(), _words(s, d)),
+    "commonest_pairs": lambda s, d: near.commonest_pairs(_asked_pairs(s, d), _words(s, d), KEPT_PAIRS),
+    "proximity_pairs_kept": lambda s, d: near.pair_counts(_asked_pairs(s, d), _words_and_pairs(s, d)),
+    "rank_proximity_kept": lambda s, d: rank.proximity(topics(s, d), _near_words(), _words_and_pairs(s, d)),
     "fuse_sin_cos": lambda s, d: rank.fuse(rank.bm25(_phrases(s, d), _index(s, d, "phrase"), 100), rank.proximity(topics(s, d), _near_words(), _words(s, d), 10), rank.bm25(_query(s, d), _words(s, d), 100), mu=0.4, k=100),
     **{f"reduce_{k}": (lambda s, d, k=k: rewrite.reduce_query(_query(s, d), _words(s, d), 0.4, k)) for k in ("qtf", "idf", "qtf_idf")},
     "expand_tfidf": lambda s, d: rewrite.expand(rank.tfidf(_query(s, d), _words(s, d)), _words(s, d)),
@@ -192,7 +212,7 @@ QUERIES: dict[str, Q] = {
     "rocchio_vector": lambda s, d: rewrite.rocchio(_query(s, d), rank.tfidf(_query(s, d), _words(s, d)), _words(s, d)),
     "rocchio_negative": lambda s, d: rewrite.rocchio(_query(s, d), settled(rank.tfidf(_query(s, d), _words(s, d), both_ends=10)), _words(s, d), gamma=1.0),
     "rank_tfidf_compat_norm": lambda s, d: rank.tfidf(_query(s, d), _words(s, d), compat_norm=True),
-    "proximity_pairs_compat_window": lambda s, d: rank.pair_counts(topics(s, d).select(F.inline(text.adjacent_pairs(_near_words())).alias("first", "second")), _words(s, d), compat_window=True),
+    "proximity_pairs_compat_window": lambda s, d: near.pair_counts(_asked_pairs(s, d), _words(s, d), compat_window=True),
     "rank_phrase_bm25_word_lengths": lambda s, d: rank.bm25(_phrases(s, d), _index(s, d, "phrase"), doc_stats=_words(s, d).doc_stats),
     "rank_rocchio": lambda s, d: retrieval.run_rocchio(_query(s, d), _words(s, d), size=10),
     "qrels": lambda s, d: qrels(s, d),

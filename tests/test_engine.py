@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.functions.text import plain_words
-from sparkquill.operators import evaluate, rank, rewrite
+from sparkquill.operators import evaluate, near, rank, rewrite
 from sparkquill.operators.index import Index, build_index, postings, word_tokens
 from sparkquill.plans import retrieval
 from sparkquill.sources import corpus, files
@@ -88,7 +88,7 @@ def test_repeated_jm_counts_terms(index, topics):
 @pytest.mark.parametrize("compat", [False, True])
 def test_proximity_counts(spark, index, words, compat):
     pairs = spark.createDataFrame([("alpha", "beta"), ("gamma", "gamma")], "first string, second string")
-    got = {(r.first, r.second, r.doc_id): r.near for r in rank.pair_counts(pairs, index, 5, compat).select("first", "second", "doc_id", "near").toPandas().itertuples()}
+    got = {(r.first, r.second, r.doc_id): r.near for r in near.pair_counts(pairs, index, 5, compat).select("first", "second", "doc_id", "near").toPandas().itertuples()}
     want = {}
     for x, y in (("alpha", "beta"), ("gamma", "gamma")):
         for d, w in words.items():
@@ -232,7 +232,7 @@ def test_query_report(spark, tmp_path):
 def test_close_places_of_many_places(spark):
     r = random.Random(9)
     rows = [(sorted(r.sample(range(3000), n)), sorted(r.sample(range(3000), m))) for n, m in ((70, 90), (500, 65), (1, 300), (66, 66), (80, 2))]
-    got = [x.n for x in spark.createDataFrame(rows, "a array<int>, b array<int>").coalesce(1).select(rank._close_places(F.col("a"), F.col("b"), 40).alias("n")).collect()]
+    got = [x.n for x in spark.createDataFrame(rows, "a array<int>, b array<int>").coalesce(1).select(near.close_places(F.col("a"), F.col("b"), 40).alias("n")).collect()]
     assert got == [sum(abs(x - y) < 40 for x in a for y in b) for a, b in rows]
 
 

@@ -34,6 +34,7 @@ CLASSES = [
     ("alpha_digit_dot", r"[a-z0-9\.-]+", "split"),
     ("number_range", r"[0-9\.]+-[0-9\.]+", "split"),
 ]
+# Parts of split words that are no tokens, and the months of long dates.
 PREFIXES = "en ex extra hetero homo homeo hyper il im in ir inter intra intro macro micro mono non omni post pre pro sub sym syn tele trans tri un uni up".split()
 MONTHS = "january february march april may june july august september october november december".split()
 SPECIAL = "μ×ñ"

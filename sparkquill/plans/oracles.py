@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 
-from sparkquill.functions.classes import CLASSES, MONTHS, PREFIXES
-from sparkquill.functions.text import DELETED, ENTITIES, STRIPPED
 from sparkquill.operators.evaluate import CUTOFFS, RECALLS
+from sparkquill.plans.expected import CLASSES, DELETED, ENTITIES, MONTHS, PREFIXES, STRIPPED
 from sparkquill.plans.queries import KEPT_PAIRS, STOP_WORDS
 from sparkquill.plans.stemming import stem_table
 

@@ -151,8 +151,12 @@ def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, n): the stripped, lower-cased words of documents, and those of the other tables."""
-    words = documents(spark, sf_dir).select(F.explode(text.split_words(F.col("text"))).alias("word")).union(_written_words(spark, sf_dir))
-    return words.groupBy("word").agg(F.count("*").alias("n")).select(text.strip_word(F.lower("word")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def make() -> DataFrame:
+        words = documents(spark, sf_dir).select(F.explode(text.split_words(F.col("text"))).alias("word")).union(_written_words(spark, sf_dir))
+        return words.groupBy("word").agg(F.count("*").alias("n")).select(text.strip_word(F.lower("word")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+
+    return _once(spark, sf_dir, "stripped", make)
 
 
 def _of_class(*names: str) -> Callable[[SparkSession, str], DataFrame]:

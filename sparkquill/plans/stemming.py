@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquill.functions.stem import IRREGULAR, STEP2, STEP3, STEP4
+from sparkquill.plans.expected import IRREGULAR, STEP2, STEP3, STEP4
 
 
 def _shape(x: str) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.functions.stem import IRREGULAR, STEP2, STEP3, STEP4, stem, stem_of
-from sparkquill.operators import analysis, index as layout, rank
+from sparkquill.operators import analysis, index as layout, near, rank
 from sparkquill.operators.analysis import Analyser
 from sparkquill.operators.index import Index, build_index, index_of
 from sparkquill.operators.segments import Segments
@@ -284,7 +284,7 @@ def test_run_is_one_ordered_file(spark, tmp_path):
 
 def test_close_places_beyond_a_counter(spark):
     big = F.sequence(F.lit(0), F.lit(9_999))
-    assert spark.range(1).select(rank._close_places(big, big, 100_000).alias("n")).first().n == 10**8
+    assert spark.range(1).select(near.close_places(big, big, 100_000).alias("n")).first().n == 10**8
 
 
 def test_a_scoring_of_ones_own(saved, topics):

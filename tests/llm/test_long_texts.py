@@ -61,7 +61,7 @@ def test_secrets_all_over_a_long_text(spark, long_words):
 
 
 def test_pieces_of_a_long_text(spark, long_words):
-    text = " ".join(long_words[:150_000]) + " é漢字😀 \x00 end  "
+    text = " ".join(long_words[:260_000]) + " é漢字😀 \x00 end  "
     rows = [(1, "short"), (2, text), (3, None), (4, "x" * 300_000)]
     out = {x.doc_id: x for x in pieces.encode_audit(table(spark, rows)).collect()}
     assert all(x.round_trip for x in out.values())
@@ -155,10 +155,10 @@ def test_lines_runs_and_tokens_of_a_long_text(spark, long_words):
     got = {x.doc_id: x for x in lines.line_dedup_audit(table(spark, rows)).collect()}
     assert {i: (x.n_lines, x.n_dropped) for i, x in got.items()} == {1: (30_001, 1), 2: (30_001, 1), 3: (1, 0), 4: (1, 0)}
     assert got[1].kept_sha256 == hashlib.sha256(body.encode()).hexdigest()
-    words = long_words[:200_000] + ["tick", "tock", "tack"] * 7 + ["end"]
+    words = long_words[:260_000] + ["tick", "tock", "tack"] * 7 + ["end"]
     run = repeats.run_audit(table(spark, [(3, " ".join(words))])).first()
-    assert (run.n_runs, run.start, run.length, run.period) == (1, 200_000, 21, 3)
-    assert run.collapsed_sha256 == hashlib.sha256(" ".join(words[:200_003] + ["end"]).encode()).hexdigest()
-    text = " ".join(long_words[:150_000])
+    assert (run.n_runs, run.start, run.length, run.period) == (1, 260_000, 21, 3)
+    assert run.collapsed_sha256 == hashlib.sha256(" ".join(words[:260_003] + ["end"]).encode()).hexdigest()
+    text = " ".join(long_words[:260_000])
     found = {x.doc_id: x for x in align.alignment(table(spark, [(1, text), (2, "short"), (3, text)])).collect()}
-    assert found[1].n_a > 150_000 and found[1].groups_sha256 == found[3].groups_sha256 and found[1].n_links >= max(found[1].n_a, found[1].n_b)
+    assert found[1].n_a > 260_000 and found[1].groups_sha256 == found[3].groups_sha256 and found[1].n_links >= max(found[1].n_a, found[1].n_b)

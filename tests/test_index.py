@@ -294,3 +294,18 @@ def test_a_scoring_of_ones_own(saved, topics):
     retrieval.register_model("matches", lambda q, i, k: rank.Scoring("M", i, terms, wanted, lambda tf, dl: F.lit(1.0)).best(k))
     got = retrieval.run_static(query, saved, "matches", size=3).collect()
     assert got and all(r.score == int(r.score) for r in got)
+
+
+def test_documents_are_counted_without_a_shuffle(spark, docs, monkeypatch):
+    """Before, every token was shuffled by term and document, and each document's length once more by all its terms."""
+    from sparkquill.operators import counts
+    from sparkquill.operators.index import postings, word_tokens
+
+    monkeypatch.setattr(counts, "WORDS", 50)  # several stretches of documents
+    own = index_of(docs, Analyser("positional", "words")).postings
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    want = {(r.term, r.doc_id): (r.tf, r.positions) for r in postings(word_tokens(docs), True).collect()}
+    rows = own.collect()
+    assert {(r.term, r.doc_id): (r.tf, r.positions) for r in rows} == want and len(rows) == len(want)
+    told = {r.doc_id: (r.dl, r.n_terms) for r in rows if r.n_terms is not None}
+    assert told == {d: (sum(v[0] for k, v in want.items() if k[1] == d), sum(k[1] == d for k in want)) for d in {k[1] for k in want}}

@@ -116,3 +116,27 @@ def test_close_places_of_a_very_long_text(spark):
     long = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("s")).select(F.filter("s", lambda x: x % 3 != 0).alias("a"), F.filter("s", lambda x: x % 3 == 0).alias("b"))
     got = long.select(near.close_places(F.col("a"), F.col("b"), 2).alias("n")).first().n
     assert got == 2 * (n // 3) - 1
+
+
+@pytest.mark.parametrize("width,compat", [(5, False), (5, True), (100, False), (0, False)])
+def test_documents_are_counted_whole_wherever_batches_end(spark, plain, monkeypatch, width, compat):
+    """The places of a document may come in several batches, and be more than are searched at once."""
+    asked, own = spark.createDataFrame(ASKED, SCHEMA), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    whole = {(r.first, r.second, r.doc_id): r.near for r in near.pair_counts(asked, plain, width, compat).collect()}
+    spark.conf.set(own[0], "3")
+    monkeypatch.setattr(near, "PLACES", 20)
+    try:
+        parts = near.pair_counts(asked, plain, width, compat).collect()
+    finally:
+        spark.conf.set(*own)
+    assert {(r.first, r.second, r.doc_id): r.near for r in parts} == whole == brute(ASKED, width, compat) and len(parts) == len(whole)
+    monkeypatch.setattr(near, "FEW_PAIRS", 2)  # more pairs than tasks get meet by joins
+    assert {(r.first, r.second, r.doc_id): r.near for r in near.pair_counts(asked, plain, width, compat).collect()} == whole
+
+
+def test_places_are_shuffled_once_however_many_pairs_a_word_is_in(spark, plain):
+    """Before, each pair carried a copy of its first word's places through a join by word and document."""
+    r = random.Random(3)
+    asked = spark.createDataFrame([(x, y) for x in WORDS for y in r.sample(WORDS, 5)], SCHEMA)
+    plan = near.pair_counts(asked, plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1 and len(re.findall("Join ", plan)) == 2 and "MapInArrow" in plan

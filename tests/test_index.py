@@ -309,3 +309,51 @@ def test_documents_are_counted_without_a_shuffle(spark, docs, monkeypatch):
     assert {(r.term, r.doc_id): (r.tf, r.positions) for r in rows} == want and len(rows) == len(want)
     told = {r.doc_id: (r.dl, r.n_terms) for r in rows if r.n_terms is not None}
     assert told == {d: (sum(v[0] for k, v in want.items() if k[1] == d), sum(k[1] == d for k in want)) for d in {k[1] for k in want}}
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_frequent_phrases_by_hashes(spark, monkeypatch, tmp_path, few):
+    """Before, every phrase of every document was shuffled and written; now only hashes are, and rows of frequent ones."""
+    from collections import Counter
+
+    from sparkquill.operators import counts
+
+    monkeypatch.setattr(counts, "WORDS", 40)
+    monkeypatch.setattr(counts, "FEW_PHRASES", few)
+    r = random.Random(9)
+    rows = {i: " ".join(r.choice(["Alpha", "beta,", "b4", "the", "", "gamma", "x\ny", "Été"]) for _ in range(r.randrange(30))) for i in range(60)} | {70: "", 71: None, 72: "  "}
+    given = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for stop in ([], ["the"]):
+        want = Counter()
+        for d, text in rows.items():
+            words = "".join(c for c in (text or "").replace("\n", " ") if c not in "!\"&'*+:;<=>?[]^_`{|}~").lower().split()
+            fits = [w.isascii() and w.isalpha() and w not in stop for w in words]
+            want.update((" ".join(words[i : i + n]), d) for n in (2, 3) for i in range(len(words) - n + 1) if all(fits[i : i + n]))
+        df = Counter(t for t, _ in want)
+        want = {k: n for k, n in want.items() if df[k[0]] >= 5}
+        own = build_index(given, "phrase", stop).save(str(tmp_path / f"p{few}{len(stop)}"), 4)
+        got = own.postings.collect()
+        assert {(x.term, x.doc_id): x.tf for x in got} == want and len(got) == len(want) > 20
+        assert {x.doc_id: (x.dl, x.n_terms) for x in own.doc_stats.collect()} == {d: (sum(n for k, n in want.items() if k[1] == d), sum(k[1] == d for k in want)) for d in {k[1] for k in want}}
+
+
+def test_rare_phrases_that_share_a_hash_go(spark, monkeypatch, tmp_path):
+    from sparkquill.operators import counts
+
+    monkeypatch.setattr(counts, "_mixed", lambda x: x & counts.np.uint64(1))  # two hashes for all phrases
+    given = spark.createDataFrame([(i, f"same words here own{chr(97 + i)} end") for i in range(8)], "doc_id long, text string")
+    own = build_index(given, "phrase").save(str(tmp_path / "p"), 4)
+    terms = {r.term for r in own.lexicon.collect()}
+    assert terms <= {"same words", "words here", "same words here"} and all(r.df == 8 for r in own.lexicon.collect())
+
+
+def test_grouped_query_has_one_row_for_a_term_of_several_chunks(spark, monkeypatch):
+    """Before, a term of more than CHUNK documents came as several rows, which its SQL doesn't have."""
+    from sparkquill.plans import queries
+
+    rows = [("a", d, d % 3 + 1) for d in range(50)] + [("b", 7, 2)]
+    own = Index(spark.createDataFrame(rows, "term string, doc_id long, tf long"))
+    monkeypatch.setattr(layout, "CHUNK", 6)
+    assert own.grouped().where("term = 'a'").count() > 5
+    want = {t: (0, ",".join(f"{d},{n}" for x, d, n in rows if x == t)) for t in "ab"}
+    assert {r.term: (r.chunk, r.entries) for r in queries._grouped_text(own).collect()} == want

@@ -357,3 +357,17 @@ def test_grouped_query_has_one_row_for_a_term_of_several_chunks(spark, monkeypat
     assert own.grouped().where("term = 'a'").count() > 5
     want = {t: (0, ",".join(f"{d},{n}" for x, d, n in rows if x == t)) for t in "ab"}
     assert {r.term: (r.chunk, r.entries) for r in queries._grouped_text(own).collect()} == want
+
+
+def test_tokens_without_places_are_those_of_the_full_tokenizer(spark):
+    """Stem indexes take them from one pattern over the text, and look at unusual words alone; before, a lambda went over every word."""
+    from sparkquill.functions.classes import token_bag, token_groups
+
+    r = random.Random(8)
+    parts = ["word", "Word,", "(word).", "..a.b", "march", "March", "march,", "may", "12", "2019", "3,", "(555)", "(555)123-4567", "555-1234", "(555/", "", "  ", "\n", "\t", "a-b1", "x@y.org", "$3,000.5", "12%", "été", "10.0.0.1", "(", ".,", "•dot", "i/o3", "01/02/2020", "www.a.b1", "μm", "pre-war"]
+    texts_ = [" ".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(600)] + ["march 3, 2019 x", "march 3, 2019", "(555) 123-4567", None]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = rows.select("text", F.sort_array(token_bag(F.col("text"))).alias("a"), F.sort_array(F.flatten(token_groups(F.col("text")))).alias("b")).collect()
+    assert all(x.a == x.b for x in got) and sum(len(x.b) for x in got) > 1000
+    plan = index_of(rows, Analyser.of("stem", ["word"])).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # stems are found where the words are

@@ -371,3 +371,12 @@ def test_tokens_without_places_are_those_of_the_full_tokenizer(spark):
     assert all(x.a == x.b for x in got) and sum(len(x.b) for x in got) > 1000
     plan = index_of(rows, Analyser.of("stem", ["word"])).postings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # stems are found where the words are
+
+
+def test_sums_of_a_ranking_stay_with_their_documents(spark, saved, topics):
+    """Before, each task's sums for (query, document) were shuffled, which are many times the postings."""
+    query = saved.analyser.query_terms(topics)
+    wanted = saved.wanted(query)
+    scoring = rank.Scoring("x", saved, rank.settled(query.join(saved.lexicon_of(wanted), "term")), wanted, lambda tf, dl: tf * F.col("qtf"))
+    plan = scoring.scores()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(qid" not in plan

@@ -1,6 +1,7 @@
 """The laid-out index: pruned scans, bounded ranking, analysers, segments; files that are split, names that are numbered, stems."""
 
 import json
+import math
 import random
 
 import pytest
@@ -380,3 +381,22 @@ def test_sums_of_a_ranking_stay_with_their_documents(spark, saved, topics):
     scoring = rank.Scoring("x", saved, rank.settled(query.join(saved.lexicon_of(wanted), "term")), wanted, lambda tf, dl: tf * F.col("qtf"))
     plan = scoring.scores()._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(qid" not in plan
+
+
+def test_postings_of_frequent_terms_meet_their_idf_where_they_are(spark, saved, monkeypatch):
+    """Before, all postings were shuffled by term as soon as the lexicon was too large to be broadcast."""
+    df = {r.term: r.df for r in saved.lexicon.collect()}
+    total = saved.totals
+    monkeypatch.setattr(layout, "OFTEN", 20)
+    assert 0 < sum(n < sum(df.values()) / 20 for n in df.values()) < len(df)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = saved.weights()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.term): r.w for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    want = {(r.doc_id, r.term): (math.log10(r.tf) + 1) * math.log10(total.N / df[r.term]) for r in saved.postings.collect()}
+    assert got == pytest.approx(want)

@@ -413,3 +413,31 @@ def test_many_terms_are_few_comparisons_of_a_scan(spark, saved):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"term#\d+ (?:=|>=|<=) ", plan)) <= 2 * layout.RANGES
     assert {(r.term, r.doc_id) for r in rows.collect()} == {(r.term, r.doc_id) for r in saved.postings.collect() if r.term in set(some)}
+
+
+def test_distinct_words_of_a_stretch_are_looked_at_once(spark, monkeypatch):
+    """Before, patterns went over every text in full; now they, and the tokenizer, see each distinct word of a stretch."""
+    from sparkquill.operators import counts
+
+    monkeypatch.setattr(counts, "WORDS", 40)
+    r = random.Random(9)
+    parts = ["word", "Word,", "(word).", "..a.b", "march", "March", "march,", "may", "12", "2019", "3,", "(555)", "(555)123-4567", "555-1234", "(555/", "", "  ", "\n", "\t", "a-b1", "x@y.org", "$3,000.5", "été", "10.0.0.1", "(", ".,", "•dot", "wor,d", "w'or'd", "the", "Kelvin", "İ", "ΟΣ", "pre-war", "running", "runs"]
+    texts_ = [" ".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(400)] + ["march 3, 2019 x", "march 3, 2019", "(555) 123-4567", "", "\n \n", None, "x " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3, "doc_id")
+    key = lambda row: (row.doc_id, row.term)
+    for analyser, given in ((Analyser("positional", "words"), None), (Analyser("single", "words", stop_words=("word",)), None), (Analyser.of("stem", ["the", "word"]), stem), (Analyser("single"), None)):
+        plain = counts.postings_of_texts(analyser.arrays(docs), analyser.positions, given)
+        made = index_of(docs, analyser).postings
+        assert made.schema == plain.schema
+        a, b = sorted(made.collect(), key=key), sorted(plain.collect(), key=key)
+        same = [c for c in made.columns if c != "n_terms"]
+        assert len(a) > 500 and [[x[c] for c in same] for x in a] == [[x[c] for c in same] for x in b]
+        assert sorted((x.doc_id, x.n_terms) for x in a if x.n_terms) == sorted((x.doc_id, x.n_terms) for x in b if x.n_terms)
+        assert not re.search("regexp_(?:replace|extract_all)[^\n]*text#", made._jdf.queryExecution().executedPlan().toString())
+    phrases = {(x.doc_id, x.term): (x.tf, x.dl) for x in index_of(docs, Analyser("phrase", stop_words=("the",))).postings.collect()}
+    counted = layout.postings(Analyser("phrase", stop_words=("the",)).tokens(docs))
+    df = {x.term for x in counted.groupBy("term").count().where("count >= 5").collect()}
+    assert {k: v[0] for k, v in phrases.items()} == {(x.doc_id, x.term): x.tf for x in counted.collect() if x.term in df} and phrases
+    for text, want in (("word runs", {"word", "run"}), ("caf\u00e9", {"caf"}), ("\u00e9", set()), ("", set()), (None, set()), ("(555) 123-4567", {"555", "5551234567", "1234567", "123", "4567"})):
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert {x.term for x in index_of(one, Analyser.of("stem")).postings.collect()} == want == {stem(x.term) for x in layout.group_tokens(one).collect()}

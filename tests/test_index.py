@@ -384,6 +384,23 @@ def test_sums_of_a_ranking_stay_with_their_documents(spark, saved, topics):
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(qid" not in plan
 
 
+@pytest.mark.parametrize("step", ["scores", "bounds"])
+def test_sums_of_a_task_are_bounded(spark, saved, topics, monkeypatch, step):
+    """Before, tasks were dealt by the postings' bytes, so their sums grew with the input and with the queries that share a term."""
+    query = saved.analyser.query_terms(topics)
+    wanted = saved.wanted(query)
+    scoring = rank.Scoring("x", saved, rank.settled(query.join(saved.lexicon_of(wanted), "term")), wanted, lambda tf, dl: tf * F.col("qtf"))
+    rows = lambda: {tuple(r) for r in getattr(scoring, step)().collect()}
+    whole = rows()
+    monkeypatch.setattr(rank, "SUMS", 100)
+    assert rows() == whole
+    parts = getattr(scoring, step)()
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert sum(sizes) == len(whole) and max(sizes) < 300 and plan.count("REPARTITION_BY_NUM") == 1
+    assert "hashpartitioning(qid" not in plan
+
+
 def test_postings_of_frequent_terms_meet_their_idf_where_they_are(spark, saved, monkeypatch):
     """Before, all postings were shuffled by term as soon as the lexicon was too large to be broadcast."""
     df = {r.term: r.df for r in saved.lexicon.collect()}

@@ -401,6 +401,23 @@ def test_sums_of_a_task_are_bounded(spark, saved, topics, monkeypatch, step):
     assert "hashpartitioning(qid" not in plan
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_ends_are_picked_in_their_tasks(spark, monkeypatch, request, k):
+    """Before, all scores were written and sorted by two scans."""
+    monkeypatch.setattr(rank, "ROWS", 20)
+    r = random.Random(3)
+    rows = [(f"q{r.randrange(4)}", i, r.choice([-1.0, 0.0, 0.5, float("inf"), float("nan"), None])) for i in range(300)] + [("one", 7, 2.0)]
+    scores = spark.createDataFrame(rows, "qid string, doc_id long, score double").repartition(3).select("*", F.spark_partition_id().alias("part"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "15")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    ends = rank._ends(scores, k)
+    assert ends.count() <= 3 * 5 * 2 * k
+    assert {x.qid: x.n for x in ends.groupBy("qid").agg(F.sum("n").alias("n")).collect()} == {x.qid: x["count"] for x in scores.groupBy("qid").count().collect()}
+    whole = rank.top_k(scores, None, "t").collect()
+    total = {q: sum(x.qid == q for x in whole) for q in {x.qid for x in whole}}
+    assert rows_of(rank.top_k(scores, None, "t", both_ends=k)) == sorted(str(x) for x in whole if x["rank"] < k or x["rank"] >= total[x.qid] - k)
+
+
 def test_postings_of_frequent_terms_meet_their_idf_where_they_are(spark, saved, monkeypatch):
     """Before, all postings were shuffled by term as soon as the lexicon was too large to be broadcast."""
     df = {r.term: r.df for r in saved.lexicon.collect()}
